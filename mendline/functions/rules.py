@@ -2,55 +2,80 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+
+
+class Rule(NamedTuple):
+    """A pattern with the group to keep, and the fragments without which it cannot match.
+
+    ``needs`` lists alternatives; of one of them all fragments must occur. Finding a fragment is far cheaper than running
+    a pattern, so most texts never reach the pattern. Fragments of patterns that ignore case are lower case and
+    avoid the letters i, k and s, which have relatives outside ASCII.
+    """
+
+    rule_id: str
+    pattern: str
+    group: int = 0
+    needs: tuple[tuple[str, ...], ...] = ()
+
+    @property
+    def ignores_case(self) -> bool:
+        return self.pattern.startswith("(?i)")
+
+
 # --- Fixed values: extraction rules per framework, in reporting order -------------------------
-# (rule id, pattern, group to keep). Two of them stop *before* a terminator: the traceback rule ends
-# at the next line that is not indented, the JVM rule ends at the first stack frame.
-_TRACEBACK = ("traceback", r"Traceback \(most recent call last\)[^\n]*+(?:\n++[^\S\n][^\n]*+)*+", 0)
+# Two of them stop *before* a terminator: the traceback rule ends at the next line that is not indented, the
+# JVM rule ends at the first stack frame.
+_TRACEBACK = Rule(
+    "traceback", r"Traceback \(most recent call last\)[^\n]*+(?:\n++[^\S\n][^\n]*+)*+", needs=(("Traceback (most",),)
+)
 
-EXTRACTION_RULES: dict[str, list[tuple[str, str, int]]] = {
+EXTRACTION_RULES: dict[str, list[Rule]] = {
     "dbt": [
-        ("compilation_error", r"(?s)Compilation Error.*", 0),
-        ("database_error", r"(?s)Database Error.*", 0),
-        ("runtime_error", r"(?s)Runtime Error.*", 0),
-        ("level_line", r"(?:ERROR|WARN)\s+.*", 0),
-        ("unhandled_exception", r"(?s)Unhandled exception.*", 0),
-        ("node_error", r"(?i)(?:node \S+ had an error|does not compile)", 0),
+        Rule("compilation_error", r"(?s)Compilation Error.*", needs=(("Compilation Error",),)),
+        Rule("database_error", r"(?s)Database Error.*", needs=(("Database Error",),)),
+        Rule("runtime_error", r"(?s)Runtime Error.*", needs=(("Runtime Error",),)),
+        Rule("level_line", r"(?:ERROR|WARN)\s+.*", needs=(("ERROR",), ("WARN",))),
+        Rule("unhandled_exception", r"(?s)Unhandled exception.*", needs=(("Unhandled exception",),)),
+        Rule("node_error", r"(?i)(?:node \S+ had an error|does not compile)", needs=(("had an error",), ("not comp",))),
     ],
     "airflow": [
         _TRACEBACK,
-        ("level_line", r"(?:ERROR|CRITICAL)\s+-\s+.*", 0),
-        ("task_failed", r"(?i)Task\s+\S+\s+failed.*", 0),
-        ("import_error", r"(?:DagBag|Import)Error:.*", 0),
-        ("airflow_exception", r"AirflowException:.*", 0),
-        ("pool_full", r"(?i)(?:slot|pool)\s+\S+\s+is full", 0),
+        Rule("level_line", r"(?:ERROR|CRITICAL)\s+-\s+.*", needs=(("ERROR",), ("CRITICAL",))),
+        Rule("task_failed", r"(?i)Task\s+\S+\s+failed.*", needs=(("ta", "led"),)),
+        Rule("import_error", r"(?:DagBag|Import)Error:.*", needs=(("DagBagError:",), ("ImportError:",))),
+        Rule("airflow_exception", r"AirflowException:.*", needs=(("AirflowException:",),)),
+        Rule("pool_full", r"(?i)(?:slot|pool)\s+\S+\s+is full", needs=((" full",),)),
     ],
     "prefect": [
         _TRACEBACK,
-        ("level_line", r"(?:ERROR|CRITICAL)\s+.*", 0),
-        ("flow_crashed", r"(?i)Flow run .* crashed.*", 0),
-        ("task_failed", r"(?i)Task run .* failed.*", 0),
-        ("crash_exception", r"CrashException:.*", 0),
+        Rule("level_line", r"(?:ERROR|CRITICAL)\s+.*", needs=(("ERROR",), ("CRITICAL",))),
+        Rule("flow_crashed", r"(?i)Flow run .* crashed.*", needs=(("flow run ", " cra"),)),
+        Rule("task_failed", r"(?i)Task run .* failed.*", needs=((" run ", " fa"),)),
+        Rule("crash_exception", r"CrashException:.*", needs=(("CrashException:",),)),
     ],
     "spark": [
-        (
+        Rule(
             "jvm_exception",
             r"(?s)((?:java\.lang\.|org\.apache\.|py4j\.)\S+Exception.*?)(?:\n\s*at |\z)",
             1,
+            needs=(("Exception",),),
         ),
-        ("stack_frame", r"at [\w\.$]+ \([\w\.$]+\.(?:java|scala):\d+\)", 0),
-        ("caused_by", r"Caused by:.*", 0),
-        ("level_line", r"(?:ERROR|WARN)\s+.*", 0),
-        ("engine_exception", r"(?:AnalysisException|SparkException|PythonException):.*", 0),
-        ("task_set_warning", r"WARN\s+TaskSetManager.*", 0),
-        ("job_failed", r"(?i)Job \d+ failed.*", 0),
-        ("stage_failed", r"(?i)Stage \d+ failed.*", 0),
-        ("out_of_memory", r"(?i)OutOfMemoryError.*", 0),
-        ("gc_overhead", r"(?i)GC overhead limit exceeded", 0),
+        Rule("stack_frame", r"at [\w\.$]+ \([\w\.$]+\.(?:java|scala):\d+\)", needs=(("at ", ".java:"), ("at ", ".scala:"))),
+        Rule("caused_by", r"Caused by:.*", needs=(("Caused by:",),)),
+        Rule("level_line", r"(?:ERROR|WARN)\s+.*", needs=(("ERROR",), ("WARN",))),
+        Rule("engine_exception", r"(?:AnalysisException|SparkException|PythonException):.*", needs=(("Exception:",),)),
+        Rule("task_set_warning", r"WARN\s+TaskSetManager.*", needs=(("WARN", "TaskSetManager"),)),
+        Rule("job_failed", r"(?i)Job \d+ failed.*", needs=(("job ", "led"),)),
+        Rule("stage_failed", r"(?i)Stage \d+ failed.*", needs=(("tage ", "led"),)),
+        Rule("out_of_memory", r"(?i)OutOfMemoryError.*", needs=(("outofmemoryerror",),)),
+        Rule("gc_overhead", r"(?i)GC overhead limit exceeded", needs=(("gc overhead",),)),
     ],
     "generic": [
         _TRACEBACK,
-        ("level_line", r"(?:ERROR|CRITICAL|FATAL)\s+.*", 0),
-        ("exception", r"Exception:.*", 0),
+        Rule("level_line", r"(?:ERROR|CRITICAL|FATAL)\s+.*", needs=(("ERROR",), ("CRITICAL",), ("FATAL",))),
+        Rule("exception", r"Exception:.*", needs=(("Exception:",),)),
     ],
 }
 SNIPPET_CHARS, SNIPPET_KEY_CHARS = 2000, 200
@@ -67,39 +92,50 @@ CHAIN_CHARS, CHAIN_KEY_CHARS, CHAINS_SHOWN = 2000, 150, 5
 WARN_KEY_CHARS, WARNS_SHOWN = 80, 20
 STAGE_MATCHES = 10
 
-# (rule id, severity, pattern, pattern of the strict mode)
-JVM_ISSUES: list[tuple[str, str, str, str]] = [
+JVM_CHAIN_NEEDS = (("Exception",), ("Error",))
+
+# (severity, rule)
+JVM_ISSUES: list[tuple[str, Rule]] = [
     (
-        "out_of_memory",
         "CRITICAL",
-        r"(?i)OutOfMemoryError|GC overhead limit exceeded|java heap space",
-        r"(?i)OutOfMemoryError|GC overhead limit exceeded|java heap space",
+        Rule(
+            "out_of_memory",
+            r"(?i)OutOfMemoryError|GC overhead limit exceeded|java heap space",
+            needs=(("outofmemoryerror",), ("gc overhead",), ("java heap",)),
+        ),
     ),
     (
-        "shuffle_failure",
         "ERROR",
-        r"(?i)FetchFailed|shuffle\s+\S+\s+failed|shuffle fetch failed",
-        r"(?i)FetchFailed|shuffle\s+\S+\s+failed|shuffle fetch failed",
+        Rule(
+            "shuffle_failure",
+            r"(?i)FetchFailed|shuffle\s+\S+\s+failed|shuffle fetch failed",
+            needs=(("fetchfa",), ("huffle", "led")),
+        ),
     ),
     (
-        "stage_failure",
         "ERROR",
-        r"(?i)Stage \d+.* failed|Job \d+.* failed",
-        r"(?i)Stage \d+ .* failed|Job \d+ .* failed",
+        Rule("stage_failure", r"(?i)Stage \d+.* failed|Job \d+.* failed", needs=(("tage ", "led"), ("job ", "led"))),
     ),
     (
-        "executor_loss",
         "ERROR",
-        r"(?i)ExecutorLostFailure|executor\s+\d+\s+(?:lost|dead|failed)",
-        r"(?i)ExecutorLostFailure|executor\s+\d+\s+(?:lost|dead|failed)",
+        Rule("executor_loss", r"(?i)ExecutorLostFailure|executor\s+\d+\s+(?:lost|dead|failed)", needs=(("executor",),)),
     ),
     (
-        "data_skew",
         "WARN",
-        r"(?i)task\s+is\s+\d+x\s+slower|speculative\s+task|straggler",
-        r"(?i)task\s+is\s+\d+x\s+slower|speculative\s+task|straggler",
+        Rule(
+            "data_skew",
+            r"(?i)task\s+is\s+\d+x\s+slower|speculative\s+task|straggler",
+            needs=(("x", "lower"), ("peculat",), ("traggler",)),
+        ),
     ),
 ]
+# Wording of the strict mode where it differs: text must stand between the number and the failure.
+JVM_ISSUES_STRICT = {
+    "stage_failure": Rule(
+        "stage_failure", r"(?i)Stage \d+ .* failed|Job \d+ .* failed", needs=(("tage ", "led"), ("job ", "led"))
+    ),
+}
+WARN_LINE_NEEDS = (("WARN",), ("ERROR",), ("FATAL",))
 WARN_LINE = r"^(?:\[?\d[\d/:.,\-T ]*\]?\s+)?((?:WARN|ERROR|FATAL)\s+\S+:\s+.+)"
 WARN_LINE_STRICT = r"^((?:WARN|ERROR|FATAL)\s+\S+:\s+.+)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: list[str] = []
@@ -32,10 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     The result has no lineage to recompute after an executor is lost, and carries
     exact size statistics, so Spark itself decides which join sides to broadcast.
     """
+    return cut_counted(df)[0]
+
+
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut`` and the number of rows, which the write itself counts."""
     spark = df.sparkSession
     target = f"{scratch_dir(spark)}/mendline-{uuid.uuid4().hex}"
-    df.write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target), seen.get["n"]
 
 
 def salted_join(
@@ -52,34 +58,49 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def heavy_keys(df: DataFrame, key: str, least: int = 100_000) -> list:
+    """The keys with the most rows, at most 256 of them and only above ``least`` rows.
+
+    Any other key holds under 1/256 of the rows, so the list is bounded whatever the data.
+    """
+    counts = df.groupBy(key).count().filter(F.col("count") > least)
+    return [r[0] for r in counts.orderBy(F.desc("count")).limit(256).select(key).collect()]
+
+
 def hot_key_join(
-    many: DataFrame, one: DataFrame, key: str, spread: Column, n_rows: int, salts: int = 64
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    left_spread: Column,
+    right_spread: Column | None = None,
+    how: str = "inner",
+    left_heavy: list | None = None,
+    right_heavy: list | None = None,
 ) -> DataFrame:
-    """Inner join on ``key`` that salts only the keys holding over 1/256 of ``many``.
+    """Join on ``key`` with only the heavy keys cut into parts; all other rows are joined as they are.
 
-    At most 256 keys can pass that share, so the list taken to the driver is bounded whatever
-    the data. Used where ``one`` is too large to repeat in full. ``n_rows`` is the row count of ``many``.
+    A key heavy on one side has that side spread over 64 parts and the other side's rows repeated for each; a key
+    heavy on both has either side spread over 8 parts and repeated for the other's. The spread expressions differ
+    between rows of one key. Heavy keys not given are counted here; ``right`` is taken as unique without ``right_spread``.
     """
-    share = 256
-    if n_rows < 1_000_000:
-        return many.join(one, key)
-    heavy = [
-        r[0]
-        for r in many.groupBy(key).count().filter(F.col("count") > F.lit(n_rows // share)).select(key).collect()
-    ]
-    if not heavy:
-        return many.join(one, key)
-    is_heavy = F.col(key).isin(heavy)
-    left = many.withColumn(
-        "_salt", F.when(is_heavy, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    right = one.withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    )
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    in_left = heavy_keys(left, key) if left_heavy is None else left_heavy
+    in_right = [] if right_spread is None else heavy_keys(right, key) if right_heavy is None else right_heavy
+    if not in_left and not in_right:
+        return left.join(right, key, how)
+    is_left = F.col(key).isin(in_left) if in_left else F.lit(False)
+    is_right = F.col(key).isin(in_right) if in_right else F.lit(False)
+    left_parts = F.when(is_left & is_right, 8).when(is_left, 64).otherwise(1)
+    right_parts = F.when(is_left & is_right, 8).when(is_right, 64).otherwise(1)
+
+    def part(spread: Column | None, parts: Column) -> Column:
+        return F.lit(0) if spread is None else F.pmod(F.xxhash64(spread), parts).cast("int")
+
+    def every(parts: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    cut_left = left.withColumn("_a", part(left_spread, left_parts)).withColumn("_b", every(right_parts))
+    cut_right = right.withColumn("_b", part(right_spread, right_parts)).withColumn("_a", every(left_parts))
+    return cut_left.join(cut_right, [key, "_a", "_b"], how).drop("_a", "_b")
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -88,7 +109,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     Rows are range-partitioned and numbered inside each range; each range then adds the
     row count of the ranges before it. ``order`` should end in a unique column.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    # Finding the range bounds reads the rows once more, so they are computed and written before.
+    ranged = cut(cut(df).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     # One row per range: its number is that of the shuffle partitions, not of the data.
     before = (
         ranged.groupBy("_range")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ FLAGS = "(?Ud)"
 _SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
+def let(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with ``col`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Remove white space, newlines included, at both ends."""
     return F.btrim(col, F.lit(_SPACE))

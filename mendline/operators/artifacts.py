@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.text import plain_decimal
+from mendline.functions.text import let, plain_decimal
 
 RUN_RESULTS = (
     "results ARRAY<STRUCT<unique_id STRING, status STRING, message STRING, execution_time DOUBLE>>"
@@ -16,16 +16,18 @@ MANIFEST = f"nodes MAP<STRING, {_NODE}>, sources MAP<STRING, {_NODE}>, exposures
 
 
 def classify_artifacts(files: DataFrame) -> DataFrame:
-    """Adds ``kind``: run_results (by file name or ``results`` key), manifest, unrecognized or invalid."""
-    keys = F.json_object_keys("content")
+    """Adds ``kind``: run_results (by file name or ``results`` key), manifest, unrecognized or invalid (no JSON object)."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    kind = (
-        F.when(F.try_parse_json("content").isNull(), "invalid")
-        .when(F.contains(name, F.lit("run_results")) | F.array_contains(keys, "results"), "run_results")
-        .when(F.array_contains(keys, "nodes") | F.array_contains(keys, "sources"), "manifest")
-        .otherwise("unrecognized")
-    )
-    return files.withColumn("kind", kind)
+
+    def kind(keys: Column) -> Column:
+        return (
+            F.when(keys.isNull(), "invalid")
+            .when(F.contains(name, F.lit("run_results")) | F.array_contains(keys, "results"), "run_results")
+            .when(F.array_contains(keys, "nodes") | F.array_contains(keys, "sources"), "manifest")
+            .otherwise("unrecognized")
+        )
+
+    return files.withColumn("kind", let(F.json_object_keys("content"), kind))
 
 
 def run_results(files: DataFrame) -> DataFrame:

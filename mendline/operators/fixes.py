@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mendline.functions.scale import hot_key_join
+
 
 def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """``fixes(path, original, replacement)`` on ``files(path, content)``: one row per fix.
 
     The first verbatim occurrence of ``original`` is replaced. ``status`` is file_missing, not_found, identical or
     applied; ``content`` is the new text where applied and null otherwise. Each fix meets the original text, so
-    one file should get one fix per run.
+    one file should get one fix per run. A file named by very many fixes is joined in parts.
     """
-    joined = fixes.join(files.select("path", "content", F.lit(True).alias("_found")), "path", "left")
+    texts = files.select("path", "content", F.lit(True).alias("_found"))
+    joined = hot_key_join(fixes, texts, "path", F.concat_ws(" ", "original", "replacement"), how="left")
     at = F.instr("content", F.col("original"))
     status = (
         F.when(F.col("_found").isNull(), "file_missing")

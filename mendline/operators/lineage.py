@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import cut, hot_key_join, salted_join
+from mendline.functions.scale import cut_counted, heavy_keys, hot_key_join, salted_join
 
 _REF = r"(?Ud)\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}"
 _SOURCE = r"(?Ud)\{\{\s*source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)\s*\}\}"
@@ -23,24 +23,21 @@ _SOURCE_NAME = r"(?Ud)source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)"
 # --- graph construction -----------------------------------------------------------------------
 
 
-def manifest_names(entries: DataFrame) -> DataFrame:
-    """``(path, uid, part, name, type)``: sources are called ``source.name``, others by name or last part of uid."""
+def _with_names(entries: DataFrame) -> DataFrame:
+    """Sources are called ``source.name``, other entries by their name or the last part of the uid."""
     own = F.coalesce("name", F.element_at(F.split("uid", "\\."), -1))
-    return entries.select(
-        "path",
-        "uid",
-        "part",
-        F.when(
-            F.col("part") == "sources",
-            F.concat(F.coalesce("source_name", F.lit("")), F.lit("."), F.coalesce("name", F.lit(""))),
-        )
-        .otherwise(own)
-        .alias("name"),
+    source = F.concat(F.coalesce("source_name", F.lit("")), F.lit("."), F.coalesce("name", F.lit("")))
+    return entries.withColumn("name", F.when(F.col("part") == "sources", source).otherwise(own))
+
+
+def manifest_names(entries: DataFrame) -> DataFrame:
+    """``(path, uid, name, type)`` of all entries of manifests."""
+    kind = (
         F.when(F.col("part") == "sources", "source")
         .when(F.col("part") == "exposures", "exposure")
         .otherwise(F.coalesce("resource_type", F.lit("model")))
-        .alias("type"),
     )
+    return _with_names(entries).select("path", "uid", "name", kind.alias("type"))
 
 
 def manifest_edges(entries: DataFrame) -> DataFrame:
@@ -48,22 +45,22 @@ def manifest_edges(entries: DataFrame) -> DataFrame:
 
     A dependency takes the name of its source or node, or the last part of its uid when the manifest
     does not hold it. Sources win over nodes of the same uid. Edges stay keyed by uid, so equal short names
-    do not merge; many nodes may share one parent, hence the salt on the lookup.
+    do not merge. The lookup stays within a manifest, which was one row when it was read.
     """
-    names = manifest_names(entries)
-    deps = (
-        names.join(entries.select("path", "uid", "part", "deps"), ["path", "uid", "part"])
-        .filter(F.col("part") != "sources")
-        .select("path", F.col("uid").alias("child_uid"), F.col("name").alias("child"), F.explode("deps").alias("parent_uid"))
-        .distinct()
+    named = _with_names(entries)
+    deps = named.filter(F.col("part") != "sources").select(
+        "path",
+        F.col("uid").alias("child_uid"),
+        F.col("name").alias("child"),
+        F.explode(F.array_distinct("deps")).alias("parent_uid"),
     )
     # Dependencies are looked up among sources and nodes, never among exposures.
     known = (
-        names.filter(F.col("part") != "exposures")
+        named.filter(F.col("part") != "exposures")
         .groupBy("path", F.col("uid").alias("parent_uid"))
         .agg(F.max_by("name", "part").alias("parent_name"))
     )
-    return salted_join(deps, known, ["path", "parent_uid"], F.col("child_uid"), "left").select(
+    return deps.join(known, ["path", "parent_uid"], "left").select(
         "path",
         "child_uid",
         "child",
@@ -115,6 +112,20 @@ def _steps(edges: DataFrame, upstream: bool) -> DataFrame:
     return edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
 
 
+# Below this many rows a join is left to Spark without looking for heavy keys.
+_SMALL = 1_000_000
+
+
+def _hubs(steps: DataFrame, n_steps: int) -> list:
+    return heavy_keys(steps, "node") if n_steps > _SMALL else []
+
+
+def _advance(frontier: DataFrame, size: int, steps: DataFrame, hubs: list, spread: Column) -> DataFrame:
+    """One step from the frontier. Nodes that many roots reach, and nodes with many edges, are cut into parts."""
+    crowded = heavy_keys(frontier, "node") if size > _SMALL else []
+    return hot_key_join(frontier, steps, "node", spread, F.col("next"), left_heavy=crowded, right_heavy=hubs)
+
+
 def reach(
     edges: DataFrame, roots: DataFrame | None = None, upstream: bool = True, max_depth: int = -1
 ) -> DataFrame:
@@ -123,30 +134,23 @@ def reach(
     ``roots(root)`` names the start nodes; ``None`` starts from every node with an edge. ``max_depth`` -1 is
     unlimited. A root on a cycle reaches itself.
     """
-    steps = cut(_steps(edges, upstream))
+    steps, n_steps = cut_counted(_steps(edges, upstream))
+    hubs = _hubs(steps, n_steps)
     start = steps.withColumnRenamed("node", "root")
     if roots is not None:
         start = salted_join(start, roots.select("root").distinct(), ["root"], F.col("next"), "left_semi")
-    depth = 1
-    layers: list[DataFrame] = []
-    frontier = cut(start.select("root", F.col("next").alias("node"), F.lit(depth).alias("depth")))
-    while max_depth != 0:
-        layers.append(frontier)
-        size = frontier.count()
-        if size == 0 or depth == max_depth:
-            break
+    depth, layers = 1, []
+    frontier, size = cut_counted(start.select("root", F.col("next").alias("node"), F.lit(depth).alias("depth")))
+    layers.append(frontier)
+    while size > 0 and depth != max_depth:
         depth += 1
-        seen = reduce(DataFrame.unionByName, layers)
-        found = (
-            hot_key_join(frontier.select("root", "node"), steps, "node", F.col("root"), size)
-            .select("root", F.col("next").alias("node"))
-            .distinct()
-            .join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        )
-        frontier = cut(found.withColumn("depth", F.lit(depth)))
-    if not layers:
-        return frontier.limit(0)
-    return reduce(DataFrame.unionByName, layers)
+        seen = reduce(DataFrame.unionByName, layers).select("root", "node")
+        found = _advance(frontier.select("root", "node"), size, steps, hubs, F.col("root"))
+        found = found.select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
+        frontier, size = cut_counted(found.withColumn("depth", F.lit(depth)))
+        layers.append(frontier)
+    pairs = reduce(DataFrame.unionByName, layers)
+    return pairs.limit(0) if max_depth == 0 else pairs
 
 
 def reach_counts(pairs: DataFrame, all_nodes: DataFrame, max_depth: int = -1) -> DataFrame:
@@ -237,22 +241,20 @@ def tree(edges: DataFrame, roots: DataFrame, upstream: bool = True, max_depth: i
     A node appears once per path that leads to it; sorting by ``path`` gives pre-order with siblings by name.
     A node already on its own path is shown but not expanded, so cycles end.
     """
-    steps = cut(_steps(edges, upstream))
-    frontier = cut(
-        roots.select("root").distinct().select(
-            "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(True).alias("open")
-        )
+    steps, n_steps = cut_counted(_steps(edges, upstream))
+    hubs = _hubs(steps, n_steps)
+    root = F.col("root")
+    frontier, size = cut_counted(
+        roots.select("root")
+        .distinct()
+        .select("root", root.alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(True).alias("open"))
     )
-    depth, layers = 0, []
-    while True:
-        layers.append(frontier)
-        size = frontier.count()
-        if size == 0 or depth == max_depth:
-            break
+    depth, layers = 0, [frontier]
+    while size > 0 and depth != max_depth:
         depth += 1
-        spread = F.concat_ws("/", "path")
-        frontier = cut(
-            hot_key_join(frontier.filter("open"), steps, "node", spread, size).select(
+        reached = _advance(frontier.filter("open"), size, steps, hubs, F.concat_ws("/", "path"))
+        frontier, size = cut_counted(
+            reached.select(
                 "root",
                 F.col("next").alias("node"),
                 F.lit(depth).alias("depth"),
@@ -260,4 +262,5 @@ def tree(edges: DataFrame, roots: DataFrame, upstream: bool = True, max_depth: i
                 (~F.array_contains("path", F.col("next"))).alias("open"),
             )
         )
+        layers.append(frontier)
     return reduce(DataFrame.unionByName, layers).drop("open")

@@ -10,11 +10,13 @@ Two table forms are read:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.text import count_hits, first_hit, has, hits, strip
+from mendline.functions.text import count_hits, first_hit, has, hits, let, strip
 
 BLOCK_LINES = 100_000
 
@@ -34,39 +36,79 @@ def split_lines(files: DataFrame, *keep: str) -> DataFrame:
 # --- snippets ---------------------------------------------------------------------------------
 
 
-def extract_errors(
-    files: DataFrame, rule_sets: dict[str, list[tuple[str, str, int]]] | None = None
-) -> DataFrame:
+def _possible(needs: tuple[tuple[str, ...], ...], text: Column) -> Column:
+    """Whether ``text`` holds all fragments of one alternative; true where a rule needs none."""
+    if not needs:
+        return F.lit(True)
+    some = None
+    for fragments in needs:
+        every = None
+        for fragment in fragments:
+            has_it = F.contains(text, F.lit(fragment))
+            every = has_it if every is None else every & has_it
+        some = every if some is None else some | every
+    return some
+
+
+def _worth(rule: R.Rule, text: Column, folded: Column) -> Column:
+    return _possible(rule.needs, folded if rule.ignores_case else text)
+
+
+def _rule_hits(rule: R.Rule, text: Column, folded: Column) -> Column:
+    """All matches of a rule; the pattern runs only on text that can match."""
+    none = F.array().cast("array<string>")
+    return F.when(_worth(rule, text, folded), hits(text, rule.pattern, rule.group)).otherwise(none)
+
+
+def _rule_has(rule: R.Rule, text: Column, folded: Column) -> Column:
+    return _worth(rule, text, folded) & has(text, rule.pattern)
+
+
+def _any_rule(rules: list[R.Rule], text: Column, folded: Column) -> Column:
+    test = F.lit(False)
+    for rule in rules:
+        test = test | _rule_has(rule, text, folded)
+    return test
+
+
+def _issue_rules(strict: bool) -> list[tuple[str, R.Rule]]:
+    return [(severity, R.JVM_ISSUES_STRICT.get(rule.rule_id, rule) if strict else rule) for severity, rule in R.JVM_ISSUES]
+
+
+def _by_framework(name: Column, sets: dict[str, list[R.Rule]], use: Callable[[list[R.Rule]], Column]) -> Column:
+    """``use(rules)`` of the framework's set; an unknown framework has the ``generic`` one."""
+    chosen = F.when(F.lit(False), use(sets["generic"]))
+    for known, rules in sets.items():
+        if known != "generic":
+            chosen = chosen.when(name == known, use(rules))
+    return chosen.otherwise(use(sets["generic"]))
+
+
+def extract_errors(files: DataFrame, rule_sets: dict[str, list[R.Rule]] | None = None) -> DataFrame:
     """Every match of every rule of the file's framework, in rule order and then position.
 
     An unknown framework gets the ``generic`` rules. Snippets are capped before they leave the scan.
     """
-    sets = rule_sets or R.EXTRACTION_RULES
+    content, folded = F.col("content"), F.col("folded")
 
-    def found(rules: list[tuple[str, str, int]]) -> Column:
+    def found(rules: list[R.Rule]) -> Column:
         return F.array(
             *[
                 F.struct(
                     F.lit(no).alias("rule_no"),
-                    F.lit(rule_id).alias("rule_id"),
+                    F.lit(rule.rule_id).alias("rule_id"),
                     F.transform(
-                        hits(F.col("content"), pattern, group),
-                        lambda m: F.left(strip(m), F.lit(R.SNIPPET_CHARS)),
+                        _rule_hits(rule, content, folded), lambda m: F.left(strip(m), F.lit(R.SNIPPET_CHARS))
                     ).alias("snippets"),
                 )
-                for no, (rule_id, pattern, group) in enumerate(rules, 1)
+                for no, rule in enumerate(rules, 1)
             ]
         )
 
-    name = F.lower("framework")
-    by_set: Column | None = None
-    for known, rules in sets.items():
-        if known != "generic":
-            by_set = F.when(name == known, found(rules)) if by_set is None else by_set.when(name == known, found(rules))
-    all_rules = found(sets["generic"]) if by_set is None else by_set.otherwise(found(sets["generic"]))
-    return (
-        files.select("path", name.alias("framework"), F.explode(all_rules).alias("r"))
-        .select("path", "framework", "r.rule_no", "r.rule_id", F.posexplode("r.snippets").alias("pos", "snippet"))
+    read = files.select("path", F.lower("framework").alias("framework"), "content", F.lower("content").alias("folded"))
+    all_rules = _by_framework(F.col("framework"), rule_sets or R.EXTRACTION_RULES, found)
+    return read.select("path", "framework", F.explode(all_rules).alias("r")).select(
+        "path", "framework", "r.rule_no", "r.rule_id", F.posexplode("r.snippets").alias("pos", "snippet")
     )
 
 
@@ -88,25 +130,15 @@ def dedup_snippets(snippets: DataFrame) -> DataFrame:
     )
 
 
-def _any_of(patterns: list[str]) -> str:
-    """One pattern that matches where any of ``patterns`` does, so a text is read once and up to its first hit."""
-    return "|".join(f"(?:{p})" for p in patterns)
-
-
 def files_without_errors(files: DataFrame) -> DataFrame:
     """Files for which no rule of their framework matches. A filter; no join is needed."""
+    name = F.lower("framework")
 
-    def any_rule(rules: list[tuple[str, str, int]]) -> Column:
-        return has(F.col("content"), _any_of([pattern for _, pattern, _ in rules]))
+    def no_error(text: Column, folded: Column) -> Column:
+        return ~_by_framework(name, R.EXTRACTION_RULES, lambda rules: _any_rule(rules, text, folded))
 
-    name = F.lower("framework")
-    hit = F.when(F.lit(False), F.lit(False))
-    for known, rules in R.EXTRACTION_RULES.items():
-        if known != "generic":
-            hit = hit.when(name == known, any_rule(rules))
-    return files.filter(~hit.otherwise(any_rule(R.EXTRACTION_RULES["generic"]))).select(
-        "path", name.alias("framework")
-    )
+    clean = let(F.col("content"), lambda text: let(F.lower(text), lambda folded: no_error(text, folded)))
+    return files.filter(clean).select("path", name.alias("framework"))
 
 
 # --- JVM exception chains ---------------------------------------------------------------------
@@ -123,7 +155,8 @@ def _unique_chains(chains: DataFrame) -> DataFrame:
 
 def exception_chains(files: DataFrame, tail_chars: int | None = R.JVM_TAIL_CHARS) -> DataFrame:
     """Distinct exception chains (head, frames, ``Caused by`` parts) of each file."""
-    found = hits(tail(F.col("content"), tail_chars), R.JVM_CHAIN)
+    rule = R.Rule("chain", R.JVM_CHAIN, needs=R.JVM_CHAIN_NEEDS)
+    found = let(tail(F.col("content"), tail_chars), lambda text: _rule_hits(rule, text, text))
     capped = F.transform(found, lambda m: F.left(strip(m), F.lit(R.CHAIN_CHARS)))
     raw = files.select("path", F.posexplode(capped).alias("pos", "chain"))
     return _unique_chains(raw.withColumn("pos", F.col("pos").cast("bigint")))
@@ -157,7 +190,7 @@ def exception_chains_from_lines(lines: DataFrame, block_lines: int = BLOCK_LINES
         has(text, r"^\s+at [^\n]").alias("frame"),
         has(text, r"^at [^\n]").alias("bare_at"),
         F.startswith(text, F.lit("Caused by:")).alias("caused"),
-        first_hit(text, R.JVM_HEAD, 0).alias("head"),
+        F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
         F.left(text, F.lit(R.CHAIN_CHARS)).alias("text"),
     )
     in_block = Window.partitionBy("path", "block").orderBy("line_no")
@@ -290,56 +323,62 @@ def issue_findings(files: DataFrame, strict: bool = False, tail_chars: int | Non
     Stage failures show the distinct texts of the first matches; the others show the first match.
     ``strict`` keeps the narrow wording of stage failures.
     """
-    read = files.select("path", tail(F.col("content"), tail_chars).alias("content"))
+    text, folded = F.col("text"), F.col("folded")
+    read = files.select("path", tail(F.col("content"), tail_chars).alias("text"))
     found, matches = [], []
-    for rule_id, severity, pattern, narrow in R.JVM_ISSUES:
-        matches.append(hits(F.col("content"), narrow if strict else pattern).alias(rule_id))
-        if rule_id == "stage_failure":
-            shown = F.array_join(F.array_distinct(F.slice(rule_id, 1, R.STAGE_MATCHES)), "\n")
+    for severity, rule in _issue_rules(strict):
+        matches.append(_rule_hits(rule, text, folded).alias(rule.rule_id))
+        if rule.rule_id == "stage_failure":
+            shown = F.array_join(F.array_distinct(F.slice(rule.rule_id, 1, R.STAGE_MATCHES)), "\n")
         else:
-            shown = F.get(rule_id, F.lit(0))
-        found.append(_finding(rule_id, severity, F.size(rule_id), shown))
-    return read.select("path", *matches).select("path", F.explode(F.array_compact(F.array(*found))).alias("f")).select(
-        F.lit("log").alias("family"), F.col("path").alias("artifact"), "f.rule_id", "f.severity", "f.n", "f.evidence"
+            shown = F.get(rule.rule_id, F.lit(0))
+        found.append(_finding(rule.rule_id, severity, F.size(rule.rule_id), shown))
+    return (
+        read.select("path", "text", F.lower("text").alias("folded"))
+        .select("path", *matches)
+        .select("path", F.explode(F.array_compact(F.array(*found))).alias("f"))
+        .select(
+            F.lit("log").alias("family"), F.col("path").alias("artifact"), "f.rule_id", "f.severity", "f.n", "f.evidence"
+        )
     )
 
 
 def line_hits(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per line and rule it matches; ``signature`` is the match cut to 80 characters."""
-    text = F.col("text")
-    found = [
-        F.when(
-            has(text, narrow if strict else pattern),
+    """One row per line and rule it matches; ``signature`` is the match cut to 80 characters.
+
+    Columns other than ``text``, such as an event time, pass through.
+    """
+    text, folded = F.col("text"), F.col("folded")
+    keep = [c for c in lines.columns if c != "text"]
+
+    def hit(rule: R.Rule, severity: str) -> Column:
+        return F.when(
+            _rule_has(rule, text, folded),
             F.struct(
-                F.lit(rule_id).alias("rule_id"),
+                F.lit(rule.rule_id).alias("rule_id"),
                 F.lit(severity).alias("severity"),
-                first_hit(text, narrow if strict else pattern, 0).alias("evidence"),
-            ),
-        )
-        for rule_id, severity, pattern, narrow in R.JVM_ISSUES
-    ]
-    warn = R.WARN_LINE_STRICT if strict else R.WARN_LINE
-    found.append(
-        F.when(
-            has(text, warn),
-            F.struct(
-                F.lit("warn_line").alias("rule_id"), F.lit("WARN").alias("severity"), first_hit(text, warn).alias("evidence")
+                first_hit(text, rule.pattern, rule.group).alias("evidence"),
             ),
         )
+
+    rules = [hit(rule, severity) for severity, rule in _issue_rules(strict)] + [hit(_warn_rule(strict), "WARN")]
+    return (
+        lines.select(*keep, "text", F.lower("text").alias("folded"))
+        .select(*keep, F.explode(F.array_compact(F.array(*rules))).alias("f"))
+        .select(*keep, "f.rule_id", "f.severity", "f.evidence", F.left("f.evidence", F.lit(R.WARN_KEY_CHARS)).alias("signature"))
     )
-    # Columns other than the rules', such as an event time, pass through.
-    keep = [c for c in lines.columns if c != "text"]
-    return lines.select(*keep, F.explode(F.array_compact(F.array(*found))).alias("f")).select(
-        *keep, "f.rule_id", "f.severity", "f.evidence", F.left("f.evidence", F.lit(R.WARN_KEY_CHARS)).alias("signature")
-    )
+
+
+def _warn_rule(strict: bool) -> R.Rule:
+    return R.Rule("warn_line", R.WARN_LINE_STRICT if strict else R.WARN_LINE, 1, R.WARN_LINE_NEEDS)
 
 
 def warn_lines(lines: DataFrame, strict: bool = False, first: int | None = R.WARNS_SHOWN) -> DataFrame:
     """Level lines unique by their first 80 characters, and the first ``first`` of each path."""
-    pattern = R.WARN_LINE_STRICT if strict else R.WARN_LINE
+    rule, text = _warn_rule(strict), F.col("text")
     unique = (
-        lines.filter(has(F.col("text"), pattern))
-        .select("path", "line_no", first_hit(F.col("text"), pattern).alias("line"))
+        lines.filter(_rule_has(rule, text, text))
+        .select("path", "line_no", first_hit(text, rule.pattern, rule.group).alias("line"))
         .groupBy("path", F.left("line", F.lit(R.WARN_KEY_CHARS)).alias("line_key"))
         .agg(F.min(F.struct("line_no", "line")).alias("f"), F.count("*").alias("n_repeats"))
         .select("path", "line_key", F.col("f.line_no").alias("line_no"), F.col("f.line").alias("line"), "n_repeats")
@@ -349,11 +388,16 @@ def warn_lines(lines: DataFrame, strict: bool = False, first: int | None = R.WAR
 
 def clean_files(files: DataFrame, strict: bool = False, tail_chars: int | None = R.JVM_TAIL_CHARS) -> DataFrame:
     """Files with neither an issue, a level line nor an exception chain. A filter; no join is needed."""
-    content = tail(F.col("content"), tail_chars)
-    warn = "(?m)" + (R.WARN_LINE_STRICT if strict else R.WARN_LINE)
-    issues = [narrow if strict else pattern for _, _, pattern, narrow in R.JVM_ISSUES]
-    dirty = has(content, _any_of([R.JVM_HEAD, warn, *issues]))
-    return files.filter(~dirty).select("path")
+    warn = _warn_rule(strict)
+    rules = [rule for _, rule in _issue_rules(strict)] + [
+        R.Rule("chain", R.JVM_HEAD, needs=R.JVM_CHAIN_NEEDS),
+        warn._replace(pattern="(?m)" + warn.pattern),
+    ]
+    clean = let(
+        tail(F.col("content"), tail_chars),
+        lambda text: let(F.lower(text), lambda folded: ~_any_rule(rules, text, folded)),
+    )
+    return files.filter(clean).select("path")
 
 
 def rollup_by_rule(line_findings: DataFrame) -> DataFrame:
@@ -375,11 +419,11 @@ def top_signatures(line_findings: DataFrame, k: int) -> DataFrame:
 
 def tail_stats(files: DataFrame, tail_chars: int = R.JVM_TAIL_CHARS) -> DataFrame:
     """The part of each file that an analysis of its recent tail reads."""
-    text = tail(F.col("content"), tail_chars)
-    return files.select(
+    read = files.select("path", F.length("content").cast("bigint").alias("n_chars"), tail(F.col("content"), tail_chars).alias("tail"))
+    return read.select(
         "path",
-        F.length("content").cast("bigint").alias("n_chars"),
-        F.length(text).cast("bigint").alias("n_tail_chars"),
-        count_hits(text, r"\n").alias("n_tail_breaks"),
-        F.md5(text).alias("tail_md5"),
+        "n_chars",
+        F.length("tail").cast("bigint").alias("n_tail_chars"),
+        count_hits(F.col("tail"), r"\n").alias("n_tail_breaks"),
+        F.md5("tail").alias("tail_md5"),
     )

@@ -67,45 +67,40 @@ def _named(items: Column) -> Column:
     return F.array_compact(F.transform(kept, name))
 
 
-def model_columns(models: DataFrame) -> DataFrame:
-    """``(model, column, ordinal)`` of ``models(name, sql)``: the names a model's final SELECT returns.
+def model_facts(models: DataFrame) -> DataFrame:
+    """``(model, columns, refs, hints)``: all that inference reads from a model's SQL, in one pass over the text.
 
-    ``*`` takes the columns of the last CTE. Each step is its own projection, so that a text used twice is
-    computed once.
+    ``columns`` are the names the final SELECT returns, where ``*`` takes the columns of the last CTE. ``refs`` are the
+    models it refers to. ``hints`` are (column, value) pairs from ``WHEN col = 'v'`` and then ``col IN ('a', …)``, in order of
+    first use; ``NOT IN`` lists are no hint. Each step is its own projection, so that a text used twice is computed once.
     """
+    refs = F.array_distinct(hits(F.col("sql"), r"\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}", 1))
     masked = mask_literals(strip_comments(strip_templates(F.col("sql"))))
-    parts = models.select(F.col("name").alias("model"), F.split(masked, ";").alias("parts"))
-    last = parts.select("model", F.try_element_at(F.filter("parts", lambda s: strip(s) != ""), F.lit(-1)).alias("last"))
+    parts = models.select(
+        F.col("name").alias("model"), refs.alias("refs"), _hint_pairs(F.col("sql")).alias("hints"), F.split(masked, ";").alias("parts")
+    )
+    last = parts.select(
+        "model", "refs", "hints", F.try_element_at(F.filter("parts", lambda s: strip(s) != ""), F.lit(-1)).alias("last")
+    )
     folded = last.select(
         "model",
+        "refs",
+        "hints",
         _innermost(F.col("last"), r"\([^()]*\)", _MARK).alias("top"),
         # CTE bodies keep their brackets here while everything inside them is folded.
         _innermost(F.col("last"), r"(?i)(\bAS\s*\([^()]*\))|\([^()]*\)", "$1" + _MARK).alias("bodies"),
     )
     body = F.try_element_at(hits(F.col("bodies"), r"(?i)\bAS\s*\(([^()]*)\)", 1), F.lit(-1))
-    lists = folded.select("model", _select_list(F.col("top")).alias("items"), body.alias("body"))
+    lists = folded.select("model", "refs", "hints", _select_list(F.col("top")).alias("items"), body.alias("body"))
     inner = F.when(F.array_contains("items", "*"), _select_list(F.col("body")))
-    named = lists.select("model", "items", inner.alias("inner")).select(
-        "model", _named(F.col("items")).alias("own"), _named(F.col("inner")).alias("inner")
+    named = lists.select("model", "refs", "hints", "items", inner.alias("inner")).select(
+        "model", "refs", "hints", _named(F.col("items")).alias("own"), _named(F.col("inner")).alias("inner")
     )
     columns = F.concat("own", F.coalesce("inner", F.array().cast("array<string>")))
-    return named.select("model", F.posexplode(columns).alias("ordinal", "column")).select(
-        "model", "column", (F.col("ordinal") + 1).cast("bigint").alias("ordinal")
-    )
-
-
-def model_refs(models: DataFrame) -> DataFrame:
-    """``(model, name)`` of the models each model refers to."""
-    refs = hits(F.col("sql"), r"\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}", 1)
-    return models.select(F.col("name").alias("model"), F.explode(F.array_distinct(refs)).alias("name"))
-
+    return named.select("model", columns.alias("columns"), "refs", "hints")
 
-def accepted_value_hints(models: DataFrame) -> DataFrame:
-    """``(model, column, accepted)`` from ``WHEN col = 'v'`` and then ``col IN ('a', …)``, in order of first use.
 
-    ``NOT IN`` lists are no hint. Everything happens within a row: no shuffle.
-    """
-    sql = F.col("sql")
+def _hint_pairs(sql: Column) -> Column:
     pair = lambda c, v: F.struct(F.lower(c).alias("column"), v.alias("value"))
     when_rx = r"(?i)WHEN\s+(\w+)\s*=\s*'([^']+)'"
     in_rx = r"(?i)(\w+)\s+IN\s*\(([^)]+)\)"
@@ -117,13 +112,39 @@ def accepted_value_hints(models: DataFrame) -> DataFrame:
             lambda c, values: F.transform(hits(values, r"'([^']+)'", 1), lambda v: pair(c, v)),
         )
     )
-    pairs = F.array_distinct(F.concat(equal, F.filter(lists, lambda p: p["column"] != "not")))
-    return (
-        models.select(F.col("name").alias("model"), pairs.alias("pairs"))
-        .select("model", "pairs", F.explode(F.array_distinct(F.transform("pairs", lambda p: p["column"]))).alias("column"))
-        .select(
-            "model",
-            "column",
-            F.transform(F.filter("pairs", lambda p: p["column"] == F.col("column")), lambda p: p["value"]).alias("accepted"),
-        )
+    return F.array_distinct(F.concat(equal, F.filter(lists, lambda p: p["column"] != "not")))
+
+
+def columns_of(facts: DataFrame) -> DataFrame:
+    """``(model, column, ordinal)``."""
+    return facts.select("model", F.posexplode("columns").alias("ordinal", "column")).select(
+        "model", "column", (F.col("ordinal") + 1).cast("bigint").alias("ordinal")
     )
+
+
+def refs_of(facts: DataFrame) -> DataFrame:
+    """``(model, name)`` of the models each model refers to."""
+    return facts.select("model", F.explode("refs").alias("name"))
+
+
+def hints_of(facts: DataFrame) -> DataFrame:
+    """``(model, column, accepted)``: accepted values per column. No shuffle: a model is one row."""
+    names = F.array_distinct(F.transform("hints", lambda p: p["column"]))
+    return facts.select("model", "hints", F.explode(names).alias("column")).select(
+        "model",
+        "column",
+        F.transform(F.filter("hints", lambda p: p["column"] == F.col("column")), lambda p: p["value"]).alias("accepted"),
+    )
+
+
+def model_columns(models: DataFrame) -> DataFrame:
+    """``(model, column, ordinal)`` of ``models(name, sql)``."""
+    return columns_of(model_facts(models))
+
+
+def model_refs(models: DataFrame) -> DataFrame:
+    return refs_of(model_facts(models))
+
+
+def accepted_value_hints(models: DataFrame) -> DataFrame:
+    return hints_of(model_facts(models))

@@ -41,7 +41,9 @@ class Corpus(NamedTuple):
     columns: dict[str, str]
 
     def load(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read(spark, sf_dir, self.table).selectExpr(*[f"{e} AS `{n}`" for n, e in self.columns.items()])
+        """A generator of one row: operators then see plain columns, and no text is built more than once."""
+        fields = ", ".join(f"{e} AS `{n}`" for n, e in self.columns.items())
+        return read(spark, sf_dir, self.table).selectExpr(f"inline(array(struct({fields})))")
 
     @property
     def sql(self) -> str:
@@ -551,7 +553,7 @@ FLOW_FILES = Corpus(
 
 DOC_FILES = Corpus("documents", {"path": cat(lit("doc_"), "doc_id"), "content": "text"})
 # Long texts, so that both reading limits apply.
-LONG_FILES = Corpus("documents", {"path": cat(lit("doc_"), "doc_id"), "content": "repeat(text, 20)"})
+LONG_FILES = Corpus("documents", {"path": cat(lit("doc_"), "doc_id"), "content": "repeat(text, 8)"})
 FIXES = Corpus(
     "labels",
     {

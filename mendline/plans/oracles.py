@@ -114,11 +114,11 @@ def _set_test(name: str) -> str:
 
 _SNIPPETS = union(
     [
-        f"SELECT path, framework, {no} AS rule_no, '{rule}' AS rule_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, "
+        f"SELECT path, framework, {no} AS rule_no, '{rule.rule_id}' AS rule_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, "
         f"left({strip('unnest(m)')}, {R.SNIPPET_CHARS}) AS snippet "
-        f"FROM (SELECT path, framework, {found('content', pattern, group)} AS m FROM {_FILES} WHERE {_set_test(name)})"
+        f"FROM (SELECT path, framework, {found('content', rule.pattern, rule.group)} AS m FROM {_FILES} WHERE {_set_test(name)})"
         for name, rules in R.EXTRACTION_RULES.items()
-        for no, (rule, pattern, group) in enumerate(rules, 1)
+        for no, rule in enumerate(rules, 1)
     ]
 )
 SQL["log_snippets"] = _SNIPPETS
@@ -163,12 +163,13 @@ FROM c GROUP BY path, left(chain, {R.CHAIN_KEY_CHARS})"""
 
 def _issue_sql(strict: bool = False) -> str:
     parts = []
-    for rule, severity, pattern, narrow in R.JVM_ISSUES:
+    for severity, rule in R.JVM_ISSUES:
+        name, pattern = rule.rule_id, (R.JVM_ISSUES_STRICT.get(rule.rule_id, rule) if strict else rule).pattern
         shown = "m[1]"
-        if rule == "stage_failure":
+        if name == "stage_failure":
             shown = f"array_to_string(list_filter(m[1:{R.STAGE_MATCHES}], lambda x, i: list_position(m, x) = i), chr(10))"
-        source = f"(SELECT path, {found(f'right(content, {R.JVM_TAIL_CHARS})', narrow if strict else pattern)} AS m FROM {C.LOG_FILES.sql})"
-        parts.append(findings(source, "log", "path", [(rule, severity, "len(m) > 0", "len(m)", shown)]))
+        source = f"(SELECT path, {found(f'right(content, {R.JVM_TAIL_CHARS})', pattern)} AS m FROM {C.LOG_FILES.sql})"
+        parts.append(findings(source, "log", "path", [(name, severity, "len(m) > 0", "len(m)", shown)]))
     return union(parts)
 
 
@@ -185,15 +186,16 @@ SQL["log_tail_window"] = f"""
 SELECT path, length(content) AS n_chars, length(t) AS n_tail_chars, length(t) - length(replace(t, chr(10), '')) AS n_tail_breaks, md5(t) AS tail_md5
 FROM (SELECT path, content, right(content, {R.JVM_TAIL_CHARS}) AS t FROM {C.LONG_FILES.sql})"""
 _DIRTY = " OR ".join(
-    [has("content", R.JVM_HEAD), has("content", "(?m)" + R.WARN_LINE)] + [has("content", p) for _, _, p, _ in R.JVM_ISSUES]
+    [has("content", R.JVM_HEAD), has("content", "(?m)" + R.WARN_LINE)] + [has("content", rule.pattern) for _, rule in R.JVM_ISSUES]
 )
 SQL["log_clean_files"] = (
     f"SELECT path FROM (SELECT path, right(content, {R.JVM_TAIL_CHARS}) AS content FROM {C.LOG_FILES.sql}) WHERE NOT ({_DIRTY})"
 )
 _HITS = union(
     [
-        f"SELECT path, line_no, '{rule}' AS rule_id, '{severity}' AS severity, regexp_extract(text, {rx(p)}) AS evidence FROM l WHERE {has('text', p)}"
-        for rule, severity, p, _ in R.JVM_ISSUES
+        f"SELECT path, line_no, '{rule.rule_id}' AS rule_id, '{severity}' AS severity, regexp_extract(text, {rx(rule.pattern)}) AS evidence "
+        f"FROM l WHERE {has('text', rule.pattern)}"
+        for severity, rule in R.JVM_ISSUES
     ]
     + [
         f"SELECT path, line_no, 'warn_line', 'WARN', regexp_extract(text, {rx(R.WARN_LINE)}, 1) FROM l WHERE {has('text', R.WARN_LINE)}"

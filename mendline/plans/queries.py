@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendline.functions.scale import cut
 from mendline.functions.text import strip
 from mendline.operators import (
     artifacts,
@@ -255,34 +256,38 @@ def accepted_value_hints(spark, sf):
     return found.select("model", F.col("column").alias("column_name"), F.array_join("accepted", "|").alias("accepted"))
 
 
-def _inferred(spark, sf):
-    models = C.MODELS.load(spark, sf)
+def _facts(spark, sf):
+    """Facts are narrow and several steps use them, so the wide SQL text is read once and they are written."""
+    return cut(modelsql.model_facts(C.MODELS.load(spark, sf)))
+
+
+def _inferred(facts):
     return datatests.infer_tests(
-        modelsql.model_columns(models).drop("ordinal"),
-        models.select("name"),
-        modelsql.model_refs(models),
-        modelsql.accepted_value_hints(models),
+        cut(modelsql.columns_of(facts).drop("ordinal")),
+        facts.select(F.col("model").alias("name")),
+        modelsql.refs_of(facts),
+        modelsql.hints_of(facts),
     )
 
 
 @query
 def test_inference(spark, sf):
-    return _inferred(spark, sf).select(
+    return _inferred(_facts(spark, sf)).select(
         "model", F.col("column").alias("column_name"), "test", "ref_model", "ref_field", F.array_join("accepted", "|").alias("accepted")
     )
 
 
 @query
 def fk_inference(spark, sf):
-    models = C.MODELS.load(spark, sf)
-    found = datatests.infer_references(modelsql.model_columns(models).drop("ordinal"), models.select("name"))
+    facts = _facts(spark, sf)
+    found = datatests.infer_references(modelsql.columns_of(facts), facts.select(F.col("model").alias("name")))
     return found.select("model", F.col("column").alias("column_name"), "ref_model", "ref_field")
 
 
 @query
 def contract_text(spark, sf):
-    models = C.MODELS.load(spark, sf)
-    text = sinks.contract_text(modelsql.model_columns(models), _inferred(spark, sf))
+    facts = _facts(spark, sf)
+    text = sinks.contract_text(modelsql.columns_of(facts), _inferred(facts))
     return text.select("model", "ordinal", F.col("value").alias("yaml"))
 
 

@@ -10,7 +10,6 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import salted_join
 from mendline.sources.files import read_whole
 
 COLUMNS = "path STRING, entry INT, model STRING, column STRING, data_type STRING, tests ARRAY<STRING>"
@@ -56,9 +55,8 @@ def parse_contracts(files: DataFrame) -> DataFrame:
     """Contract rows of ``files(path, content)``; of several entries for a model the last by path and place wins."""
     rows = files.select("path", "content").mapInPandas(_parse, COLUMNS)
     last = rows.groupBy("model").agg(F.max(F.struct("path", "entry")).alias("l")).select("model", "l.path", "l.entry")
-    return salted_join(rows, last, ["model", "path", "entry"], F.col("column"), "left_semi").select(
-        "model", "column", "data_type", "tests"
-    )
+    # One key is one entry of one file, which was read as one row.
+    return rows.join(last, ["model", "path", "entry"], "left_semi").select("model", "column", "data_type", "tests")
 
 
 def read_contracts(spark: SparkSession, project: str, schema_path: str | None = None) -> DataFrame:
