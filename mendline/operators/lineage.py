@@ -144,10 +144,12 @@ def reach(
     layers.append(frontier)
     while size > 0 and depth != max_depth:
         depth += 1
-        seen = reduce(DataFrame.unionByName, layers).select("root", "node")
         found = _advance(frontier.select("root", "node"), size, steps, hubs, F.col("root"))
-        found = found.select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        frontier, size = cut_counted(found.withColumn("depth", F.lit(depth)))
+        # One hash aggregation both removes repeats and drops the pairs that have a smaller depth.
+        known = reduce(DataFrame.unionByName, layers).select("root", "node", F.lit(False).alias("new"))
+        both = found.select("root", F.col("next").alias("node"), F.lit(True).alias("new")).unionByName(known)
+        fresh = both.groupBy("root", "node").agg(F.min("new").alias("new")).filter("new")
+        frontier, size = cut_counted(fresh.select("root", "node", F.lit(depth).alias("depth")))
         layers.append(frontier)
     pairs = reduce(DataFrame.unionByName, layers)
     return pairs.limit(0) if max_depth == 0 else pairs

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendline.functions.text import count_hits, first_hit, has, hits, replace_all, strip
+from mendline.functions.text import first_hit, hits, replace_all, strip
 
 _BLOCK = r"(?s)\{\{.*?\}\}"
-_MARK = "\x01"  # stands for a bracketed part
+# Stand for the brackets of a part that is done; what was between them is kept only for CTE bodies.
+_OPEN, _CLOSE = "\x02", "\x03"
 
 
 def strip_templates(sql: Column) -> Column:
@@ -40,10 +41,14 @@ def mask_literals(sql: Column) -> Column:
     return replace_all(sql, r"'[^']*'", "''")
 
 
-def _innermost(text: Column, pattern: str, replacement: str) -> Column:
-    """Replace bracketed parts from the inside out; one round per opening bracket covers any depth."""
-    rounds = F.sequence(F.lit(0), count_hits(text, r"\("))
-    return F.aggregate(rounds, text, lambda acc, _: replace_all(acc, pattern, replacement))
+def _inside_out(text: Column, bracket: str, pattern: str, replacement: str) -> Column:
+    """Replace bracketed parts until none is left. The opening brackets bound the rounds, so any depth is covered."""
+    rounds = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit(bracket), F.lit(""))))
+    return F.aggregate(
+        rounds,
+        text,
+        lambda done, _: F.when(F.contains(done, F.lit(bracket)), replace_all(done, pattern, replacement)).otherwise(done),
+    )
 
 
 def _select_list(top: Column) -> Column:
@@ -61,7 +66,7 @@ def _named(items: Column) -> Column:
         # An explicit alias, a plain column, or an alias without AS.
         alias = first_hit(item, r"(?i)\bAS\s+[\"`]?(\w+)[\"`]?$")
         plain = first_hit(item, r"^(?:[\"`]?\w+[\"`]?\.)*[\"`]?([A-Za-z_]\w*)[\"`]?$")
-        bare = first_hit(item, r"(?:[\w\"`']|\x01)\s+([A-Za-z_]\w*)$")
+        bare = first_hit(item, r"[\w\"`'\x03]\s+([A-Za-z_]\w*)$")
         return F.coalesce(alias, plain, F.when(F.lower(bare) != "end", bare))
 
     return F.array_compact(F.transform(kept, name))
@@ -82,16 +87,12 @@ def model_facts(models: DataFrame) -> DataFrame:
     last = parts.select(
         "model", "refs", "hints", F.try_element_at(F.filter("parts", lambda s: strip(s) != ""), F.lit(-1)).alias("last")
     )
-    folded = last.select(
-        "model",
-        "refs",
-        "hints",
-        _innermost(F.col("last"), r"\([^()]*\)", _MARK).alias("top"),
-        # CTE bodies keep their brackets here while everything inside them is folded.
-        _innermost(F.col("last"), r"(?i)(\bAS\s*\([^()]*\))|\([^()]*\)", "$1" + _MARK).alias("bodies"),
-    )
-    body = F.try_element_at(hits(F.col("bodies"), r"(?i)\bAS\s*\(([^()]*)\)", 1), F.lit(-1))
-    lists = folded.select("model", "refs", "hints", _select_list(F.col("top")).alias("items"), body.alias("body"))
+    # Brackets are worked off from the inside: CTE bodies stay between marks, all else in brackets goes.
+    bodies = _inside_out(F.col("last"), "(", r"(?i)(\bAS\s*)\(([^()]*)\)|\([^()]*\)", f"$1{_OPEN}$2{_CLOSE}")
+    marked = last.select("model", "refs", "hints", bodies.alias("bodies"))
+    top = _inside_out(F.col("bodies"), _OPEN, r"\x02[^\x02\x03]*\x03", _CLOSE)
+    body = F.try_element_at(hits(F.col("bodies"), r"(?i)\bAS\s*\x02((?:[^\x02\x03]|\x02\x03)*)\x03", 1), F.lit(-1))
+    lists = marked.select("model", "refs", "hints", _select_list(top).alias("items"), body.alias("body"))
     inner = F.when(F.array_contains("items", "*"), _select_list(F.col("body")))
     named = lists.select("model", "refs", "hints", "items", inner.alias("inner")).select(
         "model", "refs", "hints", _named(F.col("items")).alias("own"), _named(F.col("inner")).alias("inner")
@@ -117,14 +118,16 @@ def _hint_pairs(sql: Column) -> Column:
 
 def columns_of(facts: DataFrame) -> DataFrame:
     """``(model, column, ordinal)``."""
-    return facts.select("model", F.posexplode("columns").alias("ordinal", "column")).select(
+    # An expression, not the bare column: Spark would test a bare column for emptiness ahead of everything that builds it.
+    names = F.array_compact("columns")
+    return facts.select("model", F.posexplode(names).alias("ordinal", "column")).select(
         "model", "column", (F.col("ordinal") + 1).cast("bigint").alias("ordinal")
     )
 
 
 def refs_of(facts: DataFrame) -> DataFrame:
     """``(model, name)`` of the models each model refers to."""
-    return facts.select("model", F.explode("refs").alias("name"))
+    return facts.select("model", F.explode(F.array_compact("refs")).alias("name"))
 
 
 def hints_of(facts: DataFrame) -> DataFrame:
