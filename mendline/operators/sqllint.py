@@ -18,20 +18,19 @@ NO_FUNCTIONS = ["IN", "AND", "OR", "NOT", "EXISTS", "SELECT", "ANY", "ALL", "SOM
 
 
 def statements(queries: DataFrame) -> DataFrame:
-    """``(query_id, sql, bare, stmt_no, stmt, kind)``: one row per statement.
+    """``(query_id, sql, bare, masked, stmt_no, stmt, kind)``: one row per statement.
 
-    ``kind`` is SELECT (also with CTEs), UNION for set operations, or the leading keyword.
+    ``bare`` is the query without comments, ``masked`` also without the text of literals. ``kind`` is SELECT (also with CTEs), UNION for set operations, or the leading keyword.
     """
-    bare = strip_comments(F.col("sql"))
-    parts = F.filter(F.split(mask_literals(bare), ";"), lambda s: strip(s) != "")
-    rows = queries.select(
-        "query_id", "sql", bare.alias("bare"), F.posexplode(parts).alias("stmt_no", "stmt")
-    )
+    bare = queries.select("query_id", "sql", strip_comments(F.col("sql")).alias("bare"))
+    masked = bare.select("*", mask_literals(F.col("bare")).alias("masked"))
+    parts = F.filter(F.split("masked", ";"), lambda s: strip(s) != "")
+    rows = masked.select("*", F.posexplode(parts).alias("stmt_no", "stmt"))
     word = F.upper(first_hit(F.col("stmt"), r"^[\s(]*(\w+)"))
     set_op = has(F.col("stmt"), r"(?i)\b(?:UNION|INTERSECT|EXCEPT)\b")
     kind = F.when(word.isin("SELECT", "WITH"), F.when(set_op, "UNION").otherwise("SELECT")).otherwise(word)
     return rows.select(
-        "query_id", "sql", "bare", (F.col("stmt_no") + 1).cast("bigint").alias("stmt_no"), strip(F.col("stmt")).alias("stmt"), kind.alias("kind")
+        "query_id", "sql", "bare", "masked", (F.col("stmt_no") + 1).cast("bigint").alias("stmt_no"), strip(F.col("stmt")).alias("stmt"), kind.alias("kind")
     )
 
 
@@ -53,7 +52,8 @@ def lint(queries: DataFrame, strict: bool = False) -> DataFrame:
     """
     stmt = F.col("stmt")
     select = F.col("kind") == "SELECT"
-    text = F.col("sql") if strict else F.col("bare")
+    text = F.col("sql") if strict else F.col("masked")
+    quoted = F.col("sql") if strict else F.col("bare")
     where = F.regexp_extract(
         stmt, r"(?Udis)\bWHERE\b(.*?)(?:\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bLIMIT\b|\z)", 1
     )
@@ -78,7 +78,7 @@ def lint(queries: DataFrame, strict: bool = False) -> DataFrame:
             one,
         ),
         ("function_in_where", "WARNING", select & (F.size(calls) > 0), one),
-        ("leading_wildcard", "WARNING", has(text, wildcard), one),
+        ("leading_wildcard", "WARNING", has(quoted, wildcard), one),
         ("not_in_subquery", "WARNING", has(text, not_in), one),
         ("cross_join", "WARNING", has(text, cross), one),
     ]

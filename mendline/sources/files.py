@@ -14,10 +14,8 @@ from mendline.functions import rules as R
 
 def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """``(path, content)``, one row per file. A file must fit in one row (2 GB); use ``read_lines`` beyond that."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def log_tail(content: Column, chars: int = R.LOG_TAIL_CHARS, mark: str = R.LOG_TAIL_MARK) -> Column:
@@ -54,10 +52,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     adds the line counts of the splits before it in the same file.
     """
     lines = (
-        spark.read.option("lineSep", "\n")
-        .option("recursiveFileLookup", True)
-        .text(paths)
-        .select(
+        spark.read.text(paths, lineSep="\n", recursiveFileLookup=True).select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("read_order"),
