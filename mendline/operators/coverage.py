@@ -74,8 +74,11 @@ def coverage_summary(models: DataFrame, contracts: DataFrame, model: str | None
     columns = per_model.agg(
         F.coalesce(F.sum("n_columns"), F.lit(0)).alias("n_columns"), F.coalesce(F.sum("n_tested"), F.lit(0)).alias("n_tested")
     )
-    # Two single-row tables meet on a constant key.
-    one = totals.withColumn("k", F.lit(1)).join(columns.withColumn("k", F.lit(1)), "k").drop("k")
+    # Both are single rows with columns of their own, so their union sums to one row.
+    names_of = ["n_models", "n_entries", "n_columns", "n_tested"]
+    one = totals.unionByName(columns, allowMissingColumns=True).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names_of]
+    )
 
     def percent(part: str, whole: str):
         ratio = F.bround(F.col(part) / F.col(whole) * 100, 0).cast("bigint")

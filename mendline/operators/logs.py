@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
+from mendline.functions.scale import cut
 from mendline.functions.text import count_hits, first_hit, has, hits, let, strip
 
 BLOCK_LINES = 100_000
@@ -179,74 +180,77 @@ def exception_chains_from_lines(lines: DataFrame, block_lines: int = BLOCK_LINES
     A line is *hard* when it cannot continue a chain. A chain runs from the first head line at or after
     the last hard line up to the next hard line, so two running maxima decide membership: the last hard
     line and the last head line. They are taken inside blocks of ``block_lines`` lines; one
-    summary row per block carries them to the following blocks. White space at the cap is dropped.
+    summary row per block carries them to the following blocks. The text is read and shuffled once: lines that can
+    be in no chain are dropped right behind it. White space at the cap is dropped.
     """
-    text = F.col("text")
+    text, no = F.col("text"), F.col("line_no")
     kinds = lines.select(
         "path",
         "line_no",
-        F.floor(F.col("line_no") / F.lit(block_lines)).alias("block"),
+        F.floor(no / F.lit(block_lines)).alias("block"),
         has(text, r"^\s*$").alias("blank"),
         has(text, r"^\s+at [^\n]").alias("frame"),
         has(text, r"^at [^\n]").alias("bare_at"),
         F.startswith(text, F.lit("Caused by:")).alias("caused"),
         F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
         F.left(text, F.lit(R.CHAIN_CHARS)).alias("text"),
-    )
-    in_block = Window.partitionBy("path", "block").orderBy("line_no")
-    # The text of a line that is neither head, frame, cause nor blank is never part of a chain.
-    marked = kinds.withColumn("after_blank", F.lag("blank").over(in_block)).withColumn(
-        "text", F.when(F.col("blank") | F.col("frame") | F.col("bare_at") | F.col("caused"), F.col("text"))
-    )
+    ).withColumn("text", F.when(F.col("blank") | F.col("frame") | F.col("bare_at") | F.col("caused"), text))
 
     def hard(after_blank: Column) -> Column:
-        follows = (
-            F.col("blank")
-            | F.col("frame")
-            | (F.col("bare_at") & after_blank)
-            | (F.col("caused") & ~after_blank)
+        return ~(
+            F.col("blank") | F.col("frame") | (F.col("bare_at") & after_blank) | (F.col("caused") & ~after_blank)
         )
-        return ~follows
 
-    # The first line of a block does not see its predecessor; both outcomes are kept for it.
+    in_block = Window.partitionBy("path", "block").orderBy("line_no")
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The first line of a block does not see the line before it; both outcomes are kept for it.
     first = F.col("after_blank").isNull()
-    no = F.col("line_no")
-    summary = marked.groupBy("path", "block").agg(
-        F.max(F.when(~first & hard(F.col("after_blank")), no)).alias("inner_hard"),
-        F.max(F.when(first & hard(F.lit(True)), no)).alias("hard_if_blank"),
-        F.max(F.when(first & hard(F.lit(False)), no)).alias("hard_if_not"),
-        F.max(F.when(F.col("head").isNotNull(), no)).alias("last_head"),
-        F.max_by("blank", "line_no").alias("ends_blank"),
-    )
-    by_block = Window.partitionBy("path").orderBy("block")
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        summary.withColumn("prev_blank", F.coalesce(F.lag("ends_blank").over(by_block), F.lit(False)))
-        .withColumn(
-            "last_hard",
-            F.greatest(
-                "inner_hard",
-                F.when(F.col("prev_blank"), F.col("hard_if_blank")).otherwise(F.col("hard_if_not")),
-            ),
-        )
+    is_hard = ~first & hard(F.col("after_blank"))
+    is_head = F.col("head").isNotNull()
+    running = (
+        kinds.withColumn("after_blank", F.lag("blank").over(in_block))
+        .withColumn("ends_block", F.lead("line_no").over(in_block).isNull())
         .select(
             "path",
             "block",
-            "prev_blank",
-            F.max("last_hard").over(earlier).alias("carry_hard"),
-            F.max("last_head").over(earlier).alias("carry_head"),
+            "line_no",
+            "head",
+            "text",
+            "blank",
+            "ends_block",
+            F.when(first & hard(F.lit(True)), no).alias("hard_if_blank"),
+            F.when(first & hard(F.lit(False)), no).alias("hard_if_not"),
+            F.max(F.when(is_hard, no)).over(so_far).alias("last_hard"),
+            F.max(F.when(is_head, no)).over(so_far).alias("last_head"),
+            (is_hard & ~is_head).alias("outside"),
         )
     )
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_hard = hard(F.coalesce("after_blank", "prev_blank"))
+    # The last line of every block stays, for the maxima it has reached.
+    kept = cut(running.filter(~F.col("outside") | F.col("ends_block")).drop("outside"))
+    summary = kept.groupBy("path", "block").agg(
+        F.max("last_hard").alias("last_hard"),
+        F.max("last_head").alias("last_head"),
+        F.max("hard_if_blank").alias("hard_if_blank"),
+        F.max("hard_if_not").alias("hard_if_not"),
+        F.max(F.when(F.col("ends_block"), F.col("blank"))).alias("ends_blank"),
+    )
+    by_block = Window.partitionBy("path").orderBy("block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    after_blank_block = F.coalesce(F.lag("ends_blank").over(by_block), F.lit(False))
+    carried = summary.withColumn(
+        "first_hard", F.when(after_blank_block, F.col("hard_if_blank")).otherwise(F.col("hard_if_not"))
+    ).select(
+        "path",
+        "block",
+        "first_hard",
+        F.max(F.greatest("last_hard", "first_hard")).over(earlier).alias("carry_hard"),
+        F.max("last_head").over(earlier).alias("carry_head"),
+    )
+    none = F.lit(-1).cast("bigint")
     members = (
-        marked.join(carried, ["path", "block"])
-        .withColumn("seg", F.greatest(F.max(F.when(is_hard, no)).over(so_far), F.col("carry_hard")))
-        .withColumn(
-            "last_head", F.greatest(F.max(F.when(F.col("head").isNotNull(), no)).over(so_far), F.col("carry_head"))
-        )
-        .withColumn("seg", F.coalesce("seg", F.lit(-1).cast("bigint")))
-        .filter(F.col("last_head") >= F.col("seg"))
+        kept.join(carried, ["path", "block"])
+        .withColumn("seg", F.coalesce(F.greatest("last_hard", "first_hard", "carry_hard"), none))
+        .filter(F.greatest("last_head", "carry_head") >= F.col("seg"))
         .select("path", "block", "seg", "line_no", "head", F.coalesce("text", "head").alias("text"))
     )
 
