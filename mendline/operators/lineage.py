@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import cut_counted, heavy_keys, hot_key_join, salted_join
+from mendline.functions.scale import cut, cut_counted, heavy_keys, hot_key_join, salted_join
 
 _REF = r"(?Ud)\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}"
 _SOURCE = r"(?Ud)\{\{\s*source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)\s*\}\}"
@@ -126,6 +126,11 @@ def _advance(frontier: DataFrame, size: int, steps: DataFrame, hubs: list, sprea
     return hot_key_join(frontier, steps, "node", spread, F.col("next"), left_heavy=crowded, right_heavy=hubs)
 
 
+def _compact(layers: list[DataFrame], most: int = 24) -> list[DataFrame]:
+    """Deep graphs make many layers; one table in their place keeps the plans short."""
+    return [cut(reduce(DataFrame.unionByName, layers))] if len(layers) > most else layers
+
+
 def reach(
     edges: DataFrame, roots: DataFrame | None = None, upstream: bool = True, max_depth: int = -1
 ) -> DataFrame:
@@ -150,7 +155,7 @@ def reach(
         both = found.select("root", F.col("next").alias("node"), F.lit(True).alias("new")).unionByName(known)
         fresh = both.groupBy("root", "node").agg(F.min("new").alias("new")).filter("new")
         frontier, size = cut_counted(fresh.select("root", "node", F.lit(depth).alias("depth")))
-        layers.append(frontier)
+        layers = _compact([*layers, frontier])
     pairs = reduce(DataFrame.unionByName, layers)
     return pairs.limit(0) if max_depth == 0 else pairs
 
@@ -264,5 +269,5 @@ def tree(edges: DataFrame, roots: DataFrame, upstream: bool = True, max_depth: i
                 (~F.array_contains("path", F.col("next"))).alias("open"),
             )
         )
-        layers.append(frontier)
+        layers = _compact([*layers, frontier])
     return reduce(DataFrame.unionByName, layers).drop("open")

@@ -19,7 +19,7 @@ from mendline.functions import rules as R
 from mendline.functions.scale import cut
 from mendline.functions.text import count_hits, first_hit, has, hits, let, strip
 
-BLOCK_LINES = 100_000
+BLOCK_LINES = 1_000_000
 
 
 def tail(content: Column, chars: int | None) -> Column:
@@ -154,8 +154,11 @@ def _unique_chains(chains: DataFrame) -> DataFrame:
     )
 
 
-def exception_chains(files: DataFrame, tail_chars: int | None = R.JVM_TAIL_CHARS) -> DataFrame:
-    """Distinct exception chains (head, frames, ``Caused by`` parts) of each file."""
+def exception_chains(files: DataFrame, tail_chars: int | None = None) -> DataFrame:
+    """Distinct exception chains (head, frames, ``Caused by`` parts) of each file.
+
+    ``tail_chars`` (here and below) restricts the analysis to the recent end of a file, ``rules.JVM_TAIL_CHARS`` by custom.
+    """
     rule = R.Rule("chain", R.JVM_CHAIN, needs=R.JVM_CHAIN_NEEDS)
     found = let(tail(F.col("content"), tail_chars), lambda text: _rule_hits(rule, text, text))
     capped = F.transform(found, lambda m: F.left(strip(m), F.lit(R.CHAIN_CHARS)))
@@ -184,13 +187,16 @@ def exception_chains_from_lines(lines: DataFrame, block_lines: int = BLOCK_LINES
     be in no chain are dropped right behind it. White space at the cap is dropped.
     """
     text, no = F.col("text"), F.col("line_no")
+    # Most lines start with a digit, letter or bracket; only the others can be blank or indented.
+    lead = F.left(text, F.lit(1))
+    spaced = (lead <= " ") | (lead >= "\x7f")
     kinds = lines.select(
         "path",
         "line_no",
         F.floor(no / F.lit(block_lines)).alias("block"),
-        has(text, r"^\s*$").alias("blank"),
-        has(text, r"^\s+at [^\n]").alias("frame"),
-        has(text, r"^at [^\n]").alias("bare_at"),
+        (spaced & has(text, r"^\s*$")).alias("blank"),
+        (spaced & has(text, r"^\s+at [^\n]")).alias("frame"),
+        (F.startswith(text, F.lit("at ")) & (F.length(text) > 3)).alias("bare_at"),
         F.startswith(text, F.lit("Caused by:")).alias("caused"),
         F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
         F.left(text, F.lit(R.CHAIN_CHARS)).alias("text"),
@@ -321,7 +327,7 @@ def _finding(rule_id: str, severity: str, n: Column, evidence: Column) -> Column
     )
 
 
-def issue_findings(files: DataFrame, strict: bool = False, tail_chars: int | None = R.JVM_TAIL_CHARS) -> DataFrame:
+def issue_findings(files: DataFrame, strict: bool = False, tail_chars: int | None = None) -> DataFrame:
     """Out-of-memory, shuffle, stage, executor and skew findings with match counts, one row per file and rule.
 
     Stage failures show the distinct texts of the first matches; the others show the first match.
@@ -390,7 +396,7 @@ def warn_lines(lines: DataFrame, strict: bool = False, first: int | None = R.WAR
     return unique if first is None else first_per_path(unique, "line_no", first)
 
 
-def clean_files(files: DataFrame, strict: bool = False, tail_chars: int | None = R.JVM_TAIL_CHARS) -> DataFrame:
+def clean_files(files: DataFrame, strict: bool = False, tail_chars: int | None = None) -> DataFrame:
     """Files with neither an issue, a level line nor an exception chain. A filter; no join is needed."""
     warn = _warn_rule(strict)
     rules = [rule for _, rule in _issue_rules(strict)] + [

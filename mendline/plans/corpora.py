@@ -159,6 +159,12 @@ LOG_FILES = Corpus(
     },
 )
 
+# Long logs with their errors at the start, so that a reading of the recent end misses some.
+LONG_LOGS = Corpus(
+    "documents",
+    {"path": cat(lit("logs/"), "doc_id", lit(".log")), "content": cat(_HEAD, NL, lit("Stage 4 was failed"), NL, "repeat(text, 8)")},
+)
+
 # --- log lines, several per event -------------------------------------------------------------
 
 _E = "event_id % 9"

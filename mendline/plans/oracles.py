@@ -138,7 +138,7 @@ SELECT path, pos, chain, chain_key, n_repeats FROM (
     count(*) OVER (PARTITION BY path, chain_key) AS n_repeats
   FROM (SELECT path, pos, chain, left(chain, {R.CHAIN_KEY_CHARS}) AS chain_key FROM (
     SELECT path, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos, left({strip('unnest(m)')}, {R.CHAIN_CHARS}) AS chain
-    FROM (SELECT path, {found(f'right(content, {R.JVM_TAIL_CHARS})', R.JVM_CHAIN)} AS m FROM {C.LOG_FILES.sql}))))
+    FROM (SELECT path, {found('content', R.JVM_CHAIN)} AS m FROM {C.LOG_FILES.sql}))))
 WHERE rn = 1"""
 SQL["log_exception_chains"] = _CHAINS
 SQL["log_chains_shown"] = f"""
@@ -161,19 +161,20 @@ SELECT path, min(pos) AS pos, arg_min(chain, pos) AS chain, left(chain, {R.CHAIN
 FROM c GROUP BY path, left(chain, {R.CHAIN_KEY_CHARS})"""
 
 
-def _issue_sql(strict: bool = False) -> str:
+def _issue_sql(strict: bool = False, files: str = C.LOG_FILES.sql, text: str = "content") -> str:
     parts = []
     for severity, rule in R.JVM_ISSUES:
         name, pattern = rule.rule_id, (R.JVM_ISSUES_STRICT.get(rule.rule_id, rule) if strict else rule).pattern
         shown = "m[1]"
         if name == "stage_failure":
             shown = f"array_to_string(list_filter(m[1:{R.STAGE_MATCHES}], lambda x, i: list_position(m, x) = i), chr(10))"
-        source = f"(SELECT path, {found(f'right(content, {R.JVM_TAIL_CHARS})', pattern)} AS m FROM {C.LOG_FILES.sql})"
+        source = f"(SELECT path, {found(text, pattern)} AS m FROM {files})"
         parts.append(findings(source, "log", "path", [(name, severity, "len(m) > 0", "len(m)", shown)]))
     return union(parts)
 
 
 SQL["log_issue_flags"] = _issue_sql()
+SQL["log_tail_issues"] = _issue_sql(files=C.LONG_LOGS.sql, text=f"right(content, {R.JVM_TAIL_CHARS})")
 SQL["log_stage_failures"] = f"SELECT artifact, n, evidence FROM ({_issue_sql(True)}) WHERE rule_id = 'stage_failure'"
 SQL["log_warn_lines"] = f"""
 SELECT path, line_key, line_no, line, n_repeats, rank, n_total FROM (
@@ -189,7 +190,7 @@ _DIRTY = " OR ".join(
     [has("content", R.JVM_HEAD), has("content", "(?m)" + R.WARN_LINE)] + [has("content", rule.pattern) for _, rule in R.JVM_ISSUES]
 )
 SQL["log_clean_files"] = (
-    f"SELECT path FROM (SELECT path, right(content, {R.JVM_TAIL_CHARS}) AS content FROM {C.LOG_FILES.sql}) WHERE NOT ({_DIRTY})"
+    f"SELECT path FROM {C.LOG_FILES.sql} WHERE NOT ({_DIRTY})"
 )
 _HITS = union(
     [

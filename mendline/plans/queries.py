@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendline.functions import rules as R
 from mendline.functions.scale import cut
 from mendline.functions.text import strip
 from mendline.operators import (
@@ -123,6 +124,11 @@ def log_tail_window(spark, sf):
     return logs.tail_stats(C.LONG_FILES.load(spark, sf))
 
 
+@query
+def log_tail_issues(spark, sf):
+    return logs.issue_findings(C.LONG_LOGS.load(spark, sf), tail_chars=R.JVM_TAIL_CHARS)
+
+
 @query
 def log_clean_files(spark, sf):
     return logs.clean_files(C.LOG_FILES.load(spark, sf))

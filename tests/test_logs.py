@@ -192,7 +192,7 @@ def test_chains_of_lines_equal_those_of_files(spark, block):
 def test_very_long_trace(spark):
     text = "java.lang.StackOverflowError: deep\n" + "\n".join(f"\tat a.B.c(B.java:{i})" for i in range(20_000)) + "\nINFO end"
     files = spark.createDataFrame([("f", "spark", text)], FILES)
-    (whole,) = logs.exception_chains(files, tail_chars=None).collect()
+    (whole,) = logs.exception_chains(files).collect()
     assert whole.chain == text[:2000]
     (by_line,) = logs.exception_chains_from_lines(logs.split_lines(files), block_lines=700).collect()
     assert by_line.chain == text[:2000].strip() and by_line.chain_key == text[:150]
@@ -229,11 +229,12 @@ def test_issue_rules_ignore_case_outside_ascii(spark):
         assert found.get(rule.rule_id, 0) == len(re.findall(rule.pattern, text)), rule.rule_id
 
 
-def test_issues_read_the_tail_only(spark):
-    files = spark.createDataFrame([("f", "spark", "OutOfMemoryError" + "x" * 100_000)], FILES)
-    assert logs.issue_findings(files).count() == 0
-    assert logs.issue_findings(files, tail_chars=None).count() == 1
-    assert logs.clean_files(files).count() == 1 and logs.clean_files(files, tail_chars=None).count() == 0
+def test_issues_of_the_recent_end(spark):
+    files = spark.createDataFrame([("f", "spark", "OutOfMemoryError java.lang.AError" + "x" * 100_000)], FILES)
+    recent = {"tail_chars": R.JVM_TAIL_CHARS}
+    assert logs.issue_findings(files).count() == 1 and logs.issue_findings(files, **recent).count() == 0
+    assert logs.clean_files(files).count() == 0 and logs.clean_files(files, **recent).count() == 1
+    assert logs.exception_chains(files).count() == 1 and logs.exception_chains(files, **recent).count() == 0
 
 
 def test_line_hits_and_rollup(spark, rows):
