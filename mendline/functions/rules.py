@@ -175,10 +175,84 @@ SPARK_TYPE_NAMES = {
     "timestamp_ntz": "timestamp without time zone",
 }
 
+# --- Fixed values: template calls in model SQL ------------------------------------------------
+TEMPLATE_BLOCK, TEMPLATE_STATEMENT = r"(?s)\{\{.*?\}\}", r"(?s)\{%.*?%\}"
+REF_CALL, SOURCE_CALL = r"ref\(['\"](\w+)['\"]\)", r"source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)"
+REF_BLOCK, SOURCE_BLOCK = rf"\{{\{{\s*{REF_CALL}\s*\}}\}}", rf"\{{\{{\s*{SOURCE_CALL}\s*\}}\}}"
+
+# --- Fixed values: accepted values in model SQL -----------------------------------------------
+WHEN_EQUALS = r"(?i)WHEN\s+(\w+)\s*=\s*'([^']+)'"
+IN_LIST = r"(?i)(\w+)\s+IN\s*\(([^)]+)\)"
+QUOTED_VALUE = r"'([^']+)'"
+
+# --- Fixed values: text of a generated contract -----------------------------------------------
+CONTRACT_DESCRIPTION = "Auto-generated schema for {model}. Add descriptions."
+
+# --- Fixed values: metrics of model SQL -------------------------------------------------------
+COUNTED = {
+    "with": r"(?i)\bWITH\b",
+    "cte": r"(?i),\s*\w+\s+AS\s*\(",
+    "join": r"(?i)\bJOIN\b",
+    "select": r"(?i)\bSELECT\b",
+    "distinct": r"(?i)\bDISTINCT\b",
+}
+SELECT_STAR = r"(?i)SELECT\s+\*"
+CROSS_JOIN = r"(?i)\bCROSS\s+JOIN\b"
+LEADING_WILDCARD = r"(?i)LIKE\s+'%\w"
+NOT_IN_SUBQUERY = r"(?i)NOT\s+IN\s*\(\s*SELECT"
+ORDER_BY, LIMIT, WHERE = r"(?i)\bORDER\s+BY\b", r"(?i)\bLIMIT\b", r"(?i)\bWHERE\b"
+# (metric, most that counts, points for each) and points of a flag that is set.
+SCORED_COUNTS = [("ctes", 10, 1), ("joins", 10, 2), ("subqueries", 5, 2)]
+LINES_PER_POINT, MOST_LINE_POINTS = 50, 10
+SCORED_FLAGS = {
+    "select_star": 3,
+    "cross_join": 4,
+    "leading_wildcard": 2,
+    "not_in_subquery": 3,
+    "order_without_limit": 1,
+}
+MANY_JOINS, MANY_CTES = 5, 6
+
+# --- Fixed values: lint of queries ------------------------------------------------------------
+LINT_MANY_JOINS = 3
+LINT_WILDCARD = r"(?i)LIKE\s+'%"
+LINT_STRICT = {
+    "select_star": r"(?i)SELECT(?: |\n| \n)\*",
+    "leading_wildcard": r"(?i)LIKE\s+'%\w",
+    "not_in_subquery": r"(?i)NOT\s+IN\s*\(SELECT",
+    "cross_join": r"(?i)CROSS JOIN",
+}
+
 # --- Fixed values: complexity labels, by least score ------------------------------------------
 RISK_LABELS = [(20, "CRITICAL"), (10, "HIGH"), (5, "MEDIUM")]
 HIGH_RISK_SCORE = 10
 
+# --- Fixed values: plan texts -----------------------------------------------------------------
+PLAN_SEQ_SCAN = r"Seq Scan on (\S+)"
+PLAN_INDEX_SCAN = r"Index(?:\s+Only)?\s+Scan(?:\s+Backward)?\s+using\s+(\S+)"
+PLAN_NESTED_LOOP = r"(?s)Nested Loop.*rows=\d{5,}"
+PLAN_HASH_SPILL = r"Batches: [2-9]\d*|Batches: \d{2,}"
+PLAN_SORT_SPILL = r"(?i)Sort Method: external"
+PLAN_ROWS = r"rows=(\d+).*?actual.*?rows=(\d+)"
+PLAN_RUN_TIME, PLAN_PLANNING_TIME = r"Execution Time:\s+([\d.]+)\s+ms", r"Planning Time:\s+([\d.]+)\s+ms"
+PLAN_WORDS = [
+    ("table_scan", "WARNING", "TABLE SCAN"),
+    ("cartesian", "WARNING", "CARTESIAN"),
+    ("sort", "NOTE", "SORT"),
+    ("union", "NOTE", "UNION"),
+]
+
+# --- Fixed values: workflow files -------------------------------------------------------------
+DAG_ID, TASK_ID = r"dag_id\s*=\s*[\"']([^\"']+)[\"']", r"task_id\s*=\s*[\"']([^\"']+)[\"']"
+OPERATOR = r"(\w+)\s*=\s*(\w+Operator|@task)\s*\("
+CATCHUP_ON, CATCHUP_OFF = r"catchup\s*=\s*True", r"catchup\s*=\s*False"
+NO_RETRIES, NO_RETRIES_STRICT = r"retries[\"']?\s*[=:]\s*0", r"retries\s*=\s*0"
+SCHEDULE, NO_SCHEDULE = r"schedule(?:_interval)?\s*=\s*[\"']([^\"']+)[\"']", r"schedule_interval=None|schedule\s*=\s*None"
+FLOW_DEF = r"@(?:flow|prefect\.flow)\s*(?:\([^)]*\))?\s*\ndef\s+(\w+)\s*\("
+TASK_DEF = r"@(?:task|prefect\.task)\s*(?:\([^)]*\))?\s*\ndef\s+(\w+)\s*\("
+FLOW_RETRIES, FLOW_SCHEDULE = r"retries\s*=\s*(\d+)", r"(?:cron|interval|rrule)\s*=\s*[\"']?([^\"',\)]+)"
+NESTED_FLOW = r"@flow.*\n.*def\s+\w+.*\n(?s:.*)@flow"
+
 # --- Fixed values: plan limits ----------------------------------------------------------------
 ESTIMATE_RATIO, FAST_MS, MODERATE_MS, PLANNING_MS = 100, 100, 1000, 500
 READ_ONLY_STARTS = ["SELECT", "WITH", "TABLE"]

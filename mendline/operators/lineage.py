@@ -13,12 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendline.functions import rules as R
 from mendline.functions.scale import cut, cut_counted, heavy_keys, hot_key_join, salted_join
-
-_REF = r"(?Ud)\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}"
-_SOURCE = r"(?Ud)\{\{\s*source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)\s*\}\}"
-_SOURCE_NAME = r"(?Ud)source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)"
-
+from mendline.functions.text import hits
 
 # --- graph construction -----------------------------------------------------------------------
 
@@ -71,10 +68,10 @@ def manifest_edges(entries: DataFrame) -> DataFrame:
 
 def sql_edges(models: DataFrame) -> DataFrame:
     """Distinct edges from ``ref`` and ``source`` calls in ``models(name, sql)``; sources are ``source.table``."""
-    refs = F.regexp_extract_all("sql", F.lit(_REF), F.lit(1))
-    sources = F.transform(
-        F.regexp_extract_all("sql", F.lit(_SOURCE), F.lit(0)),
-        lambda call: F.concat(F.regexp_extract(call, _SOURCE_NAME, 1), F.lit("."), F.regexp_extract(call, _SOURCE_NAME, 2)),
+    sql = F.col("sql")
+    refs = hits(sql, R.REF_BLOCK, 1)
+    sources = F.zip_with(
+        hits(sql, R.SOURCE_BLOCK, 1), hits(sql, R.SOURCE_BLOCK, 2), lambda schema, table: F.concat(schema, F.lit("."), table)
     )
     tagged = F.concat(
         F.transform(refs, lambda r: F.struct(r.alias("parent"), F.lit("model").alias("parent_type"))),

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendline.functions.text import first_hit, hits, replace_all, strip
+from mendline.functions import rules as R
+from mendline.functions.text import FLAGS, first_hit, hits, replace_all, strip
 
-_BLOCK = r"(?s)\{\{.*?\}\}"
 # Stand for the brackets of a part that is done; what was between them is kept only for CTE bodies.
 _OPEN, _CLOSE = "\x02", "\x03"
 
@@ -21,14 +21,14 @@ def strip_templates(sql: Column) -> Column:
     """Expression blocks become the ``ref`` name, ``source_table`` or nothing; statement blocks go away."""
 
     def value(block: Column) -> Column:
-        ref = F.regexp_extract(block, r"(?Ud)ref\(['\"](\w+)['\"]\)", 1)
-        src = r"(?Ud)source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)"
-        schema, table = F.regexp_extract(block, src, 1), F.regexp_extract(block, src, 2)
+        ref = F.regexp_extract(block, FLAGS + R.REF_CALL, 1)
+        schema, table = (F.regexp_extract(block, FLAGS + R.SOURCE_CALL, i) for i in (1, 2))
         return F.when(ref != "", ref).when(table != "", F.concat(schema, F.lit("_"), table)).otherwise("")
 
-    between = F.split(sql, "(?Ud)" + _BLOCK, -1)
-    values = F.concat(F.transform(hits(sql, _BLOCK), value), F.array(F.lit("")))
-    return replace_all(F.array_join(F.zip_with(between, values, lambda a, b: F.concat(a, b)), ""), r"(?s)\{%.*?%\}")
+    between = F.split(sql, FLAGS + R.TEMPLATE_BLOCK, -1)
+    values = F.concat(F.transform(hits(sql, R.TEMPLATE_BLOCK), value), F.array(F.lit("")))
+    text = F.array_join(F.zip_with(between, values, lambda a, b: F.concat(a, b)), "")
+    return replace_all(text, R.TEMPLATE_STATEMENT)
 
 
 def strip_comments(sql: Column) -> Column:
@@ -79,7 +79,7 @@ def model_facts(models: DataFrame) -> DataFrame:
     models it refers to. ``hints`` are (column, value) pairs from ``WHEN col = 'v'`` and then ``col IN ('a', …)``, in order of
     first use; ``NOT IN`` lists are no hint. Each step is its own projection, so that a text used twice is computed once.
     """
-    refs = F.array_distinct(hits(F.col("sql"), r"\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}", 1))
+    refs = F.array_distinct(hits(F.col("sql"), R.REF_BLOCK, 1))
     masked = mask_literals(strip_comments(strip_templates(F.col("sql"))))
     parts = models.select(
         F.col("name").alias("model"), refs.alias("refs"), _hint_pairs(F.col("sql")).alias("hints"), F.split(masked, ";").alias("parts")
@@ -91,7 +91,7 @@ def model_facts(models: DataFrame) -> DataFrame:
     bodies = _inside_out(F.col("last"), "(", r"(?i)(\bAS\s*)\(([^()]*)\)|\([^()]*\)", f"$1{_OPEN}$2{_CLOSE}")
     marked = last.select("model", "refs", "hints", bodies.alias("bodies"))
     top = _inside_out(F.col("bodies"), _OPEN, r"\x02[^\x02\x03]*\x03", _CLOSE)
-    body = F.try_element_at(hits(F.col("bodies"), r"(?i)\bAS\s*\x02((?:[^\x02\x03]|\x02\x03)*)\x03", 1), F.lit(-1))
+    body = F.try_element_at(hits(F.col("bodies"), r"(?i)\bAS\s*\x02([^\x02\x03]*+(?:\x02\x03[^\x02\x03]*+)*+)\x03", 1), F.lit(-1))
     lists = marked.select("model", "refs", "hints", _select_list(top).alias("items"), body.alias("body"))
     inner = F.when(F.array_contains("items", "*"), _select_list(F.col("body")))
     named = lists.select("model", "refs", "hints", "items", inner.alias("inner")).select(
@@ -103,14 +103,12 @@ def model_facts(models: DataFrame) -> DataFrame:
 
 def _hint_pairs(sql: Column) -> Column:
     pair = lambda c, v: F.struct(F.lower(c).alias("column"), v.alias("value"))
-    when_rx = r"(?i)WHEN\s+(\w+)\s*=\s*'([^']+)'"
-    in_rx = r"(?i)(\w+)\s+IN\s*\(([^)]+)\)"
-    equal = F.zip_with(hits(sql, when_rx, 1), hits(sql, when_rx, 2), pair)
+    equal = F.zip_with(hits(sql, R.WHEN_EQUALS, 1), hits(sql, R.WHEN_EQUALS, 2), pair)
     lists = F.flatten(
         F.zip_with(
-            hits(sql, in_rx, 1),
-            hits(sql, in_rx, 2),
-            lambda c, values: F.transform(hits(values, r"'([^']+)'", 1), lambda v: pair(c, v)),
+            hits(sql, R.IN_LIST, 1),
+            hits(sql, R.IN_LIST, 2),
+            lambda c, values: F.transform(hits(values, R.QUOTED_VALUE, 1), lambda v: pair(c, v)),
         )
     )
     return F.array_distinct(F.concat(equal, F.filter(lists, lambda p: p["column"] != "not")))

@@ -36,13 +36,12 @@ def _observe(plans: DataFrame, rules: list[tuple[str, str, Column, Column]]) ->
 def lint_postgres(plans: DataFrame) -> DataFrame:
     """Scans, joins, spills, row estimates and times of Postgres plan texts."""
     plan = F.col("plan_text")
-    seq = F.array_distinct(hits(plan, r"Seq Scan on (\S+)", 1))
-    index = F.array_distinct(hits(plan, r"Index(?:\s+Only)?\s+Scan(?:\s+Backward)?\s+using\s+(\S+)", 1))
-    pair_rx = r"rows=(\d+).*?actual.*?rows=(\d+)"
+    seq = F.array_distinct(hits(plan, R.PLAN_SEQ_SCAN, 1))
+    index = F.array_distinct(hits(plan, R.PLAN_INDEX_SCAN, 1))
     number = lambda s: s.cast("decimal(38,0)")
     pairs = F.zip_with(
-        hits(plan, pair_rx, 1),
-        hits(plan, pair_rx, 2),
+        hits(plan, R.PLAN_ROWS, 1),
+        hits(plan, R.PLAN_ROWS, 2),
         lambda e, a: F.struct(number(e).alias("est"), number(a).alias("act")),
     )
     off = F.get(
@@ -54,8 +53,8 @@ def lint_postgres(plans: DataFrame) -> DataFrame:
         ),
         F.lit(0),
     )
-    run_ms = first_hit(plan, r"Execution Time:\s+([\d.]+)\s+ms").try_cast("double")
-    plan_ms = first_hit(plan, r"Planning Time:\s+([\d.]+)\s+ms").try_cast("double")
+    run_ms = first_hit(plan, R.PLAN_RUN_TIME).try_cast("double")
+    plan_ms = first_hit(plan, R.PLAN_PLANNING_TIME).try_cast("double")
     read = plans.select(
         "query_id",
         "plan_text",
@@ -74,9 +73,9 @@ def lint_postgres(plans: DataFrame) -> DataFrame:
         read,
         [
             ("sequential_scan", "WARNING", F.size("seq") > 0, F.array_join("seq", ", ")),
-            ("nested_loop", "WARNING", has(plan, r"(?s)Nested Loop.*rows=\d{5,}"), F.lit("")),
-            ("hash_spill", "WARNING", has(plan, r"Batches: [2-9]\d*|Batches: \d{2,}"), F.lit("")),
-            ("sort_spill", "WARNING", has(plan, r"(?i)Sort Method: external"), F.lit("")),
+            ("nested_loop", "WARNING", has(plan, R.PLAN_NESTED_LOOP), F.lit("")),
+            ("hash_spill", "WARNING", has(plan, R.PLAN_HASH_SPILL), F.lit("")),
+            ("sort_spill", "WARNING", has(plan, R.PLAN_SORT_SPILL), F.lit("")),
             ("row_estimate", "WARNING", c("off").isNotNull(), estimate),
             ("index_scan", "INFO", F.size("index") > 0, F.array_join("index", ", ")),
             ("execution_time", "INFO", c("run_ms").isNotNull(), F.concat(plain_decimal(c("run_ms")), F.lit(" ms "), speed)),
@@ -88,13 +87,7 @@ def lint_postgres(plans: DataFrame) -> DataFrame:
 def lint_snowflake(plans: DataFrame) -> DataFrame:
     """Full scans, Cartesian products, sorts and unions named in Snowflake plan texts, in any letter case."""
     plan = F.upper("plan_text")
-    words = [
-        ("table_scan", "WARNING", "TABLE SCAN"),
-        ("cartesian", "WARNING", "CARTESIAN"),
-        ("sort", "NOTE", "SORT"),
-        ("union", "NOTE", "UNION"),
-    ]
-    return _observe(plans, [(rule, severity, F.contains(plan, F.lit(w)), F.lit(w)) for rule, severity, w in words])
+    return _observe(plans, [(rule, severity, F.contains(plan, F.lit(w)), F.lit(w)) for rule, severity, w in R.PLAN_WORDS])
 
 
 def lint_plans(plans: DataFrame) -> DataFrame:

@@ -58,29 +58,32 @@ def lint(queries: DataFrame, strict: bool = False) -> DataFrame:
         stmt, r"(?Udis)\bWHERE\b(.*?)(?:\bGROUP\s+BY\b|\bORDER\s+BY\b|\bHAVING\b|\bLIMIT\b|\z)", 1
     )
     calls = F.filter(hits(where, r"\b([A-Za-z_]\w*)\s*\(", 1), lambda w: ~F.upper(w).isin(NO_FUNCTIONS))
-    joins = count_hits(stmt, r"(?i)\bJOIN\b")
+    joins = count_hits(stmt, R.COUNTED["join"])
     subqueries = count_hits(stmt, r"(?i)\(\s*SELECT\b") - count_hits(stmt, r"(?i)\b(?:AS|IN|EXISTS)\s*\(\s*SELECT\b")
-    star = r"(?i)SELECT(?: |\n| \n)\*" if strict else r"(?i)SELECT\s+\*"
-    wildcard = r"(?i)LIKE\s+'%\w" if strict else r"(?i)LIKE\s+'%"
-    not_in = r"(?i)NOT\s+IN\s*\(SELECT" if strict else r"(?i)NOT\s+IN\s*\(\s*SELECT"
-    cross = r"(?i)CROSS JOIN" if strict else r"(?i)CROSS\s+JOIN"
+    default = {
+        "select_star": R.SELECT_STAR,
+        "leading_wildcard": R.LINT_WILDCARD,
+        "not_in_subquery": R.NOT_IN_SUBQUERY,
+        "cross_join": R.CROSS_JOIN,
+    }
+    wording = R.LINT_STRICT if strict else default
     one = F.lit(1).cast("bigint")
     rules: list[tuple[str, str, Column, Column]] = [
-        ("select_star", "WARNING", has(text, star), one),
-        ("no_where", "NOTE", select & ~has(stmt, r"(?i)\bWHERE\b"), one),
-        ("many_joins", "NOTE", select & (joins > 3), joins),
+        ("select_star", "WARNING", has(text, wording["select_star"]), one),
+        ("no_where", "NOTE", select & ~has(stmt, R.WHERE), one),
+        ("many_joins", "NOTE", select & (joins > R.LINT_MANY_JOINS), joins),
         ("subqueries", "NOTE", select & (subqueries > 0), subqueries),
-        ("distinct", "NOTE", select & has(stmt, r"(?i)\bDISTINCT\b"), one),
+        ("distinct", "NOTE", select & has(stmt, R.COUNTED["distinct"]), one),
         (
             "order_without_limit",
             "WARNING",
-            select & has(stmt, r"(?i)\bORDER\s+BY\b") & ~has(stmt, r"(?i)\bLIMIT\b"),
+            select & has(stmt, R.ORDER_BY) & ~has(stmt, R.LIMIT),
             one,
         ),
         ("function_in_where", "WARNING", select & (F.size(calls) > 0), one),
-        ("leading_wildcard", "WARNING", has(quoted, wildcard), one),
-        ("not_in_subquery", "WARNING", has(text, not_in), one),
-        ("cross_join", "WARNING", has(text, cross), one),
+        ("leading_wildcard", "WARNING", has(quoted, wording["leading_wildcard"]), one),
+        ("not_in_subquery", "WARNING", has(text, wording["not_in_subquery"]), one),
+        ("cross_join", "WARNING", has(text, wording["cross_join"]), one),
     ]
     found = F.array_compact(
         F.array(

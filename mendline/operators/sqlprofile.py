@@ -13,42 +13,35 @@ from mendline.functions.text import count_hits, has, line_count, replace_all
 def model_metrics(models: DataFrame) -> DataFrame:
     """Eleven metrics of each ``(path, sql)``; keywords in comments and literals count too."""
     sql = F.col("sql")
-    clean = replace_all(replace_all(sql, r"(?s)\{\{.*?\}\}"), r"(?s)\{%.*?%\}")
+    clean = replace_all(replace_all(sql, R.TEMPLATE_BLOCK), R.TEMPLATE_STATEMENT)
     # The stripped text is used by ten expressions: name it once.
     base = models.select("path", "sql", clean.alias("clean"))
     c = F.col("clean")
-    selects = count_hits(c, r"(?i)\bSELECT\b")
+    n = {name: count_hits(c, pattern) for name, pattern in R.COUNTED.items()}
     return base.select(
         "path",
         line_count(sql).alias("lines"),
-        (count_hits(c, r"(?i)\bWITH\b") + count_hits(c, r"(?i),\s*\w+\s+AS\s*\(")).alias("ctes"),
-        count_hits(c, r"(?i)\bJOIN\b").alias("joins"),
-        F.greatest(selects - 1, F.lit(0).cast("bigint")).alias("subqueries"),
-        has(c, r"(?i)SELECT\s+\*").alias("select_star"),
-        count_hits(c, r"(?i)\bDISTINCT\b").alias("distinct_count"),
-        has(c, r"(?i)\bCROSS\s+JOIN\b").alias("cross_join"),
-        has(sql, r"(?i)LIKE\s+'%\w").alias("leading_wildcard"),
-        has(c, r"(?i)NOT\s+IN\s*\(\s*SELECT").alias("not_in_subquery"),
-        (has(c, r"(?i)\bORDER\s+BY\b") & ~has(c, r"(?i)\bLIMIT\b")).alias("order_without_limit"),
-        (~has(c, r"(?i)\bWHERE\b")).alias("no_where"),
+        (n["with"] + n["cte"]).alias("ctes"),
+        n["join"].alias("joins"),
+        F.greatest(n["select"] - 1, F.lit(0).cast("bigint")).alias("subqueries"),
+        has(c, R.SELECT_STAR).alias("select_star"),
+        n["distinct"].alias("distinct_count"),
+        has(c, R.CROSS_JOIN).alias("cross_join"),
+        has(sql, R.LEADING_WILDCARD).alias("leading_wildcard"),
+        has(c, R.NOT_IN_SUBQUERY).alias("not_in_subquery"),
+        (has(c, R.ORDER_BY) & ~has(c, R.LIMIT)).alias("order_without_limit"),
+        (~has(c, R.WHERE)).alias("no_where"),
     )
 
 
 def complexity_score() -> Column:
-    flag = lambda name, weight: F.when(F.col(name), weight).otherwise(0)
-    capped = lambda col, cap: F.least(col, F.lit(cap))
-    return (
-        capped(F.col("ctes"), 10)
-        + capped(F.col("joins"), 10) * 2
-        + capped(F.col("subqueries"), 5) * 2
-        + capped(F.floor(F.col("lines") / 50), 10)
-        + F.col("distinct_count")
-        + flag("select_star", 3)
-        + flag("cross_join", 4)
-        + flag("leading_wildcard", 2)
-        + flag("not_in_subquery", 3)
-        + flag("order_without_limit", 1)
-    ).cast("bigint")
+    """Points for capped counts, for length, for each DISTINCT and for raised flags."""
+    points = F.least(F.floor(F.col("lines") / R.LINES_PER_POINT), F.lit(R.MOST_LINE_POINTS)) + F.col("distinct_count")
+    for metric, most, weight in R.SCORED_COUNTS:
+        points = points + F.least(F.col(metric), F.lit(most)) * weight
+    for flag, weight in R.SCORED_FLAGS.items():
+        points = points + F.when(F.col(flag), weight).otherwise(0)
+    return points.cast("bigint")
 
 
 def risk_label(score: Column) -> Column:
@@ -73,8 +66,8 @@ def flags(profiled: DataFrame) -> DataFrame:
         (c("leading_wildcard"), "leading_wildcard"),
         (c("not_in_subquery"), "not_in_subquery"),
         (c("cross_join"), "cross_join"),
-        (c("joins") > 5, "many_joins"),
-        (c("ctes") > 6, "many_ctes"),
+        (c("joins") > R.MANY_JOINS, "many_joins"),
+        (c("ctes") > R.MANY_CTES, "many_ctes"),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in raised]))
     return profiled.select("path", F.explode(found).alias("flag"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendline.functions import rules as R
 from mendline.functions.text import first_hit, has, hits, strip
 
 _SYNTAX = (
@@ -58,16 +59,15 @@ def _plain(found: Column) -> Column:
 def dag_inventory(files: DataFrame) -> DataFrame:
     """DAG ids, operator assignments (variable and type) and task ids, in order of occurrence."""
     src = F.col("content")
-    op = r"(\w+)\s*=\s*(\w+Operator|@task)\s*\("
     operators = F.zip_with(
-        hits(src, op, 1), hits(src, op, 2), lambda v, t: F.struct(v.alias("name"), t.alias("detail"))
+        hits(src, R.OPERATOR, 1), hits(src, R.OPERATOR, 2), lambda v, t: F.struct(v.alias("name"), t.alias("detail"))
     )
     return _rows(
         files,
         [
-            ("dag", _plain(hits(src, r"dag_id\s*=\s*[\"']([^\"']+)[\"']", 1))),
+            ("dag", _plain(hits(src, R.DAG_ID, 1))),
             ("operator", operators),
-            ("task", _plain(hits(src, r"task_id\s*=\s*[\"']([^\"']+)[\"']", 1))),
+            ("task", _plain(hits(src, R.TASK_ID, 1))),
         ],
     )
 
@@ -121,16 +121,16 @@ def _raise(files: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> Da
 def dag_rules(files: DataFrame, strict: bool = False) -> DataFrame:
     """Catch-up, retries and schedule notes. ``strict`` sees ``retries`` only as a keyword argument, not in a dict."""
     src = F.col("content")
-    retries = r"retries\s*=\s*0" if strict else r"retries[\"']?\s*[=:]\s*0"
-    schedule = first_hit(src, r"schedule(?:_interval)?\s*=\s*[\"']([^\"']+)[\"']")
-    unscheduled = F.contains(src, F.lit("schedule_interval=None")) | has(src, r"schedule\s*=\s*None")
+    retries = R.NO_RETRIES_STRICT if strict else R.NO_RETRIES
+    schedule = first_hit(src, R.SCHEDULE)
+    scheduled = ~has(src, R.NO_SCHEDULE) & schedule.isNotNull()
     return _raise(
         files,
         [
-            ("catchup_on", "WARNING", has(src, r"catchup\s*=\s*True"), F.lit("catchup=True")),
-            ("catchup_not_off", "NOTE", ~has(src, r"catchup\s*=\s*False"), F.lit("catchup not set to False")),
+            ("catchup_on", "WARNING", has(src, R.CATCHUP_ON), F.lit("catchup=True")),
+            ("catchup_not_off", "NOTE", ~has(src, R.CATCHUP_OFF), F.lit("catchup not set to False")),
             ("no_retries", "NOTE", has(src, retries), F.lit("retries=0")),
-            ("schedule", "INFO", ~unscheduled & schedule.isNotNull(), schedule),
+            ("schedule", "INFO", scheduled, schedule),
         ],
     )
 
@@ -138,14 +138,13 @@ def dag_rules(files: DataFrame, strict: bool = False) -> DataFrame:
 def flow_inventory(files: DataFrame) -> DataFrame:
     """Flows, tasks, retry numbers and schedules of flow files, in order of occurrence."""
     src = F.col("content")
-    defined = lambda name: hits(src, rf"@(?:{name}|prefect\.{name})\s*(?:\([^)]*\))?\s*\ndef\s+(\w+)\s*\(", 1)
     return _rows(
         files,
         [
-            ("flow", _plain(defined("flow"))),
-            ("task", _plain(defined("task"))),
-            ("retries", _plain(hits(src, r"retries\s*=\s*(\d+)", 1))),
-            ("schedule", _plain(hits(src, r"(?:cron|interval|rrule)\s*=\s*[\"']?([^\"',\)]+)", 1))),
+            ("flow", _plain(hits(src, R.FLOW_DEF, 1))),
+            ("task", _plain(hits(src, R.TASK_DEF, 1))),
+            ("retries", _plain(hits(src, R.FLOW_RETRIES, 1))),
+            ("schedule", _plain(hits(src, R.FLOW_SCHEDULE, 1))),
         ],
     )
 
@@ -162,7 +161,7 @@ def flow_rules(files: DataFrame) -> DataFrame:
                 F.contains(src, F.lit("submit")) & ~F.contains(src, F.lit(".result()")),
                 F.lit("submit"),
             ),
-            ("nested_flow", "WARNING", has(src, r"@flow.*\n.*def\s+\w+.*\n(?s:.*)@flow"), F.lit("@flow")),
+            ("nested_flow", "WARNING", has(src, R.NESTED_FLOW), F.lit("@flow")),
             ("raise_on_failure", "NOTE", F.contains(src, F.lit("raise_on_failure")), F.lit("raise_on_failure")),
         ],
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendline.functions import rules as R
+
 
 def _quoted(text: Column) -> Column:
     """A JSON string, which is also a YAML scalar."""
@@ -51,11 +53,12 @@ def contract_text(columns: DataFrame, tests: DataFrame) -> DataFrame:
             F.coalesce("items", F.lit(" []")),
         ).alias("value"),
     )
+    before, after = R.CONTRACT_DESCRIPTION.split("{model}")
     heading = F.concat(
         F.lit("version: 2\nmodels:\n  - name: "),
         _quoted(F.col("model")),
         F.lit("\n    description: "),
-        _quoted(F.concat(F.lit("Auto-generated schema for "), F.col("model"), F.lit(". Add descriptions."))),
+        _quoted(F.concat(F.lit(before), F.col("model"), F.lit(after))),
         F.lit("\n    columns:"),
     )
     heads = columns.select("model").distinct().select("model", F.lit(0).cast("bigint").alias("ordinal"), heading.alias("value"))

@@ -137,6 +137,13 @@ def test_snippet_cap(spark):
     assert len(only[1]) == 2000
 
 
+def test_very_long_texts_do_not_exhaust_the_stack(spark):
+    trace = "Traceback (most recent call last):\n" + "  File x\n" * 30_000 + "KeyError: 1"
+    for framework in ("airflow", "dbt", "spark", "prefect", "generic"):
+        found = extracted(spark, framework, trace + "\njava.lang.AException " + "ERROR z\n" * 5000)
+        assert len(found) >= 5000
+
+
 def test_files_without_errors(spark, rows):
     df = spark.createDataFrame([("a", "dbt", "all good"), ("b", "dbt", DBT), ("c", "x", "fine"), ("d", "airflow", "WARN x")], FILES)
     assert rows(logs.files_without_errors(df), "path") == [("a",), ("c",), ("d",)]

@@ -55,6 +55,11 @@ def test_columns_of_plain_selects(spark):
     assert columns(spark, "with a as (select x, y from t) select z, * from a") == ["z", "x", "y"]
 
 
+def test_columns_of_very_long_models(spark):
+    many = ", ".join(f"f({i}) as c{i}" for i in range(3000))
+    assert columns(spark, f"with a as (select {many} from t) select * from a") == [f"c{i}" for i in range(3000)]
+
+
 def test_strip_templates(spark):
     sql = "{% set x = 1 %}select {{ x }} from {{ ref('a') }}, {{ source('raw', 'b') }} {{\n config(m={'a': 1}) }}"
     stripped = spark.range(1).select(modelsql.strip_templates(F.lit(sql)).alias("s")).first().s

@@ -88,6 +88,11 @@ def test_flows(spark, rows):
     assert workflows.flow_rules(source(spark, f="@flow\ndef a():\n  x.submit().result()\n")).count() == 0
 
 
+def test_long_flow_file(spark, rows):
+    text = "@flow\ndef a():\n" + "    x = 1\n" * 20_000 + "@flow\ndef b():\n    pass\n"
+    assert rows(workflows.flow_rules(source(spark, f=text)), "rule_id") == [("nested_flow",)]
+
+
 @pytest.mark.parametrize(
     "path, original, replacement, status, content",
     [
