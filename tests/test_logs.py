@@ -140,7 +140,7 @@ def test_snippet_cap(spark):
 def test_very_long_texts_do_not_exhaust_the_stack(spark):
     trace = "Traceback (most recent call last):\n" + "  File x\n" * 30_000 + "KeyError: 1"
     for framework in ("airflow", "dbt", "spark", "prefect", "generic"):
-        found = extracted(spark, framework, trace + "\njava.lang.AException " + "ERROR z\n" * 5000)
+        found = extracted(spark, framework, trace + "\njava.lang.AException " + "ERROR - z\n" * 5000)
         assert len(found) >= 5000
 
 
