@@ -427,6 +427,16 @@ def top_signatures(line_findings: DataFrame, k: int) -> DataFrame:
     )
 
 
+def top_snippets(snippets: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent snippet prefixes over all files of a framework, per rule."""
+    return (
+        snippets.groupBy("framework", "rule_id", F.left("snippet", F.lit(R.SNIPPET_KEY_CHARS)).alias("snippet_key"))
+        .agg(F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_paths"))
+        .orderBy(F.desc("n_hits"), "framework", "rule_id", "snippet_key")
+        .limit(k)
+    )
+
+
 def tail_stats(files: DataFrame, tail_chars: int = R.JVM_TAIL_CHARS) -> DataFrame:
     """The part of each file that an analysis of its recent tail reads."""
     read = files.select("path", F.length("content").cast("bigint").alias("n_chars"), tail(F.col("content"), tail_chars).alias("tail"))

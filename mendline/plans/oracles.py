@@ -128,6 +128,9 @@ FROM (SELECT *, count(*) OVER (PARTITION BY path, snippet_key) AS n_repeats,
         row_number() OVER (PARTITION BY path, snippet_key ORDER BY rule_no, pos) AS rn
       FROM (SELECT *, left(snippet, {R.SNIPPET_KEY_CHARS}) AS snippet_key FROM ({_SNIPPETS})))
 WHERE rn = 1"""
+SQL["log_snippet_topk"] = f"""
+SELECT framework, rule_id, left(snippet, {R.SNIPPET_KEY_CHARS}) AS snippet_key, count(*) AS n_hits, count(DISTINCT path) AS n_paths
+FROM ({_SNIPPETS}) GROUP BY ALL ORDER BY n_hits DESC, framework, rule_id, snippet_key LIMIT 20"""
 SQL["log_files_without_errors"] = (
     f"SELECT path, framework FROM {_FILES} WHERE path NOT IN (SELECT path FROM ({_SNIPPETS}))"
 )
@@ -291,7 +294,7 @@ m AS (SELECT root, node, min(depth) AS depth FROM r GROUP BY root, node),
 a AS (SELECT child AS root FROM e UNION SELECT parent FROM e)
 SELECT a.root, count(m.node) FILTER (m.depth <= 2) AS n_within_depth, count(m.node) AS n_total FROM a LEFT JOIN m ON a.root = m.root GROUP BY a.root"""
 SQL["lineage_impact"] = f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM {C.PART_EDGES.sql}),
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM {C.SHOP_EDGES.sql}),
 r(root, node) AS (SELECT child, parent FROM e UNION SELECT r.root, e.parent FROM r JOIN e ON r.node = e.child),
 a AS (SELECT child AS node FROM e UNION SELECT parent FROM e),
 up AS (SELECT root AS node, count(*) AS c FROM r GROUP BY root), down AS (SELECT node, count(*) AS c FROM r GROUP BY node),
@@ -299,6 +302,11 @@ dp AS (SELECT child AS node, count(*) AS c FROM e GROUP BY child), dc AS (SELECT
 SELECT a.node, coalesce(dp.c, 0) AS direct_parents, coalesce(up.c, 0) AS total_ancestors, coalesce(dc.c, 0) AS direct_children,
   coalesce(down.c, 0) AS total_dependents
 FROM a LEFT JOIN up USING (node) LEFT JOIN down USING (node) LEFT JOIN dp USING (node) LEFT JOIN dc USING (node)"""
+SQL["lineage_dependents_deep"] = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM {C.PART_EDGES.sql}),
+r(root, node, depth) AS (SELECT parent, child, 1 FROM e WHERE parent = 'm_1'
+  UNION SELECT r.root, e.child, r.depth + 1 FROM r JOIN e ON r.node = e.parent)
+SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY root, node"""
 SQL["lineage_missing_roots"] = f"""
 SELECT DISTINCT concat('customer_', event_id) AS root FROM events
 WHERE concat('customer_', event_id) NOT IN (SELECT child FROM {C.SHOP_EDGES.sql} UNION SELECT parent FROM {C.SHOP_EDGES.sql})"""
@@ -772,7 +780,10 @@ _PROFILED = f"SELECT 'model', path, flag, 'WARNING', CAST(1 AS BIGINT), flag FRO
 _ALL = union(
     [
         f"SELECT * FROM ({part})"
-        for part in (_issue_sql(), _RUN, _DRIFT, _PROFILED, SQL["plan_lint_postgres"], SQL["plan_lint_snowflake"], _DAG_RULES)
+        for part in (
+            _issue_sql(), _RUN, _DRIFT, _PROFILED, SQL["sql_lint"], SQL["plan_lint_postgres"], SQL["plan_lint_snowflake"],
+            _DAG_RULES, SQL["flow_rules"],
+        )
     ]
 )
 _RANK = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(R.SEVERITIES)) + " ELSE 99 END"

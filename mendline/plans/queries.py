@@ -82,6 +82,11 @@ def log_snippet_dedup(spark, sf):
     return logs.dedup_snippets(logs.extract_errors(C.LOG_FILES.load(spark, sf)))
 
 
+@query
+def log_snippet_topk(spark, sf):
+    return logs.top_snippets(logs.extract_errors(C.LOG_FILES.load(spark, sf)), 20)
+
+
 @query
 def log_files_without_errors(spark, sf):
     return logs.files_without_errors(C.LOG_FILES.load(spark, sf))
@@ -226,7 +231,14 @@ def lineage_reach_count(spark, sf):
 
 @query
 def lineage_impact(spark, sf):
-    return lineage.impact(C.PART_EDGES.load(spark, sf))
+    return lineage.impact(C.SHOP_EDGES.load(spark, sf))
+
+
+@query
+def lineage_dependents_deep(spark, sf):
+    """All that depends on one model, through as many levels as there are."""
+    root = spark.createDataFrame([("m_1",)], "root string")
+    return lineage.reach(C.PART_EDGES.load(spark, sf), root, upstream=False)
 
 
 @query
@@ -543,8 +555,10 @@ def _findings(spark, sf):
             artifacts.run_findings(C.RUN_RESULTS.load(spark, sf)),
             drift.drift_findings(drift.detect_drift(_contracts(spark, sf), C.LIVE_COLUMNS.load(spark, sf))),
             sqlprofile.profile_findings(sqlprofile.profile(C.MODELS.load(spark, sf))),
+            sqllint.lint(C.QUERIES.load(spark, sf)),
             planlint.lint_plans(C.PLANS.load(spark, sf)),
             workflows.dag_rules(C.DAG_FILES.load(spark, sf)),
+            workflows.flow_rules(C.FLOW_FILES.load(spark, sf)),
         ]
     )
 

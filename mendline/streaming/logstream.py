@@ -18,10 +18,14 @@ def rule_counts(lines: DataFrame, delay: str = "10 minutes", window: str = "5 mi
     )
 
 
-def first_signatures(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The first hit per path, rule and signature; repeats within the watermark are dropped."""
-    hits = line_hits(lines.withWatermark("ts", delay))
-    return hits.dropDuplicatesWithinWatermark(["path", "rule_id", "signature"])
+def first_signatures(lines: DataFrame, delay: str = "10 minutes", parts: int = 16) -> DataFrame:
+    """One hit per path, rule and signature; repeats within the watermark are dropped.
+
+    Repeats are dropped within parts of a key first, so the rows of a frequent signature do not all meet in one task.
+    """
+    key = ["path", "rule_id", "signature"]
+    hits = line_hits(lines.withWatermark("ts", delay)).withColumn("_part", F.pmod(F.xxhash64("line_no"), F.lit(parts)))
+    return hits.dropDuplicatesWithinWatermark([*key, "_part"]).drop("_part").dropDuplicatesWithinWatermark(key)
 
 
 def read_line_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
