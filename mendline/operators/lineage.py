@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
@@ -44,25 +44,25 @@ def manifest_edges(entries: DataFrame) -> DataFrame:
     does not hold it. Sources win over nodes of the same uid. Edges stay keyed by uid, so equal short names
     do not merge. The lookup stays within a manifest, which was one row when it was read.
     """
-    named = _with_names(entries)
-    deps = named.filter(F.col("part") != "sources").select(
-        "path",
-        F.col("uid").alias("child_uid"),
-        F.col("name").alias("child"),
-        F.explode(F.array_distinct("deps")).alias("parent_uid"),
-    )
+    none = F.lit(None).cast("string")
+    part, uid, name = F.col("part"), F.col("uid"), F.col("name")
+
+    def row(key: Column, known: Column, child_uid: Column, child: Column) -> Column:
+        return F.struct(key.alias("parent_uid"), known.alias("known"), child_uid.alias("child_uid"), child.alias("child"))
+
+    # A manifest is parsed once: each entry gives a row for itself, as a possible parent, and one per dependency.
     # Dependencies are looked up among sources and nodes, never among exposures.
-    known = (
-        named.filter(F.col("part") != "exposures")
-        .groupBy("path", F.col("uid").alias("parent_uid"))
-        .agg(F.max_by("name", "part").alias("parent_name"))
-    )
-    return deps.join(known, ["path", "parent_uid"], "left").select(
-        "path",
-        "child_uid",
-        "child",
-        "parent_uid",
-        F.coalesce("parent_name", F.element_at(F.split("parent_uid", "\\."), -1)).alias("parent"),
+    itself = F.struct(part.alias("part"), name.alias("name"))
+    unknown = F.lit(None).cast("struct<part: string, name: string>")
+    own = F.array_compact(F.array(F.when(part != "exposures", row(uid, itself, none, none))))
+    needed = F.when(part == "sources", F.array().cast("array<string>")).otherwise(F.array_distinct("deps"))
+    uses = F.transform(needed, lambda d: row(d, unknown, uid, name))
+    rows = _with_names(entries).select("path", F.explode(F.concat(own, uses)).alias("r")).select("path", "r.*")
+    best = F.max("known").over(Window.partitionBy("path", "parent_uid"))
+    return (
+        rows.withColumn("parent", F.coalesce(best["name"], F.element_at(F.split("parent_uid", "\\."), -1)))
+        .filter(F.col("child_uid").isNotNull())
+        .select("path", "child_uid", "child", "parent_uid", "parent")
     )
 
 

@@ -196,6 +196,18 @@ def test_chains_of_lines_equal_those_of_files(spark, block):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in whole.items()}
 
 
+def test_chains_of_one_hot_file(spark):
+    """One path holds most lines; blocks cut it, and results equal a reading of the whole text."""
+    text = "\n".join(random_logs(1500, 9))
+    others = random_logs(30, 10)
+    files = spark.createDataFrame([("hot", "spark", text)] + [(str(i), "spark", t) for i, t in enumerate(others)], FILES)
+    got = {}
+    for r in logs.exception_chains_from_lines(logs.split_lines(files), block_lines=97).collect():
+        got.setdefault(r.path, []).append(r.chain)
+    want = {p: expected_chains(t) for p, t in [("hot", text)] + [(str(i), t) for i, t in enumerate(others)]}
+    assert {p: sorted(c) for p, c in got.items()} == {p: c for p, c in want.items() if c}
+
+
 def test_very_long_trace(spark):
     text = "java.lang.StackOverflowError: deep\n" + "\n".join(f"\tat a.B.c(B.java:{i})" for i in range(20_000)) + "\nINFO end"
     files = spark.createDataFrame([("f", "spark", text)], FILES)
