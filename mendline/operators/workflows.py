@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,10 +26,13 @@ def _check_syntax(sources: pd.Series) -> pd.DataFrame:
             return True, None, None, None
         except SyntaxError as e:
             return False, e.lineno, e.msg, e.text
-        except ValueError as e:  # a null character
+        except (ValueError, RecursionError, MemoryError) as e:  # a null character, or too deep for the parser
             return False, None, str(e), None
 
-    rows = pd.DataFrame([check(s) for s in sources], columns=["ok", "lineno", "message", "text"])
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        checked = [check(s) for s in sources]
+    rows = pd.DataFrame(checked, columns=["ok", "lineno", "message", "text"])
     return rows.astype({"ok": bool, "lineno": "Int32"})
 
 

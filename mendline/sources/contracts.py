@@ -20,11 +20,16 @@ GLOBS = ["schema*.yml", "schema*.yaml", "models.yml"]
 HIDDEN_GLOB = "_schema*.yml"
 
 
+def _test_name(test) -> str:
+    """A test is a name, or a mapping from its name to its settings."""
+    return str(next(iter(test))) if isinstance(test, dict) and test else str(test)
+
+
 def _entries(path: str, text: str) -> Iterator[tuple]:
-    """Rows of one contract file; nothing for a file that is no YAML mapping of models."""
+    """Rows of one contract file; nothing for a file that cannot be read as a mapping of models."""
     try:
         data = yaml.safe_load(text)
-    except yaml.YAMLError:
+    except Exception:  # besides YAML errors, a bad date raises ValueError and deep nesting RecursionError
         return
     models = data.get("models") if isinstance(data, dict) else None
     for entry, model in enumerate(models if isinstance(models, list) else []):
@@ -34,7 +39,8 @@ def _entries(path: str, text: str) -> Iterator[tuple]:
         if not columns:
             yield path, entry, str(model["name"]), None, None, None
         for c in columns:
-            tests = [t if isinstance(t, str) else next(iter(t)) for t in c.get("tests") or []]
+            listed = c.get("tests") or []
+            tests = [_test_name(t) for t in (listed if isinstance(listed, list) else [listed])]
             declared = c.get("data_type")
             yield path, entry, str(model["name"]), str(c["name"]), None if declared is None else str(declared), tests
 

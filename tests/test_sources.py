@@ -134,6 +134,20 @@ def test_read_contracts(spark, tmp_path, rows):
     assert rows(one, "model", "column") == [("other", "x")]
 
 
+def test_odd_contract_files(spark, rows):
+    texts = {
+        "bad_date.yml": "models: [{name: a, at: 2024-13-45}]",
+        "list.yml": "- models",
+        "empty.yml": "",
+        "null.yml": "models:",
+        "tests.yml": "models: [{name: b, columns: [{name: x, tests: unique}, {name: y, tests: {a: 1}}, {name: z, tests: [null]}, text]}, text]",
+    }
+    df = spark.createDataFrame(list(texts.items()), "path string, content string")
+    assert rows(contracts.parse_contracts(df), "model", "column", "tests") == [
+        ("b", "x", ["unique"]), ("b", "y", ["a"]), ("b", "z", ["None"]),
+    ]
+
+
 def test_catalog(spark, rows):
     table = spark.createDataFrame([(1, "a", None), (2, None, 1.5)], "Id bigint, name string, score double")
     table.createOrReplaceTempView("scores")

@@ -38,13 +38,13 @@ def source(spark, **content):
 
 
 def test_syntax(spark):
-    files = source(spark, good=DAG, bad="def f(:\n  pass", nul="a = '\0'")
+    files = source(spark, good=DAG, bad="def f(:\n  pass", nul="a = '\0'", deep="(" * 5000 + ")" * 5000)
     found = {r.path: r for r in workflows.syntax(files).collect()}
     assert found["good"].ok and found["good"].lineno is None
     assert not found["bad"].ok and found["bad"].lineno == 1 and "def f(" in found["bad"].text
-    assert not found["nul"].ok
+    assert not found["nul"].ok and not found["deep"].ok
     assert [r.path for r in workflows.valid_files(files).collect()] == ["good"]
-    assert {r.artifact for r in workflows.syntax_findings(files).collect()} == {"bad", "nul"}
+    assert {r.artifact for r in workflows.syntax_findings(files).collect()} == {"bad", "nul", "deep"}
 
 
 def test_dag_inventory(spark, rows):
