@@ -182,7 +182,7 @@ REF_BLOCK, SOURCE_BLOCK = rf"\{{\{{\s*{REF_CALL}\s*\}}\}}", rf"\{{\{{\s*{SOURCE_
 
 # --- Fixed values: accepted values in model SQL -----------------------------------------------
 WHEN_EQUALS = r"(?i)WHEN\s+(\w+)\s*=\s*'([^']+)'"
-IN_LIST = r"(?i)(\w+)\s+IN\s*\(([^)]+)\)"
+IN_LIST = r"(?i)\b(\w+)\s+IN\s*\(([^)]+)\)"
 QUOTED_VALUE = r"'([^']+)'"
 
 # --- Fixed values: text of a generated contract -----------------------------------------------
@@ -244,7 +244,7 @@ PLAN_WORDS = [
 
 # --- Fixed values: workflow files -------------------------------------------------------------
 DAG_ID, TASK_ID = r"dag_id\s*=\s*[\"']([^\"']+)[\"']", r"task_id\s*=\s*[\"']([^\"']+)[\"']"
-OPERATOR = r"(\w+)\s*=\s*(\w+Operator|@task)\s*\("
+OPERATOR = r"\b(\w+)\s*=\s*(\w+Operator|@task)\s*\("
 CATCHUP_ON, CATCHUP_OFF = r"catchup\s*=\s*True", r"catchup\s*=\s*False"
 NO_RETRIES, NO_RETRIES_STRICT = r"retries[\"']?\s*[=:]\s*0", r"retries\s*=\s*0"
 SCHEDULE, NO_SCHEDULE = r"schedule(?:_interval)?\s*=\s*[\"']([^\"']+)[\"']", r"schedule_interval=None|schedule\s*=\s*None"

@@ -102,13 +102,22 @@ def model_facts(models: DataFrame) -> DataFrame:
 
 
 def _hint_pairs(sql: Column) -> Column:
-    pair = lambda c, v: F.struct(F.lower(c).alias("column"), v.alias("value"))
-    equal = F.zip_with(hits(sql, R.WHEN_EQUALS, 1), hits(sql, R.WHEN_EQUALS, 2), pair)
+    def pair(column: Column, value: Column) -> Column:
+        return F.struct(F.lower(column).alias("column"), value.alias("value"))
+
+    def part(match: Column, pattern: str, group: int) -> Column:
+        return F.regexp_extract(match, FLAGS + pattern, group)
+
+    # The whole text is searched once per pattern; the groups are read off the short matches.
+    equal = F.transform(
+        hits(sql, R.WHEN_EQUALS), lambda m: pair(part(m, R.WHEN_EQUALS, 1), part(m, R.WHEN_EQUALS, 2))
+    )
     lists = F.flatten(
-        F.zip_with(
-            hits(sql, R.IN_LIST, 1),
-            hits(sql, R.IN_LIST, 2),
-            lambda c, values: F.transform(hits(values, R.QUOTED_VALUE, 1), lambda v: pair(c, v)),
+        F.transform(
+            hits(sql, R.IN_LIST),
+            lambda m: F.transform(
+                hits(part(m, R.IN_LIST, 2), R.QUOTED_VALUE, 1), lambda v: pair(part(m, R.IN_LIST, 1), v)
+            ),
         )
     )
     return F.array_distinct(F.concat(equal, F.filter(lists, lambda p: p["column"] != "not")))
