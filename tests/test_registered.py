@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from mendline.plans.queries import TABLES
+from mendline.plans.queries import QUERIES, TABLES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables absent")
@@ -32,7 +32,7 @@ def table(columns, found):
     return sorted(tuple(plain(r[i]) for i in order) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, engine, name):
     df = entry.queries()[name](spark, DATA)
     result = engine.execute(entry.oracle_sql()[name])
