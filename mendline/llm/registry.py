@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendline.llm import extendible_dedup, rule_ensemble, simhash_ring
+from mendline.llm import extendible_dedup, piece_dropout, rule_ensemble, simhash_ring, source_mix
 from mendline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,18 @@ def query(f):
     return f
 
 
+@query
+def op1_piece_dropout(spark, sf):
+    """doc_id, piece_ids, n_ids, lossless of every document."""
+    return piece_dropout.round_trip(read(spark, sf, "documents"))
+
+
+@query
+def op2_source_mix(spark, sf):
+    """doc_id, source, size, source_size, target, taken of every document."""
+    return source_mix.mix(read(spark, sf, "documents"))
+
+
 @query
 def op6_exact_dedup(spark, sf):
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
