@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mendline.llm import extendible_dedup, piece_dropout, rule_ensemble, simhash_ring, source_mix
+from mendline.llm import crosspolytope, extendible_dedup, piece_dropout, rule_ensemble, simhash_ring, source_mix, toxic_spans
 from mendline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op2_source_mix(spark, sf):
     return source_mix.mix(read(spark, sf, "documents"))
 
 
+@query
+def op3_toxic_spans(spark, sf):
+    """doc_id, held_out, score, predicted, passages of every document."""
+    return toxic_spans.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 @query
 def op6_exact_dedup(spark, sf):
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
@@ -53,3 +59,9 @@ def op7_simhash_ring(spark, sf):
 def op8_rule_ensemble(spark, sf):
     """doc_id, held_out, score, predicted of every document."""
     return rule_ensemble.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@query
+def op9_crosspolytope(spark, sf):
+    """vec_id, n_links, component_id, kept of every vector."""
+    return crosspolytope.near_duplicates(read(spark, sf, "embeddings"))
