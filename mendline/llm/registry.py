@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mendline.llm import crosspolytope, extendible_dedup, piece_dropout, rule_ensemble, simhash_ring, source_mix, toxic_spans
+from mendline.llm import crosspolytope, extendible_dedup, piece_dropout, rule_ensemble, simhash_ring, source_mix, toxic_spans, warc_revisits
 from mendline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,55 @@ def op8_rule_ensemble(spark, sf):
 def op9_crosspolytope(spark, sf):
     """vec_id, n_links, component_id, kept of every vector."""
     return crosspolytope.near_duplicates(read(spark, sf, "embeddings"))
+
+
+@query
+def op10_warc_revisits(spark, sf):
+    """The answer to every revisit of the captures of all pages; headers as sorted lines."""
+    found = warc_revisits.resolve(warc_revisits.captures(read(spark, sf, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("revisit_id", "url_key", "ts", "status", "response_id", "digest", F.array_join(lines, "\n").alias("headers"))
+
+
+SQL["op10_warc_revisits"] = r"""
+WITH p AS (
+    SELECT page_id, url, sha1(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS n, page_id % 8 AS rest,
+        (page_id % 1000000) * 60 AS sec0
+    FROM pages
+), visits AS (
+    SELECT page_id * 2 AS record_id, 'response' AS kind, url, sec0 AS sec, digest AS etag, sec0 - 86400 AS changed, digest, n FROM p
+    UNION ALL
+    SELECT page_id * 2 + 1, 'revisit',
+        url || CASE WHEN contains(url, '#') THEN '' WHEN contains(url, '?') THEN '&utm_source=again' ELSE '?utm_source=again' END,
+        CASE WHEN rest = 7 THEN sec0 - 30 ELSE sec0 + 30 END,
+        CASE WHEN rest IN (1, 5) THEN 'x' || digest WHEN rest IN (2, 6) THEN NULL ELSE digest END, sec0 - 86400, digest, 0
+    FROM p
+), bare AS (
+    SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM visits
+), tidy AS (
+    SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\1', 'g'),
+        '[?&]+$', ''), '[?]&+', '?', 'g'), '&&+', '&', 'g') AS t FROM bare
+), split AS (
+    SELECT *, regexp_extract(t, '^[^/?]*') AS host, substr(t, length(regexp_extract(t, '^[^/?]*')) + 1) AS tail FROM tidy
+), rec AS (
+    SELECT *, nullif(regexp_replace(regexp_replace(lower(host), '^(www|m)[.]', ''), ':(80|443)$', '')
+        || regexp_replace(regexp_replace(tail, '/+$', ''), '/+[?]', '?', 'g'), '') AS url_key FROM split
+), met AS (
+    SELECT v.record_id AS revisit_id, v.url_key, v.sec, v.etag, v.changed, r.record_id AS response_id, r.etag AS r_etag,
+        r.changed AS r_changed, r.digest AS r_digest, r.n,
+        row_number() OVER (PARTITION BY v.record_id ORDER BY r.sec DESC NULLS LAST, r.record_id DESC) AS k
+    FROM rec v LEFT JOIN rec r ON r.kind = 'response' AND r.url_key = v.url_key AND r.sec < v.sec
+    WHERE v.kind = 'revisit'
+), judged AS (
+    SELECT *, CASE WHEN response_id IS NULL THEN 'orphan'
+        WHEN etag IS NOT NULL THEN CASE WHEN etag = r_etag THEN 'resolved' ELSE 'changed' END
+        WHEN changed = r_changed THEN 'resolved' ELSE 'changed' END AS status
+    FROM met WHERE k = 1
+)
+SELECT revisit_id, url_key, TIMESTAMP '2020-01-01 00:00:00' + to_seconds(sec) AS ts, status, response_id,
+    CASE WHEN status = 'resolved' THEN r_digest END AS digest,
+    CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || n || chr(10)
+        || 'content-type: text/html' || chr(10) || 'date: ' || strftime(TIMESTAMP '2020-01-01 00:00:00' + to_seconds(sec), '%Y-%m-%d %H:%M:%S')
+        || chr(10) || 'etag: ' || r_digest END AS headers
+FROM judged
+"""
