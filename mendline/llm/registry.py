@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendline.llm import crosspolytope, extendible_dedup, piece_dropout, rule_ensemble, simhash_ring, source_mix, toxic_spans, warc_revisits
+from mendline.llm import (
+    count_rollup,
+    crosspolytope,
+    extendible_dedup,
+    license_rules,
+    piece_dropout,
+    rule_ensemble,
+    simhash_ring,
+    source_mix,
+    toxic_spans,
+    warc_revisits,
+)
 from mendline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +48,18 @@ def op3_toxic_spans(spark, sf):
     return toxic_spans.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+@query
+def op4_license_rules(spark, sf):
+    """doc_id, licenses, sentence_ids, unknown of every document."""
+    return license_rules.scan(read(spark, sf, "documents"))
+
+
+@query
+def op5_count_rollup(spark, sf):
+    """Documents, tokens and characters by source, language and tokenizer version after three batches."""
+    return count_rollup.maintained(read(spark, sf, "documents"))
+
+
 @query
 def op6_exact_dedup(spark, sf):
     """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
