@@ -10,6 +10,7 @@ part of the text itself is too, so every text decodes to itself.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 from collections.abc import Iterator
@@ -25,11 +26,11 @@ from mendline.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-VARIANTS = 8
+VARIANTS = 4
 #: Units kept between blocks of about _BLOCK_CHARS characters; longest unit and number of rows that matrices take.
 _KEPT_UNITS, _BLOCK_CHARS = 400_000, 1 << 21
 _LONGEST_ROW, _ROWS = 32, 8192
-_NONE, _GONE, _BYTES = 1 << 40, -1, -2
+_NONE, _GONE, _BYTES = 1 << 30, -1, -2
 
 
 class Pieces:
@@ -58,12 +59,12 @@ class Pieces:
         self.limit_word = np.uint64(min(self.limit, _ALL))
         self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.n_kept = 0
-        self.of_char = np.full(0x110000, _BYTES, np.int64)
+        self.of_char = np.full(0x110000, _BYTES, np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self.of_char[ord(piece)] = i
         order = {s: r for r, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
-        self.rank = np.full(sp.get_piece_size(), _NONE, np.int64)
+        self.rank = np.full(sp.get_piece_size(), _NONE, np.int32)
         splits: dict[int, int] = {}
         for piece, i in self.ids.items():
             self.rank[i] = order[self.scores[piece]]
@@ -72,7 +73,7 @@ class Pieces:
                 if a is not None and b is not None:
                     splits[a << 20 | b] = i
         self.pairs = np.array(sorted(splits), np.int64)
-        self.made = np.array([splits[p] for p in self.pairs.tolist()], np.int64)
+        self.made = np.array([splits[p] for p in self.pairs.tolist()], np.int32)
 
     def merge(self, unit: str, variant: int) -> list[int]:
         """Ids of one unit by the agenda."""
@@ -114,10 +115,13 @@ class Pieces:
         return [self.byte_id[x] for x in (MARK if char == _TEXT_MARK else char).encode("utf-8", "surrogatepass")]
 
     def key(self, unit: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
+        try:
+            return xxhash.xxh3_64_intdigest(unit, self.seed * VARIANTS + variant)
+        except UnicodeEncodeError:  # it holds the stand-in
+            return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
 
-    def merge_many(self, units: list[str], variants: list[int]) -> list[bytes]:
-        """Packed ids of many units: the same agenda, one candidate of every unit at a time.
+    def merge_many(self, units: list[str], variant: int) -> list[bytes]:
+        """Packed ids of many units in one variant: the same agenda, one candidate of every unit at a time.
 
         A row of the matrices is a unit. ``rank`` holds for every symbol the order of its merge with the following symbol, or NONE; the
         least, leftmost one is what the agenda would give next.
@@ -126,21 +130,21 @@ class Pieces:
         rows, width = len(units), int(n.max())
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.arange(width) < n[:, None]
-        sym = np.full((rows, width + 1), _GONE, np.int64)
+        sym = np.full((rows, width + 1), _GONE, np.int32)
         sym[:, :width][inside] = self.of_char[code]
         chars = np.zeros((rows, width), np.uint32)
         chars[inside] = code
-        after = np.tile(np.arange(1, width + 2), (rows, 1))
-        before = np.tile(np.arange(-1, width), (rows, 1))
-        into = np.full((rows, width + 1), -1, np.int64)
+        after = np.tile(np.arange(1, width + 2, dtype=np.int32), (rows, 1))
+        before = np.tile(np.arange(-1, width, dtype=np.int32), (rows, 1))
+        into = np.full((rows, width + 1), -1, np.int32)
         into[:, :width] = self.joined(sym[:, :-1], sym[:, 1:])
         rank = np.where(into >= 0, self.rank[into], _NONE)
         keys = np.zeros(rows, np.uint64)
         if self.limit:
-            keys = np.array([self.key(u, v) for u, v in zip(units, variants)], np.uint64)
+            keys = np.array([self.key(u, variant) for u in units], np.uint64)
         live = np.arange(rows)
         while len(live):
-            left = rank[live].argmin(1)
+            left = (rank if len(live) == rows else rank[live]).argmin(1)
             found = rank[live, left] < _NONE
             live, left = live[found], left[found]
             piece = into[live, left]
@@ -169,7 +173,7 @@ class Pieces:
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
-        pair = (a << 20) | b
+        pair = (a.astype(np.int64) << 20) | b
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where((a >= 0) & (b >= 0) & (self.pairs[at] == pair), self.made[at], -1)
 
@@ -207,38 +211,37 @@ class Pieces:
             self.kept, self.n_kept = [{} for _ in range(self.variants)], 0
         cut = [self.units.findall(MARK + t.replace(MARK, _TEXT_MARK).replace(" ", MARK)) if t else [] for t in texts]
         which = [self.variants_of(k, len(u)) for k, u in zip(keys, cut)]
-        for v in range(self.variants):
-            kept = self.kept[v]
-            new = {u for units, w in zip(cut, which) for u in (units if w is None else [units[i] for i in np.nonzero(w == v)[0].tolist()])}
-            new.difference_update(kept)
-            by_width: dict[int, list[str]] = {}
-            for u in new:
-                by_width.setdefault(max(3, len(u).bit_length()), []).append(u)
-            for bits, units in by_width.items():
-                if 1 << bits > 2 * _LONGEST_ROW:
-                    kept.update((u, np.array(self.merge(u, v), np.int32).tobytes()) for u in units)
-                else:
-                    for i in range(0, len(units), _ROWS):
-                        some = units[i : i + _ROWS]
-                        kept.update(zip(some, self.merge_many(some, [v] * len(some))))
-            self.n_kept += len(new)
-        out = []
-        for units, w in zip(cut, which):
-            if w is None:
-                kept = self.kept[0]
-                out.append(b"".join([kept[u] for u in units]))
-            else:
-                kept = self.kept
-                out.append(b"".join([kept[v][u] for u, v in zip(units, w.tolist())]))
-        return out
-
-    def variants_of(self, key: int, n: int) -> np.ndarray | None:
-        """The variant of each unit of a document; None if there is but one."""
+        get = [kept.get for kept in self.kept]
+        found = [[get[v](u) for u, v in zip(units, w)] for units, w in zip(cut, which)]
+        missing = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new: list[set[str]] = [set() for _ in range(self.variants)]
+        for units, w, at in zip(cut, which, missing):
+            for i in at:
+                new[w[i]].add(units[i])
+        for v, units in enumerate(new):
+            self._keep(sorted(units, key=len), v)
+        for units, w, at, f in zip(cut, which, missing, found):
+            for i in at:
+                f[i] = self.kept[w[i]][units[i]]
+        return [b"".join(f) for f in found]
+
+    def _keep(self, units: list[str], variant: int) -> None:
+        """Merge units, sorted by length, and keep their ids."""
+        kept = self.kept[variant]
+        short = bisect.bisect_right(units, _LONGEST_ROW, key=len)
+        for i in range(0, short, _ROWS):
+            some = units[i : min(i + _ROWS, short)]
+            kept.update(zip(some, self.merge_many(some, variant)))
+        kept.update((u, np.array(self.merge(u, variant), np.int32).tobytes()) for u in units[short:])
+        self.n_kept += len(units)
+
+    def variants_of(self, key: int, n: int) -> list[int]:
+        """The variant of each unit of a document."""
         if self.variants == 1:
-            return None
+            return [0] * n
         with np.errstate(over="ignore"):
             place = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            return (_mixed_many(np.uint64(key & _ALL) + place) >> np.uint64(40)).astype(np.int64) % self.variants
+            return ((_mixed_many(np.uint64(key & _ALL) + place) >> np.uint64(40)).astype(np.int64) % self.variants).tolist()
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
