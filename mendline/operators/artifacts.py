@@ -47,15 +47,19 @@ def run_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def failed_nodes(results: DataFrame) -> DataFrame:
-    """Nodes that neither passed nor warned; the time is null where it is zero or absent."""
+def failed_nodes(results: DataFrame, message_chars: int | None = None) -> DataFrame:
+    """Nodes that neither passed nor warned; the time is null where it is zero or absent.
+
+    ``message_chars`` cuts the messages, ``rules.MESSAGE_CHARS`` by custom.
+    """
+    message = F.col("message") if message_chars is None else F.left("message", F.lit(message_chars))
     status = F.coalesce("status", F.lit(""))
     return results.filter(~status.isin(R.PASSED + R.WARNED)).select(
         "run_id",
         F.coalesce("unique_id", F.lit("unknown")).alias("node"),
         F.coalesce("status", F.lit("unknown")).alias("status"),
         F.when(F.col("execution_time") != 0, plain_decimal(F.col("execution_time"))).alias("seconds"),
-        F.left("message", F.lit(R.MESSAGE_CHARS)).alias("message"),
+        message.alias("message"),
     )
 
 

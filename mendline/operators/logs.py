@@ -27,6 +27,11 @@ def tail(content: Column, chars: int | None) -> Column:
     return content if chars is None else F.right(content, F.lit(chars))
 
 
+def head(content: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters, or all of them for ``None``."""
+    return content if chars is None else F.left(content, F.lit(chars))
+
+
 def split_lines(files: DataFrame, *keep: str) -> DataFrame:
     """Lines of each file, numbered from 1; ``keep`` names further columns to carry."""
     return files.select(
@@ -85,10 +90,13 @@ def _by_framework(name: Column, sets: dict[str, list[R.Rule]], use: Callable[[li
     return chosen.otherwise(use(sets["generic"]))
 
 
-def extract_errors(files: DataFrame, rule_sets: dict[str, list[R.Rule]] | None = None) -> DataFrame:
+def extract_errors(
+    files: DataFrame, rule_sets: dict[str, list[R.Rule]] | None = None, snippet_chars: int | None = None
+) -> DataFrame:
     """Every match of every rule of the file's framework, in rule order and then position.
 
-    An unknown framework gets the ``generic`` rules. Snippets are capped before they leave the scan.
+    An unknown framework gets the ``generic`` rules. ``snippet_chars`` cuts the snippets before they leave the scan,
+    ``rules.SNIPPET_CHARS`` by custom.
     """
     content, folded = F.col("content"), F.col("folded")
 
@@ -98,9 +106,7 @@ def extract_errors(files: DataFrame, rule_sets: dict[str, list[R.Rule]] | None =
                 F.struct(
                     F.lit(no).alias("rule_no"),
                     F.lit(rule.rule_id).alias("rule_id"),
-                    F.transform(
-                        _rule_hits(rule, content, folded), lambda m: F.left(strip(m), F.lit(R.SNIPPET_CHARS))
-                    ).alias("snippets"),
+                    F.transform(_rule_hits(rule, content, folded), lambda m: head(strip(m), snippet_chars)).alias("snippets"),
                 )
                 for no, rule in enumerate(rules, 1)
             ]
@@ -114,19 +120,22 @@ def extract_errors(files: DataFrame, rule_sets: dict[str, list[R.Rule]] | None =
 
 
 def dedup_snippets(snippets: DataFrame) -> DataFrame:
-    """First snippet per file and 200-character prefix, over all rules.
+    """First of equal snippets per file, over all rules; ``snippet_key`` shows the first 200 characters.
 
-    A minimum per key rather than a ranked window: repeats collapse before the shuffle.
+    A minimum per snippet rather than a ranked window: repeats collapse before the shuffle.
     """
     return (
-        snippets.withColumn("snippet_key", F.left("snippet", F.lit(R.SNIPPET_KEY_CHARS)))
-        .groupBy("path", "framework", "snippet_key")
-        .agg(
-            F.min(F.struct("rule_no", "pos", "rule_id", "snippet")).alias("first"),
-            F.count("*").alias("n_repeats"),
-        )
+        snippets.groupBy("path", "framework", "snippet")
+        .agg(F.min(F.struct("rule_no", "pos", "rule_id")).alias("first"), F.count("*").alias("n_repeats"))
         .select(
-            "path", "framework", "first.rule_no", "first.rule_id", "first.pos", "first.snippet", "snippet_key", "n_repeats"
+            "path",
+            "framework",
+            "first.rule_no",
+            "first.rule_id",
+            "first.pos",
+            "snippet",
+            F.left("snippet", F.lit(R.SNIPPET_KEY_CHARS)).alias("snippet_key"),
+            "n_repeats",
         )
     )
 
@@ -147,22 +156,22 @@ def files_without_errors(files: DataFrame) -> DataFrame:
 
 def _unique_chains(chains: DataFrame) -> DataFrame:
     return (
-        chains.withColumn("chain_key", F.left("chain", F.lit(R.CHAIN_KEY_CHARS)))
-        .groupBy("path", "chain_key")
-        .agg(F.min(F.struct("pos", "chain")).alias("first"), F.count("*").alias("n_repeats"))
-        .select("path", "first.pos", "first.chain", "chain_key", "n_repeats")
+        chains.groupBy("path", "chain")
+        .agg(F.min("pos").alias("pos"), F.count("*").alias("n_repeats"))
+        .select("path", "pos", "chain", F.left("chain", F.lit(R.CHAIN_KEY_CHARS)).alias("chain_key"), "n_repeats")
     )
 
 
-def exception_chains(files: DataFrame, tail_chars: int | None = None) -> DataFrame:
-    """Distinct exception chains (head, frames, ``Caused by`` parts) of each file.
+def exception_chains(files: DataFrame, tail_chars: int | None = None, chain_chars: int | None = None) -> DataFrame:
+    """Distinct exception chains (head, frames, ``Caused by`` parts) of each file; ``chain_key`` shows the first 150 characters.
 
-    ``tail_chars`` (here and below) restricts the analysis to the recent end of a file, ``rules.JVM_TAIL_CHARS`` by custom.
+    ``tail_chars`` (here and below) restricts the analysis to the recent end of a file, ``rules.JVM_TAIL_CHARS`` by custom;
+    ``chain_chars`` cuts the chains, ``rules.CHAIN_CHARS`` by custom.
     """
     rule = R.Rule("chain", R.JVM_CHAIN, needs=R.JVM_CHAIN_NEEDS)
     found = let(tail(F.col("content"), tail_chars), lambda text: _rule_hits(rule, text, text))
-    capped = F.transform(found, lambda m: F.left(strip(m), F.lit(R.CHAIN_CHARS)))
-    raw = files.select("path", F.posexplode(capped).alias("pos", "chain"))
+    shown = F.transform(found, lambda m: head(strip(m), chain_chars))
+    raw = files.select("path", F.posexplode(shown).alias("pos", "chain"))
     return _unique_chains(raw.withColumn("pos", F.col("pos").cast("bigint")))
 
 
@@ -177,14 +186,16 @@ def first_per_path(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= n).join(totals, "path")
 
 
-def exception_chains_from_lines(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def exception_chains_from_lines(
+    lines: DataFrame, block_lines: int = BLOCK_LINES, chain_chars: int | None = None
+) -> DataFrame:
     """``exception_chains`` on a line table, exact for files of any length.
 
     A line is *hard* when it cannot continue a chain. A chain runs from the first head line at or after
     the last hard line up to the next hard line, so two running maxima decide membership: the last hard
     line and the last head line. They are taken inside blocks of ``block_lines`` lines; one
     summary row per block carries them to the following blocks. The text is read and shuffled once: lines that can
-    be in no chain are dropped right behind it. White space at the cap is dropped.
+    be in no chain are dropped right behind it. ``chain_chars`` cuts the chains; a whole chain is gathered in one row.
     """
     text, no = F.col("text"), F.col("line_no")
     # Most lines start with a digit, letter or bracket; only the others can be blank or indented.
@@ -199,7 +210,7 @@ def exception_chains_from_lines(lines: DataFrame, block_lines: int = BLOCK_LINES
         (F.startswith(text, F.lit("at ")) & (F.length(text) > 3)).alias("bare_at"),
         F.startswith(text, F.lit("Caused by:")).alias("caused"),
         F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
-        F.left(text, F.lit(R.CHAIN_CHARS)).alias("text"),
+        head(text, chain_chars).alias("text"),
     ).withColumn("text", F.when(F.col("blank") | F.col("frame") | F.col("bare_at") | F.col("caused"), text))
 
     def hard(after_blank: Column) -> Column:
@@ -260,56 +271,41 @@ def exception_chains_from_lines(lines: DataFrame, block_lines: int = BLOCK_LINES
         .select("path", "block", "seg", "line_no", "head", F.coalesce("text", "head").alias("text"))
     )
 
-    # Only the first CHAIN_CHARS characters of a chain are reported: drop lines past them block by
-    # block, then with the characters of the blocks before, so a chain is gathered from few rows.
-    cap = F.lit(R.CHAIN_CHARS)
+    shown = members if chain_chars is None else _first_chars(members, chain_chars)
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "head", "text")))
+    rest = F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.concat(F.lit("\n"), x["text"]))
+    whole = F.concat(F.col("l")[0]["head"], F.array_join(rest, ""))
+    chains = (
+        shown.groupBy("path", "seg")
+        .agg(ordered.alias("l"))
+        .select("path", F.col("l")[0]["line_no"].alias("pos"), strip(head(whole, chain_chars)).alias("chain"))
+    )
+    return _unique_chains(chains)
+
+
+def _first_chars(members: DataFrame, chars: int) -> DataFrame:
+    """Lines that begin within the first ``chars`` characters of their chain.
+
+    Later ones are dropped block by block, then with the characters of the blocks before, so a chain is gathered from few rows.
+    """
+    cap = F.lit(chars)
     in_part = Window.partitionBy("path", "block", "seg")
     size = F.length("text") + 1
+    so_far = in_part.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
         members.withColumn("part_chars", F.sum(size).over(in_part))
-        .withColumn(
-            "before",
-            F.coalesce(
-                F.sum(size).over(in_part.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
+        .withColumn("before", F.coalesce(F.sum(size).over(so_far), F.lit(0)))
         .filter(F.col("before") < cap)
     )
+    earlier = Window.partitionBy("path", "seg").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         parts.groupBy("path", "seg", "block")
         .agg(F.max("part_chars").alias("part_chars"))
-        .withColumn(
-            "offset",
-            F.coalesce(
-                F.sum("part_chars").over(
-                    Window.partitionBy("path", "seg").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
+        .withColumn("offset", F.coalesce(F.sum("part_chars").over(earlier), F.lit(0)))
         .filter(F.col("offset") < cap)
         .drop("part_chars")
     )
-    shown = parts.join(offsets, ["path", "seg", "block"]).filter(F.col("offset") + F.col("before") < cap)
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "head", "text")))
-    chains = (
-        shown.groupBy("path", "seg")
-        .agg(ordered.alias("l"))
-        .select(
-            "path",
-            F.col("l")[0]["line_no"].alias("pos"),
-            strip(
-                F.left(
-                    F.concat(
-                        F.col("l")[0]["head"],
-                        F.array_join(F.transform(F.slice("l", 2, R.CHAIN_CHARS), lambda x: F.concat(F.lit("\n"), x["text"])), ""),
-                    ),
-                    cap,
-                )
-            ).alias("chain"),
-        )
-    )
-    return _unique_chains(chains)
+    return parts.join(offsets, ["path", "seg", "block"]).filter(F.col("offset") + F.col("before") < cap)
 
 
 # --- issues -----------------------------------------------------------------------------------
@@ -327,10 +323,13 @@ def _finding(rule_id: str, severity: str, n: Column, evidence: Column) -> Column
     )
 
 
-def issue_findings(files: DataFrame, strict: bool = False, tail_chars: int | None = None) -> DataFrame:
+def issue_findings(
+    files: DataFrame, strict: bool = False, tail_chars: int | None = None, stage_matches: int | None = None
+) -> DataFrame:
     """Out-of-memory, shuffle, stage, executor and skew findings with match counts, one row per file and rule.
 
-    Stage failures show the distinct texts of the first matches; the others show the first match.
+    Stage failures show their distinct texts, those of the first ``stage_matches`` matches if that is given
+    (``rules.STAGE_MATCHES`` by custom); the others are counted and show one example, the first match.
     ``strict`` keeps the narrow wording of stage failures.
     """
     text, folded = F.col("text"), F.col("folded")
@@ -339,7 +338,8 @@ def issue_findings(files: DataFrame, strict: bool = False, tail_chars: int | Non
     for severity, rule in _issue_rules(strict):
         matches.append(_rule_hits(rule, text, folded).alias(rule.rule_id))
         if rule.rule_id == "stage_failure":
-            shown = F.array_join(F.array_distinct(F.slice(rule.rule_id, 1, R.STAGE_MATCHES)), "\n")
+            texts = F.col(rule.rule_id) if stage_matches is None else F.slice(rule.rule_id, 1, stage_matches)
+            shown = F.array_join(F.array_distinct(texts), "\n")
         else:
             shown = F.get(rule.rule_id, F.lit(0))
         found.append(_finding(rule.rule_id, severity, F.size(rule.rule_id), shown))
@@ -354,7 +354,7 @@ def issue_findings(files: DataFrame, strict: bool = False, tail_chars: int | Non
 
 
 def line_hits(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per line and rule it matches; ``signature`` is the match cut to 80 characters.
+    """One row per line and rule it matches; ``signature`` shows the first 80 characters of the match.
 
     Columns other than ``text``, such as an event time, pass through.
     """
@@ -383,15 +383,18 @@ def _warn_rule(strict: bool) -> R.Rule:
     return R.Rule("warn_line", R.WARN_LINE_STRICT if strict else R.WARN_LINE, 1, R.WARN_LINE_NEEDS)
 
 
-def warn_lines(lines: DataFrame, strict: bool = False, first: int | None = R.WARNS_SHOWN) -> DataFrame:
-    """Level lines unique by their first 80 characters, and the first ``first`` of each path."""
+def warn_lines(lines: DataFrame, strict: bool = False, first: int | None = None) -> DataFrame:
+    """Distinct level lines of each path; ``line_key`` shows the first 80 characters.
+
+    ``first`` keeps the first so many of each path, with rank and total, ``rules.WARNS_SHOWN`` by custom.
+    """
     rule, text = _warn_rule(strict), F.col("text")
     unique = (
         lines.filter(_rule_has(rule, text, text))
         .select("path", "line_no", first_hit(text, rule.pattern, rule.group).alias("line"))
-        .groupBy("path", F.left("line", F.lit(R.WARN_KEY_CHARS)).alias("line_key"))
-        .agg(F.min(F.struct("line_no", "line")).alias("f"), F.count("*").alias("n_repeats"))
-        .select("path", "line_key", F.col("f.line_no").alias("line_no"), F.col("f.line").alias("line"), "n_repeats")
+        .groupBy("path", "line")
+        .agg(F.min("line_no").alias("line_no"), F.count("*").alias("n_repeats"))
+        .select("path", F.left("line", F.lit(R.WARN_KEY_CHARS)).alias("line_key"), "line_no", "line", "n_repeats")
     )
     return unique if first is None else first_per_path(unique, "line_no", first)
 
@@ -418,23 +421,25 @@ def rollup_by_rule(line_findings: DataFrame) -> DataFrame:
 
 
 def top_signatures(line_findings: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent (rule, signature) pairs with the number of paths they occur in."""
-    return (
-        line_findings.groupBy("rule_id", "signature")
-        .agg(F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_paths"))
-        .orderBy(F.desc("n_hits"), "rule_id", "signature")
-        .limit(k)
+    """The ``k`` most frequent (rule, match) pairs with the number of paths they occur in."""
+    return signatures(line_findings).orderBy(F.desc("n_hits"), "rule_id", "evidence").limit(k)
+
+
+def signatures(line_findings: DataFrame) -> DataFrame:
+    """Hits and paths of every (rule, match) pair."""
+    return line_findings.groupBy("rule_id", "evidence").agg(F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_paths"))
+
+
+def snippet_counts(snippets: DataFrame) -> DataFrame:
+    """Hits and files of every snippet of a framework, per rule."""
+    return snippets.groupBy("framework", "rule_id", "snippet").agg(
+        F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_paths")
     )
 
 
 def top_snippets(snippets: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent snippet prefixes over all files of a framework, per rule."""
-    return (
-        snippets.groupBy("framework", "rule_id", F.left("snippet", F.lit(R.SNIPPET_KEY_CHARS)).alias("snippet_key"))
-        .agg(F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_paths"))
-        .orderBy(F.desc("n_hits"), "framework", "rule_id", "snippet_key")
-        .limit(k)
-    )
+    """The ``k`` most frequent snippets over all files of a framework, per rule."""
+    return snippet_counts(snippets).orderBy(F.desc("n_hits"), "framework", "rule_id", "snippet").limit(k)
 
 
 def tail_stats(files: DataFrame, tail_chars: int = R.JVM_TAIL_CHARS) -> DataFrame:

@@ -115,7 +115,7 @@ def _set_test(name: str) -> str:
 _SNIPPETS = union(
     [
         f"SELECT path, framework, {no} AS rule_no, '{rule.rule_id}' AS rule_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, "
-        f"left({strip('unnest(m)')}, {R.SNIPPET_CHARS}) AS snippet "
+        f"{strip('unnest(m)')} AS snippet "
         f"FROM (SELECT path, framework, {found('content', rule.pattern, rule.group)} AS m FROM {_FILES} WHERE {_set_test(name)})"
         for name, rules in R.EXTRACTION_RULES.items()
         for no, rule in enumerate(rules, 1)
@@ -124,23 +124,23 @@ _SNIPPETS = union(
 SQL["log_snippets"] = _SNIPPETS
 SQL["log_snippet_dedup"] = f"""
 SELECT path, framework, rule_no, rule_id, pos, snippet, snippet_key, n_repeats
-FROM (SELECT *, count(*) OVER (PARTITION BY path, snippet_key) AS n_repeats,
-        row_number() OVER (PARTITION BY path, snippet_key ORDER BY rule_no, pos) AS rn
-      FROM (SELECT *, left(snippet, {R.SNIPPET_KEY_CHARS}) AS snippet_key FROM ({_SNIPPETS})))
+FROM (SELECT *, count(*) OVER (PARTITION BY path, snippet) AS n_repeats,
+        row_number() OVER (PARTITION BY path, snippet ORDER BY rule_no, pos) AS rn
+      FROM (SELECT *, left(snippet, 200) AS snippet_key FROM ({_SNIPPETS})))
 WHERE rn = 1"""
 SQL["log_snippet_topk"] = f"""
-SELECT framework, rule_id, left(snippet, {R.SNIPPET_KEY_CHARS}) AS snippet_key, count(*) AS n_hits, count(DISTINCT path) AS n_paths
-FROM ({_SNIPPETS}) GROUP BY ALL ORDER BY n_hits DESC, framework, rule_id, snippet_key LIMIT 20"""
+SELECT framework, rule_id, snippet, count(*) AS n_hits, count(DISTINCT path) AS n_paths
+FROM ({_SNIPPETS}) GROUP BY ALL ORDER BY n_hits DESC, framework, rule_id, snippet LIMIT 20"""
 SQL["log_files_without_errors"] = (
     f"SELECT path, framework FROM {_FILES} WHERE path NOT IN (SELECT path FROM ({_SNIPPETS}))"
 )
 
 _CHAINS = f"""
 SELECT path, pos, chain, chain_key, n_repeats FROM (
-  SELECT *, row_number() OVER (PARTITION BY path, chain_key ORDER BY pos) AS rn,
-    count(*) OVER (PARTITION BY path, chain_key) AS n_repeats
-  FROM (SELECT path, pos, chain, left(chain, {R.CHAIN_KEY_CHARS}) AS chain_key FROM (
-    SELECT path, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos, left({strip('unnest(m)')}, {R.CHAIN_CHARS}) AS chain
+  SELECT *, row_number() OVER (PARTITION BY path, chain ORDER BY pos) AS rn,
+    count(*) OVER (PARTITION BY path, chain) AS n_repeats
+  FROM (SELECT path, pos, chain, left(chain, 150) AS chain_key FROM (
+    SELECT path, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos, {strip('unnest(m)')} AS chain
     FROM (SELECT path, {found('content', R.JVM_CHAIN)} AS m FROM {C.LOG_FILES.sql}))))
 WHERE rn = 1"""
 SQL["log_exception_chains"] = _CHAINS
@@ -158,10 +158,10 @@ s AS (SELECT *, coalesce(max(CASE WHEN hard THEN line_no END) OVER w, -1) AS seg
     max(CASE WHEN head <> '' THEN line_no END) OVER w AS last_head FROM h WINDOW w AS (PARTITION BY path ORDER BY line_no)),
 f AS (SELECT *, min(line_no) OVER (PARTITION BY path, seg) AS first FROM s WHERE last_head >= seg),
 c AS (SELECT path, min(line_no) AS pos,
-    {strip(f"left(string_agg(CASE WHEN line_no = first THEN head ELSE text END, chr(10) ORDER BY line_no), {R.CHAIN_CHARS})")} AS chain
+    {strip("string_agg(CASE WHEN line_no = first THEN head ELSE text END, chr(10) ORDER BY line_no)")} AS chain
   FROM f GROUP BY path, seg)
-SELECT path, min(pos) AS pos, arg_min(chain, pos) AS chain, left(chain, {R.CHAIN_KEY_CHARS}) AS chain_key, count(*) AS n_repeats
-FROM c GROUP BY path, left(chain, {R.CHAIN_KEY_CHARS})"""
+SELECT path, min(pos) AS pos, chain, left(chain, 150) AS chain_key, count(*) AS n_repeats
+FROM c GROUP BY path, chain"""
 
 
 def _issue_sql(strict: bool = False, files: str = C.LOG_FILES.sql, text: str = "content") -> str:
@@ -170,7 +170,7 @@ def _issue_sql(strict: bool = False, files: str = C.LOG_FILES.sql, text: str = "
         name, pattern = rule.rule_id, (R.JVM_ISSUES_STRICT.get(rule.rule_id, rule) if strict else rule).pattern
         shown = "m[1]"
         if name == "stage_failure":
-            shown = f"array_to_string(list_filter(m[1:{R.STAGE_MATCHES}], lambda x, i: list_position(m, x) = i), chr(10))"
+            shown = f"array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), chr(10))"
         source = f"(SELECT path, {found(text, pattern)} AS m FROM {files})"
         parts.append(findings(source, "log", "path", [(name, severity, "len(m) > 0", "len(m)", shown)]))
     return union(parts)
@@ -180,12 +180,9 @@ SQL["log_issue_flags"] = _issue_sql()
 SQL["log_tail_issues"] = _issue_sql(files=C.LONG_LOGS.sql, text=f"right(content, {R.JVM_TAIL_CHARS})")
 SQL["log_stage_failures"] = f"SELECT artifact, n, evidence FROM ({_issue_sql(True)}) WHERE rule_id = 'stage_failure'"
 SQL["log_warn_lines"] = f"""
-SELECT path, line_key, line_no, line, n_repeats, rank, n_total FROM (
-  SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rank, count(*) OVER (PARTITION BY path) AS n_total
-  FROM (SELECT path, left(line, {R.WARN_KEY_CHARS}) AS line_key, min(line_no) AS line_no, arg_min(line, line_no) AS line, count(*) AS n_repeats
-    FROM (SELECT path, line_no, regexp_extract(text, {rx(R.WARN_LINE)}, 1) AS line FROM {C.LOG_LINES.sql} WHERE {has('text', R.WARN_LINE)})
-    GROUP BY path, left(line, {R.WARN_KEY_CHARS})))
-WHERE rank <= {R.WARNS_SHOWN}"""
+SELECT path, left(line, 80) AS line_key, min(line_no) AS line_no, line, count(*) AS n_repeats
+FROM (SELECT path, line_no, regexp_extract(text, {rx(R.WARN_LINE)}, 1) AS line FROM {C.LOG_LINES.sql} WHERE {has('text', R.WARN_LINE)})
+GROUP BY path, line"""
 SQL["log_tail_window"] = f"""
 SELECT path, length(content) AS n_chars, length(t) AS n_tail_chars, length(t) - length(replace(t, chr(10), '')) AS n_tail_breaks, md5(t) AS tail_md5
 FROM (SELECT path, content, right(content, {R.JVM_TAIL_CHARS}) AS t FROM {C.LONG_FILES.sql})"""
@@ -211,8 +208,8 @@ SELECT path, rule_id, severity, count(*) AS n_hits, min(line_no) AS first_line,
 FROM ({_HITS}) GROUP BY path, rule_id, severity"""
 SQL["log_rollup_topk"] = f"""
 WITH l AS (SELECT * FROM {C.LOG_LINES.sql})
-SELECT rule_id, left(evidence, {R.WARN_KEY_CHARS}) AS signature, count(*) AS n_hits, count(DISTINCT path) AS n_paths
-FROM ({_HITS}) GROUP BY ALL ORDER BY n_hits DESC, rule_id, signature LIMIT 20"""
+SELECT rule_id, evidence, count(*) AS n_hits, count(DISTINCT path) AS n_paths
+FROM ({_HITS}) GROUP BY ALL ORDER BY n_hits DESC, rule_id, evidence LIMIT 20"""
 
 # --- run artifacts ----------------------------------------------------------------------------
 
@@ -233,7 +230,7 @@ SELECT run_id, count(*) AS n_executed, count(*) FILTER ({_OK}) AS n_succeeded, c
 FROM {C.RUN_RESULTS.sql} GROUP BY run_id"""
 SQL["run_failed_nodes"] = f"""
 SELECT run_id, coalesce(unique_id, 'unknown') AS node, coalesce(status, 'unknown') AS status,
-  CASE WHEN execution_time <> 0 THEN CAST(CAST(execution_time AS DECIMAL(18,2)) AS VARCHAR) END AS seconds, left(message, 1000) AS message
+  CASE WHEN execution_time <> 0 THEN CAST(CAST(execution_time AS DECIMAL(18,2)) AS VARCHAR) END AS seconds, message
 FROM {C.RUN_RESULTS.sql} WHERE NOT {_OK} AND NOT {_WARN}"""
 
 
