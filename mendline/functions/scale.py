@@ -1,106 +1,36 @@
-"""Helpers that keep plans flat when one key holds a large share of the rows."""
+"""Helpers for long plans and for orders over whole tables.
 
-from __future__ import annotations
+Joins with heavy keys are left to adaptive execution, which splits such keys by their measured size.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: list[str] = []
-
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder for cut points: ``spark.checkpoint.dir`` of the session.
-
-    A temporary folder is used only in local mode with the setting absent.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="mendline-"))
-    return _LOCAL_SCRATCH[0]
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for cut points: ``spark.checkpoint.dir`` of the session; where that is unset, one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back.
+    """``df`` written to the shared folder: nothing before it is computed again when an executor is lost.
 
-    The result has no lineage to recompute after an executor is lost, and carries
-    exact size statistics, so Spark itself decides which join sides to broadcast.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files once nothing refers to them.
     """
-    return cut_counted(df)[0]
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut`` and the number of rows, which the write itself counts."""
-    spark = df.sparkSession
-    target = f"{scratch_dir(spark)}/mendline-{uuid.uuid4().hex}"
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
-    return spark.read.schema(df.schema).parquet(target), seen.get["n"]
-
-
-def salted_join(
-    many: DataFrame, one: DataFrame, on: list[str], spread: Column, how: str = "inner", salts: int = 16
-) -> DataFrame:
-    """Join ``many`` to ``one`` (few rows per key) with each key cut into ``salts`` parts.
-
-    ``spread`` is an expression over ``many`` that differs between rows of one key. A key that
-    holds a third of ``many`` then goes to ``salts`` tasks instead of one. ``one`` is repeated
-    ``salts`` times, so it should be the narrow side.
-    """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def heavy_keys(df: DataFrame, key: str, least: int = 100_000) -> list:
-    """The keys with the most rows, at most 256 of them and only above ``least`` rows.
-
-    Any other key holds under 1/256 of the rows, so the list is bounded whatever the data.
-    """
-    counts = df.groupBy(key).count().filter(F.col("count") > least)
-    return [r[0] for r in counts.orderBy(F.desc("count")).limit(256).select(key).collect()]
-
-
-def hot_key_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    left_spread: Column,
-    right_spread: Column | None = None,
-    how: str = "inner",
-    left_heavy: list | None = None,
-    right_heavy: list | None = None,
-) -> DataFrame:
-    """Join on ``key`` with only the heavy keys cut into parts; all other rows are joined as they are.
-
-    A key heavy on one side has that side spread over 64 parts and the other side's rows repeated for each; a key
-    heavy on both has either side spread over 8 parts and repeated for the other's. The spread expressions differ
-    between rows of one key. Heavy keys not given are counted here; ``right`` is taken as unique without ``right_spread``.
-    """
-    in_left = heavy_keys(left, key) if left_heavy is None else left_heavy
-    in_right = [] if right_spread is None else heavy_keys(right, key) if right_heavy is None else right_heavy
-    if not in_left and not in_right:
-        return left.join(right, key, how)
-    is_left = F.col(key).isin(in_left) if in_left else F.lit(False)
-    is_right = F.col(key).isin(in_right) if in_right else F.lit(False)
-    left_parts = F.when(is_left & is_right, 8).when(is_left, 64).otherwise(1)
-    right_parts = F.when(is_left & is_right, 8).when(is_right, 64).otherwise(1)
-
-    def part(spread: Column | None, parts: Column) -> Column:
-        return F.lit(0) if spread is None else F.pmod(F.xxhash64(spread), parts).cast("int")
-
-    def every(parts: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), parts - 1))
-
-    cut_left = left.withColumn("_a", part(left_spread, left_parts)).withColumn("_b", every(right_parts))
-    cut_right = right.withColumn("_b", part(right_spread, right_parts)).withColumn("_a", every(left_parts))
-    return cut_left.join(cut_right, [key, "_a", "_b"], how).drop("_a", "_b")
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return done, seen.get["n"]
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

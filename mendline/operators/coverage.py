@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import salted_join
 
 
 def _filtered(models: DataFrame, contracts: DataFrame, model: str | None) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +55,7 @@ def untested_columns(models: DataFrame, contracts: DataFrame, model: str | None
     models, contracts = _filtered(models, contracts, model)
     untested = _named_columns(contracts).filter(F.coalesce(F.size("tests"), F.lit(0)) == 0).select("model", "column")
     names = models.select(F.col("name").alias("model")).distinct()
-    return salted_join(untested, names, ["model"], F.col("column"), "left_semi")
+    return untested.join(names, "model", "left_semi")
 
 
 def coverage_summary(models: DataFrame, contracts: DataFrame, model: str | None = None) -> DataFrame:

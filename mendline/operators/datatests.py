@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.scale import salted_join
 
 TEST_COLUMNS = ["model", "column", "test", "ref_model", "ref_field", "accepted"]
 
@@ -84,7 +84,8 @@ def infer_references(columns: DataFrame, shared: DataFrame, own: DataFrame | Non
         .groupBy("name_lower")
         .agg(F.min(F.struct("pos", "name")).alias("shared_hit"))
     )
-    found = salted_join(refs.withColumn("name_lower", F.lower("column")), per_name, ["name_lower"], F.col("model"), "left")
+    # One name may stand for much of the columns; adaptive execution splits that side of the join.
+    found = refs.withColumn("name_lower", F.lower("column")).join(per_name, "name_lower", "left")
     best = F.col("shared_hit")
     if own is not None:
         per_model = (
@@ -193,6 +194,8 @@ def unaccepted_values(table: DataFrame, column: str, accepted: Sequence | DataFr
 def observed_values(table: DataFrame, columns: Sequence[str], at_most: int) -> DataFrame:
     """Accepted values read off the data: sorted distinct values of columns with no more than ``at_most``.
 
+    One row per column; ``accepted`` is null for a column with more values, and empty for one with none.
+
     A sketch of each column, one row for the whole table, first rules out the columns with many values, so that keys are
     never shuffled. A sketch of 4k registers or more reads at most 1.2k for k values, so no column within the
     limit is ruled out. The others are counted exactly.
@@ -204,9 +207,15 @@ def observed_values(table: DataFrame, columns: Sequence[str], at_most: int) -> D
     pairs = pairs or [F.struct(F.lit("").alias("column"), F.lit(None).cast("string").alias("value"))]
     long = table.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter(F.col("value").isNotNull())
     values = long.groupBy("column", "value").agg(F.count("*").alias("n_rows"))
-    small = values.groupBy("column").agg(F.count("*").alias("n_values")).filter(F.col("n_values") <= at_most)
+    sizes = values.groupBy("column").agg(F.count("*").alias("n_values"))
+    small = sizes.filter(F.col("n_values") <= at_most)
+    kept = values.join(small, "column", "left_semi").groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("accepted"))
+    listed = table.sparkSession.createDataFrame([(c, c in few) for c in columns], "column string, few boolean")
+    empty = F.col("few") & F.col("n_values").isNull()
     return (
-        values.join(small, "column", "left_semi").groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("accepted"))
+        listed.join(sizes, "column", "left")
+        .join(kept, "column", "left")
+        .select("column", F.when(empty, F.array().cast("array<string>")).otherwise(F.col("accepted")).alias("accepted"))
     )
 
 
@@ -226,50 +235,82 @@ def check_total(failing: DataFrame, model: str, column: str, test: str) -> DataF
     )
 
 
+def _row_tests(table: DataFrame, tests: Sequence[tuple[int, Mapping]]) -> DataFrame:
+    """``(id, n_keys, n_failed)`` of the not-null and accepted-value tests of one table, in one pass over it.
+
+    Only failing rows leave the scan, counted per value before anything is shuffled. Tests without one give no row.
+    """
+    failing = []
+    for no, t in tests:
+        value = F.col(t["column"])
+        bad = value.isNull() if t["test"] == "not_null" else value.isNotNull() & ~value.isin(list(t["accepted"]))
+        failing.append(F.when(bad, F.struct(F.lit(no).alias("id"), value.cast("string").alias("value"))))
+    found = table.select(F.explode(F.array_compact(F.array(*failing))).alias("f")).groupBy("f.id", "f.value").agg(F.count("*").alias("n"))
+    keys = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(1))
+    return found.groupBy("id").agg(keys.alias("n_keys"), F.sum("n").alias("n_failed"))
+
+
+def _key_tests(tables: Mapping[str, DataFrame], model: str, column: str, tests: Sequence[tuple[int, Mapping]]) -> list[DataFrame]:
+    """``(id, n_keys, n_failed)`` of the uniqueness and relationship tests of one column, all from one count per key."""
+    keys = tables[model].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n_rows"))
+    out = []
+    for no, t in tests:
+        if t["test"] == "unique":
+            failing = keys.filter("n_rows > 1")
+        else:
+            parents = tables[t["ref_model"]].select(F.col(t["ref_field"]).alias("key")).distinct()
+            failing = keys.join(parents, "key", "left_anti")
+        out.append(failing.agg(F.lit(no).alias("id"), F.count("*").alias("n_keys"), F.sum("n_rows").alias("n_failed")))
+    return out
+
+
+def _missing(tables: Mapping[str, DataFrame], t: Mapping) -> bool:
+    ends = [(t["model"], t["column"])] + ([(t["ref_model"], t["ref_field"])] if t["test"] == "relationships" else [])
+    return any(m not in tables or c not in tables[m].columns for m, c in ends)
+
+
 def run_tests(tables: Mapping[str, DataFrame], tests: Sequence[Mapping]) -> DataFrame:
-    """Evaluate a test list on ``tables``: one row per test with its failing keys and rows.
+    """Evaluate a test list on ``tables``: one row per test with its failing keys and rows and its ``status``.
 
-    ``tests`` is the (small) test definition table as rows. All not-null tests of a table share one pass.
+    ``tests`` is the (small) test definition table as rows. A table is read once for all its not-null and accepted-value tests, and
+    once for each column with uniqueness or relationship tests. A test whose table or column is absent is ``not_evaluable``
+    with null counts; the others are ``passed`` or ``failed``.
     """
-    out: list[DataFrame] = []
-    not_null: dict[str, list[str]] = {}
-    for t in tests:
-        model, column, test = t["model"], t["column"], t["test"]
-        table = tables[model]
-        if test == "not_null":
-            not_null.setdefault(model, []).append(column)
-        elif test == "unique":
-            out.append(check_total(duplicate_keys(table, [column]).withColumnRenamed(column, "key"), model, column, test))
-        elif test == "accepted_values":
-            out.append(check_total(unaccepted_values(table, column, t["accepted"]), model, column, test))
-        elif test == "relationships":
-            out.append(
-                check_total(orphan_keys(table, column, tables[t["ref_model"]], t["ref_field"]), model, column, test)
-            )
+    spark = next(iter(tables.values())).sparkSession
+    by_row: dict[str, list] = {}
+    by_key: dict[tuple[str, str], list] = {}
+    absent = set()
+    for no, t in enumerate(tests):
+        if t["test"] not in ("not_null", "unique", "accepted_values", "relationships"):
+            raise ValueError(f"unknown test {t['test']!r}")
+        if _missing(tables, t):
+            absent.add(no)
+        elif t["test"] in ("not_null", "accepted_values"):
+            by_row.setdefault(t["model"], []).append((no, t))
         else:
-            raise ValueError(f"unknown test {test!r}")
-    for model, columns in not_null.items():
-        out.append(
-            check_not_null(tables[model], model, columns).select("model", "column", "test", F.col("n_failed").alias("n_keys"), "n_failed")
-        )
-    result = out[0]
-    for df in out[1:]:
-        result = result.unionByName(df)
-    return result
+            by_key.setdefault((t["model"], t["column"]), []).append((no, t))
+    parts = [_row_tests(tables[m], some) for m, some in by_row.items()]
+    parts += [p for (m, c), some in by_key.items() for p in _key_tests(tables, m, c, some)]
+    listed = spark.createDataFrame(
+        [(no, t["model"], t["column"], t["test"], no in absent) for no, t in enumerate(tests)],
+        "id int, model string, column string, test string, absent boolean",
+    )
+    none = spark.createDataFrame([], "id int, n_keys long, n_failed long")
+    counts = reduce(DataFrame.unionByName, parts, none)
+    known = lambda c: F.when(~F.col("absent"), F.coalesce(c, F.lit(0)).cast("bigint")).alias(c)
+    status = F.when(F.col("absent"), "not_evaluable").when(F.coalesce("n_failed", F.lit(0)) > 0, "failed").otherwise("passed")
+    return listed.join(counts, "id", "left").select("model", "column", "test", known("n_keys"), known("n_failed"), status.alias("status"))
 
 
 def run_inferred(tables: Mapping[str, DataFrame], hints: DataFrame | None = None) -> DataFrame:
     """Infer tests from the columns of ``tables`` and evaluate them.
 
-    The definitions taken to the driver come from schemas alone: a few per column.
+    The definitions taken to the driver come from schemas alone: a few per column. A relationship to a column that its table does
+    not have is reported as not evaluable.
     """
     spark = next(iter(tables.values())).sparkSession
     models = spark.createDataFrame([(m,) for m in tables], "name string")
-    definitions = [r.asDict() for r in infer_tests(table_columns(tables), models, hints=hints).collect()]
-    evaluable = [
-        t for t in definitions if t["test"] != "relationships" or t["ref_field"] in tables[t["ref_model"]].columns
-    ]
-    return run_tests(tables, evaluable)
+    return run_tests(tables, [r.asDict() for r in infer_tests(table_columns(tables), models, hints=hints).collect()])
 
 
 def check_findings(results: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.scale import salted_join
 
 
 def type_family(type_name: Column, strict: bool = False) -> Column:
@@ -63,7 +62,7 @@ def detect_drift(contracts: DataFrame, live: DataFrame, strict: bool = False, mo
     )
     found = compared.withColumn("category", category).filter(F.col("category").isNotNull())
     # The pairs are reduced to drift rows before they meet the models that exist on both sides.
-    return salted_join(found, both, ["model"], F.col("column"), "left_semi").select("model", "column", "category", "declared_type", "live_type")
+    return found.join(both, "model", "left_semi").select("model", "column", "category", "declared_type", "live_type")
 
 
 def drift_report(contracts: DataFrame, live: DataFrame, strict: bool = False, model: str | None = None) -> DataFrame:

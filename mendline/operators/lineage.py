@@ -1,8 +1,7 @@
 """Lineage over ``edges(child, parent)`` tables: edges, node types, reachability, impact, paths.
 
-Traversals are semi-naive: each round joins only the pairs found in the round before with the edges
-and keeps those not seen at a smaller depth. Each round's pairs are written once to the checkpoint
-folder, so a lost executor costs one round and plans stay short.
+The closure of all nodes doubles the known depth in every round; traversals from given roots go breadth first. Each round's pairs are
+written to the checkpoint folder, so a lost executor costs one round and plans stay short.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.scale import cut, cut_counted, heavy_keys, hot_key_join, salted_join
+from mendline.functions.scale import cut, cut_counted
 from mendline.functions.text import hits
 
 # --- graph construction -----------------------------------------------------------------------
@@ -66,6 +65,25 @@ def manifest_edges(entries: DataFrame) -> DataFrame:
     )
 
 
+def keyed_edges(edges: DataFrame) -> DataFrame:
+    """``(child, parent)`` of manifest edges with nodes keyed by manifest and uid, so that graphs of different manifests stay apart."""
+    return edges.select(node_key("path", "child_uid").alias("child"), node_key("path", "parent_uid").alias("parent")).distinct()
+
+
+def node_key(path: str, uid: str) -> Column:
+    return F.concat(F.col(path), F.lit("#"), F.col(uid))
+
+
+def named(nodes: DataFrame, edges: DataFrame, key: str = "node") -> DataFrame:
+    """``nodes`` with ``path``, ``uid`` and ``name`` in place of the key; ``edges`` are the manifest edges."""
+    ends = F.array(
+        F.struct("path", F.col("child_uid").alias("uid"), F.col("child").alias("name")),
+        F.struct("path", F.col("parent_uid").alias("uid"), F.col("parent").alias("name")),
+    )
+    known = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("path", "uid").agg(F.min("name").alias("name"))
+    return nodes.join(known.withColumn(key, node_key("path", "uid")), key).drop(key)
+
+
 def sql_edges(models: DataFrame) -> DataFrame:
     """Distinct edges from ``ref`` and ``source`` calls in ``models(name, sql)``; sources are ``source.table``."""
     sql = F.col("sql")
@@ -109,23 +127,10 @@ def _steps(edges: DataFrame, upstream: bool) -> DataFrame:
     return edges.select(F.col(here).alias("node"), F.col(there).alias("next")).distinct()
 
 
-# Below this many rows a join is left to Spark without looking for heavy keys.
-_SMALL = 1_000_000
-
-
-def _hubs(steps: DataFrame, n_steps: int) -> list:
-    return heavy_keys(steps, "node") if n_steps > _SMALL else []
-
-
-def _advance(frontier: DataFrame, size: int, steps: DataFrame, hubs: list, spread: Column) -> DataFrame:
-    """One step from the frontier. Nodes that many roots reach, and nodes with many edges, are cut into parts."""
-    crowded = heavy_keys(frontier, "node") if size > _SMALL else []
-    return hot_key_join(frontier, steps, "node", spread, F.col("next"), left_heavy=crowded, right_heavy=hubs)
-
-
-def _compact(layers: list[DataFrame], most: int = 24) -> list[DataFrame]:
-    """Deep graphs make many layers; one table in their place keeps the plans short."""
-    return [cut(reduce(DataFrame.unionByName, layers))] if len(layers) > most else layers
+def _least(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of ``found`` that ``known`` does not hold, with their least depth; one aggregation removes repeats and known ones."""
+    both = found.select("root", "node", "depth").unionByName(known.select("root", "node", F.lit(0).alias("depth")))
+    return both.groupBy("root", "node").agg(F.min("depth").alias("depth")).filter("depth > 0")
 
 
 def reach(
@@ -133,28 +138,48 @@ def reach(
 ) -> DataFrame:
     """``(root, node, depth)``: every node reachable from each root with its least depth.
 
-    ``roots(root)`` names the start nodes; ``None`` starts from every node with an edge. ``max_depth`` -1 is
-    unlimited. A root on a cycle reaches itself.
+    ``roots(root)`` names the start nodes; ``None`` is the explicit wish for the closure of all nodes, whose size is that of all pairs. ``max_depth``
+    -1 is unlimited. A root on a cycle reaches itself.
     """
-    steps, n_steps = cut_counted(_steps(edges, upstream))
-    hubs = _hubs(steps, n_steps)
-    start = steps.withColumnRenamed("node", "root")
-    if roots is not None:
-        start = salted_join(start, roots.select("root").distinct(), ["root"], F.col("next"), "left_semi")
-    depth, layers = 1, []
+    if max_depth == 0:
+        return _steps(edges, upstream).select(F.col("node").alias("root"), F.col("next").alias("node"), F.lit(1).alias("depth")).limit(0)
+    return _all_pairs(edges, upstream, max_depth) if roots is None else _from_roots(edges, roots, upstream, max_depth)
+
+
+def _all_pairs(edges: DataFrame, upstream: bool, max_depth: int) -> DataFrame:
+    """The closure by doubling: rounds grow with the logarithm of the depth.
+
+    After a round all pairs up to depth k are known. A shortest way of k + 1 to 2k steps begins with one of k steps exactly, so only the
+    pairs of depth k are extended, by all known ones.
+    """
+    steps = _steps(edges, upstream)
+    known, size = cut_counted(steps.select(F.col("node").alias("root"), F.col("next").alias("node"), F.lit(1).alias("depth")))
+    k = 1
+    while size and (max_depth == -1 or k < max_depth):
+        onward = known.select(F.col("root").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"))
+        if max_depth != -1:
+            onward = onward.filter(F.col("more") <= max_depth - k)
+        last = known.filter(F.col("depth") == k).select("root", "node")
+        found = last.join(onward, "node").select("root", F.col("next").alias("node"), (F.lit(k) + F.col("more")).alias("depth"))
+        fresh, size = cut_counted(_least(found, known))
+        known = cut(known.unionByName(fresh)) if size else known
+        k *= 2
+    return known
+
+
+def _from_roots(edges: DataFrame, roots: DataFrame, upstream: bool, max_depth: int) -> DataFrame:
+    """Breadth first from given roots: what moves is the pairs of these roots only."""
+    steps = cut(_steps(edges, upstream))
+    start = steps.withColumnRenamed("node", "root").join(roots.select("root").distinct(), "root", "left_semi")
+    depth = 1
     frontier, size = cut_counted(start.select("root", F.col("next").alias("node"), F.lit(depth).alias("depth")))
-    layers.append(frontier)
-    while size > 0 and depth != max_depth:
+    known = frontier
+    while size and depth != max_depth:
         depth += 1
-        found = _advance(frontier.select("root", "node"), size, steps, hubs, F.col("root"))
-        # One hash aggregation both removes repeats and drops the pairs that have a smaller depth.
-        known = reduce(DataFrame.unionByName, layers).select("root", "node", F.lit(False).alias("new"))
-        both = found.select("root", F.col("next").alias("node"), F.lit(True).alias("new")).unionByName(known)
-        fresh = both.groupBy("root", "node").agg(F.min("new").alias("new")).filter("new")
-        frontier, size = cut_counted(fresh.select("root", "node", F.lit(depth).alias("depth")))
-        layers = _compact([*layers, frontier])
-    pairs = reduce(DataFrame.unionByName, layers)
-    return pairs.limit(0) if max_depth == 0 else pairs
+        found = frontier.select("root", "node").join(steps, "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"))
+        frontier, size = cut_counted(_least(found, known))
+        known = cut(known.unionByName(frontier)) if size else known
+    return known
 
 
 def reach_counts(pairs: DataFrame, all_nodes: DataFrame, max_depth: int = -1) -> DataFrame:
@@ -245,18 +270,17 @@ def tree(edges: DataFrame, roots: DataFrame, upstream: bool = True, max_depth: i
     A node appears once per path that leads to it; sorting by ``path`` gives pre-order with siblings by name.
     A node already on its own path is shown but not expanded, so cycles end.
     """
-    steps, n_steps = cut_counted(_steps(edges, upstream))
-    hubs = _hubs(steps, n_steps)
+    steps = cut(_steps(edges, upstream))
     root = F.col("root")
     frontier, size = cut_counted(
         roots.select("root")
         .distinct()
         .select("root", root.alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(True).alias("open"))
     )
-    depth, layers = 0, [frontier]
+    depth, shown = 0, frontier
     while size > 0 and depth != max_depth:
         depth += 1
-        reached = _advance(frontier.filter("open"), size, steps, hubs, F.concat_ws("/", "path"))
+        reached = frontier.filter("open").join(steps, "node")
         frontier, size = cut_counted(
             reached.select(
                 "root",
@@ -266,5 +290,5 @@ def tree(edges: DataFrame, roots: DataFrame, upstream: bool = True, max_depth: i
                 (~F.array_contains("path", F.col("next"))).alias("open"),
             )
         )
-        layers = _compact([*layers, frontier])
-    return reduce(DataFrame.unionByName, layers).drop("open")
+        shown = shown.unionByName(frontier)
+    return shown.drop("open")

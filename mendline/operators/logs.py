@@ -175,6 +175,22 @@ def exception_chains(files: DataFrame, tail_chars: int | None = None, chain_char
     return _unique_chains(raw.withColumn("pos", F.col("pos").cast("bigint")))
 
 
+def chain_findings(chains: DataFrame) -> DataFrame:
+    """Exception chains of each file as one finding, with the earliest as evidence."""
+    return (
+        chains.groupBy("path")
+        .agg(F.sum("n_repeats").alias("n"), F.min(F.struct("pos", "chain_key")).alias("first"))
+        .select(
+            F.lit("log").alias("family"),
+            F.col("path").alias("artifact"),
+            F.lit("exception_chain").alias("rule_id"),
+            F.lit("ERROR").alias("severity"),
+            "n",
+            F.col("first.chain_key").alias("evidence"),
+        )
+    )
+
+
 def first_per_path(rows: DataFrame, order: str, n: int) -> DataFrame:
     """The first ``n`` rows of each path with the path's total.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.text import FLAGS, first_hit, hits, replace_all, strip
+from mendline.functions.text import FLAGS, first_hit, hits, let, replace_all, strip
 
 # Stand for the brackets of a part that is done; what was between them is kept only for CTE bodies.
 _OPEN, _CLOSE = "\x02", "\x03"
@@ -42,13 +42,18 @@ def mask_literals(sql: Column) -> Column:
 
 
 def _inside_out(text: Column, bracket: str, pattern: str, replacement: str) -> Column:
-    """Replace bracketed parts until none is left. The opening brackets bound the rounds, so any depth is covered."""
+    """Replace bracketed parts until a round changes nothing. The opening brackets bound the rounds, so any depth is covered."""
     rounds = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit(bracket), F.lit(""))))
-    return F.aggregate(
-        rounds,
-        text,
-        lambda done, _: F.when(F.contains(done, F.lit(bracket)), replace_all(done, pattern, replacement)).otherwise(done),
-    )
+
+    def state(new: Column, old: Column) -> Column:
+        return F.struct(new.alias("text"), (F.contains(new, F.lit(bracket)) & (new != old)).alias("more"))
+
+    def turn(done: Column, _: Column) -> Column:
+        changed = let(done["text"], lambda old: let(replace_all(old, pattern, replacement), lambda new: state(new, old)))
+        return F.when(done["more"], changed).otherwise(done)
+
+    start = F.struct(text.alias("text"), F.contains(text, F.lit(bracket)).alias("more"))
+    return F.aggregate(rounds, start, turn, lambda done: done["text"])
 
 
 def _select_list(top: Column) -> Column:

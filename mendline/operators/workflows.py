@@ -61,8 +61,8 @@ def _plain(found: Column) -> Column:
 
 
 def dag_inventory(files: DataFrame) -> DataFrame:
-    """DAG ids, operator assignments (variable and type) and task ids, in order of occurrence."""
-    src = F.col("content")
+    """DAG ids, operator assignments (variable and type) and task ids of files that parse, in order of occurrence."""
+    files, src = valid_files(files), F.col("content")
     operators = F.zip_with(
         hits(src, R.OPERATOR, 1), hits(src, R.OPERATOR, 2), lambda v, t: F.struct(v.alias("name"), t.alias("detail"))
     )
@@ -77,8 +77,8 @@ def dag_inventory(files: DataFrame) -> DataFrame:
 
 
 def dag_chains(files: DataFrame) -> DataFrame:
-    """``(path, line_no, chain)``: lines with ``>>`` that are no comment."""
-    lines = files.select("path", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("line_no", "line"))
+    """``(path, line_no, chain)``: lines with ``>>`` that are no comment, of files that parse."""
+    lines = valid_files(files).select("path", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("line_no", "line"))
     chain = strip(F.col("line"))
     return lines.filter(F.contains("line", F.lit(">>")) & ~F.startswith(chain, F.lit("#"))).select(
         "path", (F.col("line_no") + 1).cast("bigint").alias("line_no"), chain.alias("chain")
@@ -123,13 +123,17 @@ def _raise(files: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> Da
 
 
 def dag_rules(files: DataFrame, strict: bool = False) -> DataFrame:
-    """Catch-up, retries and schedule notes. ``strict`` sees ``retries`` only as a keyword argument, not in a dict."""
+    """Catch-up, retries and schedule notes of files that parse.
+
+    ``strict`` sees ``retries`` only as a keyword argument, not in a dict. A file that does not parse has its syntax finding
+    (``syntax_findings``) and no other.
+    """
     src = F.col("content")
     retries = R.NO_RETRIES_STRICT if strict else R.NO_RETRIES
     schedule = first_hit(src, R.SCHEDULE)
     scheduled = ~has(src, R.NO_SCHEDULE) & schedule.isNotNull()
     return _raise(
-        files,
+        valid_files(files),
         [
             ("catchup_on", "WARNING", has(src, R.CATCHUP_ON), F.lit("catchup=True")),
             ("catchup_not_off", "NOTE", ~has(src, R.CATCHUP_OFF), F.lit("catchup not set to False")),
@@ -140,8 +144,8 @@ def dag_rules(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def flow_inventory(files: DataFrame) -> DataFrame:
-    """Flows, tasks, retry numbers and schedules of flow files, in order of occurrence."""
-    src = F.col("content")
+    """Flows, tasks, retry numbers and schedules of flow files that parse, in order of occurrence."""
+    files, src = valid_files(files), F.col("content")
     return _rows(
         files,
         [
@@ -154,8 +158,8 @@ def flow_inventory(files: DataFrame) -> DataFrame:
 
 
 def flow_rules(files: DataFrame) -> DataFrame:
-    """Unawaited submits, nested flows and raised failures."""
-    src = F.col("content")
+    """Unawaited submits, nested flows and raised failures of files that parse."""
+    files, src = valid_files(files), F.col("content")
     return _raise(
         files,
         [

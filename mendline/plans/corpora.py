@@ -550,7 +550,10 @@ FLOW_FILES = Corpus(
             cat(lit("def main_"), "s_nationkey", lit("():")),
             case((f"{_S} = 1", lit("    f = clean.submit(1)")), (f"{_S} = 2", lit("    f = clean.submit(1).result()")), default=lit("    f = 1")),
             case((f"{_S} = 3", rows(lit("@flow"), lit("def inner():"), lit("    return raise_on_failure"))), default=lit("    return f")),
-            cat(lit("main_schedule = dict(cron='0 "), "s_suppkey % 24", lit(" * * *', interval=60)")),
+            case(
+                ("s_suppkey % 7 = 3", lit("def broken(:")),
+                default=cat(lit("main_schedule = dict(cron='0 "), "s_suppkey % 24", lit(" * * *', interval=60)")),
+            ),
         ),
     },
 )
@@ -560,6 +563,15 @@ FLOW_FILES = Corpus(
 DOC_FILES = Corpus("documents", {"path": cat(lit("doc_"), "doc_id"), "content": "text"})
 # Long texts, so that both reading limits apply.
 LONG_FILES = Corpus("documents", {"path": cat(lit("doc_"), "doc_id"), "content": "repeat(text, 8)"})
+# A second fix of the same files, applied after the first.
+LATER_FIXES = Corpus(
+    "labels",
+    {
+        "path": case(("toxic = 1", cat(lit("gone_"), "doc_id")), default=cat(lit("doc_"), "doc_id")),
+        "original": case(("doc_id % 3 = 0", lit("<fixed>")), default=lit("e")),
+        "replacement": case(("doc_id % 4 = 0", lit("e")), default=lit("[e]")),
+    },
+)
 FIXES = Corpus(
     "labels",
     {

@@ -261,6 +261,17 @@ p AS (SELECT path, uid, arg_max(shown, part) AS shown FROM e WHERE part <> 'expo
 SELECT d.path, child_uid, child, parent_uid, coalesce(p.shown, string_split(parent_uid, '.')[-1]) AS parent
 FROM d LEFT JOIN p ON d.path = p.path AND d.parent_uid = p.uid"""
 
+SQL["lineage_manifest_impact"] = f"""
+WITH RECURSIVE e AS MATERIALIZED ({SQL["lineage_edges_manifest"]}),
+r(path, root, node, depth) AS (SELECT DISTINCT path, child_uid, parent_uid, 1 FROM e
+  UNION SELECT r.path, r.root, e.parent_uid, r.depth + 1 FROM r JOIN e ON r.path = e.path AND r.node = e.child_uid WHERE r.depth < 12),
+p AS (SELECT path, root, node, min(depth) AS depth FROM r GROUP BY ALL),
+s AS (SELECT path, root AS uid, TRUE AS up, depth FROM p UNION ALL SELECT path, node, FALSE, depth FROM p),
+n AS (SELECT path, uid, min(name) AS name FROM (SELECT path, child_uid AS uid, child AS name FROM e UNION ALL SELECT path, parent_uid, parent FROM e) GROUP BY ALL)
+SELECT s.path, s.uid, name, count(*) FILTER (up AND depth = 1) AS direct_parents, count(*) FILTER (up) AS total_ancestors,
+  count(*) FILTER (NOT up AND depth = 1) AS direct_children, count(*) FILTER (NOT up) AS total_dependents
+FROM s JOIN n ON s.path = n.path AND s.uid = n.uid GROUP BY ALL"""
+
 _RX_REF = r"\{\{\s*ref\(['\"](\w+)['\"]\)\s*\}\}"
 _RX_SRC = r"\{\{\s*source\(['\"](\w+)['\"],\s*['\"](\w+)['\"]\)\s*\}\}"
 _SQL_EDGES = f"""(SELECT DISTINCT name AS child, parent, parent_type FROM (
@@ -446,7 +457,7 @@ SQL["test_relationships"] = (
 )
 SQL["test_observed_values"] = union(
     [
-        f"SELECT '{c}' AS column_name, string_agg(v, '|' ORDER BY v) AS accepted FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM lineitem) HAVING count(*) <= 10"
+        f"SELECT '{c}' AS column_name, CASE WHEN count(*) <= 10 THEN string_agg(v, '|' ORDER BY v) END AS accepted FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM lineitem)"
         for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_partkey")
     ]
 )
@@ -456,17 +467,20 @@ def _test_sql(t: dict, tables: dict[str, str], key: str = "o") -> str:
     model, column, test = t["model"], t["column"], t["test"]
     source = tables[model]
     head = f"SELECT '{model}' AS model, '{column}' AS column_name, '{test}' AS test, "
+    status = "CASE WHEN n_failed > 0 THEN 'failed' ELSE 'passed' END AS status"
+    if test == "relationships" and t["ref_model"] not in tables:
+        return head + "CAST(NULL AS BIGINT) AS n_keys, CAST(NULL AS BIGINT) AS n_failed, 'not_evaluable' AS status"
     if test == "not_null":
-        return f"{head}count(*) AS n_keys, count(*) AS n_failed FROM {source} WHERE {column} IS NULL"
+        return f"SELECT *, {status} FROM ({head}count(*) AS n_keys, count(*) AS n_failed FROM {source} WHERE {column} IS NULL)"
     inner = {
         "unique": lambda: f"SELECT count(*) AS c FROM {source} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) > 1",
         "accepted_values": lambda: f"SELECT count(*) AS c FROM {source} WHERE {column} NOT IN ({', '.join(map(q, t['accepted']))}) GROUP BY {column}",
-        "relationships": lambda: f"SELECT count(*) AS c FROM {source} WHERE {column} NOT IN (SELECT {t['ref_field']} FROM {tables[t['ref_model']]}) GROUP BY {column}",
+        "relationships": lambda: f"SELECT count(*) AS c FROM {source} WHERE {column} NOT IN (SELECT {t['ref_field']} FROM {tables[t['ref_model']]} WHERE {t['ref_field']} IS NOT NULL) GROUP BY {column}",
     }[test]()
-    return f"{head}count(*) AS n_keys, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_failed FROM ({inner})"
+    return f"SELECT *, {status} FROM ({head}count(*) AS n_keys, CAST(coalesce(sum(c), 0) AS BIGINT) AS n_failed FROM ({inner}))"
 
 
-_SUITE_TABLES = {"orders": _ORDERS, "lineitem": "lineitem", "customer": "(SELECT * FROM customer WHERE c_acctbal > 0)"}
+_SUITE_TABLES = {"orders": _ORDERS, "lineitem": "lineitem", "customer": "(SELECT * REPLACE (CASE WHEN c_acctbal > 0 THEN c_custkey END AS c_custkey) FROM customer)"}
 SQL["data_test_suite"] = union([_test_sql(t, _SUITE_TABLES) for t in SUITE])
 _INFERRED = [
     ("doc", "id", "unique"),
@@ -705,7 +719,8 @@ SQL["dag_inventory"] = _inventory(
     ],
 )
 _CHAIN_LINES = f"""(SELECT path, line_no, {strip('line')} AS chain FROM (
-  SELECT path, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS line FROM (SELECT path, string_split(content, chr(10)) AS l FROM {_DAG}))
+  SELECT path, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS line
+  FROM (SELECT path, string_split(content, chr(10)) AS l FROM {_DAG} WHERE NOT {_BROKEN}))
   WHERE contains(line, '>>') AND NOT starts_with({strip('line')}, '#'))"""
 SQL["dag_chains"] = f"SELECT * FROM {_CHAIN_LINES}"
 SQL["dag_chain_edges"] = rf"""
@@ -716,7 +731,7 @@ u AS (SELECT path, line_no, pos, {strip('raw')} AS task FROM t WHERE {strip('raw
 SELECT DISTINCT c.path, c.task AS child, p.task AS parent FROM u p JOIN u c ON p.path = c.path AND p.line_no = c.line_no AND c.pos = p.pos + 1"""
 _SCHEDULE = r"nullif(regexp_extract(content, 'schedule(?:_interval)?\s*=\s*[\"'']([^\"'']+)[\"'']', 1), '')"
 _DAG_RULES = findings(
-    _DAG,
+    f"(SELECT * FROM {_DAG} WHERE NOT {_BROKEN})",
     "workflow",
     "path",
     [
@@ -733,7 +748,7 @@ _DAG_RULES = findings(
     ],
 )
 SQL["dag_rules"] = _DAG_RULES
-_FLOW = C.FLOW_FILES.sql
+_FLOW = f"(SELECT * FROM {C.FLOW_FILES.sql} WHERE NOT {_BROKEN})"
 
 
 def _defined(name: str) -> str:
@@ -762,24 +777,49 @@ SQL["flow_rules"] = findings(
 
 # --- fixes and the union of findings ----------------------------------------------------------
 
-SQL["fix_apply"] = f"""
-SELECT path, original, status, CASE WHEN status = 'applied' THEN
-  md5(concat(substr(content, 1, pos - 1), replacement, substr(content, pos + length(original)))) END AS content_md5
-FROM (SELECT f.path, original, replacement, content, instr(content, original) AS pos, CASE WHEN d.path IS NULL THEN 'file_missing'
-    WHEN instr(content, original) = 0 THEN 'not_found' WHEN original = replacement THEN 'identical' ELSE 'applied' END AS status
-  FROM {C.FIXES.sql} f LEFT JOIN {C.DOC_FILES.sql} d ON f.path = d.path)"""
+def _fixed(fixes: str, texts: str) -> str:
+    """Fixes, of which a file has one here, met with the texts: their status and the text after them."""
+    return f"""(SELECT f.path, original, replacement, content IS NULL AS missing, instr(content, original) AS pos,
+      CASE WHEN content IS NULL THEN 'file_missing' WHEN instr(content, original) = 0 THEN 'not_found'
+        WHEN original = replacement THEN 'identical' ELSE 'applied' END AS status,
+      CASE WHEN content IS NULL OR instr(content, original) = 0 OR original = replacement THEN content
+        ELSE concat(substr(content, 1, instr(content, original) - 1), replacement, substr(content, instr(content, original) + length(original))) END AS after
+      FROM {fixes} f LEFT JOIN {texts} d ON f.path = d.path)"""
+
+
+_FIRST = _fixed(C.FIXES.sql, C.DOC_FILES.sql)
+_LATER = _fixed(C.LATER_FIXES.sql, f"(SELECT path, after AS content FROM {_FIRST})")
+SQL["fix_apply"] = union(
+    [
+        f"SELECT path, CAST({k} AS BIGINT) AS position, original, replacement, status FROM {part}"
+        for k, part in ((1, _FIRST), (2, _LATER))
+    ]
+)
+SQL["fix_texts"] = f"""
+SELECT a.path, md5(b.after) AS content_md5, CAST((a.status = 'applied')::INT + (b.status = 'applied')::INT AS BIGINT) AS n_applied
+FROM {_FIRST} a JOIN {_LATER} b ON a.path = b.path WHERE a.status = 'applied' OR b.status = 'applied'"""
 _RUN = f"""SELECT 'run' AS family, run_id AS artifact, CASE WHEN w THEN 'node_warned' ELSE 'node_failed' END AS rule_id,
   CASE WHEN w THEN 'WARN' ELSE 'ERROR' END AS severity, count(*) AS n, min(unique_id) AS evidence
   FROM (SELECT *, {_WARN} AS w FROM {C.RUN_RESULTS.sql} WHERE NOT {_OK}) GROUP BY run_id, w"""
 _DRIFT = f"""SELECT 'drift', model, category, CASE WHEN category = 'undocumented' THEN 'WARNING' ELSE 'ERROR' END, count(*), min(column_name)
   FROM {_drift(False)} GROUP BY model, category"""
 _PROFILED = f"SELECT 'model', path, flag, 'WARNING', CAST(1 AS BIGINT), flag FROM (WITH p AS (SELECT * FROM {_PROFILE}) {_FLAG_SQL})"
+_CHAIN_FOUND = f"""SELECT 'log' AS family, path AS artifact, 'exception_chain' AS rule_id, 'ERROR' AS severity, CAST(sum(n_repeats) AS BIGINT) AS n,
+  arg_min(chain_key, pos) AS evidence FROM ({_CHAINS}) GROUP BY path"""
+_UNPARSED = union(
+    [
+        f"SELECT 'workflow' AS family, path AS artifact, 'syntax_error' AS rule_id, 'ERROR' AS severity, CAST(1 AS BIGINT) AS n, '' AS evidence FROM {c.sql} WHERE {_BROKEN}"
+        for c in (C.DAG_FILES, C.FLOW_FILES)
+    ]
+)
+_FAILED = f"""SELECT 'test' AS family, concat_ws('.', model, column_name) AS artifact, test AS rule_id, 'ERROR' AS severity, n_failed AS n, '' AS evidence
+  FROM ({SQL['data_test_suite']}) WHERE n_failed > 0"""
 _ALL = union(
     [
         f"SELECT * FROM ({part})"
         for part in (
             _issue_sql(), _RUN, _DRIFT, _PROFILED, SQL["sql_lint"], SQL["plan_lint_postgres"], SQL["plan_lint_snowflake"],
-            _DAG_RULES, SQL["flow_rules"],
+            _DAG_RULES, SQL["flow_rules"], _CHAIN_FOUND, _UNPARSED, _FAILED,
         )
     ]
 )

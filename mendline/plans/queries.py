@@ -234,6 +234,13 @@ def lineage_impact(spark, sf):
     return lineage.impact(C.SHOP_EDGES.load(spark, sf))
 
 
+@query
+def lineage_manifest_impact(spark, sf):
+    """From manifests to the impact of each of their nodes, graphs of different manifests apart."""
+    edges = lineage.manifest_edges(_manifest_entries(spark, sf))
+    return lineage.named(lineage.impact(lineage.keyed_edges(edges)), edges)
+
+
 @query
 def lineage_dependents_deep(spark, sf):
     """All that depends on one model, through as many levels as there are."""
@@ -315,7 +322,7 @@ def _orders(spark, sf):
 
 
 def _active_customers(spark, sf):
-    return C.read(spark, sf, "customer").filter("c_acctbal > 0")
+    return C.read(spark, sf, "customer").withColumn("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_custkey")))
 
 
 @query
@@ -360,17 +367,23 @@ SUITE = [
     {"model": "lineitem", "column": "l_quantity", "test": "not_null"},
     {"model": "lineitem", "column": "l_returnflag", "test": "accepted_values", "accepted": ["A", "N", "R"]},
     {"model": "customer", "column": "c_custkey", "test": "unique"},
+    {"model": "customer", "column": "c_custkey", "test": "not_null"},
+    {"model": "customer", "column": "c_nationkey", "test": "relationships", "ref_model": "nation", "ref_field": "n_nationkey"},
 ]
 
 
-@query
-def data_test_suite(spark, sf):
+def _suite(spark, sf):
     tables = {
         "orders": _orders(spark, sf),
         "lineitem": C.read(spark, sf, "lineitem"),
         "customer": _active_customers(spark, sf),
     }
-    return datatests.run_tests(tables, SUITE).withColumnRenamed("column", "column_name")
+    return datatests.run_tests(tables, SUITE)
+
+
+@query
+def data_test_suite(spark, sf):
+    return _suite(spark, sf).withColumnRenamed("column", "column_name")
 
 
 def _named_tables(spark, sf):
@@ -511,7 +524,7 @@ def dag_syntax(spark, sf):
 
 @query
 def dag_inventory(spark, sf):
-    return workflows.dag_inventory(workflows.valid_files(C.DAG_FILES.load(spark, sf)))
+    return workflows.dag_inventory(C.DAG_FILES.load(spark, sf))
 
 
 @query
@@ -542,16 +555,27 @@ def flow_rules(spark, sf):
 # --- fixes and the union of findings ----------------------------------------------------------
 
 
+def _fixes(spark, sf):
+    first, later = C.FIXES.load(spark, sf), C.LATER_FIXES.load(spark, sf)
+    return first.withColumn("position", F.lit(1)).unionByName(later.withColumn("position", F.lit(2)))
+
+
 @query
 def fix_apply(spark, sf):
-    done = fixes.apply_fixes(C.DOC_FILES.load(spark, sf), C.FIXES.load(spark, sf))
-    return done.select("path", "original", "status", F.md5("content").alias("content_md5"))
+    return fixes.apply_fixes(C.DOC_FILES.load(spark, sf), _fixes(spark, sf))
+
+
+@query
+def fix_texts(spark, sf):
+    done = fixes.fixed_files(C.DOC_FILES.load(spark, sf), _fixes(spark, sf))
+    return done.select("path", F.md5("content").alias("content_md5"), "n_applied")
 
 
 def _findings(spark, sf):
     return findings.union_findings(
         [
             logs.issue_findings(C.LOG_FILES.load(spark, sf)),
+            logs.chain_findings(logs.exception_chains(C.LOG_FILES.load(spark, sf))),
             artifacts.run_findings(C.RUN_RESULTS.load(spark, sf)),
             drift.drift_findings(drift.detect_drift(_contracts(spark, sf), C.LIVE_COLUMNS.load(spark, sf))),
             sqlprofile.profile_findings(sqlprofile.profile(C.MODELS.load(spark, sf))),
@@ -559,6 +583,9 @@ def _findings(spark, sf):
             planlint.lint_plans(C.PLANS.load(spark, sf)),
             workflows.dag_rules(C.DAG_FILES.load(spark, sf)),
             workflows.flow_rules(C.FLOW_FILES.load(spark, sf)),
+            workflows.syntax_findings(C.DAG_FILES.load(spark, sf)),
+            workflows.syntax_findings(C.FLOW_FILES.load(spark, sf)),
+            datatests.check_findings(_suite(spark, sf)),
         ]
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 import yaml
@@ -15,9 +14,7 @@ from mendline.sources.files import read_whole
 COLUMNS = "path STRING, entry INT, model STRING, column STRING, data_type STRING, tests ARRAY<STRING>"
 
 # File names that hold contracts.
-GLOBS = ["schema*.yml", "schema*.yaml", "models.yml"]
-# Spark's listing passes over names with a leading underscore.
-HIDDEN_GLOB = "_schema*.yml"
+GLOBS = ["schema*.yml", "schema*.yaml", "models.yml", "_schema*.yml"]
 
 
 def _test_name(test) -> str:
@@ -52,11 +49,6 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=names).astype({"entry": "int32"})
 
 
-def _read_hidden(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(content=[Path(p).read_text(encoding="utf-8", errors="replace") for p in batch["path"]])
-
-
 def parse_contracts(files: DataFrame) -> DataFrame:
     """Contract rows of ``files(path, content)``; of several entries for a model the last by path and place wins."""
     rows = files.select("path", "content").mapInPandas(_parse, COLUMNS)
@@ -66,19 +58,7 @@ def parse_contracts(files: DataFrame) -> DataFrame:
 
 
 def read_contracts(spark: SparkSession, project: str, schema_path: str | None = None) -> DataFrame:
-    """``(model, column, data_type, tests)`` of one contract file, or of all below ``models/``.
-
-    Names starting with an underscore are listed here and opened in the tasks, so for those ``project`` must be a
-    folder that every executor reaches as files.
-    """
+    """``(model, column, data_type, tests)`` of one contract file, or of all below ``models/``."""
     if schema_path:
         return parse_contracts(read_whole(spark, schema_path))
-    folder = f"{project.rstrip('/')}/models"
-    files = read_whole(spark, folder, "{" + ",".join(GLOBS) + "}")
-    hidden = [(str(p),) for p in sorted(Path(folder).rglob(HIDDEN_GLOB))]
-    if hidden:
-        paths = spark.createDataFrame(hidden, "path string").repartition(len(hidden))
-        files = files.unionByName(paths.mapInPandas(_read_hidden, "path string, content string"))
-    return parse_contracts(files)
-
-
+    return parse_contracts(read_whole(spark, f"{project.rstrip('/')}/models", "{" + ",".join(GLOBS) + "}"))

@@ -1,10 +1,14 @@
 """Readers of logs, sources, SQL models and JSON artifacts.
 
-All readers take paths or globs of any file system Spark reaches and raise Spark's own error for a missing path.
+All readers take paths or globs of any file system Spark reaches and raise Spark's own error for a missing path. Spark passes over
+files and folders whose names start with ``_`` or ``.``; those are listed through the same file system here and read too. Paths come decoded
+and in one form.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +16,71 @@ from pyspark.sql import functions as F
 from mendline.functions import rules as R
 
 
+# What Spark and Hadoop leave beside the files they write.
+_BOOKKEEPING = re.compile(r"_SUCCESS$|_temporary$|_committed_|_started_|\..*\.crc$")
+#: Files with a leading _ or . pass through the driver; beyond this many bytes of them reading raises.
+HIDDEN_BYTES = 256 << 20
+
+
+def plain_path(path: Column) -> Column:
+    """A path as its file system spells it: escapes undone, local ones as ``file:///…``."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:///")
+
+
+def _hidden(spark: SparkSession, paths: str | list[str], glob: str | None) -> list[tuple[str, int, int, object]]:
+    """(path, bytes, time in ms, Hadoop path) of the files below ``paths`` that Spark's listing leaves out."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fits = jvm.org.apache.hadoop.fs.GlobPattern(glob) if glob else None
+    found = []
+
+    def walk(system, folder, below: bool) -> None:
+        for status in system.listStatus(folder):
+            name = status.getPath().getName()
+            hidden = below or name[0] in "_."
+            if _BOOKKEEPING.match(name):
+                continue
+            if status.isDirectory():
+                walk(system, status.getPath(), hidden)
+            elif hidden and (fits is None or fits.matches(name)):
+                path = re.sub("^file:/+", "file:///", status.getPath().toString())
+                found.append((path, status.getLen(), status.getModificationTime(), status.getPath()))
+
+    for p in [paths] if isinstance(paths, str) else paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        system = place.getFileSystem(conf)
+        for status in system.globStatus(place) or []:
+            if status.isDirectory():
+                walk(system, status.getPath(), False)
+    return found
+
+
+def _read_hidden(spark: SparkSession, paths: str | list[str], glob: str | None) -> DataFrame | None:
+    found = _hidden(spark, paths, glob)
+    if not found:
+        return None
+    size = sum(n for _, n, _, _ in found)
+    if size > HIDDEN_BYTES:
+        raise ValueError(f"{len(found)} files with a leading _ or . hold {size} bytes, over {HIDDEN_BYTES}; rename them: {found[0][0]}")
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for path, _, _, place in found:
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            rows.append((path, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
+        finally:
+            stream.close()
+    return spark.createDataFrame(rows, "path string, content string")
+
+
 def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """``(path, content)``, one row per file. A file must fit in one row (2 GB); use ``read_lines`` beyond that."""
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    seen = files.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+    hidden = _read_hidden(spark, paths, glob)
+    return seen if hidden is None else seen.unionByName(hidden)
 
 
 def log_tail(content: Column, chars: int = R.LOG_TAIL_CHARS, mark: str = R.LOG_TAIL_MARK) -> Column:
@@ -45,20 +110,33 @@ def read_sources(spark: SparkSession, paths: str | list[str], glob: str | None =
     return files.withColumn("content", source_head(F.col("content"))) if truncate else files
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(path, line_no, text)`` of files of any size, line numbers from 1.
+def read_lines(spark: SparkSession, paths: str | list[str], exact: bool = False) -> DataFrame:
+    """``(path, line_no, text)`` of files of any size, read in splits.
 
-    Files are read in splits. Lines are numbered inside their split (its size bounds the sort) and every split
-    adds the line counts of the splits before it in the same file.
+    ``line_no`` orders the lines of a path and has gaps between splits; nothing is shuffled. (The start of a split, in units that no split is smaller than,
+    stands before the order in which its task reads it.) ``exact`` numbers the lines from 1: they are sorted within
+    their split, and every split adds the line counts of those before it in the same file.
     """
     lines = (
         spark.read.text(paths, lineSep="\n", recursiveFileLookup=True).select(
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("split"),
             F.monotonically_increasing_id().alias("read_order"),
             F.col("value").alias("text"),
         )
     )
+    hidden = _read_hidden(spark, paths, None)
+    if hidden is not None:
+        # A closing line break opens no further line.
+        body = F.regexp_replace("content", "\\n\\z", "")
+        broken = hidden.filter("content <> ''").select("path", F.posexplode(F.split(body, "\n", -1)).alias("read_order", "text"))
+        lines = lines.unionByName(broken.select("path", F.lit(0).cast("bigint").alias("split"), F.col("read_order").cast("bigint").alias("read_order"), "text"))
+    if not exact:
+        in_task = F.col("read_order").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = spark._jsparkSession.sessionState().conf()
+        unit = min(1 << 16, sizes.filesMaxPartitionBytes(), sizes.filesOpenCostInBytes())
+        place = F.floor(F.col("split") / max(1, unit)) * F.lit(1 << 33) + in_task + 1
+        return lines.select("path", place.alias("line_no"), "text")
     before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         lines.groupBy("path", "split")
@@ -75,14 +153,16 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def list_files(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
     """``(path, length, modificationTime)`` of all files below a directory, by path. File content is not read."""
-    return (
+    seen = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .load(directory)
-        .select("path", "length", "modificationTime")
-        .orderBy("path")
+        .select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length", "modificationTime")
     )
+    hidden = [(path, size, ms) for path, size, ms, _ in _hidden(spark, directory, glob)]
+    more = spark.createDataFrame(hidden, "path string, length bigint, ms bigint")
+    return seen.unionByName(more.select("path", "length", F.timestamp_millis("ms").alias("modificationTime"))).orderBy("path")
 
 
 def read_models(spark: SparkSession, project: str, fall_back: bool = True) -> DataFrame:

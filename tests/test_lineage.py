@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import global_rank, heavy_keys, hot_key_join, salted_join
+from mendline.functions.scale import global_rank
 from mendline.operators import artifacts, lineage
 
 MANIFEST = {
@@ -129,30 +129,23 @@ def closure(pairs):
     return sorted(out, key=repr)
 
 
-def test_reach_of_random_graph(spark, rows, monkeypatch):
+def test_reach_of_random_graphs(spark, rows):
     rng = random.Random(3)
-    pairs = [(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}") for _ in range(45)]
-    assert rows(lineage.reach(graph(spark, pairs))) == closure(pairs)
-    # The same with every join cut into parts.
-    monkeypatch.setattr(lineage, "_SMALL", 0)
-    monkeypatch.setattr(lineage, "heavy_keys", lambda df, key: heavy_keys(df, key, least=1))
-    assert rows(lineage.reach(graph(spark, pairs))) == closure(pairs)
-
-
-def test_hot_key_join_equals_join(spark, rows):
-    left = spark.createDataFrame([("h", i) for i in range(200)] + [("b", 1), ("x", 2), ("r", 7)], "k string, a bigint")
-    right = spark.createDataFrame([("h", 1), ("h", 2), ("b", 3)] + [("r", i) for i in range(50)], "k string, c bigint")
-    for heavy_left, heavy_right in ([[], []], [["h"], []], [["h"], ["h"]], [[], ["r", "h"]], [["h", "b"], ["r"]]):
-        joined = hot_key_join(left, right, "k", F.col("a"), F.col("c"), left_heavy=heavy_left, right_heavy=heavy_right)
-        assert rows(joined, "k", "a", "c") == rows(left.join(right, "k"), "k", "a", "c")
-    assert heavy_keys(left, "k", least=100) == ["h"]
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, rows, how):
-    many = spark.createDataFrame([("h", i) for i in range(100)] + [("z", 1)], "k string, a bigint")
-    one = spark.createDataFrame([("h", "v")], "k string, v string")
-    assert rows(salted_join(many, one, ["k"], F.col("a"), how)) == rows(many.join(one, "k", how))
+    for _ in range(3):
+        pairs = [(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}") for _ in range(45)]
+        want = closure(pairs)
+        assert rows(lineage.reach(graph(spark, pairs))) == want
+        assert rows(lineage.reach(graph(spark, pairs), max_depth=3)) == [w for w in want if w[2] <= 3]
+        some = roots(spark, "n1", "n2", "n9")
+        assert rows(lineage.reach(graph(spark, pairs), some)) == [w for w in want if w[0] in ("n1", "n2", "n9")]
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark, rows, monkeypatch):
+    calls = []
+    counted = lineage.cut_counted
+    monkeypatch.setattr(lineage, "cut_counted", lambda df: calls.append(1) or counted(df))
+    pairs = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)]
+    assert rows(lineage.reach(graph(spark, pairs))) == closure(pairs) and len(calls) <= 8
 
 
 def test_global_rank(spark):

@@ -159,7 +159,7 @@ def test_evaluation(spark, rows):
     values = spark.createDataFrame([("a",), ("zz",)], "v string")
     assert rows(datatests.unaccepted_values(sales, "status", values)) == [("b", 1)]
     assert rows(datatests.orphan_keys(sales, "store_id", stores, "id")) == [(12, 2)]
-    assert rows(datatests.observed_values(sales, ["status", "id"], 2)) == [("id", ["1", "2"])]
+    assert rows(datatests.observed_values(sales, ["status", "id"], 2)) == [("id", ["1", "2"]), ("status", None)]
     results = datatests.run_tests(
         {"sales": sales, "store": stores},
         [

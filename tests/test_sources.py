@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from mendline.functions import rules as R
 from mendline.functions import scale
 from mendline.operators import artifacts, drift
 from mendline.sources import catalog, contracts, files, sinks
@@ -41,13 +42,15 @@ def test_read_lines_over_many_splits(spark, tmp_path):
         write(tmp_path, name, "\n".join(lines) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
     try:
-        rows = files.read_lines(spark, str(tmp_path)).collect()
+        rows = files.read_lines(spark, str(tmp_path), exact=True).collect()
+        ordered = sorted(files.read_lines(spark, str(tmp_path)).collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     got = {}
     for r in rows:
         got.setdefault(r.path.split("/")[-1], {})[r.line_no] = r.text
     assert {k: [v[i] for i in range(1, len(v) + 1)] for k, v in got.items()} == texts
+    assert {k: [r.text for r in ordered if r.path.endswith(k)] for k in texts} == texts
 
 
 def test_list_files(spark, tmp_path):
@@ -86,7 +89,9 @@ def test_artifacts(spark, tmp_path, rows):
     results = artifacts.run_results(found.filter("kind = 'run_results'"))
     assert rows(artifacts.run_summary(results), "n_executed", "n_succeeded", "n_warned", "n_failed") == [(1, 0, 0, 1), (5, 2, 1, 2)]
     failed = {r.status: r for r in artifacts.failed_nodes(results).collect()}
-    assert failed["error"].seconds == "1.26" and len(failed["error"].message) == 1000
+    assert failed["error"].seconds == "1.26" and len(failed["error"].message) == 2000
+    failed = {r.status: r for r in artifacts.failed_nodes(results, message_chars=R.MESSAGE_CHARS).collect()}
+    assert len(failed["error"].message) == 1000
     assert failed["unknown"].node == "unknown" and failed["skipped"].seconds is None
 
 
@@ -180,15 +185,43 @@ def session_with(**settings):
     return SimpleNamespace(conf=SimpleNamespace(get=conf.get))
 
 
-def test_scratch_dir_comes_from_the_session():
-    on_cluster = session_with(spark_checkpoint_dir="hdfs://shared/cuts/", spark_master="yarn")
-    assert scale.scratch_dir(on_cluster) == "hdfs://shared/cuts"
-    assert scale.scratch_dir(session_with(spark_master="local[2]"))
-    with pytest.raises(RuntimeError):
-        scale.scratch_dir(session_with(spark_master="yarn"))
+def test_shared_dir_comes_from_the_session():
+    assert scale.shared_dir(session_with(spark_checkpoint_dir="hdfs://shared/cuts/")) == "hdfs://shared/cuts"
+    assert scale.shared_dir(session_with(spark_sql_warehouse_dir="hdfs://house")) == "hdfs://house/_checkpoints"
 
 
 def test_cut(spark):
     kept, n = scale.cut_counted(spark.range(5).filter("id > 1"))
     assert n == 3 and sorted(r.id for r in kept.collect()) == [2, 3, 4]
     assert scale.cut_counted(spark.range(0))[1] == 0
+
+
+@pytest.mark.parametrize("form", ["{}", "file://{}"])
+def test_no_file_is_lost(spark, rows, tmp_path, form):
+    """Names with a leading _ or ., blanks and signs in names, plain paths and URIs."""
+    names = ["ok", "a b", "c+d%20", "_y", "_staging/x", ".h/z", "é/_w"]
+    for n in names:
+        place = tmp_path / "models" / f"{n}.sql"
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text(f"select '{n}'\nfrom t\n")
+    (tmp_path / "models" / "_SUCCESS").write_text("")
+    for at, folder in (("models/schema.yml", "old"), ("models/z/_schema.yml", "new")):
+        (tmp_path / at).parent.mkdir(exist_ok=True)
+        (tmp_path / at).write_text(f"models:\n  - name: m\n    columns:\n      - name: {folder}\n")
+    root = form.format(tmp_path)
+    assert rows(files.read_models(spark, root), "name") == sorted((n.split("/")[-1],) for n in names)
+    assert all(r.sql == f"select '{r.path.split('models/')[1].removesuffix('.sql')}'\nfrom t\n" for r in files.read_models(spark, root).collect())
+    listed = files.list_files(spark, f"{root}/models", "*.sql").collect()
+    assert [r.path for r in listed] == sorted(f"file://{tmp_path}/models/{n}.sql" for n in names) and all(r.length > 0 for r in listed)
+    assert {r.path for r in files.read_models(spark, root).collect()} == {r.path for r in listed}
+    lines = files.read_lines(spark, f"{root}/models").filter("path like '%.sql'").orderBy("path", "line_no").collect()
+    assert [r.text for r in lines][1::2] == ["from t"] * len(names) and len({(r.path, r.line_no) for r in lines}) == 2 * len(names)
+    assert rows(contracts.read_contracts(spark, root), "model", "column") == [("m", "new")]
+
+
+def test_too_many_hidden_bytes_raise(spark, tmp_path, monkeypatch):
+    (tmp_path / "_a.log").write_text("x" * 100)
+    (tmp_path / "b.log").write_text("x")
+    monkeypatch.setattr(files, "HIDDEN_BYTES", 10)
+    with pytest.raises(ValueError, match="leading"):
+        files.read_whole(spark, str(tmp_path))

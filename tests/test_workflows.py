@@ -106,14 +106,27 @@ def test_long_flow_file(spark, rows):
 def test_fixes(spark, path, original, replacement, status, content):
     wanted = spark.createDataFrame([(path, original, replacement)], "path string, original string, replacement string")
     (done,) = fixes.apply_fixes(source(spark, a="abcb"), wanted).collect()
-    assert (done.status, done.content) == (status, content)
+    changed = [r.content for r in fixes.fixed_files(source(spark, a="abcb"), wanted).collect()]
+    assert done.status == status and changed == ([content] if content is not None else [])
 
 
-def test_many_fixes_of_one_file(spark, monkeypatch):
-    monkeypatch.setattr("mendline.functions.scale.heavy_keys", lambda df, key: ["a"])
-    wanted = spark.createDataFrame([("a", "b", str(i)) for i in range(300)] + [("x", "b", "c")], "path string, original string, replacement string")
-    done = fixes.apply_fixes(source(spark, a="abcb"), wanted).collect()
-    assert len(done) == 301 and {r.content for r in done if r.path == "a"} == {f"a{i}cb" for i in range(300)}
+def test_fixes_of_one_file_build_on_one_another(spark, rows):
+    wanted = spark.createDataFrame(
+        [("a", 2, "XX", "Y"), ("a", 1, "b", "XX"), ("a", 3, "b", "Z"), ("a", 4, "b", "Q"), ("x", 1, "b", "c")],
+        "path string, position int, original string, replacement string",
+    )
+    files = source(spark, a="abcb", untouched="b")
+    assert rows(fixes.apply_fixes(files, wanted), "path", "position", "status") == [
+        ("a", 1, "applied"), ("a", 2, "applied"), ("a", 3, "applied"), ("a", 4, "not_found"), ("x", 1, "file_missing"),
+    ]
+    assert rows(fixes.fixed_files(files, wanted)) == [("a", "aYcZ", 3)]
+
+
+def test_files_that_do_not_parse_have_their_syntax_finding_only(spark):
+    broken = source(spark, d=DAG + "def f(:\n", f=FLOW + "def f(:\n")
+    for empty in (workflows.dag_rules, workflows.flow_rules, workflows.dag_chains, workflows.dag_inventory, workflows.flow_inventory):
+        assert empty(broken).count() == 0
+    assert {r.rule_id for r in workflows.syntax_findings(broken).collect()} == {"syntax_error"}
 
 
 def test_findings(spark, rows):
