@@ -522,6 +522,7 @@ SQL["coverage_missing"] = f"SELECT DISTINCT name FROM {_MODELS} WHERE name NOT I
 _COVERAGE = f"""(SELECT model, count("column") AS n_columns, count("column") FILTER (n_tests > 0) AS n_tested,
   count("column") FILTER (n_tests = 0) AS n_untested FROM {_CON} WHERE model IN (SELECT name FROM {_MODELS}) GROUP BY model)"""
 SQL["coverage_class"] = f"SELECT *, CASE WHEN n_untested = 0 THEN 'full' ELSE 'partial' END AS coverage FROM {_COVERAGE}"
+SQL["coverage_of_one_model"] = f"SELECT * FROM ({SQL['coverage_class']}) WHERE model = 'mart_1'"
 SQL["coverage_untested_columns"] = (
     f'SELECT model, "column" AS column_name FROM {_CON} WHERE "column" IS NOT NULL AND n_tests = 0 AND model IN (SELECT name FROM {_MODELS})'
 )

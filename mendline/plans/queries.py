@@ -421,6 +421,12 @@ def coverage_class(spark, sf):
     return coverage.column_coverage(C.SQL_MODELS.load(spark, sf), _contracts(spark, sf))
 
 
+@query
+def coverage_of_one_model(spark, sf):
+    """The same restricted to one model by name, which is the feature."""
+    return coverage.column_coverage(C.SQL_MODELS.load(spark, sf), _contracts(spark, sf), "mart_1")
+
+
 @query
 def coverage_untested_columns(spark, sf):
     found = coverage.untested_columns(C.SQL_MODELS.load(spark, sf), _contracts(spark, sf))

@@ -41,18 +41,39 @@ def catalog_columns(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
     return _live(spark, rows)
 
 
-def jdbc_columns(spark: SparkSession, url: str, schema: str = "public", **options: str) -> DataFrame:
-    """Columns of all tables of a database schema through ``information_schema``; the user supplies the driver."""
-    source = spark.read.format("jdbc").options(url=url, dbtable="information_schema.columns", **options).load()
-    return source.filter(F.col("table_schema") == schema).select(
-        F.col("table_name").alias("table"),
+def named_columns(columns: DataFrame, schema: str = "public", tables: Sequence[str] | None = None) -> DataFrame:
+    """Live columns out of an ``information_schema.columns`` table of any database.
+
+    ``tables`` picks tables as ``table`` (of ``schema``) or ``schema.table``; without it all of ``schema`` are taken. Databases differ in
+    the case of unquoted names, so names are compared and returned in lower case; a table asked for as ``schema.table`` is
+    called that in the result.
+    """
+    owner, table = F.lower("table_schema"), F.lower("table_name")
+    if tables is None:
+        chosen, name = owner == schema.lower(), table
+    else:
+        wanted = sorted({t.lower() for t in tables})
+        full = F.concat(owner, F.lit("."), table)
+        plain = (owner == schema.lower()) & table.isin([t for t in wanted if "." not in t])
+        dotted = full.isin([t for t in wanted if "." in t])
+        chosen, name = plain | dotted, F.when(dotted, full).otherwise(table)
+    return columns.filter(chosen).select(
+        name.alias("table"),
         F.lower("column_name").alias("column"),
-        F.col("data_type"),
+        F.lower("data_type").alias("data_type"),
         (F.upper("is_nullable") == "YES").alias("nullable"),
         F.col("ordinal_position").cast("bigint").alias("ordinal"),
+        F.col("column_default").cast("string").alias("default"),
     )
 
 
+def jdbc_columns(
+    spark: SparkSession, url: str, schema: str = "public", tables: Sequence[str] | None = None, **options: str
+) -> DataFrame:
+    """``named_columns`` of a database; the user supplies the driver."""
+    return named_columns(spark.read.format("jdbc").options(url=url, dbtable="information_schema.columns", **options).load(), schema, tables)
+
+
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     """``(schema, table, type)`` of the catalog's tables and views, by name."""
     rows = [(".".join(t.namespace or []), t.name, t.tableType) for t in spark.catalog.listTables(database)]
@@ -63,7 +84,7 @@ def jdbc_tables(spark: SparkSession, url: str, **options: str) -> DataFrame:
     """``(schema, table, type)`` of a database's own tables, system schemas left out."""
     source = spark.read.format("jdbc").options(url=url, dbtable="information_schema.tables", **options).load()
     return (
-        source.filter(~F.col("table_schema").isin("pg_catalog", "information_schema"))
+        source.filter(~F.lower("table_schema").isin("pg_catalog", "information_schema"))
         .select(F.col("table_schema").alias("schema"), F.col("table_name").alias("table"), F.col("table_type").alias("type"))
         .orderBy("schema", "table")
     )

@@ -225,3 +225,18 @@ def test_too_many_hidden_bytes_raise(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "HIDDEN_BYTES", 10)
     with pytest.raises(ValueError, match="leading"):
         files.read_whole(spark, str(tmp_path))
+
+
+def test_columns_of_a_database_in_either_case(spark, rows):
+    schema = "table_schema string, table_name string, column_name string, data_type string, is_nullable string, ordinal_position int, column_default string"
+    found = spark.createDataFrame(
+        [
+            ("PUBLIC", "FCT", "ID", "NUMBER", "NO", 1, None),
+            ("public", "fct", "Name", "text", "YES", 2, "'x'"),
+            ("sales", "fct", "id", "integer", "NO", 1, None),
+            ("sales", "other", "id", "integer", "NO", 1, None),
+        ],
+        schema,
+    )
+    assert rows(catalog.named_columns(found), "table", "column", "default") == [("fct", "id", None), ("fct", "name", "'x'")]
+    assert rows(catalog.named_columns(found, tables=["Sales.FCT", "fct"]), "table", "column") == [("fct", "id"), ("fct", "name"), ("sales.fct", "id")]
