@@ -11,6 +11,7 @@ Two table forms are read:
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,6 +152,152 @@ def files_without_errors(files: DataFrame) -> DataFrame:
     return files.filter(clean).select("path", name.alias("framework"))
 
 
+# --- snippets of line tables -----------------------------------------------------------------------
+
+
+def _kind(rule: R.Rule) -> str:
+    """How far a rule reaches: within a line, to the end of the file, or over lines of a form of their own."""
+    if rule.rule_id in ("traceback", "jvm_exception"):
+        return rule.rule_id
+    if rule.pattern.startswith("(?s)"):
+        if not rule.pattern.endswith(".*"):
+            raise ValueError(f"rule {rule.rule_id} has no line form")
+        return "rest"
+    return "line"
+
+
+def extract_errors_from_lines(
+    lines: DataFrame,
+    rule_sets: dict[str, list[R.Rule]] | None = None,
+    block_lines: int = BLOCK_LINES,
+    snippet_chars: int | None = None,
+) -> DataFrame:
+    """``extract_errors`` on ``lines(path, framework, line_no, text)``: ``(path, framework, rule_no, rule_id, line_no, pos, snippet)``.
+
+    ``line_no`` is where a match begins and ``pos`` its place among those of the rule in that line. Blanks in a rule do not reach over a line
+    break. A match over many lines is gathered in one row: give ``snippet_chars`` where files are larger than a row may be.
+    """
+    sets = rule_sets or R.EXTRACTION_RULES
+    read = lines.select("path", F.lower("framework").alias("framework"), "line_no", "text")
+    text, folded = F.col("text"), F.col("folded")
+
+    def in_line(rules: list[R.Rule]) -> Column:
+        each = [
+            F.struct(F.lit(no).alias("rule_no"), F.lit(r.rule_id).alias("rule_id"), F.transform(_rule_hits(r, text, folded), strip).alias("snippets"))
+            for no, r in enumerate(rules, 1)
+            if _kind(r) == "line"
+        ]
+        return F.array(*each).cast("array<struct<rule_no: int, rule_id: string, snippets: array<string>>>")
+
+    found = [
+        read.withColumn("folded", F.lower("text"))
+        .select("path", "framework", "line_no", F.explode(_by_framework(F.col("framework"), sets, in_line)).alias("r"))
+        .select("path", "framework", "r.rule_no", "r.rule_id", "line_no", F.posexplode("r.snippets").alias("pos", "snippet"))
+    ]
+    for name, rules in sets.items():
+        others = ~F.col("framework").isin([s for s in sets if s != "generic"])
+        some = read.filter(others if name == "generic" else F.col("framework") == name)
+        for no, rule in enumerate(rules, 1):
+            kind = _kind(rule)
+            if kind == "line":
+                continue
+            reached = _rest(some, rule) if kind == "rest" else _segments(some, rule, kind, block_lines)
+            whole = _gather(reached, snippet_chars)
+            found.append(
+                whole.select(
+                    "path", "framework", F.lit(no).alias("rule_no"), F.lit(rule.rule_id).alias("rule_id"), "line_no", F.lit(0).alias("pos"), "snippet"
+                )
+            )
+    return reduce(DataFrame.unionByName, found).withColumn("snippet", head(F.col("snippet"), snippet_chars))
+
+
+def _rest(lines: DataFrame, rule: R.Rule) -> DataFrame:
+    """Lines from the first match of a file on."""
+    begins = first_hit(F.col("text"), rule.pattern, 0)
+    starts = (
+        lines.filter(_possible(rule.needs, F.col("text")) & begins.isNotNull())
+        .groupBy("path")
+        .agg(F.min(F.struct("line_no", begins.alias("head"))).alias("start"))
+    )
+    met = lines.join(starts, "path").filter(F.col("line_no") >= F.col("start.line_no"))
+    is_first = F.col("line_no") == F.col("start.line_no")
+    return met.select(
+        "path", "framework", F.lit(0).cast("bigint").alias("seg"), F.lit(0).cast("bigint").alias("block"), "line_no",
+        F.when(is_first, F.col("start.head")).alias("head"), F.when(is_first, F.col("start.head")).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def _segments(lines: DataFrame, rule: R.Rule, kind: str, block_lines: int) -> DataFrame:
+    """Lines of matches that reach from a head line to the line before the next *hard* one.
+
+    A hard line opens a segment: for a traceback a line that is neither empty nor indented, for an exception a stack frame. Two running maxima tell
+    the lines from the first head of a segment on; they are taken in blocks, and one row per block carries them to the next.
+    """
+    text, no = F.col("text"), F.col("line_no")
+    if kind == "traceback":
+        hard, begins = (text != "") & ~has(text, r"^\s"), first_hit(text, r"Traceback \(most recent call last\)[^\n]*+", 0)
+    else:
+        hard, begins = has(text, r"^\s*at "), first_hit(text, r"(?:java\.lang\.|org\.apache\.|py4j\.)\S+Exception[^\n]*", 0)
+    marked = lines.select(
+        "path", "framework", "line_no", "text", F.floor(no / F.lit(block_lines)).alias("block"),
+        F.when(hard, no).alias("hard"), F.when(_possible(rule.needs, text), begins).alias("head"),
+    )
+    so_far = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at_head = F.when(F.col("head").isNotNull(), no)
+    running = (
+        marked.withColumn("last_hard", F.max("hard").over(so_far))
+        .withColumn("last_head", F.max(at_head).over(so_far))
+        .withColumn("head_before", F.max(at_head).over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+    )
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        marked.groupBy("path", "block")
+        .agg(F.max("hard").alias("h"), F.max(F.when(F.col("head").isNotNull(), no)).alias("b"))
+        .select("path", "block", F.max("h").over(earlier).alias("carry_hard"), F.max("b").over(earlier).alias("carry_head"))
+    )
+    none = F.lit(-1).cast("bigint")
+    return (
+        running.join(carried, ["path", "block"])
+        .withColumn("seg", F.coalesce(F.greatest("last_hard", "carry_hard"), none))
+        .filter(F.greatest("last_head", "carry_head") >= F.col("seg"))
+        .withColumn("begins", F.coalesce(F.greatest("head_before", "carry_head"), F.lit(-2)) < F.col("seg"))
+        .select("path", "framework", "seg", "block", "line_no", "head", F.when(F.col("begins"), F.col("head")).otherwise(F.col("text")).alias("text"))
+    )
+
+
+def _gather(members: DataFrame, chars: int | None) -> DataFrame:
+    """``(path, framework, line_no, snippet)`` of segments: the head of the first line, then whole lines."""
+    shown = members if chars is None else _first_chars(members, chars)
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "head", "text")))
+    rest = F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.concat(F.lit("\n"), x["text"]))
+    whole = F.concat(F.col("l")[0]["head"], F.array_join(rest, ""))
+    return shown.groupBy("path", "framework", "seg").agg(ordered.alias("l")).select(
+        "path", "framework", F.col("l")[0]["line_no"].alias("line_no"), strip(whole).alias("snippet")
+    )
+
+
+def dedup_line_snippets(snippets: DataFrame) -> DataFrame:
+    """First of equal snippets per file of a line table, with its line and the number of repeats."""
+    return (
+        snippets.groupBy("path", "framework", "snippet")
+        .agg(F.min(F.struct("rule_no", "line_no", "pos", "rule_id")).alias("first"), F.count("*").alias("n_repeats"))
+        .select("path", "framework", "first.rule_no", "first.rule_id", "first.line_no", "snippet", "n_repeats")
+    )
+
+
+def paths_without_errors(lines: DataFrame, rule_sets: dict[str, list[R.Rule]] | None = None) -> DataFrame:
+    """``files_without_errors`` of a line table: a partial count per path, no line moves."""
+    sets = rule_sets or R.EXTRACTION_RULES
+    begins = {"traceback": r"Traceback \(most recent call last\)", "jvm_exception": r"(?:java\.lang\.|org\.apache\.|py4j\.)\S+Exception"}
+    name = F.lower("framework")
+
+    def hit(rules: list[R.Rule]) -> Column:
+        return _any_rule([r._replace(pattern=begins.get(r.rule_id, r.pattern)) for r in rules], F.col("text"), F.lower("text"))
+
+    flagged = lines.select("path", name.alias("framework"), _by_framework(name, sets, hit).alias("hit"))
+    return flagged.groupBy("path", "framework").agg(F.max("hit").alias("hit")).filter("not hit").select("path", "framework")
+
+
 # --- JVM exception chains ---------------------------------------------------------------------
 
 

@@ -128,6 +128,22 @@ FROM (SELECT *, count(*) OVER (PARTITION BY path, snippet) AS n_repeats,
         row_number() OVER (PARTITION BY path, snippet ORDER BY rule_no, pos) AS rn
       FROM (SELECT *, left(snippet, 200) AS snippet_key FROM ({_SNIPPETS})))
 WHERE rn = 1"""
+# Read by lines, blanks in a rule stay within a line; rules over many lines see the whole text as before.
+_BY_LINE = f"(SELECT path, framework, unnest(string_split(content, chr(10))) AS content FROM {_FILES})"
+_LINE_SNIPPETS = union(
+    [
+        f"SELECT path, framework, {no} AS rule_no, '{rule.rule_id}' AS rule_id, {strip('unnest(m)')} AS snippet "
+        f"FROM (SELECT path, framework, {found('content', rule.pattern, rule.group)} AS m FROM {_FILES if many else _BY_LINE} WHERE {_set_test(name)})"
+        for name, rules in R.EXTRACTION_RULES.items()
+        for no, rule in enumerate(rules, 1)
+        for many in [rule.rule_id == "traceback" or rule.pattern.startswith("(?s)")]
+    ]
+)
+SQL["log_snippets_lines"] = f"SELECT path, framework, rule_no, rule_id, snippet, count(*) AS n FROM ({_LINE_SNIPPETS}) GROUP BY ALL"
+SQL["log_snippet_dedup_lines"] = f"""
+SELECT path, framework, min(rule_no) AS rule_no, arg_min(rule_id, rule_no) AS rule_id, snippet, count(*) AS n_repeats
+FROM ({_LINE_SNIPPETS}) GROUP BY path, framework, snippet"""
+SQL["log_paths_without_errors"] = f"SELECT path, framework FROM {_FILES} WHERE path NOT IN (SELECT path FROM ({_SNIPPETS}))"
 SQL["log_snippet_topk"] = f"""
 SELECT framework, rule_id, snippet, count(*) AS n_hits, count(DISTINCT path) AS n_paths
 FROM ({_SNIPPETS}) GROUP BY ALL ORDER BY n_hits DESC, framework, rule_id, snippet LIMIT 20"""

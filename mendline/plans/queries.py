@@ -82,6 +82,28 @@ def log_snippet_dedup(spark, sf):
     return logs.dedup_snippets(logs.extract_errors(C.LOG_FILES.load(spark, sf)))
 
 
+def _lines(spark, sf):
+    return logs.split_lines(C.LOG_FILES.load(spark, sf), "framework")
+
+
+@query
+def log_snippets_lines(spark, sf):
+    """The same snippets read off a table of lines, with their numbers."""
+    found = logs.extract_errors_from_lines(_lines(spark, sf))
+    return found.groupBy("path", "framework", "rule_no", "rule_id", "snippet").agg(F.count("*").alias("n"))
+
+
+@query
+def log_snippet_dedup_lines(spark, sf):
+    found = logs.dedup_line_snippets(logs.extract_errors_from_lines(_lines(spark, sf)))
+    return found.select("path", "framework", "rule_no", "rule_id", "snippet", "n_repeats")
+
+
+@query
+def log_paths_without_errors(spark, sf):
+    return logs.paths_without_errors(_lines(spark, sf))
+
+
 @query
 def log_snippet_topk(spark, sf):
     return logs.top_snippets(logs.extract_errors(C.LOG_FILES.load(spark, sf)), 20)

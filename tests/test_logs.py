@@ -146,6 +146,30 @@ def test_very_long_texts_do_not_exhaust_the_stack(spark):
         assert len(found) >= 5000
 
 
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_snippets_of_lines_equal_those_of_files(spark, block):
+    """Random lines; blanks within a rule stay within a line here."""
+    rng = random.Random(11)
+    kinds = [
+        "ERROR - x ERROR y", "Traceback (most recent call last): a", "  Traceback (most recent call last): b", "  File z", "", "\tindented", "plain",
+        "java.lang.AException: m", "  org.apache.BException n", "\tat a.b (C.java:1)", "at x java.lang.CException: o", "Caused by: p", "   ",
+        "Database Error in q", "Compilation Error r Database Error", "WARN  TaskSetManager: s", "Stage 3 failed t", "AirflowException: u",
+    ]
+    cases = []
+    for framework in R.EXTRACTION_RULES:
+        for i in range(25):
+            cases.append((f"{framework}/{i}", framework, "\n".join(rng.choice(kinds) for _ in range(rng.randint(0, 20)))))
+    files = spark.createDataFrame(cases, FILES)
+    lines = logs.split_lines(files, "framework")
+    for chars in (None, 30):
+        want = sorted((r.path, r.rule_no, r.rule_id, r.snippet) for r in logs.extract_errors(files, snippet_chars=chars).collect())
+        got = logs.extract_errors_from_lines(lines, block_lines=block, snippet_chars=chars)
+        # White space at the cap may be cut before the end of a match is known.
+        assert sorted((r.path, r.rule_no, r.rule_id, r.snippet.strip()) for r in got.collect()) == sorted((p, n, i, t.strip()) for p, n, i, t in want)
+    clean = sorted(r.path for r in logs.files_without_errors(files).collect())
+    assert sorted(r.path for r in logs.paths_without_errors(lines).collect()) == clean
+
+
 def test_files_without_errors(spark, rows):
     df = spark.createDataFrame([("a", "dbt", "all good"), ("b", "dbt", DBT), ("c", "x", "fine"), ("d", "airflow", "WARN x")], FILES)
     assert rows(logs.files_without_errors(df), "path") == [("a",), ("c",), ("d",)]
