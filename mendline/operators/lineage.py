@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
 from mendline.functions.scale import cut, cut_counted
-from mendline.functions.text import hits
+from mendline.functions.text import FLAGS, hits
 
 # --- graph construction -----------------------------------------------------------------------
 
@@ -88,9 +88,8 @@ def sql_edges(models: DataFrame) -> DataFrame:
     """Distinct edges from ``ref`` and ``source`` calls in ``models(name, sql)``; sources are ``source.table``."""
     sql = F.col("sql")
     refs = hits(sql, R.REF_BLOCK, 1)
-    sources = F.zip_with(
-        hits(sql, R.SOURCE_BLOCK, 1), hits(sql, R.SOURCE_BLOCK, 2), lambda schema, table: F.concat(schema, F.lit("."), table)
-    )
+    part = lambda m, group: F.regexp_extract(m, FLAGS + R.SOURCE_BLOCK, group)
+    sources = F.transform(hits(sql, R.SOURCE_BLOCK), lambda m: F.concat(part(m, 1), F.lit("."), part(m, 2)))
     tagged = F.concat(
         F.transform(refs, lambda r: F.struct(r.alias("parent"), F.lit("model").alias("parent_type"))),
         F.transform(sources, lambda s: F.struct(s.alias("parent"), F.lit("source").alias("parent_type"))),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.text import first_hit, has, hits, plain_decimal
+from mendline.functions.text import FLAGS, first_hit, has, hits, plain_decimal
 
 
 def _observe(plans: DataFrame, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
@@ -39,11 +39,9 @@ def lint_postgres(plans: DataFrame) -> DataFrame:
     seq = F.array_distinct(hits(plan, R.PLAN_SEQ_SCAN, 1))
     index = F.array_distinct(hits(plan, R.PLAN_INDEX_SCAN, 1))
     number = lambda s: s.cast("decimal(38,0)")
-    pairs = F.zip_with(
-        hits(plan, R.PLAN_ROWS, 1),
-        hits(plan, R.PLAN_ROWS, 2),
-        lambda e, a: F.struct(number(e).alias("est"), number(a).alias("act")),
-    )
+    # The text is searched once; the two numbers are read off the short matches.
+    part = lambda m, group: number(F.regexp_extract(m, FLAGS + R.PLAN_ROWS, group))
+    pairs = F.transform(hits(plan, R.PLAN_ROWS), lambda m: F.struct(part(m, 1).alias("est"), part(m, 2).alias("act")))
     off = F.get(
         F.filter(
             pairs,

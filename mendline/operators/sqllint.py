@@ -17,20 +17,24 @@ from mendline.operators.modelsql import mask_literals, strip_comments
 NO_FUNCTIONS = ["IN", "AND", "OR", "NOT", "EXISTS", "SELECT", "ANY", "ALL", "SOME", "VALUES", "WHERE", "ON", "THEN", "WHEN", "ELSE", "AS"]
 
 
-def statements(queries: DataFrame) -> DataFrame:
-    """``(query_id, sql, bare, masked, stmt_no, stmt, kind)``: one row per statement.
+def statements(queries: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
+    """``(query_id, stmt_no, stmt, kind)``: one row per statement.
+
+    ``flags`` are columns over the whole query (``sql``, ``bare``, ``masked``), computed once before it is cut into statements.
 
     ``bare`` is the query without comments, ``masked`` also without the text of literals. ``kind`` is SELECT (also with CTEs), UNION for set operations, or the leading keyword.
     """
     bare = queries.select("query_id", "sql", strip_comments(F.col("sql")).alias("bare"))
     masked = bare.select("*", mask_literals(F.col("bare")).alias("masked"))
     parts = F.filter(F.split("masked", ";"), lambda s: strip(s) != "")
-    rows = masked.select("*", F.posexplode(parts).alias("stmt_no", "stmt"))
+    named = flags or {}
+    whole = masked.select("query_id", parts.alias("parts"), *[c.alias(n) for n, c in named.items()])
+    rows = whole.select("query_id", *named, F.posexplode("parts").alias("stmt_no", "stmt"))
     word = F.upper(first_hit(F.col("stmt"), r"^[\s(]*(\w+)"))
     set_op = has(F.col("stmt"), r"(?i)\b(?:UNION|INTERSECT|EXCEPT)\b")
     kind = F.when(word.isin("SELECT", "WITH"), F.when(set_op, "UNION").otherwise("SELECT")).otherwise(word)
     return rows.select(
-        "query_id", "sql", "bare", "masked", (F.col("stmt_no") + 1).cast("bigint").alias("stmt_no"), strip(F.col("stmt")).alias("stmt"), kind.alias("kind")
+        "query_id", *named, (F.col("stmt_no") + 1).cast("bigint").alias("stmt_no"), strip(F.col("stmt")).alias("stmt"), kind.alias("kind")
     )
 
 
@@ -67,9 +71,10 @@ def lint(queries: DataFrame, strict: bool = False) -> DataFrame:
         "cross_join": R.CROSS_JOIN,
     }
     wording = R.LINT_STRICT if strict else default
+    flags = {name: has(quoted if name == "leading_wildcard" else text, pattern) for name, pattern in wording.items()}
     one = F.lit(1).cast("bigint")
     rules: list[tuple[str, str, Column, Column]] = [
-        ("select_star", "WARNING", has(text, wording["select_star"]), one),
+        ("select_star", "WARNING", F.col("select_star"), one),
         ("no_where", "NOTE", select & ~has(stmt, R.WHERE), one),
         ("many_joins", "NOTE", select & (joins > R.LINT_MANY_JOINS), joins),
         ("subqueries", "NOTE", select & (subqueries > 0), subqueries),
@@ -81,9 +86,9 @@ def lint(queries: DataFrame, strict: bool = False) -> DataFrame:
             one,
         ),
         ("function_in_where", "WARNING", select & (F.size(calls) > 0), one),
-        ("leading_wildcard", "WARNING", has(quoted, wording["leading_wildcard"]), one),
-        ("not_in_subquery", "WARNING", has(text, wording["not_in_subquery"]), one),
-        ("cross_join", "WARNING", has(text, wording["cross_join"]), one),
+        ("leading_wildcard", "WARNING", F.col("leading_wildcard"), one),
+        ("not_in_subquery", "WARNING", F.col("not_in_subquery"), one),
+        ("cross_join", "WARNING", F.col("cross_join"), one),
     ]
     found = F.array_compact(
         F.array(
@@ -95,7 +100,7 @@ def lint(queries: DataFrame, strict: bool = False) -> DataFrame:
     )
     nothing = F.array(F.struct(F.lit("no_issue").alias("rule_id"), F.lit("INFO").alias("severity"), one.alias("n")))
     return (
-        statements(queries)
+        statements(queries, flags)
         .select("query_id", "stmt_no", "kind", found.alias("found"))
         .select("query_id", "stmt_no", "kind", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(nothing)).alias("f"))
         .select(
