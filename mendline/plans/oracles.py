@@ -101,6 +101,63 @@ def _describe(table: str) -> str:
 
 SQL["src_describe_tables"] = union([_describe(t) for t in _SCHEMAS])
 
+# --- Fixed values: patterns of the log rules, written for this engine rather than shared with the operators ----
+
+_TRACE = r"Traceback \(most recent call last\)[^\n]*(?:\n+[^\S\n][^\n]*)*"
+_LOG_PATTERNS: dict[str, list[tuple[str, str, int]]] = {
+    "dbt": [
+        ("compilation_error", r"Compilation Error(?s:.*)", 0),
+        ("database_error", r"Database Error(?s:.*)", 0),
+        ("runtime_error", r"Runtime Error(?s:.*)", 0),
+        ("level_line", r"(?:ERROR|WARN)\s+.*", 0),
+        ("unhandled_exception", r"Unhandled exception(?s:.*)", 0),
+        ("node_error", r"(?i)node \S+ had an error|does not compile", 0),
+    ],
+    "airflow": [
+        ("traceback", _TRACE, 0),
+        ("level_line", r"(?:ERROR|CRITICAL)\s+-\s+.*", 0),
+        ("task_failed", r"(?i)task\s+\S+\s+failed.*", 0),
+        ("import_error", r"(?:DagBagError|ImportError):.*", 0),
+        ("airflow_exception", r"AirflowException:.*", 0),
+        ("pool_full", r"(?i)(?:slot|pool)\s+\S+\s+is full", 0),
+    ],
+    "prefect": [
+        ("traceback", _TRACE, 0),
+        ("level_line", r"(?:ERROR|CRITICAL)\s+.*", 0),
+        ("flow_crashed", r"(?i)flow run .* crashed.*", 0),
+        ("task_failed", r"(?i)task run .* failed.*", 0),
+        ("crash_exception", r"CrashException:.*", 0),
+    ],
+    "spark": [
+        ("jvm_exception", r"(?s)((?:java\.lang\.|org\.apache\.|py4j\.)\S+Exception.*?)(?:\n\s*at |\z)", 1),
+        ("stack_frame", r"at [\w.$]+ \([\w.$]+\.(?:java|scala):\d+\)", 0),
+        ("caused_by", r"Caused by:.*", 0),
+        ("level_line", r"(?:ERROR|WARN)\s+.*", 0),
+        ("engine_exception", r"(?:Analysis|Spark|Python)Exception:.*", 0),
+        ("task_set_warning", r"WARN\s+TaskSetManager.*", 0),
+        ("job_failed", r"(?i)job \d+ failed.*", 0),
+        ("stage_failed", r"(?i)stage \d+ failed.*", 0),
+        ("out_of_memory", r"(?i)outofmemoryerror.*", 0),
+        ("gc_overhead", r"(?i)gc overhead limit exceeded", 0),
+    ],
+    "generic": [
+        ("traceback", _TRACE, 0),
+        ("level_line", r"(?:ERROR|CRITICAL|FATAL)\s+.*", 0),
+        ("exception", r"Exception:.*", 0),
+    ],
+}
+_HEAD_RX = r"(?:java|org\.apache|scala|com|py4j)\.\S+(?:Exception|Error)[^\n]*"
+_CHAIN_RX = _HEAD_RX + r"(?:\n\s+at [^\n]+)*(?:\nCaused by:[^\n]*(?:\n\s+at [^\n]+)*)*"
+_WARN_RX = r"^(?:\[?\d[\d/:.,\-T ]*\]?\s+)?((?:WARN|ERROR|FATAL)\s+\S+:\s+.+)"
+# (severity, rule, pattern, pattern of the strict wording)
+_ISSUES = [
+    ("CRITICAL", "out_of_memory", r"(?i)outofmemoryerror|gc overhead limit exceeded|java heap space", ""),
+    ("ERROR", "shuffle_failure", r"(?i)fetchfailed|shuffle\s+\S+\s+failed|shuffle fetch failed", ""),
+    ("ERROR", "stage_failure", r"(?i)stage \d+.* failed|job \d+.* failed", r"(?i)stage \d+ .* failed|job \d+ .* failed"),
+    ("ERROR", "executor_loss", r"(?i)executorlostfailure|executor\s+\d+\s+(?:lost|dead|failed)", ""),
+    ("WARN", "data_skew", r"(?i)task\s+is\s+\d+x\s+slower|speculative\s+task|straggler", ""),
+]
+
 # --- logs -------------------------------------------------------------------------------------
 
 _FILES = f"(SELECT path, lower(framework) AS framework, content FROM {C.LOG_FILES.sql})"
@@ -109,16 +166,16 @@ _FILES = f"(SELECT path, lower(framework) AS framework, content FROM {C.LOG_FILE
 def _set_test(name: str) -> str:
     if name != "generic":
         return f"framework = '{name}'"
-    return "framework NOT IN (" + ", ".join(q(s) for s in R.EXTRACTION_RULES if s != "generic") + ")"
+    return "framework NOT IN (" + ", ".join(q(s) for s in _LOG_PATTERNS if s != "generic") + ")"
 
 
 _SNIPPETS = union(
     [
-        f"SELECT path, framework, {no} AS rule_no, '{rule.rule_id}' AS rule_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, "
+        f"SELECT path, framework, {no} AS rule_no, '{rule}' AS rule_id, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS pos, "
         f"{strip('unnest(m)')} AS snippet "
-        f"FROM (SELECT path, framework, {found('content', rule.pattern, rule.group)} AS m FROM {_FILES} WHERE {_set_test(name)})"
-        for name, rules in R.EXTRACTION_RULES.items()
-        for no, rule in enumerate(rules, 1)
+        f"FROM (SELECT path, framework, {found('content', pattern, group)} AS m FROM {_FILES} WHERE {_set_test(name)})"
+        for name, rules in _LOG_PATTERNS.items()
+        for no, (rule, pattern, group) in enumerate(rules, 1)
     ]
 )
 SQL["log_snippets"] = _SNIPPETS
@@ -132,11 +189,11 @@ WHERE rn = 1"""
 _BY_LINE = f"(SELECT path, framework, unnest(string_split(content, chr(10))) AS content FROM {_FILES})"
 _LINE_SNIPPETS = union(
     [
-        f"SELECT path, framework, {no} AS rule_no, '{rule.rule_id}' AS rule_id, {strip('unnest(m)')} AS snippet "
-        f"FROM (SELECT path, framework, {found('content', rule.pattern, rule.group)} AS m FROM {_FILES if many else _BY_LINE} WHERE {_set_test(name)})"
-        for name, rules in R.EXTRACTION_RULES.items()
-        for no, rule in enumerate(rules, 1)
-        for many in [rule.rule_id == "traceback" or rule.pattern.startswith("(?s)")]
+        f"SELECT path, framework, {no} AS rule_no, '{rule}' AS rule_id, {strip('unnest(m)')} AS snippet "
+        f"FROM (SELECT path, framework, {found('content', pattern, group)} AS m FROM {_FILES if many else _BY_LINE} WHERE {_set_test(name)})"
+        for name, rules in _LOG_PATTERNS.items()
+        for no, (rule, pattern, group) in enumerate(rules, 1)
+        for many in [rule == "traceback" or "(?s" in pattern]
     ]
 )
 SQL["log_snippets_lines"] = f"SELECT path, framework, rule_no, rule_id, snippet, count(*) AS n FROM ({_LINE_SNIPPETS}) GROUP BY ALL"
@@ -157,7 +214,7 @@ SELECT path, pos, chain, chain_key, n_repeats FROM (
     count(*) OVER (PARTITION BY path, chain) AS n_repeats
   FROM (SELECT path, pos, chain, left(chain, 150) AS chain_key FROM (
     SELECT path, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos, {strip('unnest(m)')} AS chain
-    FROM (SELECT path, {found('content', R.JVM_CHAIN)} AS m FROM {C.LOG_FILES.sql}))))
+    FROM (SELECT path, {found('content', _CHAIN_RX)} AS m FROM {C.LOG_FILES.sql}))))
 WHERE rn = 1"""
 SQL["log_exception_chains"] = _CHAINS
 SQL["log_chains_shown"] = f"""
@@ -166,7 +223,7 @@ SELECT path, pos, chain, rank, n_total FROM (
   FROM ({_CHAINS})) WHERE rank <= 5"""
 SQL["log_exception_chains_lines"] = rf"""
 WITH k AS (SELECT path, line_no, text, NOT regexp_matches(text, '\S') AS blank, regexp_matches(text, '^\s+at [^\n]') AS frame,
-    regexp_matches(text, '^at [^\n]') AS bare, starts_with(text, 'Caused by:') AS caused, regexp_extract(text, {rx(R.JVM_HEAD)}) AS head
+    regexp_matches(text, '^at [^\n]') AS bare, starts_with(text, 'Caused by:') AS caused, regexp_extract(text, {rx(_HEAD_RX)}) AS head
   FROM {C.LOG_LINES.sql}),
 a AS (SELECT *, lag(blank, 1, false) OVER (PARTITION BY path ORDER BY line_no) AS after_blank FROM k),
 h AS (SELECT *, NOT (blank OR frame OR (bare AND after_blank) OR (caused AND NOT after_blank)) AS hard FROM a),
@@ -182,8 +239,8 @@ FROM c GROUP BY path, chain"""
 
 def _issue_sql(strict: bool = False, files: str = C.LOG_FILES.sql, text: str = "content") -> str:
     parts = []
-    for severity, rule in R.JVM_ISSUES:
-        name, pattern = rule.rule_id, (R.JVM_ISSUES_STRICT.get(rule.rule_id, rule) if strict else rule).pattern
+    for severity, name, pattern, narrow in _ISSUES:
+        pattern = (narrow or pattern) if strict else pattern
         shown = "m[1]"
         if name == "stage_failure":
             shown = f"array_to_string(list_filter(m, lambda x, i: list_position(m, x) = i), chr(10))"
@@ -193,29 +250,29 @@ def _issue_sql(strict: bool = False, files: str = C.LOG_FILES.sql, text: str = "
 
 
 SQL["log_issue_flags"] = _issue_sql()
-SQL["log_tail_issues"] = _issue_sql(files=C.LONG_LOGS.sql, text=f"right(content, {R.JVM_TAIL_CHARS})")
+SQL["log_tail_issues"] = _issue_sql(files=C.LONG_LOGS.sql, text=f"right(content, 100000)")
 SQL["log_stage_failures"] = f"SELECT artifact, n, evidence FROM ({_issue_sql(True)}) WHERE rule_id = 'stage_failure'"
 SQL["log_warn_lines"] = f"""
 SELECT path, left(line, 80) AS line_key, min(line_no) AS line_no, line, count(*) AS n_repeats
-FROM (SELECT path, line_no, regexp_extract(text, {rx(R.WARN_LINE)}, 1) AS line FROM {C.LOG_LINES.sql} WHERE {has('text', R.WARN_LINE)})
+FROM (SELECT path, line_no, regexp_extract(text, {rx(_WARN_RX)}, 1) AS line FROM {C.LOG_LINES.sql} WHERE {has('text', _WARN_RX)})
 GROUP BY path, line"""
 SQL["log_tail_window"] = f"""
 SELECT path, length(content) AS n_chars, length(t) AS n_tail_chars, length(t) - length(replace(t, chr(10), '')) AS n_tail_breaks, md5(t) AS tail_md5
-FROM (SELECT path, content, right(content, {R.JVM_TAIL_CHARS}) AS t FROM {C.LONG_FILES.sql})"""
+FROM (SELECT path, content, right(content, 100000) AS t FROM {C.LONG_FILES.sql})"""
 _DIRTY = " OR ".join(
-    [has("content", R.JVM_HEAD), has("content", "(?m)" + R.WARN_LINE)] + [has("content", rule.pattern) for _, rule in R.JVM_ISSUES]
+    [has("content", _HEAD_RX), has("content", "(?m)" + _WARN_RX)] + [has("content", pattern) for _, _, pattern, _ in _ISSUES]
 )
 SQL["log_clean_files"] = (
     f"SELECT path FROM {C.LOG_FILES.sql} WHERE NOT ({_DIRTY})"
 )
 _HITS = union(
     [
-        f"SELECT path, line_no, '{rule.rule_id}' AS rule_id, '{severity}' AS severity, regexp_extract(text, {rx(rule.pattern)}) AS evidence "
-        f"FROM l WHERE {has('text', rule.pattern)}"
-        for severity, rule in R.JVM_ISSUES
+        f"SELECT path, line_no, '{name}' AS rule_id, '{severity}' AS severity, regexp_extract(text, {rx(pattern)}) AS evidence "
+        f"FROM l WHERE {has('text', pattern)}"
+        for severity, name, pattern, _ in _ISSUES
     ]
     + [
-        f"SELECT path, line_no, 'warn_line', 'WARN', regexp_extract(text, {rx(R.WARN_LINE)}, 1) FROM l WHERE {has('text', R.WARN_LINE)}"
+        f"SELECT path, line_no, 'warn_line', 'WARN', regexp_extract(text, {rx(_WARN_RX)}, 1) FROM l WHERE {has('text', _WARN_RX)}"
     ]
 )
 SQL["log_rollup"] = f"""
