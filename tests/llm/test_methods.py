@@ -386,3 +386,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(mixed) <= set(near)
     end = corpus_pipeline.run(spark, at).collect()
     assert Counter(r.doc_id for r in end) == Counter(r.doc_id for r in docs.collect()) and all(r.lossless for r in end)
+
+
+def test_lasso_is_at_its_optimum():
+    x = (RANDOM.random((400, 6)) < 0.4).astype(float)
+    y = (RANDOM.random(400) < 1 / (1 + np.exp(-(2 * x[:, 0] - 1.5 * x[:, 1])))).astype(float)
+    w, b = rule_ensemble.lasso(x, y, 0.01, 3000)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    pull = x.T @ (y - p) / len(y)
+    assert abs((y - p).mean()) < 1e-6
+    assert all(abs(g - 0.01 * np.sign(v)) < 1e-6 if v else abs(g) <= 0.01 + 1e-6 for g, v in zip(pull, w))
+    assert w[0] > 0 > w[1] and np.count_nonzero(w) < 6
