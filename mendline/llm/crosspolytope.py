@@ -169,7 +169,7 @@ def _groups(members: DataFrame, low: float) -> DataFrame:
     return ordered.select("key", "i", "j", "uid", "n", "v", "keys", "block").mapInArrow(run, "uid long, part long, a long, b long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 1024, seed: int = 31) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int = 256, seed: int = 31) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     n_links counts the other rows linked directly, equal vectors among them; component_id is the smallest vec_id reachable. Vectors that
