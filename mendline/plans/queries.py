@@ -259,7 +259,7 @@ def lineage_impact(spark, sf):
 @query
 def lineage_manifest_impact(spark, sf):
     """From manifests to the impact of each of their nodes, graphs of different manifests apart."""
-    edges = lineage.manifest_edges(_manifest_entries(spark, sf))
+    edges = cut(lineage.manifest_edges(_manifest_entries(spark, sf)))
     return lineage.named(lineage.impact(lineage.keyed_edges(edges)), edges)
 
 
