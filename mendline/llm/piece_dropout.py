@@ -1,9 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A text becomes blanks-as-marks units; no piece spans two units, so each is merged on its own by an agenda: the best-scored adjacent
-pair first, the leftmost among equals. A candidate merge taken from the agenda is skipped if a keyed hash of (seed, variant,
-unit, place, merged piece) falls below the dropout rate. The variant of each unit is a keyed hash of the document and the unit's place,
-so one word is cut in up to ``VARIANTS`` ways over a corpus, every run cuts it alike, and the results can be kept in a bounded cache.
+pair first, the leftmost among equals. A candidate merge taken from the agenda is skipped if a keyed hash of (seed, document, place of the
+unit, place in the unit, merged piece) falls below the dropout rate, so every occurrence of a word has draws of its own and every run cuts it alike.
+
+The agenda depends on the draws only through the merges that it skips. For every unit met again there is a tree: a node is the set of merges skipped
+so far and holds the merges tested after the last of them and the cut if none of those is skipped; a skip leads to a child. An
+occurrence follows its draws down the tree, nodes are made when reached again, and the tree is a cache: it changes no result.
 With dropout 0 the ids are those of the plain encoder. What has no piece is written as byte pieces; a mark character that is
 part of the text itself is too, so every text decodes to itself.
 """
@@ -12,13 +15,13 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +29,14 @@ from mendline.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-VARIANTS = 4
-#: Units kept between blocks of about _BLOCK_CHARS characters; longest unit and number of rows that matrices take.
-_KEPT_UNITS, _BLOCK_CHARS = 400_000, 1 << 21
-_LONGEST_ROW, _ROWS = 32, 8192
+#: Nodes kept between blocks of about _BLOCK_CHARS characters; longest unit and number of rows that matrices take; most skips of a node.
+_KEPT_NODES, _BLOCK_CHARS = 800_000, 1 << 21
+_LONGEST_ROW, _ROWS, _DEEPEST = 32, 8192, 6
+#: Occurrences whose draws are made at a time.
+_DRAWN = 1 << 17
 _NONE, _GONE, _BYTES = 1 << 30, -1, -2
+#: Mark of a child that was reached once and has no node yet.
+_SEEN = -2
 
 
 class Pieces:
@@ -55,10 +61,9 @@ class Pieces:
         self.units = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.dropout, self.seed = dropout, seed
         self.limit = int(min(max(dropout, 0.0), 1.0) * (1 << 64))
-        self.variants = VARIANTS if dropout > 0 else 1
+        self.variants = 1 << 64 if dropout > 0 else 1  # draws that tell occurrences apart
         self.limit_word = np.uint64(min(self.limit, _ALL))
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.n_kept = 0
+        self.forget()
         self.of_char = np.full(0x110000, _BYTES, np.int32)
         for piece, i in self.ids.items():
             if len(piece) == 1:
@@ -75,8 +80,18 @@ class Pieces:
         self.pairs = np.array(sorted(splits), np.int64)
         self.made = np.array([splits[p] for p in self.pairs.tolist()], np.int32)
 
-    def merge(self, unit: str, variant: int) -> list[int]:
-        """Ids of one unit by the agenda."""
+    def forget(self) -> None:
+        """Empty the trees. A node is a place in the lists; its tested merges are a run of places in the arrays."""
+        self.root: dict[str, int] = {}
+        self.seen: set[str] = set()
+        self.unit_of: list[str] = []
+        self.skipped: list[tuple[int, ...]] = []
+        self.cuts: list[bytes] = []
+        self.first, self.tests = _Column(np.int64), _Column(np.int64)
+        self.code, self.child, self.owner = _Column(np.uint64), _Column(np.int64), _Column(np.int64)
+
+    def merge(self, unit: str, draw: int) -> list[int]:
+        """Ids of one unit by the agenda; ``draw`` is that of the occurrence."""
         symbols = list(unit)
         n = len(symbols)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -90,13 +105,12 @@ class Pieces:
 
         for i in range(n - 1):
             offer(i, i + 1)
-        key = self.key(unit, variant) if self.limit else 0
         while agenda:
             _, left, right, size = heapq.heappop(agenda)
             a, b = symbols[left], symbols[right]
             if not a or not b or following[left] != right or len(a) + len(b) != size:
                 continue  # one side has been merged since
-            if self.limit and _mixed(key ^ (left << 32) ^ self.ids[a + b]) < self.limit:
+            if self.limit and _mixed(draw ^ (left << 32) ^ self.ids[a + b]) < self.limit:
                 continue
             symbols[left], symbols[right] = a + b, ""
             after = following[left] = following[right]
@@ -114,14 +128,15 @@ class Pieces:
     def spelled(self, char: str) -> list[int]:
         return [self.byte_id[x] for x in (MARK if char == _TEXT_MARK else char).encode("utf-8", "surrogatepass")]
 
-    def key(self, unit: str, variant: int) -> int:
-        try:
-            return xxhash.xxh3_64_intdigest(unit, self.seed * VARIANTS + variant)
-        except UnicodeEncodeError:  # it holds the stand-in
-            return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
+    def merge_many(self, units: list[str], draw: int | np.ndarray = 0) -> list[bytes]:
+        """Packed ids of many units, with one draw or one for each."""
+        return self._agenda(units, np.broadcast_to(np.asarray(draw, np.uint64), len(units)), None)[0]
+
+    def _agenda(self, units: list[str], draws: np.ndarray | None, skips: np.ndarray | None):
+        """Packed ids of many units, and the merges tested: the same agenda, one candidate of every unit at a time.
 
-    def merge_many(self, units: list[str], variant: int) -> list[bytes]:
-        """Packed ids of many units in one variant: the same agenda, one candidate of every unit at a time.
+        Skipped is what ``draws`` says, or else the merges of ``skips`` (a row for each unit). The tests are a list of (rows, codes,
+        which were skipped), one entry a step; a code is place and piece.
 
         A row of the matrices is a unit. ``rank`` holds for every symbol the order of its merge with the following symbol, or NONE; the
         least, leftmost one is what the agenda would give next.
@@ -139,18 +154,21 @@ class Pieces:
         into = np.full((rows, width + 1), -1, np.int32)
         into[:, :width] = self.joined(sym[:, :-1], sym[:, 1:])
         rank = np.where(into >= 0, self.rank[into], _NONE)
-        keys = np.zeros(rows, np.uint64)
-        if self.limit:
-            keys = np.array([self.key(u, variant) for u in units], np.uint64)
         live = np.arange(rows)
+        tested = []
         while len(live):
             left = (rank if len(live) == rows else rank[live]).argmin(1)
             found = rank[live, left] < _NONE
             live, left = live[found], left[found]
             piece = into[live, left]
             row = live
-            if self.limit:
-                skip = _mixed_many(keys[row] ^ (left.astype(np.uint64) << np.uint64(32)) ^ piece.astype(np.uint64)) < self.limit_word
+            code = (left.astype(np.uint64) << np.uint64(32)) ^ piece.astype(np.uint64)
+            if draws is not None:
+                skip = _mixed_many(draws[row] ^ code) < self.limit_word
+            else:
+                skip = (skips[row] == code[:, None]).any(1)
+                tested.append((row, code, skip))
+            if skip.any():
                 rank[row[skip], left[skip]] = _NONE
                 row, left, piece = row[~skip], left[~skip], piece[~skip]
             right = after[row, left]
@@ -164,7 +182,7 @@ class Pieces:
             back = before[row, left]
             has = back >= 0
             self._offer(row[has], back[has], left[has], sym, into, rank)
-        return self._packed(sym[:, :width], chars)
+        return self._packed(sym[:, :width], chars), tested
 
     def _offer(self, row, left, right, sym, into, rank) -> None:
         piece = self.joined(sym[row, left], sym[row, np.minimum(right, sym.shape[1] - 1)])
@@ -207,41 +225,132 @@ class Pieces:
         return out
 
     def _encode_block(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        if self.n_kept > _KEPT_UNITS:
-            self.kept, self.n_kept = [{} for _ in range(self.variants)], 0
+        if len(self.cuts) + len(self.seen) > _KEPT_NODES:
+            self.forget()
         cut = [self.units.findall(MARK + t.replace(MARK, _TEXT_MARK).replace(" ", MARK)) if t else [] for t in texts]
-        which = [self.variants_of(k, len(u)) for k, u in zip(keys, cut)]
-        get = [kept.get for kept in self.kept]
-        found = [[get[v](u) for u, v in zip(units, w)] for units, w in zip(cut, which)]
-        missing = [[i for i, ids in enumerate(f) if ids is None] for f in found]
-        new: list[set[str]] = [set() for _ in range(self.variants)]
-        for units, w, at in zip(cut, which, missing):
-            for i in at:
-                new[w[i]].add(units[i])
-        for v, units in enumerate(new):
-            self._keep(sorted(units, key=len), v)
-        for units, w, at, f in zip(cut, which, missing, found):
-            for i in at:
-                f[i] = self.kept[w[i]][units[i]]
-        return [b"".join(f) for f in found]
-
-    def _keep(self, units: list[str], variant: int) -> None:
-        """Merge units, sorted by length, and keep their ids."""
-        kept = self.kept[variant]
+        units = list(itertools.chain.from_iterable(cut))
+        ends = np.cumsum([len(u) for u in cut])
+        draws = self.draws(keys, [len(u) for u in cut]) if self.limit else None
+        root, seen, new = self.root, self.seen, set()
+        for u in units:
+            if u not in root:
+                if u in seen or not self.limit:
+                    new.add(u)
+                else:
+                    seen.add(u)
+        if new:
+            self._add_roots(sorted(new, key=len))
+            seen -= new
+        get = root.get
+        node = np.array([get(u, -1) for u in units], np.int64)
+        own: list[bytes] = []
+        if self.limit:
+            at, deep = np.nonzero(node >= 0)[0], 0
+            alone = np.nonzero(node < 0)[0]  # long, or met for the first time: no tree
+            alone = alone[np.argsort([len(units[i]) for i in alone.tolist()], kind="stable")]
+            node[alone] = ~np.arange(len(alone))
+            short = bisect.bisect_right(alone, _LONGEST_ROW, key=lambda i: len(units[i]))
+            for i in range(0, short, _ROWS):
+                some = alone[i : min(i + _ROWS, short)]
+                own += self.merge_many([units[k] for k in some.tolist()], draws[some])
+            own += [np.array(self.merge(units[i], int(draws[i])), np.int32).tobytes() for i in alone[short:].tolist()]
+            while len(at):
+                at, tests = self._first_skips(at, node[at], draws)
+                child = self.child.held
+                missing, n = np.unique(tests[child[tests] < 0], return_counts=True)
+                again = (n > 1) | (child[missing] == _SEEN)
+                child[missing] = _SEEN
+                if deep < _DEEPEST and again.any():
+                    self._add_children(missing[again])
+                node[at] = self.child.held[tests]
+                rest = at[node[at] < 0]  # reached for the first time, or too many ways to keep
+                rest = rest[np.argsort([len(units[i]) for i in rest.tolist()], kind="stable")]
+                for i in range(0, len(rest), _ROWS):
+                    some = rest[i : i + _ROWS]
+                    node[some] = ~np.arange(len(own), len(own) + len(some))
+                    own += self.merge_many([units[k] for k in some.tolist()], draws[some])
+                at = at[node[at] >= 0]
+                deep += 1
+        cuts = self.cuts
+        found = [cuts[i] if i >= 0 else own[~i] for i in node.tolist()]
+        return [b"".join(found[s:e]) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _first_skips(self, at: np.ndarray, node: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of occurrences at nodes: those that skip one of its tested merges, and the place of the first."""
+        out_at, out_tests = [], []
+        for i in range(0, len(at), _DRAWN):
+            some, n = at[i : i + _DRAWN], self.tests.held[node[i : i + _DRAWN]]
+            begin = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(some)), n)
+            tests = np.arange(len(of)) + (self.first.held[node[i : i + _DRAWN]] - begin)[of]
+            skip = np.nonzero(_mixed_many(draws[some][of] ^ self.code.held[tests]) < self.limit_word)[0]
+            of = of[skip]
+            first = np.ones(len(of), bool)
+            first[1:] = of[1:] != of[:-1]
+            out_at.append(some[of[first]])
+            out_tests.append(tests[skip[first]])
+        return np.concatenate(out_at), np.concatenate(out_tests)
+
+    def _add_roots(self, units: list[str]) -> None:
+        """Trees of units, sorted by length. With dropout, units that matrices do not take have none."""
         short = bisect.bisect_right(units, _LONGEST_ROW, key=len)
         for i in range(0, short, _ROWS):
             some = units[i : min(i + _ROWS, short)]
-            kept.update(zip(some, self.merge_many(some, variant)))
-        kept.update((u, np.array(self.merge(u, variant), np.int32).tobytes()) for u in units[short:])
-        self.n_kept += len(units)
-
-    def variants_of(self, key: int, n: int) -> list[int]:
-        """The variant of each unit of a document."""
-        if self.variants == 1:
-            return [0] * n
+            self.root.update(zip(some, self._add(some, [()] * len(some)).tolist()))
+        for u in units[short:]:
+            if self.limit:
+                self.root[u] = -1
+            else:
+                self.root[u] = len(self.cuts)
+                self._hold([u], [()], [np.array(self.merge(u, 0), np.int32).tobytes()], np.zeros(1, np.int64), np.zeros(0, np.uint64))
+
+    def _add_children(self, tests: np.ndarray) -> None:
+        parents = self.owner.held[tests].tolist()
+        codes = self.code.held[tests].tolist()
+        order = sorted(range(len(tests)), key=lambda i: len(self.unit_of[parents[i]]))
+        for i in range(0, len(order), _ROWS):
+            some = order[i : i + _ROWS]
+            units = [self.unit_of[parents[k]] for k in some]
+            self.child.held[tests[some]] = self._add(units, [(*self.skipped[parents[k]], codes[k]) for k in some])
+
+    def _add(self, units: list[str], skipped: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes; ``skipped`` are of equal length."""
+        rows, deep = len(units), len(skipped[0])
+        cuts, steps = self._agenda(units, None, np.array(skipped, np.uint64).reshape(rows, deep))
+        after = np.zeros(rows, bool) if deep else np.ones(rows, bool)
+        last = np.array([x[-1] for x in skipped], np.uint64) if deep else None
+        row, code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for r, c, skip in steps:
+            if deep:
+                after[r[c == last[r]]] = True
+            new = after[r] & ~skip
+            row.append(r[new])
+            code.append(c[new])
+        row, code = np.concatenate(row), np.concatenate(code)
+        order = np.argsort(row, kind="stable")
+        begin = len(self.cuts)
+        self._hold(units, skipped, cuts, np.bincount(row, minlength=rows), code[order])
+        return np.arange(begin, begin + rows)
+
+    def _hold(self, units, skipped, cuts: list[bytes], n: np.ndarray, code: np.ndarray) -> None:
+        begin = len(self.cuts)
+        self.first.extend(len(self.code.held) + np.cumsum(n) - n)
+        self.tests.extend(n)
+        self.owner.extend(np.repeat(np.arange(begin, begin + len(cuts)), n))
+        self.child.extend(np.full(len(code), -1))
+        self.code.extend(code)
+        self.unit_of += units
+        self.skipped += skipped
+        self.cuts += cuts
+
+    def draws(self, keys: list[int], counts: list[int]) -> np.ndarray:
+        """The draw of every unit of documents, by seed, document and place."""
+        if not keys:
+            return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            place = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            return ((_mixed_many(np.uint64(key & _ALL) + place) >> np.uint64(40)).astype(np.int64) % self.variants).tolist()
+            of = np.array([_mixed((k ^ self.seed * 0x9E3779B97F4A7C15) & _ALL) for k in keys], np.uint64)
+            place = np.concatenate([np.arange(n, dtype=np.uint64) for n in counts]) * np.uint64(0xD1B54A32D192ED03)
+            return _mixed_many(np.repeat(of, counts) + place)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -249,6 +358,21 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+class _Column:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.room = np.zeros(1 << 12, kind)
+        self.held = self.room[:0]
+
+    def extend(self, more: np.ndarray) -> None:
+        n = len(self.held)
+        if n + len(more) > len(self.room):
+            self.room = np.concatenate((self.held, np.zeros(max(n, len(more)) + len(more), self.room.dtype)))
+        self.room[n : n + len(more)] = more
+        self.held = self.room[: n + len(more)]
+
+
 #: Stands for a mark character of the text itself while it is cut; a lone surrogate, which no text in UTF-8 holds.
 _TEXT_MARK = "\ud800"
 _ALL = (1 << 64) - 1
