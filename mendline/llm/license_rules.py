@@ -129,8 +129,12 @@ class Recogniser:
 
     def __init__(self):
         self.by_start: dict[str, list[tuple[str, re.Pattern]]] = {}
+        self.heads: dict[str, list[str]] = {}  # what wordings that may run over line ends begin with, up to their first place
         for name, pattern in _compiled():
-            self.by_start.setdefault(SENTENCES[name].split(" ")[0], []).append((name, pattern))
+            start = SENTENCES[name].split(" ")[0]
+            self.by_start.setdefault(start, []).append((name, pattern))
+            if not SENTENCES[name].endswith(_OPEN):
+                self.heads.setdefault(start, []).append(SENTENCES[name].split("{")[0])
 
     def known(self, sentence: str) -> tuple[str, dict[str, str]] | None:
         if len(sentence) <= _LONGEST_PATTERN:  # no wording is longer
@@ -151,12 +155,13 @@ class Recogniser:
         while i < len(parts):
             hit = None
             joined = ""
-            for n in range(1, 9):  # a notice is often broken over lines; the longest join that is known counts
-                if i + n > len(parts):
-                    break
+            for n in range(1, len(parts) - i + 1):  # a notice is often broken over lines; the longest join that is known counts
                 joined = parts[i] if n == 1 else f"{joined} {parts[i + n - 1]}"
-                if joined.split(" ", 1)[0] not in self.by_start or len(joined) > _LONGEST_PATTERN:
+                start = joined.split(" ", 1)[0]
+                if start not in self.by_start or len(joined) > _LONGEST_PATTERN:
                     break
+                if n > 1 and not any(h.startswith(joined) or joined.startswith(h) for h in self.heads.get(start, ())):
+                    break  # no wording goes on like this
                 k = self.known(joined)
                 if k and (n == 1 or not SENTENCES[k[0]].endswith(_OPEN)):
                     hit = (n, k)

@@ -1,5 +1,6 @@
 """Cases in which the operators once did less than the whole job."""
 
+import textwrap
 from itertools import combinations
 from pathlib import Path
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mendline.llm import near_texts, piece_dropout
+from mendline.llm import license_rules, near_texts, piece_dropout
 
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables absent")
@@ -93,3 +94,23 @@ def test_every_occurrence_has_its_own_draws(rate):
         plain = piece_dropout.Pieces(Path(piece_dropout.MODEL).read_bytes(), 0.0, 5).encode_many(["the"], [0])[0]
         n = own.tests.held[own.root["▁the"]]
         assert 0.9**n - 0.04 < np.mean([x == plain for x in the]) < 1
+
+
+# --- licences
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software."""
+GPL = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize("columns", [20, 25, 30, 40, 50, 52, 55, 60])
+@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (GPL, "GPL-2-or-later")])
+def test_notices_wrapped_at_any_width(notice, name, columns):
+    lines = textwrap.wrap(" ".join(notice.split()), columns, break_long_words=False, break_on_hyphens=False)
+    known = license_rules.Recogniser()
+    found, unknown = known.read("Some program\n" + "\n".join("# " + x for x in lines) + "\nAnd its text.")
+    assert known.licenses(found) == [name] and unknown == []
