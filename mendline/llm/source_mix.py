@@ -3,7 +3,7 @@
 Slot n of the schedule belongs to the source whose interval of cumulative weights holds the fractional part of n times the golden
 ratio, so that every stretch of slots has each source's share up to a few slots. Slots are ranked per source, and slot r takes the
 r-th block of that source: its documents, in shuffled order, cut into blocks of equal numbers of words. After the last block the
-source begins again. The few slots that a source lacks of its target follow at the end; the last block of a target may be partial.
+source begins again. The few slots that a source lacks of its target follow at the end, numbered on; the last block of a target may be partial.
 
 Numbering is done in two steps everywhere (within a slice, and over the sums of slices), so a source with a third of all
 documents is spread over many tasks. Only ids and sizes move, never texts.
@@ -63,9 +63,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
-def _blocks(sources: DataFrame, slots: int, least_block: int) -> tuple[DataFrame, int]:
+def _blocks(sources: DataFrame, slots: int | None, least_block: int) -> tuple[DataFrame, int]:
     total = sources.agg(F.sum("target")).first()[0] or 0.0
-    block = max(least_block, int(-(-total // slots)))
+    block = max(least_block, int(-(-total // slots)) if slots else 1)
     size, take = F.col("source_size"), F.floor(F.col("target") + 1e-6)
     n_blocks = F.ceil(size / block)
     needed = F.when(take <= size, F.ceil(take / block)).otherwise(n_blocks + F.ceil((take - size) / block))
@@ -110,6 +110,11 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
         .select(F.lit(None).cast("long").alias("slot"), "skey", F.explode(F.sequence(F.col("have"), F.col("needed") - 1)).alias("r"))
     )
     facts = spans.select("skey", "needed", "n_blocks", "source_size", "take")
+    closing = cut(closing)
+    if not closing.isEmpty():  # they follow the points, source by source in turn
+        closing = global_rank(closing, [F.col("r").asc(), F.col("skey").asc()]).select(
+            (F.col("rank") + F.lit(n - 1)).alias("slot"), "skey", "r"
+        )
     taken = ranked.unionByName(closing).join(facts, "skey").filter("r < needed")
     at = F.pmod("r", F.col("n_blocks"))
     turn = F.floor(F.col("r") / F.col("n_blocks"))
@@ -129,13 +134,16 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 23,
-    slots: int = 1 << 20,
+    slots: int | None = None,
     least_block: int = 64,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row per row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, slot, slot_again), one row per row of ``docs``.
+
+    slot: the first slot of the schedule that takes words of the document; slot_again: the first of the second pass over its source;
+    null where nothing is taken. The order of the slots is the order of the mix.
 
     taken: the words of the document that the mix takes, repeats counted, at most ``most`` times its size (``most`` is at most 2).
-    A block has total/``slots`` words and ``least_block`` at least. Null and empty texts have size 0 and nothing taken. The same
+    A block has ``least_block`` words, and more only if ``slots`` sets a highest number of slots. Null and empty texts have size 0 and nothing taken. The same
     rows give the same mix in whatever order they come; of rows equal in id, source and size it does not matter which is which.
     """
     d = narrow(docs, "doc_id", "source", "text")
@@ -165,20 +173,31 @@ def mix(
     got = F.greatest(F.lit(0), F.least(last, F.coalesce("used", F.lit(0))) - first)
     row = ["skey", "start", "doc_id", "source", "size", "source_size", "target"]
     # Empty documents share their start with the next one; they take nothing and need no block.
-    full = pieces.filter("size > 0").join(plan.select("skey", "block", "used"), ["skey", "block"], "left")
-    some = full.groupBy(*row).agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
-    none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    full = pieces.filter("size > 0").join(plan, ["skey", "block"], "left").withColumn("got", got)
+    first_slot = lambda again: F.min(F.when((F.col("got") > 0) & (F.col("pass") == again), F.col("slot")))
+    some = full.groupBy(*row).agg(
+        F.coalesce(F.sum("got"), F.lit(0)).cast("long").alias("taken"), first_slot(0).alias("slot"), first_slot(1).alias("slot_again")
+    )
+    nothing = F.lit(None).cast("long")
+    none = placed.filter("size = 0").withColumns({"taken": F.lit(0).cast("long"), "slot": nothing, "slot_again": nothing})
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "slot", "slot_again"]
     return some.select(*columns).unionByName(none.select(*columns))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them: each document as many times as the nearest whole number of its words taken to its size.
 
-    Documents of size 0 are never taken. Rows that share an id are one document.
+    The rows are range-partitioned and sorted by the slots of the copies, so that files hold the mix in its order. Documents of size 0 are
+    never taken. Rows that share an id are one document.
     """
     found = mix(docs, **how).filter("size > 0")
-    copies = found.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies"))
+    copies = found.groupBy("doc_id").agg(
+        F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies"),
+        F.min("slot").alias("__first"),
+        F.min("slot_again").alias("__again"),
+    )
     taken = copies.filter("__copies > 0").withColumnRenamed("doc_id", "__id")
     met = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    slots = F.slice(F.array("__first", "__again"), 1, F.col("__copies"))
+    each = met.withColumn("__slot", F.explode(slots)).repartitionByRange("__slot").sortWithinPartitions("__slot")
+    return each.select(*[each[f"`{c}`"] for c in docs.columns])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mendline.llm import license_rules, near_texts, piece_dropout
+from mendline.llm import license_rules, near_texts, piece_dropout, source_mix
 
 DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables absent")
@@ -114,3 +114,28 @@ def test_notices_wrapped_at_any_width(notice, name, columns):
     known = license_rules.Recogniser()
     found, unknown = known.read("Some program\n" + "\n".join("# " + x for x in lines) + "\nAnd its text.")
     assert known.licenses(found) == [name] and unknown == []
+
+
+# --- mix
+
+
+def test_the_mix_comes_in_the_order_of_its_schedule(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(400)
+    found = source_mix.mix(docs).collect()
+    assert all((r.slot is not None) == (r.taken > 0) and (r.slot_again is not None) == (r.taken > r["size"]) for r in found)
+    copies = [(s, r.doc_id) for r in found if r["size"] for s in [r.slot, r.slot_again][: int(r.taken / r["size"] + 0.5)]]
+    slot_of = {}
+    for s, i in copies:
+        slot_of.setdefault(i, []).append(s)
+    got = [r.doc_id for r in source_mix.mixed(docs).collect()]
+    assert sorted(got) == sorted(i for _, i in copies)
+    in_order = [slot_of[i].pop(0) if len(slot_of[i]) == 1 else slot_of[i].pop(slot_of[i].index(min(slot_of[i]))) for i in got]
+    assert in_order == sorted(in_order)
+    monkeypatch.setattr(source_mix, "GOLDEN", 0.41421356237309515)
+    assert [r.slot for r in sorted(source_mix.mix(docs).collect())] != [r.slot for r in sorted(found)]
+
+
+def test_the_number_of_slots_grows_with_the_words(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'a' as source", "repeat('w ', 64 * 600) as text")
+    top = source_mix.mix(docs, share=1.0).agg(F.max("slot"), F.countDistinct("slot")).first()
+    assert top[0] > 1 << 20 and top[1] == 4000
