@@ -12,6 +12,7 @@ from mendline.llm import (
     crosspolytope,
     extendible_dedup,
     license_rules,
+    order_minhash,
     piece_dropout,
     rule_ensemble,
     simhash_ring,
@@ -141,3 +142,9 @@ SELECT revisit_id, url_key, TIMESTAMP '2020-01-01 00:00:00' + to_seconds(sec) AS
         || chr(10) || 'etag: ' || r_digest END AS headers
 FROM judged
 """
+
+
+@query
+def op12_order_minhash(spark, sf):
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    return order_minhash.compared(read(spark, sf, "documents"))
