@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendline.llm import (
+    block_maxscore,
+    conversation_repair,
     count_rollup,
     crosspolytope,
     extendible_dedup,
@@ -148,3 +150,42 @@ FROM judged
 def op12_order_minhash(spark, sf):
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     return order_minhash.compared(read(spark, sf, "documents"))
+
+
+@query
+def op11_block_maxscore(spark, sf):
+    """item_id, rank, doc_id, score: the ten best documents of every benchmark item."""
+    return block_maxscore.top(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+SQL["op11_block_maxscore"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+), q AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0
+), m AS (
+    SELECT doc_id, 10 + (90 * len(terms)::BIGINT * n_docs) // total AS m FROM d, s WHERE len(terms) > 0
+), tf AS (
+    SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), w AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, n_docs
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_conversation_repair(spark, sf):
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation."""
+    return conversation_repair.repair(read(spark, sf, "conversations"))
