@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from mendline.functions import rules as R
 from mendline.functions.scale import cut, cut_counted
 from mendline.functions.text import FLAGS, hits
+from mendline.operators import closure
 
 # --- graph construction -----------------------------------------------------------------------
 
@@ -197,13 +198,24 @@ def reach_counts(pairs: DataFrame, all_nodes: DataFrame, max_depth: int = -1) ->
     )
 
 
+def reach_counts_of(edges: DataFrame, all_nodes: DataFrame, max_depth: int = -1) -> DataFrame:
+    """``reach_counts`` of a whole graph, without its pairs."""
+    found = closure.counts(edges, reach, max_depth).select(
+        F.col("node").alias("root"), F.col("up_within").alias("n_within_depth"), F.col("up").alias("n_total")
+    )
+    roots = all_nodes.select(F.col("name").alias("root")).distinct()
+    return roots.join(found, "root", "left").na.fill(0, ["n_within_depth", "n_total"])
+
+
 def impact(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Direct parents, all ancestors, direct children and all dependents of every node.
 
-    One upstream closure serves both directions: its pairs are grouped by either end. A pair at depth 1 is a
-    direct edge.
+    Counted without the pairs, unless they are given: then they are grouped by either end, and a pair at depth 1 is a direct edge.
     """
-    pairs = reach(edges) if pairs is None else pairs
+    names = ("direct_parents", "total_ancestors", "direct_children", "total_dependents")
+    if pairs is None:
+        found = closure.counts(edges, reach)
+        return found.select("node", *[F.col(c).alias(n) for c, n in zip(("direct_up", "up", "direct_down", "down"), names)])
     sides = pairs.select(
         F.explode(
             F.array(
@@ -212,13 +224,9 @@ def impact(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
             )
         ).alias("s")
     ).select("s.*")
-    direct = F.col("depth") == 1
-    return sides.groupBy("node").agg(
-        F.count_if(F.col("up") & direct).alias("direct_parents"),
-        F.count_if("up").alias("total_ancestors"),
-        F.count_if(~F.col("up") & direct).alias("direct_children"),
-        F.count_if(~F.col("up")).alias("total_dependents"),
-    )
+    up, direct = F.col("up"), F.col("depth") == 1
+    counted = (F.count_if(up & direct), F.count_if(up), F.count_if(~up & direct), F.count_if(~up))
+    return sides.groupBy("node").agg(*[c.alias(n) for c, n in zip(counted, names)])
 
 
 def impact_of(edges: DataFrame, roots: Iterable[str]) -> DataFrame:

@@ -248,7 +248,7 @@ def lineage_downstream_depth(spark, sf):
 def lineage_reach_count(spark, sf):
     edges = C.SHOP_EDGES.load(spark, sf)
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("name"))
-    return lineage.reach_counts(lineage.reach(edges), nodes, max_depth=2)
+    return lineage.reach_counts_of(edges, nodes, max_depth=2)
 
 
 @query

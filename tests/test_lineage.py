@@ -1,5 +1,6 @@
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,41 @@ def test_reach_of_random_graphs(spark, rows):
         assert rows(lineage.reach(graph(spark, pairs), some)) == [w for w in want if w[0] in ("n1", "n2", "n9")]
 
 
+def pairs_of(pairs):
+    found = closure(pairs)
+    ups, downs, near = Counter(), Counter(), Counter()
+    for root, node, depth in found:
+        ups[root] += 1
+        downs[node] += 1
+        near[root] += depth <= 2
+    return ups, downs, near
+
+
+@pytest.mark.parametrize("how", [{}, {"most_bits": 64}, {"most_edges": 3}])
+def test_counts_without_pairs(spark, rows, how):
+    rng = random.Random(11)
+    pairs = [(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 40)}") for _ in range(60)]  # cycles and loops among them
+    pairs += [(f"c{i}", f"c{i + 1}") for i in range(100)] + [("x", "x"), ("y", "z"), ("y", "z")]
+    ups, downs, near = pairs_of(pairs)
+    parents, children = Counter(c for c, _ in set(pairs)), Counter(p for _, p in set(pairs))
+    want = sorted((n, ups[n], near[n], downs[n], parents[n], children[n]) for n in {x for p in pairs for x in p})
+    edges = graph(spark, [*pairs, (None, "n1"), ("n1", None)])
+    assert rows(lineage.closure.counts(edges, lineage.reach, 2, **how)) == sorted(want, key=repr)
+
+
+def test_a_long_chain_takes_a_handful_of_jobs(spark):
+    n = 2000
+    edges = spark.range(n - 1).selectExpr("concat('n', id) AS child", "concat('n', id + 1) AS parent")
+    context = spark.sparkContext
+    context.setJobGroup("chain", "impact of a chain")
+    found = {r.node: r for r in lineage.impact(edges).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("chain"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert all(found[f"n{i}"].total_ancestors == n - 1 - i and found[f"n{i}"].total_dependents == i for i in range(n))
+    assert jobs < 150  # rounds of the components, none per level
+    assert lineage.impact(edges.filter("false")).collect() == []
+
+
 def test_rounds_grow_with_the_logarithm_of_the_depth(spark, rows, monkeypatch):
     calls = []
     counted = lineage.cut_counted
