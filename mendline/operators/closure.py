@@ -108,16 +108,24 @@ def _solve(child: np.ndarray, parent: np.ndarray, block: int, bits: int, depth:
 
 
 def _in_tasks(edges: DataFrame, depth: int) -> DataFrame:
-    """(node, counts) for rows (part, block, bits, child, parent); the rows of a part and block are solved together."""
+    """(node, counts) for rows (part, block, bits, child, parent)."""
     names = ["node", *_COUNTS]
 
+    def solve(child: np.ndarray, parent: np.ndarray, block: int, bits: int) -> pa.RecordBatch:
+        nodes, counts = _solve(child, parent, block, bits, depth)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(c, pa.int64()) for c in counts)], names=names)
+
+    return by_piece(edges, solve, ", ".join(f"{c} long" for c in names))
+
+
+def by_piece(edges: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(child, parent, block, bits)`` for all rows (part, block, bits, child, parent) of a part and block together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, current = [], None
 
         def close():
-            block, bits = current[1:]
-            nodes, counts = _solve(*(np.concatenate(x) for x in zip(*held)), block, bits, depth)
-            return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(c, pa.int64()) for c in counts)], names=names)
+            return solve(*(np.concatenate(x) for x in zip(*held)), *current[1:])
 
         for b in batches:
             if not b.num_rows:
@@ -135,7 +143,7 @@ def _in_tasks(edges: DataFrame, depth: int) -> DataFrame:
             yield close()
 
     ordered = edges.repartition("part", "block").sortWithinPartitions("part", "block")
-    return ordered.select("part", "block", "bits", "child", "parent").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return ordered.select("part", "block", "bits", "child", "parent").mapInArrow(run, schema)
 
 
 def _by_pairs(edges: DataFrame, depth: int, all_pairs) -> DataFrame:
@@ -151,13 +159,9 @@ def _by_pairs(edges: DataFrame, depth: int, all_pairs) -> DataFrame:
     )
 
 
-def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_EDGES, most_bits: int = MOST_BITS) -> DataFrame:
-    """``(node, up, up_within, down, direct_up, direct_down)`` for every node of ``edges(child, parent)``.
-
-    up: nodes reached from child to parent, up_within: by at most ``depth`` steps (-1: any), down: nodes that reach it, direct: distinct
-    neighbours. A node on a cycle reaches itself. Null ends are no nodes; repeated edges count once. ``all_pairs`` finds the
-    ``(root, node, depth)`` of components that are too large for a task.
-    """
+def pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(part, m, child, parent)``: the distinct edges by numbers, with the weak component they lie in and its number of edges; and
+    ``(name, id)`` of the nodes. Null ends are no nodes."""
     known = edges.select("child", "parent").filter("child is not null and parent is not null").distinct()
     names = known.select(F.explode(F.array("child", "parent")).alias("name")).distinct()
     ids = cut(global_rank(names, [F.col("name")], "id"))
@@ -169,7 +173,17 @@ def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_
         F.coalesce("component", "child").alias("part"), "child", "parent"
     )
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
-    sized = cut(placed.join(sizes, "part"))
+    return cut(placed.join(sizes, "part")), ids
+
+
+def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_EDGES, most_bits: int = MOST_BITS) -> DataFrame:
+    """``(node, up, up_within, down, direct_up, direct_down)`` for every node of ``edges(child, parent)``.
+
+    up: nodes reached from child to parent, up_within: by at most ``depth`` steps (-1: any), down: nodes that reach it, direct: distinct
+    neighbours. A node on a cycle reaches itself. Null ends are no nodes; repeated edges count once. ``all_pairs`` finds the
+    ``(root, node, depth)`` of components that are too large for a task.
+    """
+    sized, ids = pieces(edges)
     nodes = F.col("m") + 1  # no more, as the part hangs together
     bits = F.greatest(F.lit(64), F.floor(F.lit(most_bits) / nodes)).cast("long")
     small = sized.filter(F.col("m") <= most_edges).withColumn("bits", bits)

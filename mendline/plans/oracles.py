@@ -396,6 +396,12 @@ WITH RECURSIVE e AS (SELECT DISTINCT * FROM {C.SHOP_EDGES.sql}),
 r(root, node, depth, path) AS (SELECT DISTINCT child, child, 0, child FROM e
   UNION ALL SELECT r.root, e.parent, r.depth + 1, concat(r.path, '/', e.parent) FROM r JOIN e ON r.node = e.child)
 SELECT root, node, CAST(depth AS INTEGER) AS depth, path FROM r"""
+SQL["lineage_tree_page"] = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM {C.SHOP_EDGES.sql}),
+r(root, node, depth, path) AS (SELECT DISTINCT child, child, 0, [child] FROM e
+  UNION ALL SELECT r.root, e.parent, r.depth + 1, list_append(r.path, e.parent) FROM r JOIN e ON r.node = e.child),
+n AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path) AS rank, count(*) OVER (PARTITION BY root) AS n_rows FROM r)
+SELECT root, rank, node, CAST(depth AS INTEGER) AS depth, array_to_string(path, '/') AS path, n_rows FROM n WHERE rank BETWEEN 2 AND 4"""
 
 # --- model SQL and data tests -----------------------------------------------------------------
 

@@ -23,6 +23,7 @@ from mendline.operators import (
     planlint,
     sqllint,
     sqlprofile,
+    trees,
     workflows,
 )
 from mendline.plans import corpora as C
@@ -283,6 +284,18 @@ def lineage_tree(spark, sf):
     return found.select("root", "node", "depth", F.array_join("path", "/").alias("path"))
 
 
+@query
+def lineage_tree_page(spark, sf):
+    """Rows 2 to 4 of every tree, and how many rows it has, without unfolding the rest."""
+    edges = C.SHOP_EDGES.load(spark, sf)
+    placed = cut(trees.layout(edges))
+    found = trees.page(placed, edges.select(F.col("child").alias("root")), 2, 3)
+    sizes = trees.sizes(placed).withColumnRenamed("node", "root")
+    return found.join(sizes, "root").select(
+        "root", F.col("rank").cast("long").alias("rank"), "node", "depth", F.array_join("path", "/").alias("path"), F.col("size").cast("long").alias("n_rows")
+    )
+
+
 # --- model SQL and data tests -----------------------------------------------------------------
 
 

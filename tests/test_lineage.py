@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendline.functions.scale import global_rank
-from mendline.operators import artifacts, lineage
+from mendline.operators import artifacts, lineage, trees
 
 MANIFEST = {
     "nodes": {
@@ -176,6 +176,51 @@ def test_a_long_chain_takes_a_handful_of_jobs(spark):
     assert lineage.impact(edges.filter("false")).collect() == []
 
 
+def unfolded(pairs, root):
+    below = {}
+    for c, p in set(pairs):
+        below.setdefault(c, []).append(p)
+
+    def walk(node, path):
+        yield path
+        for p in sorted(below.get(node, ())):
+            yield from walk(p, [*path, p])
+
+    return list(walk(root, [root]))
+
+
+@pytest.mark.parametrize("most_edges", [trees.MOST_EDGES, 2])
+def test_pages_of_trees(spark, most_edges):
+    rng = random.Random(5)
+    pairs = [(f"n{a}", f"n{rng.randint(a + 1, 30)}") for a in range(25) for _ in range(2)]
+    placed = trees.layout(graph(spark, pairs), most_edges=most_edges).cache()
+    names = ["n0", "n3", "n9", "n30", "absent"]
+    want = {n: unfolded(pairs, n) for n in names[:4]}
+    assert {r.node: r["size"] for r in trees.sizes(placed).collect() if r.node in want} == {n: len(t) for n, t in want.items()}
+    for first, count in ((1, 4), (5, 20), (10**6, 5)):
+        got = trees.page(placed, roots(spark, *names), first, count).collect()
+        assert sorted((r.root, int(r["rank"]), r.path, r.depth, r.node) for r in got) == sorted(
+            (n, i, p, len(p) - 1, p[-1]) for n, t in want.items() for i, p in enumerate(t, 1) if first <= i < first + count
+        )
+
+
+def test_page_of_a_ladder_of_diamonds(spark):
+    pairs = [(f"s{i:02d}", f"{x}{i:02d}") for i in range(30) for x in "ab"] + [(f"{x}{i:02d}", f"s{i + 1:02d}") for i in range(30) for x in "ab"]
+    placed = trees.layout(graph(spark, pairs)).cache()
+    total = 2**30 + 3 * (2**30 - 1)
+    assert {r.node: int(r["size"]) for r in trees.sizes(placed).collect()}["s00"] == total
+    last = trees.page(placed, roots(spark, "s00"), total - 1, 10).orderBy("rank").collect()
+    assert [r.node for r in last] == ["b29", "s30"] and last[0].path[:4] == ["s00", "b00", "s01", "b01"]
+    middle = trees.page(placed, roots(spark, "s00"), total // 2 + 1, 2).orderBy("rank").collect()
+    assert [r.path[:2] for r in middle] == [["s00", "a00"], ["s00", "b00"]]
+
+
+def test_layout_leaves_cycles_to_the_full_tree(spark):
+    placed = trees.layout(graph(spark, [("a", "b"), ("b", "c"), ("c", "b"), ("d", "e"), ("f", "f")]))
+    assert {r.node: r["size"] for r in trees.sizes(placed).collect()} == {"a": None, "b": None, "c": None, "d": 2, "e": 1, "f": None}
+    assert [r.root for r in trees.page(placed, roots(spark, "a", "d", "f"), 1, 1).collect()] == ["d"]
+
+
 def test_rounds_grow_with_the_logarithm_of_the_depth(spark, rows, monkeypatch):
     calls = []
     counted = lineage.cut_counted
