@@ -107,7 +107,7 @@ def _solve(child: np.ndarray, parent: np.ndarray, block: int, bits: int, depth:
     return nodes, [up, within, _reached(downs, bit), direct(ups), direct(downs)]
 
 
-def _in_tasks(edges: DataFrame, depth: int) -> DataFrame:
+def _in_tasks(edges: DataFrame, depth: int, kind: str = "bigint") -> DataFrame:
     """(node, counts) for rows (part, block, bits, child, parent)."""
     names = ["node", *_COUNTS]
 
@@ -115,7 +115,7 @@ def _in_tasks(edges: DataFrame, depth: int) -> DataFrame:
         nodes, counts = _solve(child, parent, block, bits, depth)
         return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.array(c, pa.int64()) for c in counts)], names=names)
 
-    return by_piece(edges, solve, ", ".join(f"{c} long" for c in names))
+    return by_piece(edges, solve, f"node {kind}, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def by_piece(edges: DataFrame, solve, schema: str) -> DataFrame:
@@ -194,3 +194,18 @@ def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_
         found = found.unionByName(_by_pairs(large.select("child", "parent"), depth, all_pairs))
     total = found.groupBy(F.col("node").alias("id")).agg(*[F.sum(c).alias(c) for c in _COUNTS])
     return total.join(ids, "id").select(F.col("name").alias("node"), *_COUNTS)
+
+
+def counts_in_parts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_EDGES) -> DataFrame:
+    """``counts`` of ``edges(part, child, parent)`` of many graphs that share no nodes, a number ``part`` for each; edges are distinct.
+
+    A part is solved in one task as it is; larger ones than ``most_edges`` go through ``counts``.
+    """
+    sizes = edges.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
+    large = cut(sizes.filter(F.col("m") > most_edges))
+    none = F.lit(0).cast("long")
+    whole = edges.select("part", none.alias("block"), F.lit(2 * most_edges).cast("long").alias("bits"), "child", "parent")
+    if large.isEmpty():
+        return _in_tasks(whole, depth, edges.schema["child"].dataType.simpleString())
+    found = _in_tasks(whole.join(large, "part", "left_anti"), depth, edges.schema["child"].dataType.simpleString())
+    return found.unionByName(counts(edges.join(large, "part", "left_semi").select("child", "parent"), all_pairs, depth, most_edges))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendline.functions.scale import cut
+from mendline.sources.textfiles import write_named
+
 
 def _order(fixes: DataFrame) -> DataFrame:
     """Fixes of a file come in order of ``position``; without that column, and among equals, by their texts."""
@@ -55,3 +58,13 @@ def apply_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
 def fixed_files(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """``(path, content, n_applied)`` of the files that the fixes change, with all of a file's fixes in its text."""
     return _applied(files, fixes).filter("n_applied > 0").select("path", "content", F.col("n_applied").cast("bigint").alias("n_applied"))
+
+
+def write_back(files: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``apply_fixes``, with the changed texts written to their files.
+
+    Files take their new texts when all of them are written; ``textfiles.write_named`` says how. The statuses are those of the texts as they were.
+    """
+    done = cut(apply_fixes(files, fixes))
+    write_named(fixed_files(files, fixes))
+    return done

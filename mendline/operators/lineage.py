@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mendline.functions import rules as R
 from mendline.functions.scale import cut, cut_counted
 from mendline.functions.text import FLAGS, hits
-from mendline.operators import closure
+from mendline.operators import artifacts, closure
 
 # --- graph construction -----------------------------------------------------------------------
 
@@ -66,6 +66,57 @@ def manifest_edges(entries: DataFrame) -> DataFrame:
     )
 
 
+def manifest_file_edges(files: DataFrame) -> DataFrame:
+    """``manifest_edges`` of the manifests among ``files(path, content)``, looked up inside their rows: nothing is shuffled.
+
+    Entries and dependencies of a manifest are sorted by uid, so that a dependency follows the entry it names.
+    """
+    none = F.lit(None).cast("string")
+    last = lambda uid: F.element_at(F.split(uid, "\\."), -1)
+    shown = lambda e: F.when(
+        e["part"] == "sources", F.concat(F.coalesce(e["source_name"], F.lit("")), F.lit("."), F.coalesce(e["name"], F.lit("")))
+    ).otherwise(F.coalesce(e["name"], last(e["uid"])))
+
+    def row(uid: Column, rank: Column, name: Column, child_uid: Column) -> Column:
+        return F.struct(uid.alias("uid"), rank.alias("rank"), name.alias("name"), child_uid.alias("child_uid"))
+
+    own = F.transform(
+        F.filter("entries", lambda e: e["part"] != "exposures"), lambda e: row(e["uid"], F.when(e["part"] == "sources", 0).otherwise(1), shown(e), none)
+    )
+    uses = F.transform(
+        F.filter("entries", lambda e: e["part"] != "sources"),
+        lambda e: F.transform(F.array_distinct(e["deps"]), lambda d: row(d, F.lit(2), shown(e), e["uid"])),
+    )
+    listed = artifacts.manifest_entries(files).select("path", F.array_sort(F.concat(own, F.flatten(uses))).alias("rows"))
+    rows = listed.filter(F.size("rows") > 0)
+    at = lambda i: F.get("rows", i)
+    starts = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: (i == 0) | ~at(i)["uid"].eqNullSafe(at(i - 1)["uid"]))
+    begun = rows.select("path", "rows", starts.alias("starts"))
+
+    def run(start: Column, j: Column) -> Column:
+        whole = F.slice("rows", start + 1, F.coalesce(F.get("starts", j + 1), F.size("rows")) - start)
+        known = F.when(at(start)["rank"] < 2, at(start)["name"])
+        return F.transform(
+            F.filter(whole, lambda r: r["rank"] == 2),
+            lambda r: F.struct(
+                r["child_uid"].alias("child_uid"), r["name"].alias("child"), r["uid"].alias("parent_uid"), F.coalesce(known, last(r["uid"])).alias("parent")
+            ),
+        )
+
+    return begun.select("path", F.explode(F.flatten(F.transform("starts", run))).alias("e")).select("path", "e.*")
+
+
+def manifest_impact(edges: DataFrame) -> DataFrame:
+    """``(path, uid, name, direct_parents, total_ancestors, direct_children, total_dependents)`` of the nodes of manifests.
+
+    A manifest's graph is taken as it is, without looking for its components, unless it is too large for a task.
+    """
+    keyed = edges.select(F.xxhash64("path").alias("part"), node_key("path", "child_uid").alias("child"), node_key("path", "parent_uid").alias("parent"))
+    found = closure.counts_in_parts(keyed, reach)
+    names = ("direct_parents", "total_ancestors", "direct_children", "total_dependents")
+    return named(found.select("node", *[F.col(c).alias(n) for c, n in zip(("direct_up", "up", "direct_down", "down"), names)]), edges)
+
+
 def keyed_edges(edges: DataFrame) -> DataFrame:
     """``(child, parent)`` of manifest edges with nodes keyed by manifest and uid, so that graphs of different manifests stay apart."""
     return edges.select(node_key("path", "child_uid").alias("child"), node_key("path", "parent_uid").alias("parent")).distinct()

@@ -175,12 +175,8 @@ def log_rollup_topk(spark, sf):
 # --- run artifacts ----------------------------------------------------------------------------
 
 
-def _artifacts(spark, sf, kind):
-    return artifacts.classify_artifacts(C.ARTIFACTS.load(spark, sf)).filter(F.col("kind") == kind)
-
-
 def _manifest_entries(spark, sf):
-    return artifacts.manifest_nodes(_artifacts(spark, sf, "manifest"))
+    return artifacts.manifest_nodes(C.ARTIFACTS.load(spark, sf))
 
 
 @query
@@ -190,7 +186,7 @@ def artifact_kinds(spark, sf):
 
 @query
 def run_results_parsed(spark, sf):
-    return artifacts.run_results(_artifacts(spark, sf, "run_results"))
+    return artifacts.run_results(C.ARTIFACTS.load(spark, sf))
 
 
 @query
@@ -218,7 +214,7 @@ def manifest_deps(spark, sf):
 
 @query
 def lineage_edges_manifest(spark, sf):
-    return lineage.manifest_edges(_manifest_entries(spark, sf))
+    return lineage.manifest_file_edges(C.ARTIFACTS.load(spark, sf))
 
 
 @query
@@ -260,8 +256,7 @@ def lineage_impact(spark, sf):
 @query
 def lineage_manifest_impact(spark, sf):
     """From manifests to the impact of each of their nodes, graphs of different manifests apart."""
-    edges = cut(lineage.manifest_edges(_manifest_entries(spark, sf)))
-    return lineage.named(lineage.impact(lineage.keyed_edges(edges)), edges)
+    return lineage.manifest_impact(cut(lineage.manifest_file_edges(C.ARTIFACTS.load(spark, sf))))
 
 
 @query

@@ -1,8 +1,8 @@
 """Readers of logs, sources, SQL models and JSON artifacts.
 
 All readers take paths or globs of any file system Spark reaches and raise Spark's own error for a missing path. Spark passes over
-files and folders whose names start with ``_`` or ``.``; those are listed through the same file system here and read too. Paths come decoded
-and in one form.
+files and folders whose names start with ``_`` or ``.``; those are listed through the same file system here and read by tasks in byte
+ranges (``textfiles``). Paths come decoded and in one form.
 """
 
 from __future__ import annotations
@@ -14,13 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
+from mendline.sources.textfiles import UNFINISHED, read_named
 
 
 # What Spark and Hadoop leave beside the files they write.
 _BOOKKEEPING = re.compile(r"_SUCCESS$|_temporary$|_committed_|_started_|\..*\.crc$")
-#: Files with a leading _ or . pass through the driver; beyond this many bytes of them reading raises.
-HIDDEN_BYTES = 256 << 20
-
 
 def plain_path(path: Column) -> Column:
     """A path as its file system spells it: escapes undone, local ones as ``file:///…``."""
@@ -39,7 +37,7 @@ def _hidden(spark: SparkSession, paths: str | list[str], glob: str | None) -> li
         for status in system.listStatus(folder):
             name = status.getPath().getName()
             hidden = below or name[0] in "_."
-            if _BOOKKEEPING.match(name):
+            if _BOOKKEEPING.match(name) or UNFINISHED.match(name):
                 continue
             if status.isDirectory():
                 walk(system, status.getPath(), hidden)
@@ -56,31 +54,12 @@ def _hidden(spark: SparkSession, paths: str | list[str], glob: str | None) -> li
     return found
 
 
-def _read_hidden(spark: SparkSession, paths: str | list[str], glob: str | None) -> DataFrame | None:
-    found = _hidden(spark, paths, glob)
-    if not found:
-        return None
-    size = sum(n for _, n, _, _ in found)
-    if size > HIDDEN_BYTES:
-        raise ValueError(f"{len(found)} files with a leading _ or . hold {size} bytes, over {HIDDEN_BYTES}; rename them: {found[0][0]}")
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    rows = []
-    for path, _, _, place in found:
-        stream = place.getFileSystem(conf).open(place)
-        try:
-            rows.append((path, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")))
-        finally:
-            stream.close()
-    return spark.createDataFrame(rows, "path string, content string")
-
-
 def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
     """``(path, content)``, one row per file. A file must fit in one row (2 GB); use ``read_lines`` beyond that."""
     files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     seen = files.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
-    hidden = _read_hidden(spark, paths, glob)
-    return seen if hidden is None else seen.unionByName(hidden)
+    hidden = [(path, size) for path, size, _, _ in _hidden(spark, paths, glob)]
+    return seen.unionByName(read_named(spark, hidden)) if hidden else seen
 
 
 def log_tail(content: Column, chars: int = R.LOG_TAIL_CHARS, mark: str = R.LOG_TAIL_MARK) -> Column:
@@ -125,12 +104,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], exact: bool = False)
             F.col("value").alias("text"),
         )
     )
-    hidden = _read_hidden(spark, paths, None)
-    if hidden is not None:
-        # A closing line break opens no further line.
-        body = F.regexp_replace("content", "\\n\\z", "")
-        broken = hidden.filter("content <> ''").select("path", F.posexplode(F.split(body, "\n", -1)).alias("read_order", "text"))
-        lines = lines.unionByName(broken.select("path", F.lit(0).cast("bigint").alias("split"), F.col("read_order").cast("bigint").alias("read_order"), "text"))
+    hidden = [(path, size) for path, size, _, _ in _hidden(spark, paths, None)]
+    if hidden:
+        lines = lines.unionByName(read_named(spark, hidden, lines=True))
     if not exact:
         in_task = F.col("read_order").bitwiseAND(F.lit((1 << 33) - 1))
         sizes = spark._jsparkSession.sessionState().conf()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
+from mendline.sources.textfiles import write_named
 
 
 def _quoted(text: Column) -> Column:
@@ -81,6 +82,18 @@ def write_contracts(columns: DataFrame, tests: DataFrame, target: str) -> None:
     )
 
 
+def contract_files(columns: DataFrame, tests: DataFrame, folder: str) -> DataFrame:
+    """``(path, content)``: one YAML file ``<folder>/<model>.yml`` per model. A row gathers the columns of one model."""
+    text = contract_text(columns, tests).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("ordinal", "value"))).alias("rows"))
+    body = F.concat(F.array_join(F.transform("rows", lambda r: r["value"]), "\n"), F.lit("\n"))
+    return text.select(F.concat(F.lit(folder.rstrip("/") + "/"), F.coalesce("model", F.lit("")), F.lit(".yml")).alias("path"), body.alias("content"))
+
+
+def write_texts(files: DataFrame) -> None:
+    """Texts to the files they are named for; see ``textfiles.write_named``."""
+    write_named(files)
+
+
 def write_findings(findings: DataFrame, target: str) -> None:
     """Findings as parquet, one folder per family."""
     findings.write.mode("errorifexists").partitionBy("family").parquet(target)

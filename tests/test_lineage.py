@@ -54,6 +54,32 @@ def test_manifest_edges(entries, rows):
     ]
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_edges_within_the_rows_of_manifests(spark, rows, large):
+    odd = {"nodes": {"model.a.x": {"name": "x", "depends_on": {"nodes": ["model.a.y", "model.a.y", "source.a.s"]}}, "model.a.y": {"depends_on": None}}, "sources": {"source.a.s": {"name": "s"}}}
+    texts = [json.dumps(MANIFEST), json.dumps(odd), "no json", json.dumps({"nodes": {}}), json.dumps({"results": [], "nodes": odd["nodes"]}), None]
+    if large:  # no variant holds a key twice, as none holds more than 16 MB
+        texts = [t and t.replace("{", '{"nodes": {}, ', 1) if t and t.startswith("{") else t for t in texts]
+    files = spark.createDataFrame([(f"t{i}/manifest.json", t) for i, t in enumerate(texts)], "path string, content string")
+    want = rows(lineage.manifest_edges(artifacts.manifest_nodes(files)))
+    found = lineage.manifest_file_edges(files)
+    assert rows(found.select("path", "child_uid", "child", "parent_uid", "parent")) == want and len(want) == 8
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    kinds = dict(rows(artifacts.classify_artifacts(files), "path", "kind"))
+    assert [kinds[f"t{i}/manifest.json"] for i in range(6)] == ["manifest", "manifest", "invalid", "manifest", "run_results", "invalid"]
+    edges = found.cache()
+    assert rows(lineage.manifest_impact(edges)) == rows(lineage.named(lineage.impact(lineage.keyed_edges(edges)), edges).select(lineage.manifest_impact(edges).columns))
+
+
+def test_a_mistyped_entry_loses_itself_only(spark, rows):
+    nodes = {"model.a.x": 5, "model.a.y": {"name": 7, "depends_on": {"nodes": "z"}}, "model.a.z": {"name": "z", "depends_on": {"nodes": ["model.a.y"]}}}
+    files = spark.createDataFrame([("manifest.json", json.dumps({"nodes": nodes, "sources": [1]}))], "path string, content string")
+    assert rows(artifacts.manifest_nodes(files), "uid", "name", "deps") == [
+        ("model.a.x", None, []), ("model.a.y", "7", []), ("model.a.z", "z", ["model.a.y"]),
+    ]
+    assert rows(lineage.manifest_file_edges(files), "child", "parent") == [("z", "7")]
+
+
 def test_node_types(entries, rows):
     edges = lineage.manifest_edges(entries)
     labels = dict(rows(lineage.node_types(lineage.manifest_names(entries), edges), "name", "label"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
 from mendline.functions import scale
-from mendline.operators import artifacts, drift
-from mendline.sources import catalog, contracts, files, sinks
+from mendline.operators import artifacts, drift, fixes
+from mendline.sources import catalog, contracts, files, sinks, textfiles
 
 
 def write(folder, name, data):
@@ -219,12 +219,64 @@ def test_no_file_is_lost(spark, rows, tmp_path, form):
     assert rows(contracts.read_contracts(spark, root), "model", "column") == [("m", "new")]
 
 
-def test_too_many_hidden_bytes_raise(spark, tmp_path, monkeypatch):
-    (tmp_path / "_a.log").write_text("x" * 100)
-    (tmp_path / "b.log").write_text("x")
-    monkeypatch.setattr(files, "HIDDEN_BYTES", 10)
-    with pytest.raises(ValueError, match="leading"):
-        files.read_whole(spark, str(tmp_path))
+@pytest.mark.parametrize("end", ["", "\n"])
+def test_hidden_files_are_read_in_ranges(spark, tmp_path, end):
+    texts = [f"{n} é " + "x" * (n % 23) for n in range(400)]
+    write(tmp_path, "_long.log", "\n".join(texts) + end)
+    write(tmp_path, "_bytes.log", b"a\xffb\n\nc")
+    sizes = [(f"file://{tmp_path}/{n}", (tmp_path / n).stat().st_size) for n in ("_long.log", "_bytes.log")]
+    for size in (1, 7, 100, 1 << 20):
+        rows = textfiles.read_named(spark, sizes, lines=True, range_bytes=max(size, 300)).collect()
+        long = sorted((r.split, r.read_order, r.text) for r in rows if r.path.endswith("_long.log"))
+        assert [t for _, _, t in long] == texts
+        assert [r.text for r in sorted(rows) if r.path.endswith("_bytes.log")] == ["a\ufffdb", "", "c"]
+    parts = textfiles.read_named(spark, sizes, lines=True, range_bytes=500)
+    assert parts.rdd.getNumPartitions() > 8
+    got = files.read_lines(spark, str(tmp_path)).filter("path like '%long%'").orderBy("line_no").collect()
+    assert [r.text for r in got] == texts
+    assert {r.content for r in files.read_whole(spark, str(tmp_path)).collect()} == {"\n".join(texts) + end, "a\ufffdb\n\nc"}
+
+
+def test_write_back(spark, tmp_path, rows):
+    one, two = write(tmp_path, "a b/one+%20.py", "x = 1\ny = 1\n"), write(tmp_path, "_two.py", "é")
+    found = files.read_sources(spark, str(tmp_path)).cache()
+    todo = spark.createDataFrame(
+        [(f"file://{one}", "1", "2"), (f"file://{two}", "é", "ü\n"), (f"file://{one}", "nowhere", "z"), ("file:///gone", "a", "b")], "path string, original string, replacement string"
+    )
+    statuses = rows(fixes.write_back(found, todo), "status")
+    assert statuses == [("applied",), ("applied",), ("file_missing",), ("not_found",)]
+    assert open(one).read() == "x = 2\ny = 1\n" and open(two).read() == "ü\n"
+    before = (tmp_path / "_two.py").stat().st_mtime_ns
+    textfiles.write_named(files.read_sources(spark, str(tmp_path)))
+    assert (tmp_path / "_two.py").stat().st_mtime_ns == before, "equal texts are not written again"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["_two.py", "one+%20.py"]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    path = write(tmp_path, "keep.txt", "old")
+    rows = [(f"file://{tmp_path}/n{i}.txt", "new") for i in range(20)] + [(f"file://{path}", "new")]
+    df = spark.createDataFrame(rows, "path string, content string").repartition(4)
+    stop = F.when(F.col("path").endswith("n7.txt"), F.raise_error(F.lit("lost"))).otherwise(F.col("content"))
+    with pytest.raises(Exception, match="lost"):
+        textfiles.write_named(df.withColumn("content", stop))
+    assert open(path).read() == "old" and not list(tmp_path.glob("n*.txt"))
+    with pytest.raises(Exception, match="several rows"):
+        textfiles.write_named(df.unionByName(df))
+    assert [p.name for p in tmp_path.iterdir()] == ["keep.txt"]
+    textfiles.write_named(df)
+    assert open(path).read() == "new" and len(list(tmp_path.iterdir())) == 21
+
+
+def test_contract_files(spark, tmp_path, rows):
+    columns = spark.createDataFrame([("m", "id", 1), ("m", "kind", 2), ("n", "x", 1)], "model string, column string, ordinal bigint")
+    tests = spark.createDataFrame(
+        [("m", "id", "unique", None, None, None), ("m", "id", "not_null", None, None, None), ("m", "kind", "accepted_values", None, None, ["a", "b"])],
+        "model string, column string, test string, ref_model string, ref_field string, accepted array<string>",
+    )
+    sinks.write_texts(sinks.contract_files(columns, tests, f"file://{tmp_path}/models"))
+    read = contracts.read_contracts(spark, str(tmp_path), f"{tmp_path}/models/m.yml")
+    assert rows(read, "model", "column", "tests") == [("m", "id", ["unique", "not_null"]), ("m", "kind", ["accepted_values"])]
+    assert (tmp_path / "models/n.yml").exists()
 
 
 def test_columns_of_a_database_in_either_case(spark, rows):
