@@ -149,7 +149,7 @@ SEVERITIES = ["CRITICAL", "ERROR", "WARNING", "WARN", "NOTE", "INFO"]
 
 # --- Fixed values: run results ----------------------------------------------------------------
 PASSED, WARNED = ["success", "pass"], ["warn"]
-MESSAGE_CHARS = 1000
+MESSAGE_CHARS, DEFAULT_CHARS = 1000, 30
 
 # --- Fixed values: test inference by column name ----------------------------------------------
 CATEGORY_WORDS = ["status", "type", "state", "category", "tier", "kind", "stage"]

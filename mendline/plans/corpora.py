@@ -580,3 +580,39 @@ FIXES = Corpus(
         "replacement": case(("doc_id % 5 = 3", lit("e")), ("quality = 1", lit("")), default=lit("<fixed>")),
     },
 )
+
+# --- files of a project -----------------------------------------------------------------------
+
+#: Written to files and read back; every second name begins with a sign that hides a file from Spark's readers.
+PROJECT_MODELS = Corpus(
+    "supplier",
+    {
+        "path": cat(lit("models/n_"), "s_nationkey", case(("s_suppkey % 2 = 0", lit("/_m_")), default=lit("/m_")), "s_suppkey", lit(".sql")),
+        "name": cat(case(("s_suppkey % 2 = 0", lit("_m_")), default=lit("m_")), "s_suppkey"),
+        "sql": rows(cat(lit("-- "), "s_name"), cat(lit("SELECT * FROM {{ ref('m_"), div("s_suppkey", 2), lit("') }}")), lit("")),
+    },
+)
+PROJECT_CONTRACTS = Corpus(
+    "supplier",
+    {
+        "path": cat(lit("models/n_"), "s_nationkey", case(("s_suppkey % 2 = 0", lit("/_schema_")), default=lit("/schema_")), "s_suppkey", lit(".yml")),
+        "model": cat(lit("m_"), "s_suppkey"),
+        "content": rows(
+            lit("version: 2"),
+            lit("models:"),
+            cat(lit("  - name: m_"), "s_suppkey"),
+            lit("    columns:"),
+            cat(lit("      - {name: k_"), "s_nationkey", lit(", data_type: integer, tests: [unique, not_null]}")),
+            case(("s_suppkey % 3 = 0", lit("      - [not a column]")), default=lit("      - name: note")),
+            lit(""),
+        ),
+    },
+)
+FLOW_FIXES = Corpus(
+    "supplier",
+    {
+        "path": cat(lit("flows/f_"), "s_suppkey", lit(".py")),
+        "original": case(("s_suppkey % 3 = 0", lit("retry_delay_seconds=5")), ("s_suppkey % 3 = 1", lit("return")), default=lit("nowhere")),
+        "replacement": case(("s_suppkey % 3 = 0", lit("retry_delay_seconds=60")), default=lit("yield")),
+    },
+)

@@ -101,6 +101,19 @@ def _describe(table: str) -> str:
 
 SQL["src_describe_tables"] = union([_describe(t) for t in _SCHEMAS])
 
+SQL["src_list_files"] = f"SELECT path, strlen(content) AS length FROM {C.FLOW_FILES.sql}"
+SQL["src_read_models"] = f"SELECT path, name, sql FROM {C.PROJECT_MODELS.sql}"
+SQL["src_read_contracts"] = """
+SELECT concat('m_', s_suppkey) AS model, concat('k_', s_nationkey) AS column_name, 'integer' AS data_type, 'unique,not_null' AS tests FROM supplier
+UNION ALL SELECT concat('m_', s_suppkey), 'note', NULL, '' FROM supplier WHERE s_suppkey % 3 <> 0"""
+SQL["src_list_tables"] = union([f"SELECT 'given_{t}' AS table_name, 'TEMPORARY' AS kind, count(*) AS n_rows FROM {t}" for t in _SCHEMAS])
+SQL["fix_write_back"] = f"""
+SELECT path, CASE WHEN strpos(content, original) > 0
+    THEN concat(substr(content, 1, strpos(content, original) - 1), replacement, substr(content, strpos(content, original) + length(original)))
+    ELSE content END AS content,
+  CASE WHEN strpos(content, original) > 0 THEN 'applied' ELSE 'not_found' END AS status
+FROM {C.FLOW_FILES.sql} JOIN {C.FLOW_FIXES.sql} USING (path)"""
+
 # --- Fixed values: patterns of the log rules, written for this engine rather than shared with the operators ----
 
 _TRACE = r"Traceback \(most recent call last\)[^\n]*(?:\n+[^\S\n][^\n]*)*"

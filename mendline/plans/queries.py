@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
 from mendline.functions.scale import cut
+from mendline.functions.scale import shared_dir as shared_path
 from mendline.functions.text import strip
 from mendline.operators import (
     artifacts,
@@ -27,7 +30,7 @@ from mendline.operators import (
     workflows,
 )
 from mendline.plans import corpora as C
-from mendline.sources import catalog, files, sinks
+from mendline.sources import catalog, contracts, files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +73,42 @@ def src_describe_tables(spark, sf):
     )
 
 
+def _project(spark, texts: DataFrame) -> tuple[str, DataFrame]:
+    """The texts ``(path, content)`` as files below a new folder of the shared one, and how to show their paths."""
+    root = f"{shared_path(spark)}/project-{uuid.uuid4().hex}"
+    sinks.write_texts(texts.select(F.concat(F.lit(root + "/"), "path").alias("path"), "content"))
+    return root, F.regexp_replace("path", "^.*/project-[0-9a-f]+/", "")
+
+
+@query
+def src_list_files(spark, sf):
+    root, shown = _project(spark, C.FLOW_FILES.load(spark, sf))
+    return files.list_files(spark, root, "*.py").select(shown.alias("path"), "length")
+
+
+@query
+def src_read_models(spark, sf):
+    root, shown = _project(spark, C.PROJECT_MODELS.load(spark, sf).withColumnRenamed("sql", "content"))
+    return files.read_models(spark, root).select(shown.alias("path"), "name", "sql")
+
+
+@query
+def src_read_contracts(spark, sf):
+    root, _ = _project(spark, C.PROJECT_CONTRACTS.load(spark, sf))
+    found = contracts.read_contracts(spark, root)
+    return found.select("model", F.col("column").alias("column_name"), "data_type", F.array_join("tests", ",").alias("tests"))
+
+
+@query
+def src_list_tables(spark, sf):
+    """The given tables as views of the catalog, and the rows of each."""
+    views = {f"given_{t}": C.read(spark, sf, t) for t in TABLES}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit(name)) for name, df in views.items()])
+    return catalog.list_tables(spark).join(counts, "table").select(F.col("table").alias("table_name"), F.col("type").alias("kind"), "n_rows")
+
+
 # --- logs -------------------------------------------------------------------------------------
 
 
@@ -601,6 +640,17 @@ def fix_apply(spark, sf):
     return fixes.apply_fixes(C.DOC_FILES.load(spark, sf), _fixes(spark, sf))
 
 
+@query
+def fix_write_back(spark, sf):
+    """Files on disk with their fixes applied in place, read again."""
+    root, shown = _project(spark, C.FLOW_FILES.load(spark, sf))
+    todo = C.FLOW_FIXES.load(spark, sf).withColumn("path", F.concat(F.lit(root + "/"), "path"))
+    before = files.read_sources(spark, root)
+    todo = todo.withColumn("path", files.plain_path(F.col("path")))
+    status = fixes.write_back(before, todo).select("path", "status")
+    return files.read_sources(spark, root).join(status, "path").select(shown.alias("path"), "content", "status")
+
+
 @query
 def fix_texts(spark, sf):
     done = fixes.fixed_files(C.DOC_FILES.load(spark, sf), _fixes(spark, sf))

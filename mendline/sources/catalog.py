@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
+from mendline.functions import rules as R
 from mendline.operators.drift import spark_type_name
 
 _LIVE = "table STRING, column STRING, data_type STRING, nullable BOOLEAN, ordinal BIGINT"
@@ -90,8 +92,17 @@ def jdbc_tables(spark: SparkSession, url: str, **options: str) -> DataFrame:
     )
 
 
+def _default(field: StructField) -> str | None:
+    """The default of a column, which Spark keeps in the field's metadata."""
+    text = (field.metadata or {}).get("CURRENT_DEFAULT")
+    return None if text is None else text[: R.DEFAULT_CHARS]
+
+
 def describe_table(table: DataFrame, name: str) -> DataFrame:
-    """Columns with type, nullability, exact row count and null count, from one pass over the table."""
+    """Columns with type, nullability, default, exact row count and null count, from one pass over the table.
+
+    A default is cut to 30 characters; columns without one, and tables that keep none, have null.
+    """
     fields = table.schema.fields
     counts = table.agg(
         F.count("*").alias("n_rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)]
@@ -103,6 +114,7 @@ def describe_table(table: DataFrame, name: str) -> DataFrame:
                 F.lit(f.dataType.simpleString()).alias("data_type"),
                 F.lit(f.nullable).alias("nullable"),
                 F.lit(i + 1).cast("bigint").alias("ordinal"),
+                F.lit(_default(f)).cast("string").alias("default"),
                 (F.col("n_rows") - F.col(f"c{i}")).alias("n_nulls"),
             )
             for i, f in enumerate(fields)

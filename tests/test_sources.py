@@ -4,6 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from mendline.functions import rules as R
 from mendline.functions import scale
@@ -166,6 +167,8 @@ def test_catalog(spark, rows):
         ("id", 1, 2, 0), ("name", 2, 2, 1), ("score", 3, 2, 1),
     ]
     spark.catalog.dropTempView("scores")
+    given = StructType([StructField("a", IntegerType(), True, {"CURRENT_DEFAULT": "7"}), StructField("b", IntegerType(), True, {"CURRENT_DEFAULT": "1" * 40})])
+    assert rows(catalog.describe_table(spark.createDataFrame([(1, 2)], given), "t"), "column", "default") == [("a", "7"), ("b", "1" * 30)]
 
 
 def test_spark_timestamps_carry_a_zone(spark):
