@@ -9,6 +9,7 @@ overwritten by the next try, so repeats change nothing. Totals are the sum of th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,11 +21,17 @@ from mendline.llm.piece_dropout import MODEL, Pieces, _model
 
 KEYS = ("source", "lang", "version")
 TOTALS = ("n_docs", "n_tokens", "n_chars")
-#: Tokenizer versions: pieces of the model, or words between ASCII blanks.
-PIECES, WORDS = "piece-bpe-32k", "ascii-words"
+#: The tokenizer version of words between ASCII blanks.
+WORDS = "ascii-words"
 _DELTA = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
 
 
+def version(model: str = MODEL) -> str:
+    """The tokenizer version of a model file: another model never has the same, wherever it lies."""
+    with open(model, "rb") as f:
+        return f"pieces-{hashlib.file_digest(f, 'sha256').hexdigest()[:16]}"
+
+
 def counted(docs: DataFrame, text: Column | None = None, model: str = MODEL) -> DataFrame:
     """(doc_id, source, lang, version, n_tokens, n_chars): two rows per row of ``docs``, one for each tokenizer version.
 
@@ -52,7 +59,7 @@ def counted(docs: DataFrame, text: Column | None = None, model: str = MODEL) ->
 
     found = d.mapInArrow(run, "doc_id long, source string, lang string, pieces long, words long, n_chars long")
     both = F.array(
-        F.struct(F.lit(PIECES).alias("version"), F.col("pieces").alias("n_tokens")),
+        F.struct(F.lit(version(model)).alias("version"), F.col("pieces").alias("n_tokens")),
         F.struct(F.lit(WORDS).alias("version"), F.col("words").alias("n_tokens")),
     )
     return found.select("doc_id", "source", "lang", "n_chars", F.inline(both)).select(
