@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from mendline.llm import graph
 from mendline.llm.common import cut, narrow
@@ -65,13 +66,22 @@ def buckets(x: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def _unit(v: bytes) -> np.ndarray:
-    x = np.frombuffer(v, np.float32).astype(np.float64)
+def _unit(v: bytes, kind: str) -> np.ndarray:
+    x = np.frombuffer(v, kind).astype(np.float64)
+    if kind == "f8":
+        x = x / np.abs(x).max()  # squares of large or small components stay finite
     return x / np.linalg.norm(x)
 
 
-def _rows(vectors: DataFrame) -> DataFrame:
+def _kind(vectors: DataFrame) -> str:
+    """Width in which components are held: that of the column, 32 bits for floats and 64 for all other numbers."""
+    column = next((f.dataType for f in vectors.schema if f.name.lower() == "embedding"), None)
+    return "f4" if isinstance(getattr(column, "elementType", None), FloatType) else "f8"
+
+
+def _rows(vectors: DataFrame, kind: str) -> DataFrame:
     """(vec_id, v): v packs the components of a usable vector, else null."""
+    spark_type = "array<float>" if kind == "f4" else "array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,16 +91,16 @@ def _rows(vectors: DataFrame) -> DataFrame:
                 if values is None or not len(values) or values.null_count:
                     out.append(None)
                     continue
-                a = values.to_numpy(zero_copy_only=False).astype(np.float32)
-                out.append((a + np.float32(0)).tobytes() if np.isfinite(a).all() and a.any() else None)
+                a = values.to_numpy(zero_copy_only=False).astype(kind)
+                out.append((a + a.dtype.type(0)).tobytes() if np.isfinite(a).all() and a.any() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
     d = narrow(vectors, "vec_id", "embedding")
-    typed = d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    typed = d.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(spark_type).alias("embedding"))
     return typed.mapInArrow(run, "vec_id long, v binary")
 
 
-def _hashed(distinct: DataFrame, seed: int) -> DataFrame:
+def _hashed(distinct: DataFrame, seed: int, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(2).to_pylist()
@@ -98,7 +108,7 @@ def _hashed(distinct: DataFrame, seed: int) -> DataFrame:
             sizes = np.array([len(v) for v in raw])
             for size in np.unique(sizes):
                 at = np.nonzero(sizes == size)[0]
-                keys[at] = buckets(np.stack([_unit(raw[i]) for i in at]), seed)
+                keys[at] = buckets(np.stack([_unit(raw[i], kind) for i in at]), seed)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["uid", "n", "v", "keys"])
 
@@ -135,7 +145,7 @@ def _verify(uid: np.ndarray, n: np.ndarray, x: np.ndarray, keys: np.ndarray, key
     return uid[got], part[got], uid[moved], root[moved]
 
 
-def _groups(members: DataFrame, low: float) -> DataFrame:
+def _groups(members: DataFrame, low: float, kind: str) -> DataFrame:
     """Rows (uid, part, a, b): counts of a vector in one group, or a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +153,7 @@ def _groups(members: DataFrame, low: float) -> DataFrame:
             found = _verify(
                 np.array([r[3] for r in rows], np.int64),
                 np.array([r[4] for r in rows], np.int64),
-                np.stack([_unit(r[5]) for r in rows]),
+                np.stack([_unit(r[5], kind) for r in rows]),
                 np.array([r[6] for r in rows], np.int64),
                 rows[0][0],
                 np.array([r[1] != r[2] and r[7] == r[2] for r in rows]),
@@ -173,13 +183,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int =
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
     n_links counts the other rows linked directly, equal vectors among them; component_id is the smallest vec_id reachable. Vectors that
-    are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of different lengths.
+    are null, empty, zero or hold null or non-finite components link with nothing, and neither do vectors of different lengths. Cosines are taken in
+    double precision of the components as the column holds them.
     """
-    rows = cut(_rows(vectors)).withColumn("row", F.monotonically_increasing_id())
+    kind = _kind(vectors)
+    rows = cut(_rows(vectors, kind)).withColumn("row", F.monotonically_increasing_id())
     usable = rows.filter("v is not null")
     distinct = usable.groupBy("v").agg(F.min("row").alias("uid"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     distinct = cut(distinct)
-    hashed = cut(_hashed(distinct, seed))
+    hashed = cut(_hashed(distinct, seed, kind))
     entries = hashed.select("uid", F.explode(F.array_distinct("keys")).alias("key"))
     shared = entries.groupBy("key").count().filter("count > 1")
     blocks = F.ceil(F.col("count") / block_rows).cast("int")
@@ -187,7 +199,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, block_rows: int =
     own = F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int")
     spread = joint.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = spread.select("uid", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = cut(_groups(grouped.join(hashed, "uid"), cosine))
+    found = cut(_groups(grouped.join(hashed, "uid"), cosine, kind))
     counts = found.filter("uid is not null").groupBy("uid").agg(F.sum("part").alias("linked"))
     joined = graph.components(found.filter("a is not null").select("a", "b"))
     facts = (
