@@ -194,75 +194,93 @@ def extract_errors_from_lines(
         .select("path", "framework", "line_no", F.explode(_by_framework(F.col("framework"), sets, in_line)).alias("r"))
         .select("path", "framework", "r.rule_no", "r.rule_id", "line_no", F.posexplode("r.snippets").alias("pos", "snippet"))
     ]
-    for name, rules in sets.items():
-        others = ~F.col("framework").isin([s for s in sets if s != "generic"])
-        some = read.filter(others if name == "generic" else F.col("framework") == name)
-        for no, rule in enumerate(rules, 1):
-            kind = _kind(rule)
-            if kind == "line":
-                continue
-            reached = _rest(some, rule) if kind == "rest" else _segments(some, rule, kind, block_lines)
-            whole = _gather(reached, snippet_chars)
-            found.append(
-                whole.select(
-                    "path", "framework", F.lit(no).alias("rule_no"), F.lit(rule.rule_id).alias("rule_id"), "line_no", F.lit(0).alias("pos"), "snippet"
-                )
-            )
+    whole = _gather(_reached(read, sets, block_lines), snippet_chars)
+    found.append(
+        whole.select("path", "framework", "seg.rule_no", "seg.rule_id", "line_no", F.lit(0).alias("pos"), "snippet")
+    )
     return reduce(DataFrame.unionByName, found).withColumn("snippet", head(F.col("snippet"), snippet_chars))
 
 
-def _rest(lines: DataFrame, rule: R.Rule) -> DataFrame:
-    """Lines from the first match of a file on."""
-    begins = first_hit(F.col("text"), rule.pattern, 0)
-    starts = (
-        lines.filter(_possible(rule.needs, F.col("text")) & begins.isNotNull())
-        .groupBy("path")
-        .agg(F.min(F.struct("line_no", begins.alias("head"))).alias("start"))
-    )
-    met = lines.join(starts, "path").filter(F.col("line_no") >= F.col("start.line_no"))
-    is_first = F.col("line_no") == F.col("start.line_no")
-    return met.select(
-        "path", "framework", F.lit(0).cast("bigint").alias("seg"), F.lit(0).cast("bigint").alias("block"), "line_no",
-        F.when(is_first, F.col("start.head")).alias("head"), F.when(is_first, F.col("start.head")).otherwise(F.col("text")).alias("text"),
-    )
+_HEADS = {"traceback": r"Traceback \(most recent call last\)[^\n]*+", "jvm_exception": r"(?:java\.lang\.|org\.apache\.|py4j\.)\S+Exception[^\n]*"}
 
 
-def _segments(lines: DataFrame, rule: R.Rule, kind: str, block_lines: int) -> DataFrame:
-    """Lines of matches that reach from a head line to the line before the next *hard* one.
+def _reached(lines: DataFrame, sets: dict[str, list[R.Rule]], block_lines: int) -> DataFrame:
+    """Lines of the matches of all rules that reach over lines: ``(path, framework, seg, block, line_no, head, text)``.
 
-    A hard line opens a segment: for a traceback a line that is neither empty nor indented, for an exception a stack frame. Two running maxima tell
-    the lines from the first head of a segment on; they are taken in blocks, and one row per block carries them to the next.
+    One reading finds where a path first has the head of a rule; a second takes the lines from there on, once for each rule that begins, and
+    paths where none begins drop out. A rule that reaches to the end of its file has them all. For the others a *hard* line opens a
+    segment: for a traceback a line that is neither empty nor indented, for an exception a stack frame. Two running maxima
+    tell the lines from the first head of a segment on; they are taken in blocks, and one row per block carries them to the next. Hard lines
+    without a head go without their text.
     """
     text, no = F.col("text"), F.col("line_no")
-    if kind == "traceback":
-        hard, begins = (text != "") & ~has(text, r"^\s"), first_hit(text, r"Traceback \(most recent call last\)[^\n]*+", 0)
-    else:
-        hard, begins = has(text, r"^\s*at "), first_hit(text, r"(?:java\.lang\.|org\.apache\.|py4j\.)\S+Exception[^\n]*", 0)
-    marked = lines.select(
-        "path", "framework", "line_no", "text", F.floor(no / F.lit(block_lines)).alias("block"),
-        F.when(hard, no).alias("hard"), F.when(_possible(rule.needs, text), begins).alias("head"),
+
+    def heads(rules: list[R.Rule]) -> Column:
+        each = [
+            F.struct(
+                F.lit(i).alias("rule_no"),
+                F.lit(r.rule_id).alias("rule_id"),
+                F.lit(_kind(r)).alias("kind"),
+                F.when(_possible(r.needs, text), first_hit(text, _HEADS.get(r.rule_id, r.pattern), 0)).alias("head"),
+            )
+            for i, r in enumerate(rules, 1)
+            if _kind(r) != "line"
+        ]
+        return F.array(*each).cast("array<struct<rule_no: int, rule_id: string, kind: string, head: string>>")
+
+    begun = F.filter(_by_framework(F.col("framework"), sets, heads), lambda h: h["head"].isNotNull())
+    rule = ["rule_no", "rule_id", "kind"]
+    starts = (
+        lines.select("path", "framework", "line_no", F.explode(begun).alias("h"))
+        .groupBy("path", "framework", *[F.col(f"h.{c}").alias(c) for c in rule])
+        .agg(F.min(F.struct("line_no", "h.head")).alias("start"))
+        .groupBy("path", "framework")
+        .agg(F.collect_list(F.struct(*rule, "start")).alias("tracks"))  # one for each rule of a set at most
+    )
+    met = lines.join(starts, ["path", "framework"])
+    track = F.explode(F.filter("tracks", lambda t: t["start"]["line_no"] <= no))
+    rows = met.select("path", "framework", "line_no", "text", track.alias("t"))
+    seg = lambda at: F.struct(F.col("t.rule_no").alias("rule_no"), F.col("t.rule_id").alias("rule_id"), at.alias("at"))
+    first = F.when(no == F.col("t.start.line_no"), F.col("t.start.head"))
+    zero = F.lit(0).cast("bigint")
+    rest = rows.filter(F.col("t.kind") == "rest").select(
+        "path", "framework", seg(zero).alias("seg"), zero.alias("block"), "line_no", first.alias("head"), F.coalesce(first, text).alias("text")
+    )
+    traced = F.col("t.kind") == "traceback"
+    is_hard = F.when(traced, (text != "") & ~has(text, r"^\s")).otherwise(has(text, r"^\s*at "))
+    of = {r.rule_id: r for rules in sets.values() for r in rules}
+    begins = lambda name: F.when(_possible(of[name].needs, text), first_hit(text, _HEADS[name], 0)) if name in of else F.lit(None).cast("string")
+    marked = rows.filter(F.col("t.kind") != "rest").select(
+        "path", "framework", "line_no", "t", F.floor(no / F.lit(block_lines)).alias("block"), F.when(is_hard, no).alias("hard"),
+        F.when(traced, begins("traceback")).otherwise(begins("jvm_exception")).alias("head"), "text",
     )
-    so_far = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("text", F.when(F.col("hard").isNull(), text))
+    key = ["path", "framework", "t"]
     at_head = F.when(F.col("head").isNotNull(), no)
+    so_far = Window.partitionBy(*key, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = (
         marked.withColumn("last_hard", F.max("hard").over(so_far))
         .withColumn("last_head", F.max(at_head).over(so_far))
         .withColumn("head_before", F.max(at_head).over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
     )
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        marked.groupBy("path", "block")
-        .agg(F.max("hard").alias("h"), F.max(F.when(F.col("head").isNotNull(), no)).alias("b"))
-        .select("path", "block", F.max("h").over(earlier).alias("carry_hard"), F.max("b").over(earlier).alias("carry_head"))
+        marked.groupBy(*key, "block")
+        .agg(F.max("hard").alias("h"), F.max(at_head).alias("b"))
+        .select(*key, "block", F.max("h").over(earlier).alias("carry_hard"), F.max("b").over(earlier).alias("carry_head"))
     )
-    none = F.lit(-1).cast("bigint")
-    return (
-        running.join(carried, ["path", "block"])
-        .withColumn("seg", F.coalesce(F.greatest("last_hard", "carry_hard"), none))
-        .filter(F.greatest("last_head", "carry_head") >= F.col("seg"))
-        .withColumn("begins", F.coalesce(F.greatest("head_before", "carry_head"), F.lit(-2)) < F.col("seg"))
-        .select("path", "framework", "seg", "block", "line_no", "head", F.when(F.col("begins"), F.col("head")).otherwise(F.col("text")).alias("text"))
+    opened = F.coalesce(F.greatest("last_hard", "carry_hard"), F.lit(-1).cast("bigint"))
+    segments = (
+        running.join(carried, [*key, "block"])
+        .withColumn("at", opened)
+        .filter(F.greatest("last_head", "carry_head") >= F.col("at"))
+        .withColumn("begins", F.coalesce(F.greatest("head_before", "carry_head"), F.lit(-2)) < F.col("at"))
+        .select(
+            "path", "framework", seg(F.col("at")).alias("seg"), "block", "line_no", "head",
+            F.when(F.col("begins") | F.col("hard").isNotNull(), F.col("head")).otherwise(text).alias("text"),
+        )
     )
+    return rest.unionByName(segments)
 
 
 def _gather(members: DataFrame, chars: int | None) -> DataFrame:
@@ -272,7 +290,7 @@ def _gather(members: DataFrame, chars: int | None) -> DataFrame:
     rest = F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x: F.concat(F.lit("\n"), x["text"]))
     whole = F.concat(F.col("l")[0]["head"], F.array_join(rest, ""))
     return shown.groupBy("path", "framework", "seg").agg(ordered.alias("l")).select(
-        "path", "framework", F.col("l")[0]["line_no"].alias("line_no"), strip(whole).alias("snippet")
+        "path", "framework", "seg", F.col("l")[0]["line_no"].alias("line_no"), strip(whole).alias("snippet")
     )
 
 
