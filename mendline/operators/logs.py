@@ -367,6 +367,20 @@ def first_per_path(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= n).join(totals, "path")
 
 
+def chain_marks(text: Column) -> list[Column]:
+    """What decides how a line stands to a chain: blank, frame, bare_at, caused, and head, the part of it that begins a chain."""
+    # Most lines start with a digit, letter or bracket; only the others can be blank or indented.
+    lead = F.left(text, F.lit(1))
+    spaced = (lead <= " ") | (lead >= "\x7f")
+    return [
+        (spaced & has(text, r"^\s*$")).alias("blank"),
+        (spaced & has(text, r"^\s+at [^\n]")).alias("frame"),
+        (F.startswith(text, F.lit("at ")) & (F.length(text) > 3)).alias("bare_at"),
+        F.startswith(text, F.lit("Caused by:")).alias("caused"),
+        F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
+    ]
+
+
 def exception_chains_from_lines(
     lines: DataFrame, block_lines: int = BLOCK_LINES, chain_chars: int | None = None
 ) -> DataFrame:
@@ -378,21 +392,10 @@ def exception_chains_from_lines(
     summary row per block carries them to the following blocks. The text is read and shuffled once: lines that can
     be in no chain are dropped right behind it. ``chain_chars`` cuts the chains; a whole chain is gathered in one row.
     """
-    text, no = F.col("text"), F.col("line_no")
-    # Most lines start with a digit, letter or bracket; only the others can be blank or indented.
-    lead = F.left(text, F.lit(1))
-    spaced = (lead <= " ") | (lead >= "\x7f")
+    no = F.col("line_no")
     kinds = lines.select(
-        "path",
-        "line_no",
-        F.floor(no / F.lit(block_lines)).alias("block"),
-        (spaced & has(text, r"^\s*$")).alias("blank"),
-        (spaced & has(text, r"^\s+at [^\n]")).alias("frame"),
-        (F.startswith(text, F.lit("at ")) & (F.length(text) > 3)).alias("bare_at"),
-        F.startswith(text, F.lit("Caused by:")).alias("caused"),
-        F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
-        head(text, chain_chars).alias("text"),
-    ).withColumn("text", F.when(F.col("blank") | F.col("frame") | F.col("bare_at") | F.col("caused"), text))
+        "path", "line_no", F.floor(no / F.lit(block_lines)).alias("block"), *chain_marks(F.col("text")), head(F.col("text"), chain_chars).alias("text")
+    ).withColumn("text", F.when(F.col("blank") | F.col("frame") | F.col("bare_at") | F.col("caused"), F.col("text")))
 
     def hard(after_blank: Column) -> Column:
         return ~(
