@@ -215,6 +215,13 @@ _EVENT_LINES = Corpus(
 )
 
 
+def timed_lines(events: DataFrame) -> DataFrame:
+    """``(ts, path, line_no, text)`` of a table or stream of events."""
+    fields = ", ".join(f"{e} AS `{n}`" for n, e in _EVENT_LINES.columns.items())
+    each = events.selectExpr(f"inline(array(struct({fields})))").select("ts", "path", "event_id", F.posexplode(F.split("block", "\n")).alias("pos", "text"))
+    return each.select(F.col("ts").cast("timestamp").alias("ts"), "path", (F.col("event_id") * 16 + F.col("pos")).alias("line_no"), "text")
+
+
 class _LogLines(NamedTuple):
     """``(path, line_no, text)``: line numbers rise with the event, with gaps between events."""
 

@@ -297,6 +297,12 @@ WITH l AS (SELECT * FROM {C.LOG_LINES.sql})
 SELECT rule_id, evidence, count(*) AS n_hits, count(DISTINCT path) AS n_paths
 FROM ({_HITS}) GROUP BY ALL ORDER BY n_hits DESC, rule_id, evidence LIMIT 20"""
 
+SQL["stream_rule_counts"] = f"""
+WITH l AS (SELECT * FROM {C.LOG_LINES.sql}),
+h AS (SELECT time_bucket(INTERVAL '5 minutes', CAST(ts AS TIMESTAMP)) AS window_start, rule_id FROM ({_HITS}) JOIN events ON line_no // 16 = event_id)
+SELECT window_start, rule_id, count(*) AS n_hits FROM h
+WHERE window_start + INTERVAL '5 minutes' <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events) - INTERVAL '10 minutes' GROUP BY ALL"""
+
 # --- run artifacts ----------------------------------------------------------------------------
 
 _KINDS = f"""(SELECT path, content, CASE WHEN NOT json_valid(content) THEN 'invalid'

@@ -31,6 +31,7 @@ from mendline.operators import (
 )
 from mendline.plans import corpora as C
 from mendline.sources import catalog, contracts, files, sinks
+from mendline.streaming import logstream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,6 +212,18 @@ def log_rollup_topk(spark, sf):
     return logs.top_signatures(logs.line_hits(C.LOG_LINES.load(spark, sf)), 20)
 
 
+@query
+def stream_rule_counts(spark, sf):
+    """The events as a stream of lines: hits by rule and five minutes, of the windows that the last watermark has closed."""
+    schema = C.read(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    counts = logstream.rule_counts(C.timed_lines(events))
+    at = f"{shared_path(spark)}/stream-{uuid.uuid4().hex}"
+    started = counts.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out")
+    started.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{at}/out")
+
+
 # --- run artifacts ----------------------------------------------------------------------------
 
 
