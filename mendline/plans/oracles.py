@@ -876,6 +876,12 @@ SQL["flow_rules"] = findings(
 
 # --- fixes and the union of findings ----------------------------------------------------------
 
+_FLOW_AFTER = f"(SELECT path, content FROM ({SQL['fix_write_back']}))"
+SQL["findings_updated"] = f"""
+SELECT *, (SELECT count(*) FROM supplier) AS n_first, (SELECT count(*) FROM ({SQL['fix_write_back']}) WHERE status = 'applied') AS n_second
+FROM ({SQL["flow_rules"].replace(C.FLOW_FILES.sql, _FLOW_AFTER)})"""
+
+
 def _fixed(fixes: str, texts: str) -> str:
     """Fixes, of which a file has one here, met with the texts: their status and the text after them."""
     return f"""(SELECT f.path, original, replacement, content IS NULL AS missing, instr(content, original) AS pos,

@@ -20,6 +20,7 @@ from mendline.operators import (
     drift,
     findings,
     fixes,
+    ledger,
     lineage,
     logs,
     modelsql,
@@ -664,6 +665,19 @@ def fix_write_back(spark, sf):
     return files.read_sources(spark, root).join(status, "path").select(shown.alias("path"), "content", "status")
 
 
+@query
+def findings_updated(spark, sf):
+    """Findings of flow files on disk, then of the same files after fixes: only those that changed are read again."""
+    root, shown = _project(spark, C.FLOW_FILES.load(spark, sf))
+    book = ledger.Ledger(spark, f"{root}-ledger", workflows.flow_rules)
+    first = book.update(files.list_files(spark, root, "*.py"))
+    todo = C.FLOW_FIXES.load(spark, sf).withColumn("path", files.plain_path(F.concat(F.lit(root + "/"), "path")))
+    fixes.write_back(files.read_sources(spark, root), todo)
+    second = book.update(files.list_files(spark, root, "*.py"))
+    found = book.findings().withColumn("artifact", F.regexp_replace("artifact", "^.*/project-[0-9a-f]+/", ""))
+    return found.withColumns({"n_first": F.lit(first).cast("long"), "n_second": F.lit(second).cast("long")})
+
+
 @query
 def fix_texts(spark, sf):
     done = fixes.fixed_files(C.DOC_FILES.load(spark, sf), _fixes(spark, sf))
