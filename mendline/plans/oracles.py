@@ -553,6 +553,10 @@ SQL["test_accepted_values"] = (
 SQL["test_relationships"] = (
     "SELECT o_custkey AS key, count(*) AS n_rows FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey"
 )
+SQL["test_unique_words"] = "SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1"
+SQL["test_relationships_words"] = (
+    "SELECT l_orderkey AS key, count(*) AS n_rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY ALL"
+)
 SQL["test_observed_values"] = union(
     [
         f"SELECT '{c}' AS column_name, CASE WHEN count(*) <= 10 THEN string_agg(v, '|' ORDER BY v) END AS accepted FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM lineitem)"

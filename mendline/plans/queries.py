@@ -20,6 +20,7 @@ from mendline.operators import (
     drift,
     findings,
     fixes,
+    keysets,
     ledger,
     lineage,
     logs,
@@ -429,6 +430,17 @@ def test_relationships(spark, sf):
     return datatests.orphan_keys(C.read(spark, sf, "orders"), "o_custkey", _active_customers(spark, sf), "c_custkey")
 
 
+@query
+def test_unique_words(spark, sf):
+    return keysets.duplicate_integers(C.read(spark, sf, "lineitem"), "l_orderkey")
+
+
+@query
+def test_relationships_words(spark, sf):
+    some = C.read(spark, sf, "orders").filter("o_orderstatus <> 'P'")
+    return keysets.orphan_integers(C.read(spark, sf, "lineitem"), "l_orderkey", some, "o_orderkey")
+
+
 @query
 def test_observed_values(spark, sf):
     found = datatests.observed_values(

@@ -1,8 +1,10 @@
+import random
+
 import yaml
 from pyspark.sql import functions as F
 
 from mendline.functions.scale import cut
-from mendline.operators import datatests, modelsql
+from mendline.operators import datatests, keysets, modelsql
 from mendline.sources import sinks
 
 MODEL = """-- header: it's a header
@@ -187,3 +189,15 @@ def test_run_inferred(spark, rows):
         ("store", "id", "not_null", 0),
         ("store", "id", "unique", 0),
     ]
+
+
+def test_key_sets_of_integers(spark, rows):
+    r = random.Random(4)
+    far = [-(1 << 63), (1 << 63) - 1, -1, 0, 63, 64, -64, -65, None]
+    child = [(r.choice([r.randrange(-300, 300), r.choice(far)]),) for _ in range(400)]
+    parent = [(r.choice([r.randrange(-300, 300), r.choice(far)]),) for _ in range(300)]
+    c, p = spark.createDataFrame(child, "key bigint"), spark.createDataFrame(parent, "word bigint")
+    assert rows(keysets.duplicate_integers(c, "key")) == rows(datatests.duplicate_keys(c, ["key"]))
+    assert rows(keysets.orphan_integers(c, "key", p, "word")) == rows(datatests.orphan_keys(c, "key", p, "word"))
+    assert keysets.duplicate_integers(spark.range(1000).toDF("n"), "n").collect() == []
+    assert keysets.orphan_integers(c, "key", p.filter("false"), "word").agg({"n_rows": "sum"}).first()[0] == sum(k is not None for k, in child)
