@@ -609,6 +609,28 @@ def top_signatures(line_findings: DataFrame, k: int) -> DataFrame:
     return signatures(line_findings).orderBy(F.desc("n_hits"), "rule_id", "evidence").limit(k)
 
 
+def heavy_signatures(line_findings: DataFrame, k: int, tracked: int = 10_000) -> DataFrame:
+    """``top_signatures`` without a shuffle of every distinct pair: candidates from a mergeable summary, then exact counts of those only.
+
+    The summary holds ``tracked`` items whatever the table. Its estimates are never too low, so a pair that is no candidate has no more hits than the
+    least estimate of a candidate. Where the k-th exact count is above that, the answer is complete; otherwise more candidates are taken, and where the
+    summary cannot tell any more, all pairs are counted.
+    """
+    hashed = line_findings.withColumn("item", F.xxhash64("rule_id", "evidence"))
+    want = 4 * k
+    while want <= tracked // 2:
+        found = hashed.agg(F.expr(f"approx_top_k(item, {want}, {tracked})").alias("top")).first()[0] or []
+        items = line_findings.sparkSession.createDataFrame([(r.item,) for r in found], "item bigint")
+        some = hashed.join(F.broadcast(items), "item", "left_semi")
+        exact = cut(signatures(some).orderBy(F.desc("n_hits"), "rule_id", "evidence").limit(k))
+        least = min((r["count"] for r in found), default=0)
+        last, n = exact.agg(F.min("n_hits"), F.count(F.lit(1))).first()
+        if len(found) < want or n == k and last > least:
+            return exact
+        want *= 4
+    return top_signatures(line_findings, k)
+
+
 def signatures(line_findings: DataFrame) -> DataFrame:
     """Hits and paths of every (rule, match) pair."""
     return line_findings.groupBy("rule_id", "evidence").agg(F.count("*").alias("n_hits"), F.count_distinct("path").alias("n_paths"))

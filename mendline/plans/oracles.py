@@ -297,6 +297,7 @@ WITH l AS (SELECT * FROM {C.LOG_LINES.sql})
 SELECT rule_id, evidence, count(*) AS n_hits, count(DISTINCT path) AS n_paths
 FROM ({_HITS}) GROUP BY ALL ORDER BY n_hits DESC, rule_id, evidence LIMIT 20"""
 
+SQL["log_rollup_heavy"] = SQL["log_rollup_topk"]
 SQL["stream_rule_counts"] = f"""
 WITH l AS (SELECT * FROM {C.LOG_LINES.sql}),
 h AS (SELECT time_bucket(INTERVAL '5 minutes', CAST(ts AS TIMESTAMP)) AS window_start, rule_id FROM ({_HITS}) JOIN events ON line_no // 16 = event_id)

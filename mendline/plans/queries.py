@@ -214,6 +214,11 @@ def log_rollup_topk(spark, sf):
     return logs.top_signatures(logs.line_hits(C.LOG_LINES.load(spark, sf)), 20)
 
 
+@query
+def log_rollup_heavy(spark, sf):
+    return logs.heavy_signatures(logs.line_hits(C.LOG_LINES.load(spark, sf)), 20)
+
+
 @query
 def stream_rule_counts(spark, sf):
     """The events as a stream of lines: hits by rule and five minutes, of the windows that the last watermark has closed."""

@@ -312,3 +312,17 @@ def test_own_rules(spark):
         ("a", "quota 6"),
         ("b", "LOCK WAIT"),
     ]
+
+
+@pytest.mark.parametrize("tracked", [64, 256, 4096])
+def test_heavy_signatures(spark, rows, tracked):
+    """Frequent pairs among very many rare ones; a small summary takes more candidates or counts everything."""
+    r = random.Random(6)
+    names = [f"e{i}" for i in range(12) for _ in range(400 // (i + 1))] + [f"rare{i}" for i in range(3000)]
+    r.shuffle(names)
+    df = spark.createDataFrame([(f"p{i % 7}", f"r{len(n) % 2}", n) for i, n in enumerate(names)], "path string, rule_id string, evidence string").repartition(5)
+    for k in (3, 12):
+        assert rows(logs.heavy_signatures(df, k, tracked)) == rows(logs.top_signatures(df, k))
+    assert logs.heavy_signatures(df.filter("false"), 3).collect() == []
+    few = df.filter("evidence in ('e1', 'e2')")
+    assert rows(logs.heavy_signatures(few, 5)) == rows(logs.top_signatures(few, 5))
