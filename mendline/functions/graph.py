@@ -10,17 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import cut
+from mendline.functions.scale import cut, parts
 
 
 def _checked(df: DataFrame) -> tuple[DataFrame, tuple]:
     seen = Observation()
     done = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
-    return done, (seen.get["n"], seen.get["s"])
+    return done.coalesce(parts(seen.get["n"])), (seen.get["n"], seen.get["s"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with u > v, distinct."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """edges (u, v) with u > v, distinct; ``n`` of them, about. Small graphs go on in few tasks, as each task of a shuffle writes files."""
     both = edges.select("u", "v")
     if large:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +32,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-    return moved.filter("u > v").distinct()
+    return moved.filter("u > v").coalesce(parts(n)).distinct().coalesce(parts(n))
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
@@ -46,7 +46,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         if not state[0]:
             break
         before = state
-        current, state = _checked(_star(_star(current, True), False))
+        current, state = _checked(_star(_star(current, True, state[0]), False, state[0]))
         if state == before:
             break
     else:

@@ -33,6 +33,11 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return done, seen.get["n"]
 
 
+def parts(n: int, rows: int = 10_000) -> int:
+    """Partitions that ``n`` rows of a few numbers need; for ``coalesce``, which leaves larger tables as they are."""
+    return max(1, -(-n // rows))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number all rows 1..n in ``order`` without sending them through one task.
 
