@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, value)
 
 
+def give_back() -> None:
+    """Return what a finished task has freed to the system: workers are reused, and would hold it while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def returning(run: Callable) -> Callable:
+    """``run``, a function of batches, that gives its memory back at the end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that no other column of ``docs`` can clash; a missing one is null."""
     have = {c.lower(): c for c in docs.columns}
@@ -66,7 +91,45 @@ def crc_mod(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
 
 
+#: Rows of a few numbers each that may be broadcast.
+MOST_BROADCAST = 1 << 18
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` bears it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (a few numbers each), written and counted: up to ``MOST_BROADCAST`` of them are broadcast, so that what they are joined to stays
+    where it is; beyond that they are built into a table for each shuffle partition."""
+    done, seen = cut_with(rows, n=F.count(F.lit(1)))
+    return F.broadcast(done) if seen["n"] <= MOST_BROADCAST else done.hint("shuffle_hash")
+
+
 def without(docs: DataFrame, gone: DataFrame, column: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``gone``. Only the ids are built into a table; texts are not sorted."""
-    ids = gone.select(F.col(column).cast("long").alias("__gone")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), docs[column].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` less the rows whose id is in ``gone``. Texts do not move where the ids are few, and are never sorted."""
+    name = unused(docs, "gone")
+    ids = few(gone.select(F.col(column).cast("long").alias(name)).distinct())
+    return docs.join(ids, docs[column].cast("long") == F.col(name), "left_anti")
+
+
+def without_rows(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
+    """``docs`` less the rows that ``judged`` (doc_id, h, stays) says are to go; of repeated rows that stay, one.
+
+    A row is told by its doc_id, which may be null, and by ``key``, a hash of its text that ``h`` holds.
+    """
+    each = cut(judged.groupBy("doc_id", "h").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")))
+    h, gone_id, gone_h = (unused(docs, x) for x in ("h", "gone_id", "gone_h"))
+    keyed = docs.withColumn(h, key)
+    same = keyed["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.col(h) == F.col(gone_h))
+    named = lambda rows: few(rows.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)))
+    stay = keyed.join(named(each.filter("not stays")), same, "left_anti")
+    twice = each.filter("stays and n > 1")
+    if not twice.isEmpty():
+        twice = named(twice)
+        stay = stay.join(twice, same, "left_anti").unionByName(stay.join(twice, same, "left_semi").dropDuplicates(["doc_id", h]))
+    return stay.drop(h)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendline.llm.common import cut, small_batches, text_and_id, without
+from mendline.llm.common import cut, small_batches, text_and_id, without, without_rows
 
 #: Bits of the bitmap of repeated keys (1 MB) and of the prefix by which entries are counted; both fix what the driver holds.
 MARK_BITS = 23
@@ -226,20 +226,13 @@ def text_digest(text: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, that of the largest doc_id."""
-    found = cut(exact_groups(docs).select("doc_id", "text_sha256", "kept"))
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("some"), F.count(F.lit(1)).alias("n"))
+    """``docs`` with one row of each group of equal texts, that of the largest doc_id.
+
+    Null texts count as empty, and all empty texts are one group. Null ids are smallest. Of repeated rows one stays. No rows give no rows.
+    """
+    found = cut(exact_groups(docs).select("doc_id", F.col("text_sha256").alias("h"), F.col("kept").alias("stays")))
+    ids = found.groupBy("doc_id").agg(F.max("stays").alias("some"), F.count(F.lit(1)).alias("n"))
     # Ids that name several rows, and rows without one, are told apart by their texts; where there are none, the id is enough.
     if ids.filter("n > 1 or doc_id is null").isEmpty():
         return without(docs, ids.filter("not some"))
-    each = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = each.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone"))
-    digest = docs.withColumn("__digest", text_digest(docs["text"]))
-    stay = digest.join(
-        gone.hint("shuffle_hash"),
-        digest["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__gone")),
-        "left_anti",
-    )
-    if not each.filter("kept and n > 1").isEmpty():  # whole rows repeated under one id
-        stay = stay.dropDuplicates(["doc_id", "__digest"])
-    return stay.drop("__digest")
+    return without_rows(docs, found, text_digest(docs["text"]))

@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mendline.llm.common import crc_mod, small_batches, text_and_id
+from mendline.llm.common import crc_mod, small_batches, text_and_id, unused
 
 #: Columns of the statistics, all doubles and never null.
 STATISTICS = (
@@ -208,6 +208,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, model:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects (score below ``threshold``)."""
+    """``docs`` without the documents that the classifier rejects (score below ``threshold``).
+
+    Null and empty texts are scored as empty, repeated rows alike. Without labelled rows nothing is rejected. No rows give no rows.
+    """
     model = fit(docs, labels, **how)
-    return with_statistics(docs).filter(model.score("__stats.") >= threshold).drop("__stats")
+    name = unused(docs, "stats")
+    return with_statistics(docs, name).filter(model.score(f"{name}.") >= threshold).drop(name)
