@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendline.llm.common import small_batches
+from mendline.llm.common import returning, small_batches, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -410,9 +410,8 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 5, model: str = MO
 
     columns = [c for c in docs.columns if c.lower() != name.lower()]
     source = docs.select(*[docs[f"`{c}`"] for c in columns])
-    keyed = source.withColumn("__text", F.coalesce(source["text"].cast("string"), F.lit(""))).withColumn(
-        "__key", F.xxhash64(F.lit(seed), source["doc_id"].cast("string"))
-    )
+    text = F.coalesce(source["text"].cast("string"), F.lit("")).alias(unused(source, "text_"))
+    keyed = source.select("*", text, F.xxhash64(F.lit(seed), source["doc_id"].cast("string")).alias(unused(source, "key")))
     schema = source.withColumn(name, F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +421,7 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 5, model: str = MO
             ids = pieces.encode_many(texts.to_pylist(), keys)
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], _lists(ids)], names=[*columns, name])
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(returning(run), schema)
 
 
 def _lists(ids: list[bytes]) -> pa.ListArray:
@@ -448,15 +447,19 @@ def decode(encoded: DataFrame, model: str = MODEL, name: str = "piece_ids", into
     return source.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, dropout: float = 0.1, seed: int = 5, model: str = MODEL) -> DataFrame:
-    """(doc_id, piece_ids, n_ids, lossless) of every row: ids with dropout, and whether decoding them gives the text."""
+def round_trip(docs: DataFrame, dropout: float = 0.1, seed: int = 5, model: str = MODEL, copies: bool = False) -> DataFrame:
+    """(doc_id, piece_ids, n_ids, lossless) of every row: ids with dropout, and whether decoding them gives the text.
+
+    ``copies``: rows of one doc_id draw their skips apart, by their place in the files they are read from, so that repeats of a document are
+    cut differently; a task that is run again draws as before. Otherwise rows of one doc_id are cut alike.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     held = _model(spark, model)
     keyed = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
-        F.xxhash64(F.lit(seed), docs["doc_id"].cast("string")).alias("key"),
+        F.xxhash64(F.lit(seed), docs["doc_id"].cast("string"), *([F.monotonically_increasing_id()] if copies else [])).alias("key"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,4 +474,4 @@ def round_trip(docs: DataFrame, dropout: float = 0.1, seed: int = 5, model: str
                 names=["doc_id", "piece_ids", "n_ids", "lossless"],
             )
 
-    return keyed.mapInArrow(run, "doc_id long, piece_ids array<int>, n_ids long, lossless boolean")
+    return keyed.mapInArrow(returning(run), "doc_id long, piece_ids array<int>, n_ids long, lossless boolean")

@@ -11,14 +11,18 @@ documents is spread over many tasks. Only ids and sizes move, never texts.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendline.functions.scale import global_rank
-from mendline.llm.common import cut, narrow
+from mendline.llm.common import cut, narrow, unused
 
 #: Fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
+#: Where a word begins after white space.
+_WORD_STARTS = "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])"
 WORD = "[^\\x20\\x09-\\x0D]+"
 _CELLS = 4096
 _CHUNK = 8192
@@ -73,6 +77,13 @@ def _blocks(sources: DataFrame, slots: int | None, least_block: int) -> tuple[Da
     return out.withColumn("needed", needed.cast("long")), block
 
 
+def fraction(n: Column) -> Column:
+    """Fractional part of ``n`` times the golden ratio, in whole numbers up to the last step: 53 bits of it, however large ``n``."""
+    step = F.lit(Decimal(round(GOLDEN * (1 << 53)))).cast("decimal(18,0)")
+    product = n.cast("decimal(18,0)") * step
+    return (product % F.lit(Decimal(1 << 53)).cast("decimal(18,0)")).cast("double") / F.lit(float(1 << 53))
+
+
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """(slot, skey, block, pass, used): the order in which blocks are taken, and how many words of each.
 
@@ -90,8 +101,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     low, high = (F.col("hi") - F.col("needed")) / F.lit(max(n, 1)), F.col("hi") / F.lit(max(n, 1))
     cells = F.sequence(F.floor(low * _CELLS), F.floor(high * _CELLS))
     spans = cut(spans.select("*", low.alias("lo"), high.alias("up")))
-    points = spark.range(n).select(F.col("id").alias("slot"), F.expr(f"(id + 1) * {GOLDEN!r}D").alias("y"))
-    points = points.select("slot", (F.col("y") - F.floor("y")).alias("x"))
+    points = spark.range(n).select(F.col("id").alias("slot"), fraction(F.col("id") + 1).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * _CELLS)).withColumn("chunk", F.floor(F.col("slot") / _CHUNK))
     placed = cut(
         points.join(spans.select("skey", "lo", "up", F.explode(cells).alias("cell")), "cell")
@@ -184,20 +194,60 @@ def mix(
     return some.select(*columns).unionByName(none.select(*columns))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to and with its ``n``-th word, and the white space after it."""
+    parts = F.split(text, _WORD_STARTS)
+    blank = F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)  # white space before the first word is a part of its own
+    return F.array_join(F.slice(parts, 1, (n + blank).cast("int")), "")
+
+
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix takes them: each document as many times as the nearest whole number of its words taken to its size.
+    """``docs`` as the mix takes them, a row for each pass over a document; the pass that ends within a document has its first words only.
 
-    The rows are range-partitioned and sorted by the slots of the copies, so that files hold the mix in its order. Documents of size 0 are
-    never taken. Rows that share an id are one document.
+    The words of the rows of a source add up to its words taken. Rows are range-partitioned and sorted by their slots, so that files hold the mix
+    in its order. Documents of size 0 and null texts are never taken; a cut text has its own n_chars. Rows that share an id are told apart by
+    source and size; which of rows equal in all three is which does not matter. No rows give no rows.
     """
-    found = mix(docs, **how).filter("size > 0")
-    copies = found.groupBy("doc_id").agg(
-        F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__copies"),
-        F.min("slot").alias("__first"),
-        F.min("slot_again").alias("__again"),
+    names = {x: unused(docs, f"mix_{x}") for x in ("id", "source", "size", "nth", "slots", "slot", "words", "taken")}
+    key = ["doc_id", "source", "size"]
+    found = cut(mix(docs, **how).filter("taken > 0"))
+    source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    sized = docs.withColumn(names["size"], words(docs["text"]))
+    same = (
+        docs["doc_id"].cast("long").eqNullSafe(F.col(names["id"]))
+        & source.eqNullSafe(F.col(names["source"]))
+        & (sized[names["size"]] == F.col(names["taken"] + "_of"))
+    )
+    if not found.groupBy(*key).count().filter("count > 1").isEmpty():
+        found = found.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("slot")))
+        order = Window.partitionBy(docs["doc_id"].cast("long"), source, names["size"]).orderBy(F.xxhash64(docs["text"]))
+        sized = sized.withColumn(names["nth"], F.row_number().over(order))
+        same = same & (F.col(names["nth"]) == F.col(names["nth"] + "_of"))
+    else:
+        found = found.withColumn("nth", F.lit(1))
+    passes = F.array(
+        F.struct(F.col("slot").alias("slot"), F.least("taken", "size").alias("words")),
+        F.struct(F.col("slot_again").alias("slot"), (F.col("taken") - F.col("size")).alias("words")),
+    )
+    taken = found.select(
+        F.col("doc_id").alias(names["id"]),
+        F.col("source").alias(names["source"]),
+        F.col("size").alias(names["taken"] + "_of"),
+        F.col("nth").alias(names["nth"] + "_of"),
+        F.filter(passes, lambda x: x["words"] > 0).alias(names["slots"]),
     )
-    taken = copies.filter("__copies > 0").withColumnRenamed("doc_id", "__id")
-    met = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    slots = F.slice(F.array("__first", "__again"), 1, F.col("__copies"))
-    each = met.withColumn("__slot", F.explode(slots)).repartitionByRange("__slot").sortWithinPartitions("__slot")
-    return each.select(*[each[f"`{c}`"] for c in docs.columns])
+    met = sized.join(taken.hint("shuffle_hash"), same).withColumn(names["slot"], F.explode(names["slots"]))
+    part = F.col(names["slot"])["words"]
+    whole = part == F.col(names["size"])
+    each = met.withColumn(names["words"], part).repartitionByRange(F.col(names["slot"])["slot"])
+    each = each.sortWithinPartitions(F.col(names["slot"])["slot"])
+    text = F.when(whole, docs["text"].cast("string")).otherwise(first_words(docs["text"].cast("string"), F.col(names["words"])))
+    out = []
+    for c in docs.columns:
+        if c.lower() == "text":
+            out.append(text.alias(c))
+        elif c.lower() == "n_chars":
+            out.append(F.when(whole, docs[f"`{c}`"]).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c))
+        else:
+            out.append(docs[f"`{c}`"])
+    return each.select(*out)

@@ -17,8 +17,8 @@ from mendline.llm import (
     warc_revisits,
 )
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size string, fp string, row string, key string, y string, words string"
-CLASH = ("a", "b", "c", "d", "e", "f", "g", "h")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size string, fp string, row string, key string, y string, words string, gone string, h string, gone_id string, gone_h string, stats string, text_ string, mix_id string, mix_slot string, mix_size string, mix_words string, slot string, stays string"
+CLASH = tuple("abcdefghijklmnopqrst")
 LABELS = "doc_id long, quality int, toxic int, y string, text string"
 
 
@@ -28,7 +28,7 @@ def messy():
         "Licensed under CC BY-NC 4.0.", "idiot idiot scum", "naïve ▁ 漢字 😀 \u0000", "One two three four five.",
     ]
     rows = [(i, t, "en" if i % 2 else None, [None, "a", "b", ""][i % 4], 3, *CLASH) for i, t in enumerate(texts)]
-    return [*rows, rows[0], rows[0], (None, "one two three four five.", None, None, None, *[None] * 8), (None, None, None, None, None, *[None] * 8)]
+    return [*rows, rows[0], rows[0], (None, "one two three four five.", None, None, None, *[None] * 20), (None, None, None, None, None, *[None] * 20)]
 
 
 @pytest.fixture(scope="module")
@@ -113,8 +113,7 @@ def test_simhash(docs, none):
     assert {r.fingerprint for r in got if r.doc_id in (2, 3, 4)} == {"0" * 16}
     assert {r.component_id for r in got if r.doc_id in (0, 1, 10)} == {0}
     assert {r.component_id for r in got if r.doc_id in (2, 3, 4)} == {2}
-    assert simhash_ring.near_duplicates(none[0]).collect() == [] and simhash_ring.keep_one(none[0]).collect() == []
-    assert simhash_ring.keep_one(docs).columns == docs.columns
+    assert simhash_ring.near_duplicates(none[0]).collect() == []
 
 
 def test_rules(docs, labels, none):
@@ -154,3 +153,19 @@ def test_stages_on_nothing(spark, none, tmp_path):
         assert out.count() == 0
         if i < 4:
             assert out.columns == none[0].columns
+
+
+def test_stages_on_messy_rows(spark, docs):
+    """Every internal name is also a column here; own columns come through with their values."""
+    at = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, at)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert {tuple(r[5:]) for r in rows} <= {CLASH, (None,) * len(CLASH)} and len(rows) > 0, name
+        if name == "exact_copies":
+            assert len(rows) == len({(r.text or "").lower() for r in docs.collect()})
+        if name == "near_copies":  # the empty texts are one group, the rest as they are equal
+            assert len(rows) == len({" ".join((r.text or "").lower().split()) for r in docs.collect()})
+    assert {r.text for r in corpus_pipeline.mix(spark, docs, at).collect()} & {None, "", " \t\n"} == set()
+    assert corpus_pipeline.encode(spark, docs, at).count() == len(messy())

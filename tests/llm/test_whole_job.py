@@ -1,6 +1,8 @@
 """Cases in which the operators once did less than the whole job."""
 
+import re
 import textwrap
+from collections import Counter, defaultdict
 from itertools import combinations
 from pathlib import Path
 
@@ -15,6 +17,9 @@ DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="test tables absent")
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def shingles(text, words=5):
     found = (text or "").encode().lower().split()
     return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
@@ -71,6 +76,71 @@ def test_near_copies_of_a_large_group_and_of_chains(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
 
 
+def test_recall_of_links_at_a_larger_size(spark):
+    """All pairs by prefixes of the rarest shingles, which miss none."""
+    at = "/root/testdata/sf0.1"
+    sets = {r.doc_id: shingles(r.text) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()}
+    seen = Counter(x for s in sets.values() for x in s)
+    by_set = defaultdict(list)
+    for k, s in sorted(sets.items()):
+        by_set[frozenset(s)].append(k)
+    met = defaultdict(list)
+    pairs = set()
+    for s, ks in by_set.items():
+        for x in sorted(s, key=lambda x: (seen[x], x))[: len(s) - -(-4 * len(s) // 5) + 1]:
+            pairs.update((min(ks[0], o), max(ks[0], o)) for o in met[x])
+            met[x].append(ks[0])
+    near = [(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= 0.8]
+    root = {r.doc_id: r.root for r in near_texts.groups(spark.read.parquet(f"{at}/documents.parquet")).collect()}
+    assert len(near) > 20 and sum(root[a] == root[b] for a, b in near) >= 0.9 * len(near)
+    assert all(len({root[k] for k in ks}) == 1 for ks in by_set.values())
+    members = defaultdict(set)
+    for k, r in root.items():
+        members[r].add(k)
+    linked = {k for p in near for k in p} | {k for ks in by_set.values() if len(ks) > 1 for k in ks}
+    assert all(len(m) == 1 or m <= linked for m in members.values())
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a = " ".join(f"w{i}" for i in range(100))
+    b, far = a.replace("w50", "x"), "quite another text of its own with some words"
+    rows = [(1, a), (2, b), (2, far), (None, a + " y"), (None, b + " z"), (3, far + " but longer than it was before by this"), (4, None), (5, ""), (6, " \n"), (7, far), (7, far)]
+    schema = "doc_id long, text string, gone string, h string, gone_id string, gone_h string, key string, node string, root string, stays string"
+    docs = spark.createDataFrame([(*r, *"abcdefgh") for r in rows], schema)
+    got = near_texts.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, a), (2, far), (3, rows[5][1]), (4, None)], key=lambda x: x[0])
+    assert near_texts.keep_one(docs.filter("false")).collect() == []
+    twice = spark.createDataFrame([(None, far), (None, far), (9, "q"), (9, "q"), (9, "other")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text) for r in near_texts.keep_one(twice).collect()) == [(0, far), (9, "other"), (9, "q")]
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_crowded_keys_lose_no_links(spark, crowd):
+    """Many texts of similarity 0.6 to 0.9 around one, twins among them: every level of keys is used."""
+    draw = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        t = list(base)
+        for k in draw.integers(0, 200, draw.integers(1, 14)):
+            t[k] = f"n{i}x{k}"
+        texts.append(t)
+        if i % 10 == 0:
+            twin = list(t)
+            twin[int(draw.integers(0, 200))] = f"t{i}"
+            texts.append(twin)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = groups({i: shingles(t) for i, t in rows})
+    found = defaultdict(set)
+    for r in near_texts.groups(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd).collect():
+        found[r.root].add(r.doc_id)
+    got = {k: min(v) for v in found.values() for k in v}
+    assert len(set(want.values())) > 5
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+    assert all(got[k] >= want[k] for k in want)  # nothing joined that is not linked
+
+
 # --- pieces
 
 
@@ -108,7 +178,7 @@ published by the Free Software Foundation; either version 2 of the License, or (
 
 
 @pytest.mark.parametrize("columns", [20, 25, 30, 40, 50, 52, 55, 60])
-@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (GPL, "GPL-2-or-later")])
+@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (GPL, "GPL-2.0-or-later")])
 def test_notices_wrapped_at_any_width(notice, name, columns):
     lines = textwrap.wrap(" ".join(notice.split()), columns, break_long_words=False, break_on_hyphens=False)
     known = license_rules.Recogniser()
@@ -119,22 +189,63 @@ def test_notices_wrapped_at_any_width(notice, name, columns):
 # --- mix
 
 
-def test_the_mix_comes_in_the_order_of_its_schedule(spark, monkeypatch):
+def test_the_mix_takes_every_pass_in_the_order_of_its_schedule(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(400)
+    text = {r.doc_id: r.text for r in docs.collect()}
     found = source_mix.mix(docs).collect()
     assert all((r.slot is not None) == (r.taken > 0) and (r.slot_again is not None) == (r.taken > r["size"]) for r in found)
-    copies = [(s, r.doc_id) for r in found if r["size"] for s in [r.slot, r.slot_again][: int(r.taken / r["size"] + 0.5)]]
-    slot_of = {}
-    for s, i in copies:
-        slot_of.setdefault(i, []).append(s)
-    got = [r.doc_id for r in source_mix.mixed(docs).collect()]
-    assert sorted(got) == sorted(i for _, i in copies)
-    in_order = [slot_of[i].pop(0) if len(slot_of[i]) == 1 else slot_of[i].pop(slot_of[i].index(min(slot_of[i]))) for i in got]
+    passes = [(r.slot, r.doc_id, min(r.taken, r["size"])) for r in found if r.taken] + [(r.slot_again, r.doc_id, r.taken - r["size"]) for r in found if r.taken > r["size"]]
+    rows = source_mix.mixed(docs).collect()
+    words = lambda t: re.findall(WORD, t or "")
+    assert sorted((r.doc_id, len(words(r.text))) for r in rows) == sorted((i, n) for _, i, n in passes)
+    assert all((text[r.doc_id] or "").startswith(r.text) and r.n_chars == len(r.text) for r in rows if len(words(r.text)) != len(words(text[r.doc_id])))
+    assert any(len(words(r.text)) != len(words(text[r.doc_id])) for r in rows)
+    by_source = defaultdict(int)
+    for r in rows:
+        by_source[r.source] += len(words(r.text))
+    for r in found:
+        assert abs(by_source[r.source] - r.target) <= 64
+    slot_of = {(i, n): s for s, i, n in passes}
+    whole_twice = {(i, n) for _, i, n in passes if sum((i, n) == x[1:] for x in passes) > 1}
+    in_order = [slot_of[r.doc_id, len(words(r.text))] for r in rows if (r.doc_id, len(words(r.text))) not in whole_twice]
     assert in_order == sorted(in_order)
     monkeypatch.setattr(source_mix, "GOLDEN", 0.41421356237309515)
     assert [r.slot for r in sorted(source_mix.mix(docs).collect())] != [r.slot for r in sorted(found)]
 
 
+def test_points_stay_even_at_large_slots(spark):
+    n = 200_000
+    for start in (0, 1 << 36, 1 << 40, (1 << 44) + 12345):
+        x = np.sort([r[0] for r in spark.range(start, start + n).select(source_mix.fraction(F.col("id"))).collect()])
+        assert len(np.unique(x)) == n and 0 <= x[0] and x[-1] < 1
+        gaps = np.diff(np.concatenate((x, [1 + x[0]])))
+        assert gaps.max() < 3.5 / n
+
+
+@pytest.mark.parametrize("text", ["a b  c", "  a\nb c ", "\t\x0b one", "é è", "x", " ", ""])
+def test_first_words(spark, text):
+    df = spark.createDataFrame([(text, n) for n in range(1, 5)], "t string, n int")
+    for r in df.select("n", source_mix.first_words(F.col("t"), F.col("n")).alias("got")).collect():
+        words = re.findall(WORD, text)
+        assert re.findall(WORD, r.got) == words[: r.n] and text.startswith(r.got)
+
+
+def test_rows_of_one_id_are_mixed_apart(spark):
+    rows = [(1, "a b c", "s"), (1, "d e f", "s"), (1, "g h", "s"), (None, "i j", None), (None, "k l", None), (2, None, "s"), (3, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_mix.mixed(df, weights=(1,), share=2.0).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t, _ in rows if t for _ in (0, 1))
+
+
+def test_copies_are_cut_apart(spark, tmp_path):
+    text = "internationalisation of unbelievable considerations " * 20
+    spark.createDataFrame([(7, text)] * 6, "doc_id long, text string").write.parquet(f"{tmp_path}/copies")
+    docs = spark.read.parquet(f"{tmp_path}/copies")
+    apart = piece_dropout.round_trip(docs, copies=True).collect()
+    assert all(r.lossless for r in apart) and len({tuple(r.piece_ids) for r in apart}) == 6
+    assert len({tuple(r.piece_ids) for r in piece_dropout.round_trip(docs).collect()}) == 1
+
+
 def test_the_number_of_slots_grows_with_the_words(spark):
     docs = spark.range(4000).selectExpr("id as doc_id", "'a' as source", "repeat('w ', 64 * 600) as text")
     top = source_mix.mix(docs, share=1.0).agg(F.max("slot"), F.countDistinct("slot")).first()
