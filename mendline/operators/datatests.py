@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
+from mendline.functions.scale import grows
 
 TEST_COLUMNS = ["model", "column", "test", "ref_model", "ref_field", "accepted"]
 
@@ -80,21 +81,21 @@ def infer_references(columns: DataFrame, shared: DataFrame, own: DataFrame | Non
         refs.select(name)
         .distinct()
         .select("name_lower", F.posexplode(_candidates(F.col("name_lower"))).alias("pos", "name"))
-        .join(shared.select("name").distinct(), "name")
+        .join(grows(shared.select("name").distinct()), "name")
         .groupBy("name_lower")
         .agg(F.min(F.struct("pos", "name")).alias("shared_hit"))
     )
     # One name may stand for much of the columns; adaptive execution splits that side of the join.
-    found = refs.withColumn("name_lower", F.lower("column")).join(per_name, "name_lower", "left")
+    found = refs.withColumn("name_lower", F.lower("column")).join(grows(per_name), "name_lower", "left")
     best = F.col("shared_hit")
     if own is not None:
         per_model = (
             refs.select("model", "column", F.posexplode(_candidates(F.col("column"))).alias("pos", "name"))
-            .join(own.select("model", "name").distinct(), ["model", "name"])
+            .join(grows(own.select("model", "name").distinct()), ["model", "name"])
             .groupBy("model", "column")
             .agg(F.min(F.struct("pos", "name")).alias("own_hit"))
         )
-        found = found.join(per_model, ["model", "column"], "left")
+        found = found.join(grows(per_model), ["model", "column"], "left")
         best = F.least("shared_hit", "own_hit")
     return found.select("model", "column", best["name"].alias("ref_model")).select(
         "model", "column", "ref_model", _ref_field(F.col("column"), F.col("ref_model")).alias("ref_field")
@@ -115,12 +116,12 @@ def infer_tests(
     base = columns.select("model", "column", role.alias("role"))
     if shared_models is not None:
         targets = infer_references(columns, shared_models, own_models)
-        base = base.join(targets, ["model", "column"], "left")
+        base = base.join(grows(targets), ["model", "column"], "left")
     else:
         base = base.withColumns({"ref_model": F.lit(None).cast("string"), "ref_field": F.lit(None).cast("string")})
     if hints is not None:
         base = base.withColumn("hint_key", F.lower("column")).join(
-            hints.select("model", F.col("column").alias("hint_key"), "accepted"), ["model", "hint_key"], "left"
+            grows(hints.select("model", F.col("column").alias("hint_key"), "accepted")), ["model", "hint_key"], "left"
         )
     else:
         base = base.withColumn("accepted", F.lit(None).cast("array<string>"))
