@@ -25,7 +25,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+    Candidates come from a SimHash ring, and from minima where the ring's budget does not reach; each is checked on the whole sets.
+    """
     return near_texts.keep_one(docs)
 
 

@@ -1,8 +1,9 @@
-"""Near-duplicate texts: an exact Jaccard similarity of word shingles, on candidates of banded minima.
+"""Near-duplicate texts: an exact Jaccard similarity of word shingles, on candidates of a SimHash ring and then of banded minima.
 
 Two texts are linked if their sets of shingles (``words`` words in a row, A-Z in lower case; a shorter text is one shingle) have a
-Jaccard similarity of ``similar`` at least. A fingerprint of 64 bits cannot find them: at 0.8 its bits differ by 3 to 11, and a budget
-as wide as that is shared by many unrelated texts. Candidates come from keys of several minima each (``LEVELS``): two texts of similarity s share
+Jaccard similarity of ``similar`` at least. Each set has a SimHash fingerprint, and the pigeonring (``simhash_ring``) proposes those that differ in
+at most two bits; what is linked there goes on as one component. At 0.8 the bits differ by 3 to 11, and a budget as wide as that is shared by many
+unrelated texts, so the ring alone would lose most links: the further candidates come from keys of several minima each (``LEVELS``): two texts of similarity s share
 none of ``bands`` keys of ``rows`` minima with a chance of (1 - s^rows)^bands, 2e-4 at 0.8 on the first level and less above.
 
 What is wanted are the groups that links connect, not all links. Texts of equal sets are one node. Under each key all nodes meet
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from mendline.functions.graph import components
 from mendline.functions.scale import parts
+from mendline.llm import simhash_ring
 from mendline.llm.common import cut, cut_with, few, narrow, returning, small_batches, without_rows
 
 WORDS, SIMILAR = 5, 0.8
@@ -111,7 +113,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, h, node, keys) of every row: the set of shingles and its keys on the first level."""
+    """(doc_id, h, node, fp, keys) of every row: the set of shingles, its fingerprint and its keys on the first level."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +121,22 @@ def prints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for b in batches:
             sets = [shingles(t.as_py(), words, known) for t in b.column(2)]
             keys = _lists([first.keys(first.of(s)) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), keys], names=["doc_id", "h", "node", "keys"]
-            )
+            fps = np.array([simhash_ring.fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+            columns = [b.column(0), b.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array(fps), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "fp", "keys"])
 
-    return _rows(docs).mapInArrow(returning(run), "doc_id long, h long, node long, keys array<long>")
+    return _rows(docs).mapInArrow(returning(run), "doc_id long, h long, node long, fp long, keys array<long>")
+
+
+def ring_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of ``prints`` whose fingerprints the ring connects. The nodes of one fingerprint meet its smallest one."""
+    nodes = rows.select("fp", "node").distinct()
+    each = cut(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
+    own = lambda end: each.select(F.col("fp").alias(f"{end}_fp"), F.col("least").alias(end)).hint("shuffle_hash")
+    near = simhash_ring.links(each).select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(own("a"), "a_fp").join(own("b"), "b_fp")
+    same = nodes.join(each.filter("least < most").hint("shuffle_hash"), "fp").filter("node <> least")
+    pairs = near.select("a", "b").unionByName(same.select(F.col("least").alias("a"), F.col("node").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, needed: DataFrame, words: int) -> tuple[DataFrame, int]:
@@ -283,14 +296,18 @@ def groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, crowd:
             links.append(found)
         return found, n
 
+    ring, n_ring = _gathered(ring_pairs(rows))
     entries = rows.select(F.explode("keys").alias("key"), "node")
     for level in range(len(LEVELS)):
         shared, n = _shared(entries)
+        if sets is None and (n or n_ring):
+            texts = rows.groupBy("node").agg(F.min("h").alias("h"))
+            needed = shared.select("node").unionByName(ring.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+            sets, n_sets = _sets(docs, _gathered(texts.join(needed, "node"))[0], words)
+            if n_ring and linked(ring)[1]:
+                joined = components(_union(links), "a", "b")
         if not n:
             break
-        if sets is None:
-            texts = rows.groupBy("node").agg(F.min("h").alias("h"))
-            sets, n_sets = _sets(docs, _gathered(texts.join(shared.select("node").distinct(), "node"))[0], words)
         rooted = shared.withColumn("root", F.col("node"))
         if joined is not None:
             rooted = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))

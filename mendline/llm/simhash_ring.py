@@ -46,6 +46,15 @@ def fingerprint(text: str, words: int = 3) -> int:
         spans = zip(starts[i : i + _BLOCK].tolist(), ends[i : i + _BLOCK].tolist())
         h = np.array([digest(view[s:e], 42) for s, e in spans], dtype="<u8")
         votes += _votes(h)
+    return _majority(votes, n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of one or more 64-bit hashes of shingles, however those are cut."""
+    return _majority(_votes(hashes), len(hashes))
+
+
+def _majority(votes: np.ndarray, n: int) -> int:
     return int(np.bitwise_or.reduce(np.where(2 * votes > n, np.uint64(1) << np.arange(BITS, dtype=np.uint64), np.uint64(0))))
 
 
