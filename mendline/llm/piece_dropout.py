@@ -29,8 +29,8 @@ from mendline.llm.common import returning, small_batches, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Nodes kept between blocks of about _BLOCK_CHARS characters; longest unit and number of rows that matrices take; most skips of a node.
-_KEPT_NODES, _BLOCK_CHARS = 800_000, 1 << 21
+#: Nodes and units met once that are kept between blocks of about _BLOCK_CHARS characters, some 130 MB; longest unit and number of rows that matrices take; most skips of a node.
+_KEPT_NODES, _BLOCK_CHARS = 250_000, 1 << 20
 _LONGEST_ROW, _ROWS, _DEEPEST = 32, 8192, 6
 #: Occurrences whose draws are made at a time.
 _DRAWN = 1 << 17
@@ -88,7 +88,7 @@ class Pieces:
         self.skipped: list[tuple[int, ...]] = []
         self.cuts: list[bytes] = []
         self.first, self.tests = _Column(np.int64), _Column(np.int64)
-        self.code, self.child, self.owner = _Column(np.uint64), _Column(np.int64), _Column(np.int64)
+        self.code, self.child, self.owner = _Column(np.uint64), _Column(np.int32), _Column(np.int32)
 
     def merge(self, unit: str, draw: int) -> list[int]:
         """Ids of one unit by the agenda; ``draw`` is that of the occurrence."""
@@ -225,8 +225,10 @@ class Pieces:
         return out
 
     def _encode_block(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        if len(self.cuts) + len(self.seen) > _KEPT_NODES:
+        if len(self.cuts) > _KEPT_NODES:
             self.forget()
+        elif len(self.cuts) + len(self.seen) > _KEPT_NODES:
+            self.seen = set()
         cut = [self.units.findall(MARK + t.replace(MARK, _TEXT_MARK).replace(" ", MARK)) if t else [] for t in texts]
         units = list(itertools.chain.from_iterable(cut))
         ends = np.cumsum([len(u) for u in cut])
@@ -368,7 +370,7 @@ class _Column:
     def extend(self, more: np.ndarray) -> None:
         n = len(self.held)
         if n + len(more) > len(self.room):
-            self.room = np.concatenate((self.held, np.zeros(max(n, len(more)) + len(more), self.room.dtype)))
+            self.room = np.concatenate((self.held, np.zeros(n // 4 + 2 * len(more), self.room.dtype)))
         self.room[n : n + len(more)] = more
         self.held = self.room[: n + len(more)]
 
