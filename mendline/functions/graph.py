@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import cut, parts
+from mendline.functions.scale import cut, looked_up, parts
 
 
 def _checked(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -21,14 +21,12 @@ def _checked(df: DataFrame) -> tuple[DataFrame, tuple]:
 
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """edges (u, v) with u > v, distinct; ``n`` of them, about. Small graphs go on in few tasks, as each task of a shuffle writes files."""
-    both = edges.select("u", "v")
-    if large:
-        both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    met = both.join(least, "u")
-    if large:
-        moved = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    if large:  # a smaller end without neighbours below it stays
+        below = least.withColumnRenamed("u", "v")
+        moved = edges.join(looked_up(below), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
     else:
+        met = edges.join(looked_up(least), "u")
         moved = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )

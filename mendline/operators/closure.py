@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mendline.functions.graph import components
-from mendline.functions.scale import cut, global_rank
+from mendline.functions.scale import cut, global_rank, grows, looked_up
 
 #: Edges of a component that one task takes, and bits that it holds for all its nodes together (64 MB).
 MOST_EDGES = 200_000
@@ -159,21 +159,24 @@ def _by_pairs(edges: DataFrame, depth: int, all_pairs) -> DataFrame:
     )
 
 
-def pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def pieces(edges: DataFrame, most_edges: int = MOST_EDGES) -> tuple[DataFrame, DataFrame]:
     """``(part, m, child, parent)``: the distinct edges by numbers, with the weak component they lie in and its number of edges; and
-    ``(name, id)`` of the nodes. Null ends are no nodes."""
+    ``(name, id)`` of the nodes. Null ends are no nodes. Components above ``most_edges`` edges may hold most of them, so their edges stay where they are."""
     known = edges.select("child", "parent").filter("child is not null and parent is not null").distinct()
     names = known.select(F.explode(F.array("child", "parent")).alias("name")).distinct()
     ids = cut(global_rank(names, [F.col("name")], "id"))
-    by_id = lambda end: ids.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id"))
+    by_id = lambda end: looked_up(ids.select(F.col("name").alias(end), F.col("id").alias(f"{end}_id")))
     steps = known.join(by_id("child"), "child").join(by_id("parent"), "parent")
     steps = cut(steps.select(F.col("child_id").alias("child"), F.col("parent_id").alias("parent")))
     part = components(steps, "child", "parent")
-    placed = steps.join(part.withColumnRenamed("node", "child"), "child", "left").select(
+    placed = steps.join(looked_up(part.withColumnRenamed("node", "child")), "child", "left").select(
         F.coalesce("component", "child").alias("part"), "child", "parent"
     )
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
-    return cut(placed.join(sizes, "part")), ids
+    placed = cut(placed)
+    sizes = cut(placed.groupBy("part").agg(F.count(F.lit(1)).alias("m")))
+    large = F.broadcast(sizes.filter(F.col("m") > most_edges))  # a row for every ``most_edges`` edges at most
+    small = placed.join(large, "part", "left_anti").join(grows(sizes.filter(F.col("m") <= most_edges)), "part")
+    return cut(small.unionByName(placed.join(large, "part"))), ids
 
 
 def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_EDGES, most_bits: int = MOST_BITS) -> DataFrame:
@@ -183,7 +186,7 @@ def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_
     neighbours. A node on a cycle reaches itself. Null ends are no nodes; repeated edges count once. ``all_pairs`` finds the
     ``(root, node, depth)`` of components that are too large for a task.
     """
-    sized, ids = pieces(edges)
+    sized, ids = pieces(edges, most_edges)
     nodes = F.col("m") + 1  # no more, as the part hangs together
     bits = F.greatest(F.lit(64), F.floor(F.lit(most_bits) / nodes)).cast("long")
     small = sized.filter(F.col("m") <= most_edges).withColumn("bits", bits)
@@ -193,7 +196,7 @@ def counts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_
     if not large.isEmpty():
         found = found.unionByName(_by_pairs(large.select("child", "parent"), depth, all_pairs))
     total = found.groupBy(F.col("node").alias("id")).agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    return total.join(ids, "id").select(F.col("name").alias("node"), *_COUNTS)
+    return total.join(grows(ids), "id").select(F.col("name").alias("node"), *_COUNTS)
 
 
 def counts_in_parts(edges: DataFrame, all_pairs, depth: int = -1, most_edges: int = MOST_EDGES) -> DataFrame:

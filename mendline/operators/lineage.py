@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
-from mendline.functions.scale import cut, cut_counted
+from mendline.functions.scale import cut, cut_counted, grows
 from mendline.functions.text import FLAGS, hits
 from mendline.operators import artifacts, closure
 
@@ -170,6 +170,9 @@ def node_types(known: DataFrame, edges: DataFrame) -> DataFrame:
     return typed.withColumn("label", label)
 
 
+#: Rows of a frontier that go to all tasks; larger ones meet the steps by a shuffle.
+MOST_BROADCAST = 10_000
+
 # --- traversal --------------------------------------------------------------------------------
 
 
@@ -211,7 +214,7 @@ def _all_pairs(edges: DataFrame, upstream: bool, max_depth: int) -> DataFrame:
         if max_depth != -1:
             onward = onward.filter(F.col("more") <= max_depth - k)
         last = known.filter(F.col("depth") == k).select("root", "node")
-        found = last.join(onward, "node").select("root", F.col("next").alias("node"), (F.lit(k) + F.col("more")).alias("depth"))
+        found = last.join(grows(onward), "node").select("root", F.col("next").alias("node"), (F.lit(k) + F.col("more")).alias("depth"))
         fresh, size = cut_counted(_least(found, known))
         known = cut(known.unionByName(fresh)) if size else known
         k *= 2
@@ -221,13 +224,15 @@ def _all_pairs(edges: DataFrame, upstream: bool, max_depth: int) -> DataFrame:
 def _from_roots(edges: DataFrame, roots: DataFrame, upstream: bool, max_depth: int) -> DataFrame:
     """Breadth first from given roots: what moves is the pairs of these roots only."""
     steps = cut(_steps(edges, upstream))
-    start = steps.withColumnRenamed("node", "root").join(roots.select("root").distinct(), "root", "left_semi")
+    start = steps.withColumnRenamed("node", "root").join(grows(roots.select("root").distinct()), "root", "left_semi")
     depth = 1
     frontier, size = cut_counted(start.select("root", F.col("next").alias("node"), F.lit(depth).alias("depth")))
     known = frontier
     while size and depth != max_depth:
         depth += 1
-        found = frontier.select("root", "node").join(steps, "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"))
+        ends = frontier.select("root", "node")
+        ends = F.broadcast(ends) if size <= MOST_BROADCAST else grows(ends)
+        found = steps.join(ends, "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"))
         frontier, size = cut_counted(_least(found, known))
         known = cut(known.unionByName(frontier)) if size else known
     return known
@@ -255,7 +260,7 @@ def reach_counts_of(edges: DataFrame, all_nodes: DataFrame, max_depth: int = -1)
         F.col("node").alias("root"), F.col("up_within").alias("n_within_depth"), F.col("up").alias("n_total")
     )
     roots = all_nodes.select(F.col("name").alias("root")).distinct()
-    return roots.join(found, "root", "left").na.fill(0, ["n_within_depth", "n_total"])
+    return roots.join(grows(found), "root", "left").na.fill(0, ["n_within_depth", "n_total"])
 
 
 def impact(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

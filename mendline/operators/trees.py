@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mendline.functions.scale import cut, cut_counted
+from mendline.functions.scale import cut, cut_counted, grows, looked_up
 from mendline.operators.closure import MOST_EDGES, by_piece, pieces, strong_parts
 
 #: Rows of a tree that can be numbered; larger subtrees count as so many.
@@ -46,11 +46,11 @@ def _sizes_by_level(steps: DataFrame) -> DataFrame:
     known, new = cut_counted(ends.select("node", F.lit(1).cast(_SIZE).alias("size")))
     degree = cut(steps.groupBy("child").agg(F.count(F.lit(1)).alias("degree")))
     while new:
-        met = steps.join(known.withColumnRenamed("node", "parent"), "parent").groupBy("child").agg(
+        met = steps.join(looked_up(known.withColumnRenamed("node", "parent")), "parent").groupBy("child").agg(
             F.count(F.lit(1)).alias("found"), F.least(F.lit(Decimal(MOST_ROWS)), 1 + F.sum("size")).cast(_SIZE).alias("size")
         )
-        ready = met.join(degree, "child").filter(F.col("found") == F.col("degree"))
-        fresh, new = cut_counted(ready.select(F.col("child").alias("node"), "size").join(known, "node", "left_anti"))
+        ready = met.join(grows(degree), "child").filter(F.col("found") == F.col("degree"))
+        fresh, new = cut_counted(ready.select(F.col("child").alias("node"), "size").join(grows(known), "node", "left_anti"))
         known = cut(known.unionByName(fresh)) if new else known
     return known
 
@@ -62,7 +62,7 @@ def layout(edges: DataFrame, upstream: bool = True, most_edges: int = MOST_EDGES
     Nodes that lead to a cycle have no subtree of their own, as what is shown depends on the path: their sizes and offsets are null.
     """
     here, there = ("child", "parent") if upstream else ("parent", "child")
-    sized, ids = pieces(edges.select(F.col(here).alias("child"), F.col(there).alias("parent")))
+    sized, ids = pieces(edges.select(F.col(here).alias("child"), F.col(there).alias("parent")), most_edges)
     zero = F.lit(0).cast("long")
     small = sized.filter(F.col("m") <= most_edges).select("part", zero.alias("block"), zero.alias("bits"), "child", "parent")
     sizes = by_piece(small, _sizes_in_task, f"node long, size {_SIZE}")
@@ -72,12 +72,12 @@ def layout(edges: DataFrame, upstream: bool = True, most_edges: int = MOST_EDGES
     sizes = cut(sizes)
     own = sizes.select(F.col("node").alias("child"), "size")
     below = sizes.select(F.col("node").alias("parent"), F.col("size").alias("next_size"))
-    steps = sized.join(own, "child", "left").join(below, "parent", "left")
+    steps = sized.join(looked_up(own), "child", "left").join(looked_up(below), "parent", "left")
     # Numbers were given in the order of the names. The running sum is over the steps out of one node.
     before = Window.partitionBy("child").orderBy("parent").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.when(F.col("size").isNotNull(), 1 + F.coalesce(F.try_sum("next_size").over(before), F.lit(Decimal(0)))).cast(_SIZE)
     placed = steps.withColumn("offset", offset)
-    name = lambda end, alias: ids.select(F.col("id").alias(end), F.col("name").alias(alias))
+    name = lambda end, alias: looked_up(ids.select(F.col("id").alias(end), F.col("name").alias(alias)))
     return placed.join(name("child", "node"), "child").join(name("parent", "next"), "parent").select(
         "node", "next", "size", "next_size", "offset"
     )
@@ -97,7 +97,7 @@ def page(placed: DataFrame, roots: DataFrame, first: int = 1, rows: int = 100) -
     """
     low, high = Decimal(first), Decimal(first + rows)
     steps = cut(placed.filter("offset is not null").select("node", "next", "next_size", "offset"))
-    start = roots.select("root").distinct().join(sizes(placed).withColumnRenamed("node", "root"), "root").filter("size is not null")
+    start = roots.select("root").distinct().join(grows(sizes(placed).withColumnRenamed("node", "root")), "root").filter("size is not null")
     meets = (F.col("rank") < F.lit(high)) & (F.col("rank") + F.col("size") > F.lit(low))
     frontier, n = cut_counted(
         start.select("root", F.lit(Decimal(1)).cast(_SIZE).alias("rank"), F.col("root").alias("node"), "size", F.lit(0).alias("depth"), F.array("root").alias("path")).filter(meets)
@@ -105,7 +105,7 @@ def page(placed: DataFrame, roots: DataFrame, first: int = 1, rows: int = 100) -
     shown, depth = frontier, 0
     while n:
         depth += 1
-        below = frontier.drop("size").join(steps, "node").select(
+        below = frontier.drop("size").join(grows(steps), "node").select(
             "root",
             (F.col("rank") + F.col("offset")).cast(_SIZE).alias("rank"),
             F.col("next").alias("node"),
