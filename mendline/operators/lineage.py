@@ -170,8 +170,8 @@ def node_types(known: DataFrame, edges: DataFrame) -> DataFrame:
     return typed.withColumn("label", label)
 
 
-#: Rows of a frontier that go to all tasks; larger ones meet the steps by a shuffle.
-MOST_BROADCAST = 10_000
+#: Rows of a frontier that go to all tasks; larger ones meet the steps by a shuffle. A broadcast of strings counts as a page of 64 MB at least.
+MOST_BROADCAST = 100
 
 # --- traversal --------------------------------------------------------------------------------
 
