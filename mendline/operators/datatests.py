@@ -241,12 +241,13 @@ def _row_tests(table: DataFrame, tests: Sequence[tuple[int, Mapping]]) -> DataFr
 
     Only failing rows leave the scan, counted per value before anything is shuffled. Tests without one give no row.
     """
-    failing = []
+    failing, fails = [], F.lit(False)
     for no, t in tests:
         value = F.col(t["column"])
         bad = value.isNull() if t["test"] == "not_null" else value.isNotNull() & ~value.isin(list(t["accepted"]))
         failing.append(F.when(bad, F.struct(F.lit(no).alias("id"), value.cast("string").alias("value"))))
-    found = table.select(F.explode(F.array_compact(F.array(*failing))).alias("f")).groupBy("f.id", "f.value").agg(F.count("*").alias("n"))
+        fails = fails | bad
+    found = table.filter(fails).select(F.explode(F.array_compact(F.array(*failing))).alias("f")).groupBy("f.id", "f.value").agg(F.count("*").alias("n"))
     keys = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(1))
     return found.groupBy("id").agg(keys.alias("n_keys"), F.sum("n").alias("n_failed"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
 from mendline.functions.scale import cut
-from mendline.functions.text import count_hits, first_hit, has, hits, let, strip
+from mendline.functions.text import count_hits, first_hit, has, hits, let, possible, strip
 
 BLOCK_LINES = 1_000_000
 
@@ -43,22 +43,8 @@ def split_lines(files: DataFrame, *keep: str) -> DataFrame:
 # --- snippets ---------------------------------------------------------------------------------
 
 
-def _possible(needs: tuple[tuple[str, ...], ...], text: Column) -> Column:
-    """Whether ``text`` holds all fragments of one alternative; true where a rule needs none."""
-    if not needs:
-        return F.lit(True)
-    some = None
-    for fragments in needs:
-        every = None
-        for fragment in fragments:
-            has_it = F.contains(text, F.lit(fragment))
-            every = has_it if every is None else every & has_it
-        some = every if some is None else some | every
-    return some
-
-
 def _worth(rule: R.Rule, text: Column, folded: Column) -> Column:
-    return _possible(rule.needs, folded if rule.ignores_case else text)
+    return possible(rule.needs, folded if rule.ignores_case else text)
 
 
 def _rule_hits(rule: R.Rule, text: Column, folded: Column) -> Column:
@@ -221,7 +207,7 @@ def _reached(lines: DataFrame, sets: dict[str, list[R.Rule]], block_lines: int)
                 F.lit(i).alias("rule_no"),
                 F.lit(r.rule_id).alias("rule_id"),
                 F.lit(_kind(r)).alias("kind"),
-                F.when(_possible(r.needs, text), first_hit(text, _HEADS.get(r.rule_id, r.pattern), 0)).alias("head"),
+                F.when(possible(r.needs, text), first_hit(text, _HEADS.get(r.rule_id, r.pattern), 0)).alias("head"),
             )
             for i, r in enumerate(rules, 1)
             if _kind(r) != "line"
@@ -249,7 +235,7 @@ def _reached(lines: DataFrame, sets: dict[str, list[R.Rule]], block_lines: int)
     traced = F.col("t.kind") == "traceback"
     is_hard = F.when(traced, (text != "") & ~has(text, r"^\s")).otherwise(has(text, r"^\s*at "))
     of = {r.rule_id: r for rules in sets.values() for r in rules}
-    begins = lambda name: F.when(_possible(of[name].needs, text), first_hit(text, _HEADS[name], 0)) if name in of else F.lit(None).cast("string")
+    begins = lambda name: F.when(possible(of[name].needs, text), first_hit(text, _HEADS[name], 0)) if name in of else F.lit(None).cast("string")
     marked = rows.filter(F.col("t.kind") != "rest").select(
         "path", "framework", "line_no", "t", F.floor(no / F.lit(block_lines)).alias("block"), F.when(is_hard, no).alias("hard"),
         F.when(traced, begins("traceback")).otherwise(begins("jvm_exception")).alias("head"), "text",
@@ -334,7 +320,9 @@ def exception_chains(files: DataFrame, tail_chars: int | None = None, chain_char
     ``chain_chars`` cuts the chains, ``rules.CHAIN_CHARS`` by custom.
     """
     rule = R.Rule("chain", R.JVM_CHAIN, needs=R.JVM_CHAIN_NEEDS)
-    found = let(tail(F.col("content"), tail_chars), lambda text: _rule_hits(rule, text, text))
+    none = F.array().cast("array<string>")
+    begun = lambda text: F.when(~possible(R.JVM_CHAIN_STARTS, text), none).otherwise(_rule_hits(rule, text, text))
+    found = let(tail(F.col("content"), tail_chars), begun)
     shown = F.transform(found, lambda m: head(strip(m), chain_chars))
     raw = files.select("path", F.posexplode(shown).alias("pos", "chain"))
     return _unique_chains(raw.withColumn("pos", F.col("pos").cast("bigint")))
@@ -377,7 +365,7 @@ def chain_marks(text: Column) -> list[Column]:
         (spaced & has(text, r"^\s+at [^\n]")).alias("frame"),
         (F.startswith(text, F.lit("at ")) & (F.length(text) > 3)).alias("bare_at"),
         F.startswith(text, F.lit("Caused by:")).alias("caused"),
-        F.when(_possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
+        F.when(possible(R.JVM_CHAIN_NEEDS, text), first_hit(text, R.JVM_HEAD, 0)).alias("head"),
     ]
 
 

@@ -7,30 +7,32 @@ from pyspark.sql import functions as F
 
 from mendline.functions import rules as R
 from mendline.functions.scale import global_rank
-from mendline.functions.text import count_hits, has, line_count, replace_all
+from mendline.functions.text import count_needing, has, has_needing, line_count, replace_all
 
 
 def model_metrics(models: DataFrame) -> DataFrame:
     """Eleven metrics of each ``(path, sql)``; keywords in comments and literals count too."""
     sql = F.col("sql")
-    clean = replace_all(replace_all(sql, R.TEMPLATE_BLOCK), R.TEMPLATE_STATEMENT)
+    c, folded = F.col("clean"), F.col("folded")
     # The stripped text is used by ten expressions: name it once.
-    base = models.select("path", "sql", clean.alias("clean"))
-    c = F.col("clean")
-    n = {name: count_hits(c, pattern) for name, pattern in R.COUNTED.items()}
+    base = models.select("path", "sql", replace_all(replace_all(sql, R.TEMPLATE_BLOCK), R.TEMPLATE_STATEMENT).alias("clean"))
+    base = base.select("*", F.lower("clean").alias("folded"))
+    needs = lambda pattern: R.SQL_NEEDS.get(pattern, ())
+    test = lambda pattern: has_needing(c, pattern, folded, needs(pattern))
+    n = {name: count_needing(c, pattern, folded, needs(pattern)) for name, pattern in R.COUNTED.items()}
     return base.select(
         "path",
         line_count(sql).alias("lines"),
         (n["with"] + n["cte"]).alias("ctes"),
         n["join"].alias("joins"),
         F.greatest(n["select"] - 1, F.lit(0).cast("bigint")).alias("subqueries"),
-        has(c, R.SELECT_STAR).alias("select_star"),
+        test(R.SELECT_STAR).alias("select_star"),
         n["distinct"].alias("distinct_count"),
-        has(c, R.CROSS_JOIN).alias("cross_join"),
-        has(sql, R.LEADING_WILDCARD).alias("leading_wildcard"),
-        has(c, R.NOT_IN_SUBQUERY).alias("not_in_subquery"),
-        (has(c, R.ORDER_BY) & ~has(c, R.LIMIT)).alias("order_without_limit"),
-        (~has(c, R.WHERE)).alias("no_where"),
+        test(R.CROSS_JOIN).alias("cross_join"),
+        has_needing(sql, R.LEADING_WILDCARD, sql, needs(R.LEADING_WILDCARD)).alias("leading_wildcard"),
+        test(R.NOT_IN_SUBQUERY).alias("not_in_subquery"),
+        (test(R.ORDER_BY) & ~has(c, R.LIMIT)).alias("order_without_limit"),
+        (~test(R.WHERE)).alias("no_where"),
     )
 
 

@@ -153,3 +153,46 @@ Execution Time: 1500.129 ms"""
 def test_snowflake_plans(spark):
     assert set(observed(spark, "Table Scan of t; CartesianJoin; sort; UnionAll", " Snowflake ")) == {"table_scan", "cartesian", "sort", "union"}
     assert observed(spark, "Result", "snow") == {"no_issue": ""}
+
+
+def test_lint_takes_a_query_apart_once(spark):
+    found = sqllint.lint(queries(spark, "SELECT 1; SELECT 'a' -- b"))
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("split(") == 1
+    # Tests of a statement are columns; the generator only picks among them.
+    assert not [line for line in optimized.splitlines() if "Generate" in line and "RLIKE" in line]
+
+
+@pytest.mark.parametrize(
+    "sql, expected",
+    [
+        ("SELECT * from t ſ limit 1", ["no_where", "select_star"]),
+        ("SELECT K FROM t CROſS JOıN u WHERE x = 1", ["cross_join"]),
+        ("SELECT DıſTıNCT a FROM t ORDER BY a", ["distinct", "no_where", "order_without_limit"]),
+    ],
+)
+def test_patterns_run_on_letters_outside_ascii(spark, sql, expected):
+    """Patterns that ignore case also take the relatives of i, k and s."""
+    assert sorted(r.rule_id for r in sqllint.lint(queries(spark, sql)).collect()) == expected
+
+
+def test_plans_of_both_engines_are_read_once(spark):
+    plans = spark.createDataFrame(
+        [
+            ("a", "postgres", "Nested Loop rows=100000\nrows=7 x actual rows=900"),
+            ("b", " SNOW", "Sort; Nested Loop rows=100000"),
+            ("c", "other", "Sort"),
+            ("d", "postgres", None),
+            ("e", "snowflake", None),
+        ],
+        "query_id string, engine string, plan_text string",
+    )
+    found = planlint.lint_plans(plans)
+    assert sorted((r.artifact, r.rule_id, r.evidence) for r in found.collect()) == [
+        ("a", "nested_loop", ""),
+        ("a", "row_estimate", "7 estimated, 900 actual"),
+        ("b", "sort", "SORT"),
+        ("d", "no_issue", ""),
+        ("e", "no_issue", ""),
+    ]
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()

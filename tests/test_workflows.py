@@ -140,3 +140,12 @@ def test_findings(spark, rows):
         ("workflow", "d", 4, 4, "WARNING", "catchup_on"),
     ]
     assert ("log", "oom", "CRITICAL", 1, 5) in rows(findings.by_rule(both))
+
+
+def test_findings_parse_a_file_once(spark):
+    files = spark.createDataFrame([("a.py", DAG), ("b.py", "def broken(:"), ("c.py", FLOW), ("d.py", None)], "path string, content string")
+    for both, rules in ((workflows.dag_findings, workflows.dag_rules), (workflows.flow_findings, workflows.flow_rules)):
+        found = both(files)
+        apart = rules(files).unionByName(workflows.syntax_findings(files))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, apart.collect()))
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
